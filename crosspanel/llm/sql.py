@@ -48,6 +48,25 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM pieces p LEFT JOIN times USING (no, block) GROUP BY uid, doc_id, size, source_size, target
 """
 
+OP7 = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents
+), windows AS (
+  SELECT uid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT uid, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)
+), twice AS (
+  SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY h) AS c FROM windows) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT uid, i + j AS p FROM twice, (SELECT unnest(range(35)) AS j)
+), listed AS (
+  SELECT uid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t
+), kept AS (
+  SELECT l.uid, string_agg(word, ' ' ORDER BY l.p) FILTER (g.uid IS NULL) AS words, count(g.uid) AS n_removed
+  FROM listed l LEFT JOIN gone g ON l.uid = g.uid AND l.p = g.p GROUP BY l.uid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (uid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4}
+    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op7_substring_words": OP7}
