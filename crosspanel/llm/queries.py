@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_rules import quality_rules
 from .sharding import shard_rows
+from .simhash import simhash_dedup
 from .substring_words import substring_dedup
 
 
@@ -18,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
