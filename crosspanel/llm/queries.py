@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .mixing import mix
 from .packing import pack
+from .quality_lm import quality_verdicts
 from .quality_rules import quality_rules
 from .sharding import shard_rows
 from .simhash import simhash_dedup
@@ -42,6 +43,10 @@ def op7_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
