@@ -67,6 +67,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM t LEFT JOIN kept USING (uid)
 """
 
+OP3 = """
+WITH t AS (
+  SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT uid, i, md5(substr(x, (2 * i + 1)::BIGINT, 400)) AS h FROM (SELECT uid, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM t WHERE length(x) >= 400)
+), twice AS (
+  SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY h) AS c FROM windows) WHERE c > 1
+), islands AS (
+  SELECT uid, i, sum(fresh) OVER (PARTITION BY uid ORDER BY i) AS island
+  FROM (SELECT uid, i, CASE WHEN i - lag(i) OVER (PARTITION BY uid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM twice)
+), spans AS (
+  SELECT uid, min(i) AS b, max(i) + 200 AS e FROM islands GROUP BY uid, island
+), gaps AS (
+  SELECT uid, coalesce(lag(e) OVER (PARTITION BY uid ORDER BY b), 0) AS f, b AS u FROM spans
+  UNION ALL SELECT uid, coalesce(max(e), 0), any_value(length(x) // 2) FROM t LEFT JOIN spans USING (uid) GROUP BY uid
+), kept AS (
+  SELECT uid, string_agg(substr(x, (2 * f + 1)::BIGINT, (2 * (u - f))::BIGINT), '' ORDER BY f) AS k FROM gaps JOIN t USING (uid) GROUP BY uid
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, ((length(x) - length(k)) // 2)::BIGINT AS n_removed,
+       (SELECT count(*) FROM spans s WHERE s.uid = t.uid)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM t JOIN kept USING (uid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op7_substring_words": OP7}
+    return {"op1_mix_sources": OP1, "op3_suffix_dedup": OP3, "op4_exact_dedup": OP4, "op7_substring_words": OP7}
