@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import buffers, mix64, partitions, stash, text_bytes
+from .common import buffers, mix64, partitions, small_batches, stash, text_bytes, tidy
 from .repeats import Roller, Seen, binary_array, by_key, flagged_spans, merge, ranges, runs_of, sliding_min, span_arrays
 
 #: Bytes of text scanned at once.
@@ -30,8 +30,6 @@ SHARD = (1 << 21) - 4096
 _PLACE = np.uint64((1 << 28) - 1)
 #: One document in SAMPLE is looked at for very frequent minimizers: those in HOT_SHARE of the sampled documents.
 SAMPLE, HOT_SHARE = 64, 0.002
-#: Lists of up to so many intervals are broadcast to the texts; beyond that both are shuffled by document.
-BROADCAST_INTERVALS = 2_000_000
 
 
 # ---- the suffix array -------------------------------------------------------------------------------------------------
@@ -189,7 +187,7 @@ def _hot(window: int, gram: int):
 def hot_keys(slim: DataFrame, window: int, gram: int) -> np.ndarray:
     """Very frequent minimizers of a sample: a hint for dealing that results don't depend on; at most 100,000."""
     sample = slim.filter(F.pmod(F.xxhash64("id", "print"), F.lit(SAMPLE)) == 0)
-    counted = sample.select("text").mapInArrow(_hot(window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = sample.select("text").mapInArrow(tidy(_hot(window, gram)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     least = max(3, int(sample.count() * HOT_SHARE))
     found = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(100_000).collect()
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
@@ -352,11 +350,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.to_batches()
 
 
-def attach(slim: DataFrame, lists: DataFrame, intervals: int, how: str) -> DataFrame:
-    """``id, print, text`` and the list of each document; ``intervals`` (all lists together) decides on a broadcast."""
+def attach(slim: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``id, print, text`` and the list of each document; both sides are shuffled by document, at every size alike."""
     lists = lists.withColumnsRenamed({"id": "_id", "print": "_print"})
-    right = F.broadcast(lists) if intervals <= BROADCAST_INTERVALS else lists
-    return slim.join(right, slim["id"].eqNullSafe(F.col("_id")) & (slim["print"] == F.col("_print")), how).drop("_id", "_print")
+    return slim.join(lists, slim["id"].eqNullSafe(F.col("_id")) & (slim["print"] == F.col("_print")), how).drop("_id", "_print")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,17 +387,17 @@ def repeated_byte_spans(slim: DataFrame, window: int, gram: int) -> DataFrame:
     kind, long, int_ = slim.schema["id"].dataType, T.LongType(), T.IntegerType()
     hot = hot_keys(slim, window, gram)
     spark_schema, arrow = _fields(kind, key=long, mini=long, content=long, id=kind, print=long, start=int_, n=int_, known=T.BooleanType(), own=T.BooleanType())
-    dealt = slim.mapInArrow(_runs(window, gram, hot, arrow), spark_schema).repartition(n, "key").sortWithinPartitions("key")
+    dealt = slim.mapInArrow(tidy(_runs(window, gram, hot, arrow)), spark_schema).repartition(n, "key").sortWithinPartitions("key")
     settled_schema, _ = _fields(kind, id=kind, print=long, begin=int_, end=int_, mini=long, content=long, open=T.BooleanType())
-    settled = stash(dealt.mapInArrow(_settle(window, hot), settled_schema), "settled")
+    settled = stash(dealt.mapInArrow(tidy(_settle(window, hot)), settled_schema), "settled")
     open_ = settled.filter("open")
     lists = open_.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end", "mini", "content")).alias("runs"))
     extent_schema, arrow = _fields(kind, key=long, id=kind, print=long, start=int_, wide=T.BooleanType(), bytes=T.BinaryType())
-    extents = attach(slim, lists, open_.count(), "inner").select("id", "print", "text", "runs").mapInArrow(_extents(hot, arrow), extent_schema)
+    extents = attach(slim, lists, "inner").select("id", "print", "text", "runs").mapInArrow(tidy(_extents(hot, arrow)), extent_schema)
     shard_schema, arrow = _fields(kind, id=kind, print=long, begin=int_, end=int_, window=long)
-    shards = stash(extents.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards(window, arrow), shard_schema), "shards")
+    shards = stash(extents.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_shards(window, arrow)), shard_schema), "shards")
     span_schema, _ = _fields(kind, id=kind, print=long, begin=int_, end=int_)
-    across = shards.filter("window is not null").withColumnRenamed("window", "key").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_merge, span_schema)
+    across = shards.filter("window is not null").withColumnRenamed("window", "key").repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_merge), span_schema)
     columns = ["id", "print", "begin", "end"]
     return settled.filter("not open").select(columns).unionByName(shards.filter("window is null").select(columns)).unionByName(across)
 
@@ -412,10 +409,11 @@ def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 100, id_col: st
     Repeated rows are repetitions of each other. A null text is empty. Null ids are kept; an empty table gives an empty
     result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), F.col(text_col).cast("string").alias("text"))
     spans = stash(repeated_byte_spans(slim, window, gram), "spans")
     lists = spans.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = attach(slim, lists, spans.count(), "left").select("id", "text", "spans")
+    joined = attach(slim, lists, "left").select("id", "text", "spans")
     schema, _ = _fields(kind, id=kind, n_bytes=T.LongType(), n_removed=T.LongType(), n_spans=T.LongType(), kept_sha256=T.StringType())
-    return joined.mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidy(_cut), schema).withColumnRenamed("id", id_col)
