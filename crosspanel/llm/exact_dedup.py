@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, partitions, squeeze, stash, text_bytes
+from .common import code_points, partitions, small_batches, squeeze, stash, text_bytes, tidy
 
 #: Up to so many suspect fingerprints (8 bytes each) are broadcast; beyond that the texts meet them in a shuffled join.
 BROADCAST_FINGERPRINTS = 1_000_000
@@ -133,6 +133,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     An empty table gives an empty result; other columns of the input are not read. A group of copies of any size is
     combined before its shuffle, so no task gathers it.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     owners = partitions(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -143,16 +144,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    sent = stash(slim.mapInArrow(_send(owners, to_arrow_type(kind)), sent_schema), "fingerprints")
+    sent = stash(slim.mapInArrow(tidy(_send(owners, to_arrow_type(kind))), sent_schema), "fingerprints")
     rows = sent.filter(F.col("row").isNotNull()).drop("code")
-    bitmaps = sent.filter(F.col("code").isNotNull()).select("sender", "owner", "code").repartition(owners, "owner").mapInArrow(_answer, "sender int, owner int, bits binary")
+    bitmaps = sent.filter(F.col("code").isNotNull()).select("sender", "owner", "code").repartition(owners, "owner").mapInArrow(tidy(_answer), "sender int, owner int, bits binary")
     seen = F.coalesce(F.expr("shiftright(cast(conv(hex(substring(bits, (slot div 8 + 1)::int, 1)), 16, 10) as int), slot % 8) & 1") == 1, F.lit(False))
     flagged = stash(rows.join(bitmaps, ["sender", "owner"], "left").select("id", "row", "sha", "points", (F.col("local") | seen).alias("suspect")), "flags")
     single = flagged.filter(~F.col("suspect")).select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha")
     suspects = flagged.filter("suspect")
     wanted = stash(suspects.select(F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long").alias("print")).distinct(), "suspects")
     small = wanted.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS
-    texts = slim.mapInArrow(_reread, T.StructType([T.StructField("print", T.LongType()), T.StructField("id", kind), T.StructField("points", T.IntegerType()), T.StructField("squeezed", T.BinaryType())]))
+    texts = slim.mapInArrow(tidy(_reread), T.StructType([T.StructField("print", T.LongType()), T.StructField("id", kind), T.StructField("points", T.IntegerType()), T.StructField("squeezed", T.BinaryType())]))
     texts = texts.join(F.broadcast(wanted) if small else wanted, "print", "left_semi")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id"))
     groups = texts.groupBy("print", "squeezed").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches, tidy
+
 # Element names of HTML by their role.
 RAW = frozenset("script style template noscript textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -140,6 +142,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null ids and urls are kept, repeated rows are extracted each, and other columns are not read. Pages are independent:
     there is no shuffle. Malformed and truncated markup ends at the end of the page.
     """
+    small_batches(pages.sparkSession)
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return slim.mapInArrow(_extract, schema).withColumnsRenamed({"id": id_col, "url": url_col})
+    return slim.mapInArrow(tidy(_extract), schema).withColumnsRenamed({"id": id_col, "url": url_col})

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, stash
+from .common import buffers, small_batches, stash, tidy
 
 #: Pieces of one length are numbered in so many parts.
 BUCKETS = 1024
@@ -183,9 +183,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, grid: int = 4, e
     rows are packed each, an empty table gives an empty result, and other columns are not read.
     The driver holds the histogram (capacity / grid numbers) and the plan, whose size depends on the grid alone.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(n, T.LongType()) for n in ("start", "length", "crc", "total"))])
-    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id), schema)
+    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_pieces(tokenizer, capacity, end_id)), schema)
     bucket = F.pmod(F.xxhash64("id", "start", "crc"), F.lit(BUCKETS)).cast("int")
     pieces = stash(pieces.withColumns({"size": F.ceil(F.col("length") / grid).cast("int"), "bucket": bucket}), "pieces")
     units = -(-capacity // grid)
@@ -206,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, grid: int = 4, e
     within = Window.partitionBy("size", "bucket").orderBy("id", "start", "crc")
     ranked = pieces.withColumn("own", F.row_number().over(within)).join(F.broadcast(offsets), ["size", "bucket"]).withColumn("rank", (F.col("first") + F.col("own") - 1).cast("long"))
     placed_schema = T.StructType([*schema.fields, T.StructField("sequence", T.LongType()), T.StructField("place", T.LongType())])
-    placed = ranked.select("id", "start", "length", "crc", "total", "size", "rank").mapInArrow(_assign(slots(plan, units)), placed_schema)
+    placed = ranked.select("id", "start", "length", "crc", "total", "size", "rank").mapInArrow(tidy(_assign(slots(plan, units))), placed_schema)
     ahead = Window.partitionBy("sequence").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(
         F.col("id").alias(id_col), "start", "length", F.col("crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), F.col("sequence").alias("sequence_id"),

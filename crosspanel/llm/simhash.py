@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, stash, text_bytes
+from .common import partitions, small_batches, stash, text_bytes, tidy
 from .repeats import by_key
 
 HALF = 32
@@ -134,7 +134,7 @@ def _verify(distance: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, out = Forest(), []
-        for t in by_key(batches, 200_000):
+        for t in by_key(batches, 50_000):
             distinct, label = parts(t.column("key").to_numpy(), t.column("print").to_numpy().view(np.uint64), distance)
             moved = np.flatnonzero(label != np.arange(len(label)))
             out += [pair for pair in zip(distinct[moved].tolist(), distinct[label[moved]].tolist()) if forest.join(*pair)]
@@ -154,7 +154,7 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("two halves with one wildcard find up to three differing bits")
     spark = prints.sparkSession
-    pairs = prints.mapInArrow(_variants, "key long, print long")
+    pairs = prints.mapInArrow(tidy(_variants), "key long, print long")
     n = partitions(spark)
     crowded = stash(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"), "crowds")
     crowds = crowded.count()
@@ -166,7 +166,7 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
         split = marked.filter("crowd").select("key", "print", byte.alias("part")).select(F.xxhash64("key", "part.no", "part.value").alias("key"), "print")
         loose = marked.filter("crowd is null").select("key", "print").unionByName(split)
     dealt = loose.repartition(n, "key").sortWithinPartitions("key", "print")
-    return dealt.mapInArrow(_verify(distance), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(_verify(distance)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -199,9 +199,10 @@ def simhash_dedup(docs: DataFrame, distance: int = 3, width: int = 3, id_col: st
     null ids only has a null id. Repeated rows each get a row; an empty table gives an empty result; other columns are
     not read. Documents with one fingerprint are one node, whose smallest id is found by partial aggregates.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("print", T.LongType())])
-    marked = stash(slim.mapInArrow(_fingerprints(width), schema), "simhash")
+    marked = stash(slim.mapInArrow(tidy(_fingerprints(width)), schema), "simhash")
     nodes = stash(marked.groupBy("print").agg(F.min("id").alias("least")), "nodes")
     found = components(near_edges(nodes.select("print"), distance))
     members = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())

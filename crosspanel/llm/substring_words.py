@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix64, partitions, text_bytes
+from .common import mix64, partitions, small_batches, text_bytes, tidy
 from .repeats import CODE, Roller, Seen, binary_array, by_key, flagged_spans, merge, ranges, runs_of, sliding_min, span_arrays, with_spans
 
 #: Words are taken to memory in pieces of about so many bytes of text.
@@ -87,7 +87,7 @@ def hot_keys(docs: DataFrame, window: int, gram: int) -> np.ndarray:
     A document has a bounded mean number of runs, so the list is bounded by that mean over ``HOT_SHARE``.
     """
     sample = docs.filter(F.pmod(F.xxhash64("id", "print"), F.lit(SAMPLE)) == 0)
-    counted = sample.select("text").mapInArrow(_hot(window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = sample.select("text").mapInArrow(tidy(_hot(window, gram)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     least = max(3, int(sample.count() * HOT_SHARE))
     found = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(100_000).collect()
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
@@ -198,11 +198,11 @@ def repeated_word_spans(slim: DataFrame, window: int = 35, gram: int = 12) -> Da
     kind = slim.schema["id"].dataType
     hot = hot_keys(slim, window, gram)
     fields = [("key", pa.int64()), ("id", to_arrow_type(kind)), ("print", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("code", pa.binary())]
-    sent = slim.mapInArrow(_send(window, gram, hot, pa.schema(fields)), T.StructType([
+    sent = slim.mapInArrow(tidy(_send(window, gram, hot, pa.schema(fields))), T.StructType([
         T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("print", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.BinaryType()),
     ]))
     dealt = sent.repartition(partitions(slim.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_count(window), T.StructType([T.StructField("id", kind), T.StructField("print", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    return dealt.mapInArrow(tidy(_count(window)), T.StructType([T.StructField("id", kind), T.StructField("print", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,9 +212,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 12, id_col: s
     has no words; its digest is that of the empty string. Null ids are kept; an empty table gives an empty result; other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_word_spans(slim, window, gram)
     joined = with_spans(slim, spans, F.col("text"))
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidy(_cut), schema).withColumnRenamed("id", id_col)
