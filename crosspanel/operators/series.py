@@ -73,6 +73,11 @@ def _full(agg, x: Column, d: int, least: int | None = None) -> Column:
     return F.when(F.count(v).over(w) >= (d if least is None else least), agg(v).over(w))
 
 
+def steady(x: Column) -> Column:
+    """Twelve decimals: what the order of summation leaves behind must not break ties of later ranks."""
+    return F.rint(x * 1e12) / 1e12
+
+
 def _pair(x: Column, y: Column, d: int):
     both = finite(x).isNotNull() & finite(y).isNotNull()
     return F.when(both, x), F.when(both, y), trailing(d)
@@ -81,12 +86,12 @@ def _pair(x: Column, y: Column, d: int):
 def correlation(x: Column, y: Column, d: int) -> Column:
     a, b, w = _pair(x, y, d)
     spread = F.stddev_samp(a).over(w) * F.stddev_samp(b).over(w)
-    return F.when(F.count(a).over(w) >= d, F.covar_samp(a, b).over(w) / F.when(spread != 0, spread))
+    return F.when(F.count(a).over(w) >= d, steady(F.covar_samp(a, b).over(w) / F.when(spread != 0, spread)))
 
 
 def covariance(x: Column, y: Column, d: int) -> Column:
     a, b, w = _pair(x, y, d)
-    return F.when(F.count(a).over(w) >= d, F.covar_samp(a, b).over(w))
+    return F.when(F.count(a).over(w) >= d, steady(F.covar_samp(a, b).over(w)))
 
 
 def ts_rank(x: Column, d: int) -> Column:

@@ -73,12 +73,12 @@ def _pair(x: str, y: str) -> tuple[str, str]:
 def _corr(x: str, y: str, d: int) -> str:
     a, b = _pair(x, y)
     w = _over(d)
-    return f"(CASE WHEN count({a}) {w} >= {d} THEN covar_samp({a}, {b}) {w} / nullif(stddev_samp({a}) {w} * stddev_samp({b}) {w}, 0) END)"
+    return f"(CASE WHEN count({a}) {w} >= {d} THEN round(covar_samp({a}, {b}) {w} / nullif(stddev_samp({a}) {w} * stddev_samp({b}) {w}, 0) * 1e12) / 1e12 END)"
 
 
 def _cov(x: str, y: str, d: int) -> str:
     a, b = _pair(x, y)
-    return f"(CASE WHEN count({a}) {_over(d)} >= {d} THEN covar_samp({a}, {b}) {_over(d)} END)"
+    return f"(CASE WHEN count({a}) {_over(d)} >= {d} THEN round(covar_samp({a}, {b}) {_over(d)} * 1e12) / 1e12 END)"
 
 
 def _ts_rank(x: str, d: int) -> str:

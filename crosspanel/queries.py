@@ -23,10 +23,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def register(name: str, query: Query, sql: str | None = None) -> None:
-    QUERIES[name] = query
+def register(name: str, query: Query, sql: str | None = None, dates: tuple[str, ...] = ()) -> None:
+    """Add a query and its twin. Columns in ``dates`` are given as text, which reads the same in both engines."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
+
+    QUERIES[name] = run
     if sql is not None:
-        SQL[name] = sql
+        SQL[name] = f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
 
 
 def _formula(name: str, formula: Node, by: str = "supplier", period: str = "week", axis: str = "dense", twin: bool = True) -> None:
@@ -39,7 +45,7 @@ def _formula(name: str, formula: Node, by: str = "supplier", period: str = "week
     sql = None
     if twin:
         sql = evaluate_sql(axis, {"value": formula}, prelude=trade_panel_sql(period, by)) + (" WHERE observed" if axis == "dense" else "")
-    register(name, query, sql)
+    register(name, query, sql, ("date",))
 
 
 # ---- operators of the formula language: on the weekly supplier panel, which has gaps ----
