@@ -121,7 +121,7 @@ def treatment_votes(t: DataFrame) -> DataFrame:
 
 def false_positive_curve(votes: DataFrame, most: int = len(LENGTHS)) -> DataFrame:
     """``k, fpr``: share of controls with at least k votes."""
-    met = votes.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    met = votes.withColumn("k", F.explode(F.array(*(F.lit(i).cast("long") for i in range(1, most + 1)))))
     return met.groupBy("k").agg(F.avg((F.col("votes") >= F.col("k")).cast("double")).alias("fpr"))
 
 

@@ -11,6 +11,7 @@ from .plans.compiler import evaluate, neutral
 from .plans.expr import call, field, parse
 from .plans.twin import evaluate_sql
 from .queries import register, rounded
+from .sources.cache import kept
 from .sources.panel import densify, trade_panel, trade_panel_sql
 
 # Signals for the test tables: short windows, since the weekly supplier panel has gaps.
@@ -31,16 +32,14 @@ def signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return E.long_signals(wide, list(_ALL)), dense
 
 
-_panels: dict[tuple[str, str], DataFrame] = {}
-
-
 def ic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily rank correlations of all signals: the tests' common input, a row for each signal and date, kept in memory."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _panels:
+    """Daily rank correlations of all signals: the tests' common input, a row for each signal and date, written once."""
+
+    def make() -> DataFrame:
         long, dense = signals(spark, sf_dir)
-        _panels[key] = E.rank_ic(long, E.forward_returns(dense)).select("alpha_id", "date", "ic").persist()
-    return _panels[key]
+        return E.rank_ic(long, E.forward_returns(dense)).select("alpha_id", "date", "ic")
+
+    return kept("ic", spark, sf_dir, make)
 
 
 def leak_signals(w: float):
@@ -200,7 +199,7 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decay_t(arms(spark, sf_dir), CUTOFF)
+    return kept("t", spark, sf_dir, lambda: D.decay_t(arms(spark, sf_dir), CUTOFF))
 
 
 def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,18 +9,15 @@ from .operators import events as V
 from .operators import memory as M
 from .queries import register, rounded
 from .queries_eval import _PRELUDE, ic_panel
+from .sources.cache import kept
 from .sources.panel import calendar, trade_panel
 
 WIDTH, GAP, LEAST = 5, 2, 4
 FIRST, LAST = "1995-02-01", "2001-10-01"
-_memo: dict[tuple, DataFrame] = {}
 
 
 def _kept(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    key = (name, spark.sparkContext.applicationId, sf_dir)
-    if key not in _memo:
-        _memo[key] = make(spark, sf_dir).persist()
-    return _memo[key]
+    return kept(name, spark, sf_dir, lambda: make(spark, sf_dir))
 
 
 def raw_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
