@@ -44,7 +44,7 @@ def fill(sizes: list[int], weights: list[float], ceiling: float) -> list[float]:
             for j in order[at:]:
                 target[j] = left * weights[j] / mass
             break
-        target[i] = ceiling * sizes[i]
+        target[i] = float(ceiling * sizes[i])
         left, mass = left - target[i], mass - weights[i]
     return target
 
