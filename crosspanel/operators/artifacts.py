@@ -48,8 +48,8 @@ def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:
 
 
 def has_word(text: Column, word: str) -> Column:
-    """Whether a whole word occurs."""
-    return F.lower(text).rlike(rf"\b{word}\b")
+    """Whether a whole word occurs; letters and digits of any script belong to words."""
+    return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){word}([^\p{{L}}\p{{N}}_]|$)")
 
 
 def content_hash(text: Column) -> Column:

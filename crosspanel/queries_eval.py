@@ -160,7 +160,7 @@ register(
     "deflated_sharpe_z",
     lambda spark, sf_dir: _screening(spark, sf_dir).select("alpha_id", "model", "n_trials", "dsr_z_score"),
     f"""WITH {_PORTFOLIO}, m AS (SELECT *, CASE WHEN alpha_id LIKE 'c%' THEN 'control' ELSE 'treatment' END AS model FROM perf),
-    n AS (SELECT *, CASE model WHEN 'control' THEN {_N["control"]} ELSE {_N["treatment"]} END AS n_trials, CASE model WHEN 'control' THEN {_BEST["control"]!r} ELSE {_BEST["treatment"]!r} END AS z FROM m)
+    n AS (SELECT *, CASE model WHEN 'control' THEN {_N["control"]} ELSE {_N["treatment"]} END::BIGINT AS n_trials, CASE model WHEN 'control' THEN {_BEST["control"]!r} ELSE {_BEST["treatment"]!r} END AS z FROM m)
     SELECT alpha_id, model, n_trials, round((daily_sharpe - z / sqrt(n_days)) * sqrt(n_days - 1) / sqrt(1 - skew * daily_sharpe + (kurtosis - 1) / 4 * daily_sharpe ** 2), 4) AS dsr_z_score FROM n""",
 )
 

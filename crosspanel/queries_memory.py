@@ -166,7 +166,7 @@ _test2("decluster", lambda s, d: V.decluster(mapped(s, d), GAP).select("date", "
 _test2("salience", lambda s, d: rounded(V.salience(V.decluster(mapped(s, d), GAP)).select("date", "consensus", "salience")), "SELECT date, round(consensus, 6) AS consensus, salience FROM armed", ("date",))
 _test2("event_windows", lambda s, d: events(s, d).select("event_id", "window_start", "window_end", "usable"), "SELECT event_id, window_start, window_end, usable FROM events")
 _test2("window_covariates", lambda s, d: rounded(events(s, d).filter("usable").select("event_id", "realized_vol", "drawdown", "dispersion")), f"""
-, r AS (SELECT e.event_id, c.tpos, mkt_ret, cs_std, product(1 + mkt_ret) OVER w AS c FROM events e JOIN days c ON c.tpos BETWEEN window_start AND window_end JOIN market USING (date) WHERE usable AND mkt_ret IS NOT NULL WINDOW w AS (PARTITION BY e.event_id ORDER BY c.tpos)),
+, r AS (SELECT e.event_id, c.tpos, mkt_ret, cs_std, product(1 + mkt_ret) OVER w AS c FROM events e JOIN days c ON c.tpos BETWEEN window_start AND window_end JOIN market mk ON mk.date = c.date WHERE usable AND mkt_ret IS NOT NULL WINDOW w AS (PARTITION BY e.event_id ORDER BY c.tpos)),
 m AS (SELECT *, max(c) OVER (PARTITION BY event_id ORDER BY tpos) AS top FROM r)
 SELECT event_id, CASE WHEN n >= {LEAST} THEN v END AS realized_vol, CASE WHEN n >= {LEAST} THEN dd END AS drawdown, CASE WHEN n >= {LEAST} THEN s END AS dispersion FROM events LEFT JOIN (
 SELECT event_id, count(*) AS n, round(stddev_samp(mkt_ret) * sqrt(252), 6) AS v, round(max(1 - c / top), 6) AS dd, round(avg(cs_std), 6) AS s FROM m GROUP BY event_id) USING (event_id) WHERE usable""")
