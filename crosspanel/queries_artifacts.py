@@ -9,7 +9,11 @@ from .plans.catalogue import BASES, LEAK_WEIGHTS
 from .queries import register
 
 SECTIONS, TOKENS = ("the", "Section 2", "and", "le "), ("idiot", "clown", "est", "the")
-_FENCED = F.concat(F.lit("intro\n```python\n"), F.col("text"), F.lit("\n```\nmore\n```\nlast\n"), F.col("lang"), F.lit("\n```\n"))
+
+
+def _fenced():
+    """A document made up as a response with two fenced blocks."""
+    return F.concat(F.lit("intro\n```python\n"), F.col("text"), F.lit("\n```\nmore\n```\nlast\n"), F.col("lang"), F.lit("\n```\n"))
 
 
 def _documents(spark, sf_dir):
@@ -22,8 +26,8 @@ def _list(names):
 
 register("missing_sections", lambda s, d: _documents(s, d).select("doc_id", F.array_join(A.missing_sections(F.col("text"), SECTIONS), "|").alias("missing")), f"SELECT doc_id, array_to_string(list_filter({_list(SECTIONS)}, lambda x: NOT contains(text, x)), '|') AS missing FROM documents")
 register("token_flags", lambda s, d: _documents(s, d).select("doc_id", F.array_join(A.token_hits(F.col("text"), TOKENS), "|").alias("hits"), A.has_word(F.col("text"), "est").alias("whole")), f"SELECT doc_id, array_to_string(list_filter({_list(TOKENS)}, lambda x: contains(lower(text), x)), '|') AS hits, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])est([^\\p{{L}}\\p{{N}}_]|$)') AS whole FROM documents")
-register("code_block_first", lambda s, d: _documents(s, d).select("doc_id", A.content_hash(A.first_code_block(_FENCED)).alias("block")), "SELECT doc_id, sha256(text || chr(10)) AS block FROM documents")
-register("code_block_last", lambda s, d: _documents(s, d).select("doc_id", A.last_code_block(_FENCED).alias("block")), "SELECT doc_id, 'last' || chr(10) || lang || chr(10) AS block FROM documents")
+register("code_block_first", lambda s, d: _documents(s, d).select("doc_id", A.content_hash(A.first_code_block(_fenced())).alias("block")), "SELECT doc_id, sha256(text || chr(10)) AS block FROM documents")
+register("code_block_last", lambda s, d: _documents(s, d).select("doc_id", A.last_code_block(_fenced()).alias("block")), "SELECT doc_id, 'last' || chr(10) || lang || chr(10) AS block FROM documents")
 register("content_hash", lambda s, d: _documents(s, d).select("doc_id", A.content_hash(F.col("text")).alias("sha256"), A.slug(F.concat_ws(" ", "source", "lang")).alias("slug")), "SELECT doc_id, sha256(text) AS sha256, lower(source || '_' || lang) AS slug FROM documents")
 register("run_manifest", lambda s, d: A.manifest(_documents(s, d), "text"), "SELECT count(*) AS n, count(text) AS n_responses, count(text) - count(DISTINCT text) AS n_duplicates FROM documents")
 register("theme_balance", lambda s, d: A.balance(_documents(s, d), "source", 30), "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) <> 30")

@@ -171,3 +171,12 @@ def test_entry_without_llm():
 def test_call_errors():
     with pytest.raises(ValueError):
         call("rank", parse("close"), parse("open"))
+
+
+def test_import_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
