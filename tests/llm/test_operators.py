@@ -235,3 +235,26 @@ def test_pipeline_stages(spark, docs):
     assert C.exact(spark, rows, "").count() <= rows.count()
     kept = C.exact(spark, spark.createDataFrame(fixture(), SCHEMA), "").collect()
     assert len(kept) == len({squeeze((f[1] or "").encode()) for f in fixture()})
+
+
+def test_pipeline_near_copies(spark):
+    """The near stage against all pairs of five-word shingle sets; op2's three bits leave most of these copies."""
+    import corpus_pipeline as C
+
+    texts = [(None, ""), (1, ""), (2, " \n"), (3, "one two"), (4, "One  two")]
+    for n, edits in ((60, 4), (120, 1), (200, 2), (200, 9), (400, 3), (90, 4)):
+        base = prose(n).split()
+        for _ in range(4):
+            own = list(base)
+            for at in rng.choice(n, edits, replace=False):
+                own[at] = "changed%d" % rng.integers(1000)
+            texts.append((len(texts), " ".join(own)))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for _, t in texts]
+    part = list(range(len(texts)))
+    pairs = [(a, b) for a in part for b in part if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    for _ in texts:
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    want = sorted(min(texts[b][0] for b in range(len(texts)) if part[b] == p and texts[b][0] is not None) for p in set(part))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA).repartition(3)
+    assert len(pairs) > 12 and sorted(r["doc_id"] for r in C.near(spark, docs, "").collect()) == want
