@@ -103,7 +103,7 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     cal = days(spark, sf_dir)
     daily = M.day_differentials(ic_panel(spark, sf_dir).filter("alpha_id like 'a%'"), bench_days(spark, sf_dir).filter("bench is not null"), events(spark, sf_dir), cal, lwo(spark, sf_dir))
-    return M.permutation_gaps(gaps(spark, sf_dir), daily, draws=1_000)
+    return M.permutation_gaps(gaps(spark, sf_dir), daily)
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ SELECT alpha_id, event_id, round(p2, 6) AS p2, round(least(1, (SELECT min(o.p2 *
 _test2("mahalanobis_matches", lambda s, d: rounded(pairs(s, d)))
 _test2("salience_gaps", lambda s, d: rounded(gaps(s, d).select("alpha_id", "event_id", "gap", "n_low", F.array_join("low_ids", "|").alias("low_ids"))))
 _test2("permutation_gaps", lambda s, d: rounded(permuted(s, d)))
-_test2("salience_gradient", lambda s, d: rounded(M.salience_gradient(event_d(s, d), events(s, d), 200)))
+_test2("salience_gradient", lambda s, d: rounded(M.salience_gradient(event_d(s, d), events(s, d))))
 _test2("event_verdicts", lambda s, d: rounded(verdicts(s, d)))
 _test2("signal_synthesis", lambda s, d: M.synthesis(verdicts(s, d)))
 _test2("histogram", lambda s, d: M.histogram(ic_panel(s, d), "ic"), ", e AS (SELECT min(ic) AS a, max(ic) AS b FROM ics) SELECT least(19, floor((ic - a) / (b - a) * 20))::INT AS bin, count(*) AS n FROM ics, e GROUP BY 1")

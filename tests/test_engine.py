@@ -180,3 +180,27 @@ def test_import_needs_no_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_queries_draw_as_often_as_the_operators(spark, monkeypatch):
+    """The registered queries have p-values in steps of the operators' own numbers of draws."""
+    from crosspanel import queries_memory as Q
+    from crosspanel.queries import QUERIES
+
+    low = [f"e{k}" for k in range(1, 4)]
+    gaps = spark.createDataFrame([(a, "e0", low) for a in "abc"], "alpha_id string, event_id string, low_ids array<string>")
+    rng = np.random.default_rng(3)
+    days = spark.createDataFrame([(a, e, t, float(rng.normal())) for a in "abc" for e in ("e0", *low) for t in range(5)], "alpha_id string, event_id string, tpos int, d double")
+    for name, value in (("days", None), ("ic_panel", days), ("bench_days", days.withColumn("bench", F.lit(1))), ("events", None), ("lwo", None), ("gaps", gaps)):
+        monkeypatch.setattr(Q, name, lambda *_, v=value: v)
+    monkeypatch.setattr(M, "day_differentials", lambda *_: days)
+    p3 = [r["p3"] * 10_000 for r in Q.permuted(spark, "").collect()]
+    assert all(abs(x - round(x)) < 1e-6 for x in p3) and any(round(x) % 10 for x in p3)
+
+    ids = [f"e{k}" for k in range(12)]
+    d = spark.createDataFrame([(a, e, "high", float(rng.normal())) for a in "abc" for e in ids], "alpha_id string, event_id string, salience string, d double")
+    found = spark.createDataFrame([(e, True, *map(float, rng.normal(size=4))) for e in ids], "event_id string, usable boolean, consensus double, realized_vol double, drawdown double, dispersion double")
+    monkeypatch.setattr(Q, "event_d", lambda *_: d)
+    monkeypatch.setattr(Q, "events", lambda *_: found)
+    p = [r["p"] * 1_000 for r in QUERIES["salience_gradient"](spark, "").collect()]
+    assert all(abs(x - round(x)) < 1e-6 for x in p) and any(round(x) % 5 for x in p)
