@@ -2,7 +2,8 @@
 
 N-grams of tokens are packed in one long integer (16 bits a token). The counts, continuation counts, discounts, back-off
 masses and interpolated probabilities come from grouped counts and equality joins sharded by context or by suffix. Documents
-are scored where they lie, against the model as sorted arrays. A document is kept if its log perplexity is at most a quantile
+are scored where they lie, against the model as sorted arrays, or, if the model is too large to be broadcast, by shuffling
+their n-grams to its shards. A document is kept if its log perplexity is at most a quantile
 of held-out trusted documents of its language, plus some slack.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, small_batches, stash, tidy
+from .common import buffers, partitions, small_batches, stash, tidy
 from .packing import encoding
 
 BITS = 16
@@ -27,6 +29,8 @@ BEGIN = (1 << BITS) - 1
 BIN = 0.001
 #: Up to so many held-out ids (8 bytes each) are broadcast to the texts; beyond that both are shuffled.
 BROADCAST_IDS = 1_000_000
+#: A model of up to so many n-grams and contexts (16 bytes each) is broadcast; a larger one stays in shards of about a quarter as many.
+BROADCAST_GRAMS = 4_000_000
 #: One trusted id in so many is held out for the thresholds.
 HOLD_OUT = 5
 
@@ -46,13 +50,18 @@ class Model:
         """Log probability of each token; a document begins at each of ``begins``."""
         n = len(tokens)
         gram = tokens.copy()
-        prob = self._find(0, gram, None)
         place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
         for k in range(1, self.order):
             before = np.full(n, BEGIN, np.int64)
             before[k:] = np.where(place[k:] >= k, tokens[:-k] if k < n else tokens[:0], BEGIN)
             gram = gram | (before << (BITS * k))
-            prob = self._find(k, gram, prob)
+        return self.of(gram)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Log probability of the last token of each n-gram of the full order."""
+        prob = None
+        for k in range(self.order):
+            prob = self._find(k, grams & ((1 << (BITS * (k + 1))) - 1), prob)
         return np.log(prob)
 
     def _find(self, k: int, gram: np.ndarray, lower: np.ndarray | None) -> np.ndarray:
@@ -68,6 +77,16 @@ class Model:
         return out
 
 
+@dataclass
+class Shards:
+    """A model too large for a broadcast: ``rows`` are (shard, level, key, value), level k for n-grams of order k + 1, -k for contexts of k tokens."""
+
+    base: Model  # order 1
+    order: int
+    count: int
+    rows: DataFrame
+
+
 def _counts(path: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path).encode_ordinary
@@ -99,7 +118,7 @@ def _discount(n: Column, d: list[float]) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def fit(texts: DataFrame, tokenizer: str, order: int = 2, vocabulary: int = 50_257) -> Model | None:
+def fit(texts: DataFrame, tokenizer: str, order: int = 2, vocabulary: int = 50_257) -> Model | Shards | None:
     """Train on all rows of ``texts`` (column text). None if they have no tokens."""
     if not 1 <= order <= 3:
         raise ValueError("three tokens fit a key")
@@ -125,6 +144,20 @@ def fit(texts: DataFrame, tokenizer: str, order: int = 2, vocabulary: int = 50_2
         lower = stash(lower, f"level-{k + 1}")
         levels.append(lower)
         backoffs.append(contexts)
+    size = sum(df.count() for df in [*levels, *backoffs[1:]])
+    if size <= BROADCAST_GRAMS:
+        return _model(levels, backoffs, floor)
+    count = 1 + 4 * size // BROADCAST_GRAMS
+    rows = []
+    for k in range(1, order):  # all that a position looks up beyond its token lies in the shard of the token before it
+        for df, level, shift in ((levels[k], k, BITS), (backoffs[k], -k, 0)):
+            token = F.shiftright(F.col(df.columns[0]), shift).bitwiseAND(F.lit(BEGIN))
+            rows.append(df.select((token % count).cast("int").alias("shard"), F.lit(level).alias("level"), F.col(df.columns[0]).alias("key"), F.col(df.columns[-1]).alias("value")))
+    return Shards(_model(levels[:1], backoffs[:1], floor), order, count, reduce(DataFrame.unionByName, rows)) if rows else _model(levels, backoffs, floor)
+
+
+def _model(levels: list[DataFrame], backoffs: list[DataFrame | None], floor: float) -> Model:
+    """The tables as sorted arrays on the driver."""
     keys, probs, tails, masses = [], [], [], []
     for level, contexts in zip(levels, backoffs):
         for df, to, values in ((level, keys, probs), (contexts, tails, masses)):
@@ -137,7 +170,7 @@ def fit(texts: DataFrame, tokenizer: str, order: int = 2, vocabulary: int = 50_2
             by = np.argsort(k)
             to.append(k[by])
             values.append(v[by])
-    return Model(order, keys, probs, tails, masses, floor)
+    return Model(len(levels), keys, probs, tails, masses, floor)
 
 
 def _score(path: str, model, text_at: int):
@@ -167,8 +200,86 @@ def _score(path: str, model, text_at: int):
     return run
 
 
-def score(docs: DataFrame, model: Model, tokenizer: str, text_col: str = "text") -> DataFrame:
+def _deal(path: str, order: int, count: int):
+    """(shard, text, grams) for each shard that a text needs: its n-grams of the full order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(path).encode_ordinary
+        for batch in batches:
+            raw, begin, end = buffers(batch.column(1))
+            view, names = memoryview(raw), batch.column(0).to_pylist()
+            out: list[tuple[int, bytes, bytes]] = []
+            for name, a, b in zip(names, begin.tolist(), end.tolist()):
+                tokens = np.array([BEGIN] * (order - 1) + encode(str(view[a:b], "utf-8")), np.int64)
+                gram = np.zeros(max(0, len(tokens) - order + 1), np.int64)
+                for k in range(order):
+                    gram |= tokens[k : k + len(gram)] << (BITS * (order - 1 - k))
+                shard = (gram >> BITS & BEGIN) % count
+                by = np.argsort(shard, kind="stable")
+                gram, shard = gram[by], shard[by]
+                first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+                out += [(int(shard[i]), name, g.tobytes()) for i, g in zip(first, np.split(gram, first[1:]))]
+            shards, texts, grams = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shards, pa.int32()), "text": pa.array(texts, pa.binary()), "grams": pa.array(grams, pa.binary())})
+
+    return run
+
+
+def _score_shards(base, order: int):
+    """(text, n, total) from rows sorted by shard, those of the model (text is null) before those of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, lm = None, [], None
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])).tolist() if len(shards) else []
+            for a, b in zip(first, [*first[1:], len(shards)]):
+                if shards[a] != at:
+                    at, held, lm = shards[a], [], None
+                part = batch.slice(a, b - a)
+                own = int(part.column(1).null_count)  # nulls come first
+                if own:
+                    held.append([part.column(c).slice(0, own).to_numpy(zero_copy_only=False) for c in (3, 4, 5)])
+                if own == len(part):
+                    continue
+                if lm is None:
+                    level, key, value = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+                    low = base.value
+                    lm = Model(order, [*low.keys], [*low.probs], [*low.tails], [*low.masses], low.floor)
+                    for k in range(1, order):
+                        for mark, keys, values in ((k, lm.keys, lm.probs), (-k, lm.tails, lm.masses)):
+                            mine = np.flatnonzero(level == mark)
+                            mine = mine[np.argsort(key[mine])]
+                            keys.append(np.append(-1, key[mine]).astype(np.int64))  # no n-gram is -1
+                            values.append(np.append(1.0, value[mine]))
+                    held = []
+                texts, grams = part.column(1).slice(own), [np.frombuffer(x, np.int64) for x in part.column(2).slice(own).to_pylist()]
+                n = np.fromiter(map(len, grams), np.int64, len(grams))
+                total = np.add.reduceat(lm.of(np.concatenate(grams)), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_pydict({"text": texts, "n": pa.array(n), "total": pa.array(total)})
+
+    return run
+
+
+def _score_by_shards(docs: DataFrame, model: Shards, tokenizer: str, text_col: str) -> DataFrame:
+    """As ``score``: n-grams go to their shard, sums come back by the digest of the text; equal texts are scored once."""
+    spark = docs.sparkSession
+    digest = F.unhex(F.md5(F.col(text_col)))
+    texts = docs.select(digest.alias("text"), F.col(text_col).alias("whole")).filter("text is not null").dropDuplicates(["text"])
+    dealt = texts.mapInArrow(tidy(_deal(tokenizer, model.order, model.count)), "shard int, text binary, grams binary")
+    none = {"level": F.lit(None).cast("int"), "key": F.lit(None).cast("long"), "value": F.lit(None).cast("double")}
+    rows = model.rows.select("shard", F.lit(None).cast("binary").alias("text"), F.lit(None).cast("binary").alias("grams"), "level", "key", "value")
+    rows = rows.unionByName(dealt.withColumns(none)).repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("text").isNotNull())
+    sums = rows.mapInArrow(tidy(_score_shards(spark.sparkContext.broadcast(model.base), model.order)), "text binary, n long, total double")
+    sums = stash(sums.groupBy("text").agg(F.sum("n").alias("_tokens"), F.round(-F.sum("total") / F.sum("n"), 6).alias("_log_perplexity")), "sums")
+    out = docs.withColumn("_digest", digest).join(sums.withColumnRenamed("text", "_text"), F.col("_digest") == F.col("_text"), "left")
+    return out.select(*docs.columns, F.coalesce("_tokens", F.lit(0).cast("long")).alias("_tokens"), "_log_perplexity")
+
+
+def score(docs: DataFrame, model: Model | Shards, tokenizer: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``_tokens`` and ``_log_perplexity`` (null without tokens)."""
+    if isinstance(model, Shards):
+        return _score_by_shards(docs, model, tokenizer, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("_tokens", T.LongType()), T.StructField("_log_perplexity", T.DoubleType())])
     return docs.mapInArrow(tidy(_score(tokenizer, sent, docs.columns.index(text_col))), schema)
@@ -179,11 +290,10 @@ def _trusted(labels: DataFrame) -> DataFrame:
     return good.withColumn("held", F.pmod(F.xxhash64("_trusted"), F.lit(HOLD_OUT)) == 0)
 
 
-def classify(docs: DataFrame, labels: DataFrame, tokenizer: str, order: int = 2, fit_docs: int = 20_000, quantile: float = 0.99, slack: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = True) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, tokenizer: str, order: int = 2, quantile: float = 0.99, slack: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = True) -> DataFrame:
     """The rows of ``docs`` (without their text unless ``carry``) with ``_tokens, _log_perplexity, _limit, _kept``.
 
-    The model is fitted to at most ``fit_docs`` labelled good, harmless documents (in hash order); that bounds it, so it can
-    be broadcast. Every document is scored; the limit of a language is ``quantile`` of the log perplexities of all its
+    The model is fitted to all labelled good, harmless documents that are not held out. Every document is scored; the limit of a language is ``quantile`` of the log perplexities of all its
     held-out trusted documents, plus ``slack``; languages without any take that of all languages together. Without a
     model or limits everything with tokens is kept. Texts without tokens, null ones too, are not kept. Null languages are a
     language; null ids are scored, but never trusted; repeated rows are scored each.
@@ -191,9 +301,10 @@ def classify(docs: DataFrame, labels: DataFrame, tokenizer: str, order: int = 2,
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     trusted = stash(_trusted(labels), "trusted")
-    ids = trusted.filter(~F.col("held")).orderBy(F.xxhash64("_trusted", F.lit(1)), "_trusted").limit(fit_docs).select("_trusted")
+    ids = trusted.filter(~F.col("held")).select("_trusted")
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(ids), texts["id"] == ids["_trusted"], "left_semi")
+    texts = texts.join(F.broadcast(ids) if small else ids, texts["id"] == ids["_trusted"], "left_semi")
     model = fit(texts, tokenizer, order)
     if model is None:
         model = Model(1, [np.zeros(1, np.int64)], [np.full(1, 1 / 50_257)], [], [], 1 / 50_257)

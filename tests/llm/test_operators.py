@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from crosspanel.llm import quality_lm
 from crosspanel.llm.common import squeeze
 from crosspanel.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode
 from crosspanel.llm.html_text import extract_text, main_text
@@ -258,3 +259,30 @@ def test_pipeline_near_copies(spark):
     want = sorted(min(texts[b][0] for b in range(len(texts)) if part[b] == p and texts[b][0] is not None) for p in set(part))
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA).repartition(3)
     assert len(pairs) > 12 and sorted(r["doc_id"] for r in C.near(spark, docs, "").collect()) == want
+
+
+def test_language_model_reads_all_trusted(spark):
+    """A phrase that only trusted documents beyond the 20,000th hold is known."""
+    rows = [(i, f"{WORDS[i % 300]} {WORDS[i // 300 % 300]}") for i in range(26_000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang")
+    seen = []
+    fit = quality_lm.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality_lm, "fit", lambda texts, *a: (seen.append(texts.count()), fit(texts, *a))[1])
+        quality_verdicts(docs, labels, TOKENIZER)
+    held = labels.filter("pmod(xxhash64(doc_id), 5) = 0").count()
+    assert seen == [26_000 - held] and seen[0] > 20_000
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_in_shards(spark, docs, monkeypatch, order):
+    rows = [(i, prose(60), "en", "s", 1) for i in range(100, 140)] + fixture()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 130)], "doc_id long, quality int, toxic int")
+    every = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    whole = collections.Counter(map(tuple, quality_verdicts(every, labels, TOKENIZER, order=order).collect()))
+    monkeypatch.setattr(quality_lm, "BROADCAST_GRAMS", 400)
+    split = collections.Counter(map(tuple, quality_verdicts(every, labels, TOKENIZER, order=order).collect()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for a, b in zip(sorted(whole.elements(), key=key), sorted(split.elements(), key=key), strict=True):
+        assert (a[:3], a[5]) == (b[:3], b[5]) and [x or 0 for x in a[3:5]] == pytest.approx([x or 0 for x in b[3:5]], rel=1e-4)
