@@ -7,12 +7,16 @@ one to the whole corpus, and a document's mean log ratio must reach a quantile o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD
+from .common import WHITE, WORD, stash
 
 WINDOW = 8
+#: Scores are counted in bins of this width to find the one of their quantile.
+BIN = 0.01
 
 
 def _words(text: Column) -> Column:
@@ -54,10 +58,30 @@ def _features(buckets: int) -> Column:
     return F.concat(one, pair)
 
 
-def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
-    """Up to ``limit`` ids of good, harmless documents, in the order of a hash of the id."""
+def trusted_ids(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ids of good, harmless documents: all, or up to ``limit`` in the order of a hash of the id."""
     good = labels.filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("trusted")).filter(F.col("trusted").isNotNull()).distinct()
-    return good.orderBy(F.xxhash64("trusted"), "trusted").limit(limit)
+    return good if limit is None else good.orderBy(F.xxhash64("trusted"), "trusted").limit(limit)
+
+
+def _quantile(scores: DataFrame, quantile: float) -> float | None:
+    """The exact quantile of column ``score``, interpolated like ``percentile``; only one or two bins send their values."""
+    place = F.floor(F.col("score") / BIN)
+    bins = sorted((r["bin"], r["n"]) for r in scores.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not bins:
+        return None
+    at = quantile * (sum(n for _, n in bins) - 1)
+    low, high = math.floor(at), math.ceil(at)
+    found, run = {}, 0
+    for b, n in bins:
+        ranks = [k for k in {low, high} if run <= k < run + n]
+        if ranks:
+            seen = run
+            for r in scores.filter(place == b).groupBy("score").agg(F.count(F.lit(1)).alias("n")).orderBy("score").collect():
+                found |= {k: r["score"] for k in ranks if seen <= k < seen + r["n"]}
+                seen += r["n"]
+        run += n
+    return found[low] if low == high else (high - at) * found[low] + (at - low) * found[high]
 
 
 def quality_rules(
@@ -66,7 +90,7 @@ def quality_rules(
     """One row per document: ``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score``.
 
     ``kept`` is false if the base rules fail or the score, the mean log ratio of the document's features, is below the
-    ``quantile`` of the trusted documents' scores. The target is fitted to at most ``trusted_limit`` labelled rows (so
+    ``quantile`` of the scores of all trusted documents. The target is fitted to at most ``trusted_limit`` labelled rows (so
     their ids can be broadcast); the corpus counts cover every document. A null text has no words and fails. Without any
     trusted document only the base rules decide. Repeated rows each get a row; other columns are not read.
     The table of ratios has ``buckets`` entries, whatever the corpus.
@@ -91,8 +115,10 @@ def quality_rules(
     ratios = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
     total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.element_at(ratios, b + 1))
     score = F.round(total / F.greatest(F.size("features"), F.lit(1)), 6)
-    own = featured.join(F.broadcast(ids), featured["id"] == ids["trusted"], "left_semi").withColumn("features", _features(buckets)).select(score.alias("score"))
-    least = own.agg(F.percentile("score", F.lit(quantile)).alias("q")).first()["q"]  # over at most trusted_limit rows (more if ids repeat)
+    counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = base_counts(slim, F.col("text")).drop("text").withColumn("features", _features(buckets)).withColumn("score", score)
+    out = stash(out.select("id", *counted, "score"), "rules")
+    every = trusted_ids(labels)
+    least = _quantile(stash(out.join(every, out["id"] == every["trusted"], "left_semi").select("score"), "scores"), quantile)
     fine = F.lit(True) if least is None else F.col("score") >= F.lit(least)
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), "score")
+    return out.select(F.col("id").alias(id_col), *counted, (~F.col("base_failed") & fine).alias("kept"), "score")

@@ -286,3 +286,12 @@ def test_language_model_in_shards(spark, docs, monkeypatch, order):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     for a, b in zip(sorted(whole.elements(), key=key), sorted(split.elements(), key=key), strict=True):
         assert (a[:3], a[5]) == (b[:3], b[5]) and [x or 0 for x in a[3:5]] == pytest.approx([x or 0 for x in b[3:5]], rel=1e-4)
+
+
+def test_rules_threshold_is_of_all_trusted(spark):
+    """``kept`` against the quantile of all trusted scores, though the ratio is fitted to ten of them."""
+    rows = [(i, prose(20 + i % 50)) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels, trusted_limit=10, quantile=0.3).collect()
+    least = np.quantile([r["score"] for r in got if r["doc_id"] < 120], 0.3)
+    assert len(got) == 150 and all(r["kept"] == (not r["base_failed"] and r["score"] >= least - 1e-12) for r in got)
