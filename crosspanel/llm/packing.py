@@ -10,6 +10,7 @@ give a plan in terms of lengths; items, ranked within their length, are assigned
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,17 +49,44 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
+# The white space of the pattern's ``\s``.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: White-space runs of so many characters are cut out before encoding.
+LONG_RUN = 100_000
+
+
+def encode(of: tiktoken.Encoding, text: str, special: bool = False) -> np.ndarray:
+    """The ids of a text; ``special`` recognises special tokens, as the tokenizers library does.
+
+    The pattern's look-ahead backtracks over a white-space run and gives up at about a million characters. So long runs are
+    encoded apart, with equal ids: all of a run but its last character is one pre-token, and matching starts afresh at that
+    last character; before the end of the text or a special token the whole run is one.
+    """
+    whole = (lambda x: of.encode_to_numpy(x, allowed_special="all")) if special else (lambda x: of.encode_to_numpy(x, disallowed_special=()))
+    if len(text) < LONG_RUN:
+        return whole(text)
+    parts, at = [], 0
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() < LONG_RUN:
+            continue
+        ends = m.end() == len(text) or special and any(text.startswith(t, m.end()) for t in of.special_tokens_set)
+        upto = m.end() - (not ends)
+        parts += [whole(text[at : m.start()]), np.array(of._encode_single_piece(text[m.start() : upto]), np.uint32)]
+        at = upto
+    return np.concatenate([*parts, whole(text[at:])]) if parts else whole(text)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     cuts = (capacity, capacity // 2, capacity // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_to_numpy
+        of = encoding(path)
         for batch in batches:
             raw, begin, end = buffers(batch.column(1))
             view = memoryview(raw)
             row, start, length, crc, total = [], [], [], [], []
             for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
-                ids = np.append(encode(str(view[a:b], "utf-8"), allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(of, str(view[a:b], "utf-8"), special=True), np.uint32(end_id)).astype("<u4")
                 n = len(ids)
                 at = 0
                 while at < n:

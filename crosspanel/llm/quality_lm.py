@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import buffers, partitions, small_batches, stash, tidy
-from .packing import encoding
+from .packing import encode, encoding
 
 BITS = 16
 #: The token before the first one; no text yields it.
@@ -89,13 +89,13 @@ class Shards:
 
 def _counts(path: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        of = encoding(path)
         for batch in batches:
             raw, begin, end = buffers(batch.column(0))
             view = memoryview(raw)
             found = []
             for a, b in zip(begin.tolist(), end.tolist()):
-                tokens = np.array([BEGIN] * (order - 1) + encode(str(view[a:b], "utf-8")), np.int64)
+                tokens = np.append(np.full(order - 1, BEGIN), encode(of, str(view[a:b], "utf-8")).astype(np.int64))
                 gram = np.zeros(max(0, len(tokens) - order + 1), np.int64)
                 for k in range(order):
                     gram |= tokens[k : k + len(gram)] << (BITS * (order - 1 - k))
@@ -175,7 +175,7 @@ def _model(levels: list[DataFrame], backoffs: list[DataFrame | None], floor: flo
 
 def _score(path: str, model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, lm = encoding(path).encode_ordinary, model.value
+        of, lm = encoding(path), model.value
         for batch in batches:
             raw, begin, end = buffers(batch.column(text_at))
             view = memoryview(raw)
@@ -184,7 +184,7 @@ def _score(path: str, model, text_at: int):
             while at < batch.num_rows:  # some hundred thousand tokens at a time
                 first, held, size = at, [], 0
                 while at < batch.num_rows and size < 300_000:
-                    held.append(np.array(encode(str(view[begin[at] : end[at]], "utf-8")), np.int64))
+                    held.append(encode(of, str(view[begin[at] : end[at]], "utf-8")).astype(np.int64))
                     size += len(held[-1])
                     at += 1
                 count = np.fromiter(map(len, held), np.int64, len(held))
@@ -204,13 +204,13 @@ def _deal(path: str, order: int, count: int):
     """(shard, text, grams) for each shard that a text needs: its n-grams of the full order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        of = encoding(path)
         for batch in batches:
             raw, begin, end = buffers(batch.column(1))
             view, names = memoryview(raw), batch.column(0).to_pylist()
             out: list[tuple[int, bytes, bytes]] = []
             for name, a, b in zip(names, begin.tolist(), end.tolist()):
-                tokens = np.array([BEGIN] * (order - 1) + encode(str(view[a:b], "utf-8")), np.int64)
+                tokens = np.append(np.full(order - 1, BEGIN), encode(of, str(view[a:b], "utf-8")).astype(np.int64))
                 gram = np.zeros(max(0, len(tokens) - order + 1), np.int64)
                 for k in range(order):
                     gram |= tokens[k : k + len(gram)] << (BITS * (order - 1 - k))

@@ -18,7 +18,7 @@ from crosspanel.llm.common import squeeze
 from crosspanel.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode
 from crosspanel.llm.html_text import extract_text, main_text
 from crosspanel.llm.mixing import fill, mix
-from crosspanel.llm.packing import column_generation, encoding, pack
+from crosspanel.llm.packing import column_generation, encode, encoding, pack
 from crosspanel.llm.quality_lm import quality_verdicts
 from crosspanel.llm.quality_rules import quality_rules
 from crosspanel.llm.sharding import shard_rows
@@ -177,7 +177,33 @@ def test_language_model(spark, docs):
 def test_tokens_equal_the_library():
     t, e = Tokenizer.from_file(TOKENIZER), encoding(TOKENIZER)
     for x in [prose(50), "it's  2 spaces\n\n\ttab <|endoftext|> ÄÖß 漢字 🙂", "", "a" * 3000, *(f[1] or "" for f in fixture())]:
-        assert t.encode(x, add_special_tokens=False).ids == list(e.encode(x, allowed_special="all"))
+        assert t.encode(x, add_special_tokens=False).ids == encode(e, x, special=True).tolist()
+
+
+@pytest.mark.parametrize("unit, n", [(" ", 2_000_000), ("\n", 1_100_000), ("\t ", 150_000), ("\u3000", 150_000), ("x", 200_000)])
+def test_tokens_of_very_long_runs(unit, n):
+    """Long runs of one kind, at the end and beside words, lines and special tokens."""
+    t, e = Tokenizer.from_file(TOKENIZER), encoding(TOKENIZER)
+    run = unit * (n // len(unit))
+    short = run[:110_000]
+    for x in (f"word{run}", f"{short}word {short}!\n{short}a <|endoftext|>{short}<|endoftext|>{short} b"):
+        assert t.encode(x, add_special_tokens=False).ids == encode(e, x, special=True).tolist()
+
+
+def test_very_long_white_space(spark):
+    """Packing and the language model take texts with over a million white-space characters in a row."""
+    texts = [" " * 1_200_000, "one two" + "\n" * 1_100_000 + "three " * 30, None]
+    rows = [(i, x, "en") for i, x in enumerate(texts)] + [(i, "three one two " * 9, "en") for i in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    t = Tokenizer.from_file(TOKENIZER)
+    total = {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x, _ in rows}
+    got = pack(docs, TOKENIZER).select("doc_id", "length").collect()
+    sums = collections.Counter()
+    for r in got:
+        sums[r["doc_id"]] += r["length"]
+    assert sums == total
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10, 30)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in quality_verdicts(docs, labels, TOKENIZER).collect()} == total
 
 
 def test_pack(docs):
