@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block. Menus, forms, notices and the like become empty lines; so do lines that are
-mostly links. The text lengths of a few neighbouring lines are summed; where the sums surge from below a level and until they
-dive to nothing, the lines are kept. Inside an explicit article every line with text counts.
+Markup is stripped to lines, one for each block element. What an element's role or class names as menu, form, notice or the
+like is left out. The text lengths of a few neighbouring lines are summed; where the sums surge above a level and until they
+dive to nothing, the lines are kept. Characters in links count only inside an article or main element, where lines also
+weigh more; the level follows from the page's own sums.
 """
 
 from __future__ import annotations
@@ -22,111 +23,200 @@ from .common import small_batches, tidy
 RAW = frozenset("script style template noscript textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-OUTSIDE = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video map datalist search fieldset".split())
-#: Words in class, id or role that mark what isn't the article.
+#: Elements that never hold the article, and those that do only if they hold an article element or most of the page.
+OUTSIDE = frozenset("head nav footer aside button select dialog menu svg canvas object audio video map datalist search".split())
+DOUBTFUL = frozenset("form fieldset header".split())
+ARTICLE = frozenset("article main".split())
+# Which open elements a start tag ends, by the rules of implied end tags; the search stops at the barriers.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CELLS = frozenset("td th caption".split())
+#: Names in class, id or role that mark what isn't the article: whole names, or compounds of these and of neutral words.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu footer masthead topbar breadcrumb breadcrumbs "
     "cookie cookies consent notice alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond discussion share sharing social related recommended "
     "recommendations pagination pager toolbar widget widgets complementary contentinfo search skip copyright legal disclaimer tracking".split()
 )
+NEUTRAL = frozenset("site page main post global left right top bottom primary secondary list item wrapper wrap container box block section area bar body inner outer slot unit form links link buttons button icons header content text".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-SPLIT = re.compile(r"[^a-z]+")
-#: Lines summed, and the level of a surge outside of an explicit article.
-SPAN, LEVEL = 3, 86
+PARTS = re.compile(r"[-_0-9]+")
+#: Lines summed; the highest level of a surge, in characters; the weight of lines inside an article; and the shares of the page's greatest sum that levels are.
+SPAN, LEVEL, WEIGHT = 3, 86, 8
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
+def marked(attributes: str) -> bool:
+    """Whether a class, id or role names what isn't the article: ``sidebar``, ``cookie-banner``, but not ``no-sidebar``."""
     for m in NAMED.finditer(attributes):
-        if not MARKS.isdisjoint(SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = {w for w in PARTS.split(name) if w}
+            if words & MARKS and words <= MARKS | NEUTRAL:
+                return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block in page order; an empty line stands for what is outside."""
-    out: list[tuple[str, int, bool]] = []
-    held: list[str] = []
-    linked = article = link = 0
-    skip, depth = "", 0  # the element that is being left out, and how deep it is nested in itself
-    at, end = 0, len(page)
-
-    def close() -> None:
-        nonlocal linked
-        text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
-        if text:
-            out.append((text, linked, article > 0))
-        held.clear()
-        linked = 0
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start() if m else end]
-        if piece and not skip:
-            held.append(piece)
-            if link:
-                linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not closing and name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = stop.start() if stop else end
-            if name in BLOCK and not skip:
-                close()
-            continue
-        if skip:
-            if name == skip:
-                depth += -1 if closing else not attributes.rstrip().endswith("/")
-                if not depth:
-                    skip = ""
-                    out.append(("", 0, article > 0))
-            continue
-        if not closing and name not in VOID and not attributes.rstrip().endswith("/"):
-            if name in OUTSIDE or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and attributes and _marked(attributes)):
-                if name in BLOCK:
-                    close()
-                skip, depth = name, 1
+class Page:
+    """A page as lines. Each is a list of pieces (text, in a link, element that may be left out) and whether it is in an article."""
+
+    def __init__(self, page: str) -> None:
+        self.lines: list[tuple[list[tuple[str, bool, int]], int]] = []
+        #: Elements that may be left out: (name, the one around it or -1).
+        self.doubts: list[tuple[str, int]] = []
+        self.held: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, int, int, bool]] = []  # name, innermost doubt, 2 in an article or 1 in main, in a link
+        self.open: dict[str, int] = {}  # how many elements of each name are open
+        self.saved: set[int] = set()  # doubts around an article
+        self._read(page)
+
+    def _close(self) -> None:
+        if self.held:
+            self.lines.append((self.held, self._top()[2]))
+            self.held = []
+
+    def _top(self) -> tuple[str, int, int, bool]:
+        return self.stack[-1] if self.stack else ("", -1, 0, False)
+
+    def _pop(self, at: int) -> None:
+        """End all elements from ``at`` on."""
+        if any(e[0] in BLOCK for e in self.stack[at:]):
+            self._close()
+        edge = any(e[0] in ARTICLE for e in self.stack[at:])
+        for e in self.stack[at:]:
+            self.open[e[0]] -= 1
+        del self.stack[at:]
+        if edge:
+            self._gap()
+
+    def _gap(self) -> None:
+        self.lines += [([], 0)] * SPAN
+
+    def _end(self, names: set[str] | frozenset[str], barriers: set[str] | frozenset[str]) -> None:
+        if not any(map(self.open.get, names)):
+            return None
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] in names:
+                return self._pop(at)
+            if self.stack[at][0] in barriers:
+                return None
+
+    def _start(self, name: str, attributes: str) -> None:
+        block = name in BLOCK
+        if block:
+            self._close()
+        if name in ENDS_P:
+            self._end({"p"}, CELLS | {"button", "object"})
+        if name in ENDS:
+            self._end(*ENDS[name])
+        if name == "a":
+            self._end({"a"}, BLOCK)
+        if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
+            if name == "br":
+                self.held.append((" ", False, self._top()[1]))
+            return
+        _, doubt, article, link = self._top()
+        fresh = name not in ("html", "body", "main") and (name in OUTSIDE or (name in DOUBTFUL and not (name == "header" and article)) or (attributes and marked(attributes)))
+        if fresh:
+            self.doubts.append((name if name in OUTSIDE or name in DOUBTFUL else "", doubt))
+            doubt = len(self.doubts) - 1
+        elif name in ARTICLE:
+            self._gap()
+            article, around = max(article, 2 if name == "article" else 1), doubt
+            while around >= 0 and around not in self.saved:
+                self.saved.add(around)
+                around = self.doubts[around][1]
+        if block or fresh or name == "a":
+            self.stack.append((name, doubt, article, link or name == "a"))
+            self.open[name] = self.open.get(name, 0) + 1
+
+    def _read(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            m = TOKEN.search(page, at)
+            piece = page[at : m.start() if m else end]
+            if piece:
+                _, doubt, _, link = self._top()
+                self.held.append((piece, link, doubt))
+            if not m:
+                break
+            at = m.end()
+            name = (m[2] or m[5] or "").lower()
+            if not name:
                 continue
-        if name in BLOCK:
-            close()
-            if name in ("article", "main"):
-                article = max(0, article + (-1 if closing else 1))
-        elif name == "br":
-            held.append(" ")
-        elif name == "a":
-            link = 0 if closing else 1
-    close()
+            if not (m[1] or m[4]):
+                if name in RAW:
+                    stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                    at = stop.start() if stop else end
+                else:
+                    self._start(name, m[3] or m[6] or "")
+            elif name in BLOCK:
+                self._end({name}, CELLS - {name} if name not in ("tr", "table", "tbody", "thead", "tfoot") else frozenset())
+                self._close()
+            else:
+                self._end({name}, BLOCK)
+        self._pop(0)
+        self._close()
+
+    def left_out(self) -> list[bool]:
+        """For each doubtful element whether it goes: not around an article; a form stays if it holds most of a page that has none."""
+        size = [0] * len(self.doubts)
+        whole, article = 0, 0
+        for pieces, inside in self.lines:
+            for text, _, doubt in pieces:
+                n = len(text.strip())
+                whole += n
+                article = max(article, inside if n else 0)
+                if doubt >= 0:
+                    size[doubt] += n
+        for i in range(len(size) - 1, -1, -1):  # an element comes after the one around it
+            if (around := self.doubts[i][1]) >= 0:
+                size[around] += size[i]
+        out: list[bool] = []
+        for i, (name, around) in enumerate(self.doubts):
+            keep = name not in OUTSIDE and i in self.saved or (name in ("form", "fieldset") and not article and 2 * size[i] > whole)
+            out.append(not keep or (around >= 0 and out[around]))
+        return out
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters in links, 2 inside an article or 1 inside main) of each line in page order; empty lines stand at the edges of articles and for what is left out."""
+    read = Page(page)
+    gone = read.left_out()
+    out: list[tuple[str, int, int]] = []
+    for pieces, inside in read.lines:
+        mine = [(text, link) for text, link, doubt in pieces if doubt < 0 or not gone[doubt]]
+        text = _SPACE.sub(" ", html.unescape("".join(t for t, _ in mine))).strip()
+        if text:
+            out.append((text, sum(len(t.strip()) for t, link in mine if link), inside))
+        elif not inside and (not pieces or len(mine) < len(pieces)):
+            out.append(("", 0, 0))
     return out
 
 
-def main_text(page: str | None, span: int = SPAN, level: int = LEVEL) -> str:
-    """The article of a page: its blocks, white space turned into single spaces, joined by newlines."""
+def main_text(page: str | None, span: int = SPAN, level: int = LEVEL, weight: int = WEIGHT) -> str:
+    """The article of a page: its lines, white space turned into single spaces, joined by newlines.
+
+    A sum surges above ``level``, or a quarter of the page's greatest sum if that is less. Outside of articles it must also
+    exceed half of what the greatest sum would be without ``weight``.
+    """
     lines = lines_of(page or "")
-    explicit = any(inside for _, _, inside in lines)
-    if explicit:
-        size = [len(text) if inside else 0 for text, _, inside in lines]
-        level = 0
-    else:
-        size = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
-        if sum(size) <= level:
-            level = 0
+    best = max((inside for text, _, inside in lines if text), default=0)  # main counts where there is no article
+    lines = [(text, linked, inside > 0 and inside == best) for text, linked, inside in lines]
+    size = [weight * len(text) if inside else max(0, len(text) - linked) for text, linked, inside in lines]
     n = len(size)
     sums = [sum(size[i : i + span]) for i in range(n)]
+    top = max(sums, default=0)
+    low = min(level, top / 4)
+    high = max(low, top / weight / 2)
     kept: list[str] = []
-    inside = False
-    for i in range(n):
-        if not inside and sums[i] > level and size[i]:
-            inside = True  # surge
-        elif inside and not sums[i]:
-            inside = False  # dive
-        if inside and size[i]:
-            kept.append(lines[i][0])
+    between = False
+    for i, (text, _, inside) in enumerate(lines):
+        if not between and size[i] and sums[i] > (low if inside else high):
+            between = True  # surge
+        elif between and not sums[i]:
+            between = False  # dive
+        if between and text:
+            kept.append(text)
     return "\n".join(kept)
 
 
@@ -137,7 +227,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id_col, url_col, text, n_chars`` of every page; a null or empty page, or one without an article, has an empty text.
+    """``id_col, url_col, text, n_chars`` of every page; a null or empty page, or one without text between surge and dive, has an empty text.
 
     Null ids and urls are kept, repeated rows are extracted each, and other columns are not read. Pages are independent:
     there is no shuffle. Malformed and truncated markup ends at the end of the page.

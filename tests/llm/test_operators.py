@@ -244,6 +244,56 @@ def test_html(spark):
     assert [r["n_chars"] for r in sorted(rows, key=lambda r: r["page_id"] or 0)] == [0, len(main_text(PAGE)), 0]
 
 
+ARTICLE = "<article><h1>Title of it all</h1><p>" + "Long text here. " * 20 + "</p><p>Short.</p></article>"
+WANT = "Title of it all\n" + ("Long text here. " * 20).strip() + "\nShort."
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content no-sidebar">{ARTICLE}</div>', ARTICLE.replace("<h1>", '<div class="entry has-comments"><h1>').replace("</article>", "</div></article>"), ARTICLE.replace("<h1>", '<p class="share">Tweet<h1>'),
+    f'<ul><li class="social">Tweet</ul>{ARTICLE}', f"<form><div>{ARTICLE}</div></form>", f'<div class="page has-sidebar">{ARTICLE}<div class="left-sidebar">no<p>no</div></div>', f'<section class="comments"><article class="comment-body">no</article></section>{ARTICLE}',
+    f"<p>Teaser of something else.</p>{ARTICLE}<p>Another one.", f"<header><h1>Site</h1></header>{ARTICLE.replace('<h1>', '<header><h1>').replace('</h1>', '</h1></header>')}",
+])
+def test_html_keeps_the_article_whole(page):
+    assert main_text(page) == WANT
+
+
+def test_html_without_an_article():
+    verse = [f"line {i} of verse" for i in range(9)]
+    assert main_text("".join(f"<p>{x}</p>" for x in verse)) == "\n".join(verse)
+    assert main_text("<ul>" + "<li><a href=x>menu item</a>" * 6 + "</ul><p>" + "Story. " * 40 + "<p>End.<ul>" + "<li><a href=x>more</a>" * 6 + "</ul>") == ("Story. " * 40).strip() + "\nEnd."
+    assert main_text("<form><p>only a form holds the text</p></form>") == "only a form holds the text"
+
+
+def test_html_generated_pages():
+    """Pages put together from known articles and known rest: the article comes back, whatever is around it."""
+    for _ in range(200):
+        body = [prose(int(rng.integers(1, 60))) for _ in range(rng.integers(2, 8))] + [prose(80)]
+        rng.shuffle(body)
+        body = [prose(12), *body]
+        rest = ["<nav><ul><li><a href=/>x</a></ul></nav>", f"<div class='ad'>{prose(40)}</div>", f"<aside><p>{prose(30)}</aside>", f'<section id="comments"><p>{prose(50)}<p>{prose(9)}</section>', "<script>if (a < b) c();</script>", f"<form><input>{prose(5)}</form>", f"<p>{prose(4)}</p>"]
+        before, after = (list(rng.choice(rest, rng.integers(0, 5))) for _ in range(2))
+        inner = "".join(f"<p>{p.replace(' ', chr(10), 1)}" + ("</p>" if rng.random() < 0.5 else "") + (rest[int(rng.integers(0, 6))] if rng.random() < 0.2 else "") for p in body[1:])
+        shell = rng.choice(["%s", "<div class=content><div>%s</div></div>", "<main>%s</main>", "<body class='has-sidebar'>%s"])
+        page = shell % ("".join(before) + f"<article><h1>{body[0]}</h1>{inner}</article>" + "".join(after) + f"<footer>{prose(20)}</footer>")
+        assert main_text(page) == "\n".join(body)
+
+
+def test_html_deep_nesting_is_linear():
+    for page in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<div class=ad><article>" * 30_000 + "x", "<ul><li>" * 50_000 + "x", "<p><span class=share>" * 50_000):
+        main_text(page)
+
+
+def test_html_rows(spark):
+    """Null ids, repeated rows, extra columns with the operator's own names."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", ARTICLE), (1, "u", ARTICLE), (None, None, None), (2, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("id", "text", "n_chars")})
+    got = collections.Counter(map(tuple, extract_text(pages).collect()))
+    assert got == {(1, "u", WANT, len(WANT)): 2, (None, None, "", 0): 1, (2, None, "", 0): 1}
+    assert extract_text(pages.filter("page_id = 5")).count() == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
