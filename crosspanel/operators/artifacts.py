@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .evaluate import SURVIVED
+
 # Headings that a response must have, and words that hint at data it must not use.
 SECTIONS = tuple(f"Section {i}" for i in range(1, 6))
 FORBIDDEN = ("market_cap", "sector", "industry", "fundamental", "earnings", "vwap")
@@ -63,10 +65,11 @@ def slug(text: Column) -> Column:
 def validate(artifacts: DataFrame, text: str = "raw_response") -> DataFrame:
     """Static flags of each response; all are NULL where the call failed and there is none."""
     t = F.col(text)
-    return artifacts.withColumns({
-        "code_block_found": F.when(t.isNotNull(), last_code_block(t).isNotNull()), "missing_sections": missing_sections(t), "forbidden_data_tokens": token_hits(t, FORBIDDEN),
+    flags = {
+        "code_block_found": last_code_block(t).isNotNull(), "missing_sections": missing_sections(t), "forbidden_data_tokens": token_hits(t, FORBIDDEN),
         "fidelity_watch_tokens": token_hits(t, WATCHED), "names_cap": has_word(t, "cap"), "response_sha256": content_hash(t),
-    })
+    }
+    return artifacts.withColumns({name: F.when(t.isNotNull(), flag) for name, flag in flags.items()})
 
 
 CODE_FLAGS = T.StructType([T.StructField("parses", T.BooleanType()), T.StructField("defines", T.BooleanType()), T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("negative_shift", T.BooleanType()), T.StructField("error", T.StringType())])
@@ -92,9 +95,22 @@ def code_flags(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(c) for c in code], columns=[f.name for f in CODE_FLAGS])
 
 
-def manifest(artifacts: DataFrame, text: str = "raw_response") -> DataFrame:
-    """``n, n_responses, n_duplicates``: responses that equal an earlier one count as duplicates."""
-    return artifacts.agg(F.count(F.lit(1)).alias("n"), F.count(text).alias("n_responses"), (F.count(text) - F.countDistinct(F.sha2(F.col(text), 256))).alias("n_duplicates"))
+def generation_status(retrieval: Column, text: Column, failed: Column) -> Column:
+    """Status of a call: what shows evidence of retrieval is quarantined, since its cutoff is then the day it was made.
+
+    ``retrieval`` and ``failed`` are booleans, NULL counts as false; an empty or missing text is an empty response.
+    """
+    found = F.coalesce(retrieval, F.lit(False))
+    return F.when(F.coalesce(failed, F.lit(False)), "api_error").when(found, "quarantined_retrieval_detected").when(F.coalesce(F.trim(text), F.lit("")) == "", "empty_response").otherwise("success")
+
+
+def manifest(artifacts: DataFrame, text: str = "raw_response", statuses: tuple[str, ...] = (), themes: tuple[str, ...] = (), status: str = "status", theme: str = "theme") -> DataFrame:
+    """``n, n_responses, n_duplicates`` and ``n_<status>``, ``theme_<slug>`` of the listed statuses and themes: one row.
+
+    Responses that equal an earlier one count as duplicates.
+    """
+    counts = [F.count_if(F.col(status) == v).alias(f"n_{v}") for v in statuses] + [F.count_if(slug(F.col(theme)) == v).alias(f"theme_{v}") for v in themes]
+    return artifacts.agg(*counts, F.count(F.lit(1)).alias("n"), F.count(text).alias("n_responses"), (F.count(text) - F.countDistinct(F.sha2(F.col(text), 256))).alias("n_duplicates"))
 
 
 def balance(artifacts: DataFrame, by: str, each: int) -> DataFrame:
@@ -116,8 +132,41 @@ def leak_plan(spark: SparkSession, weights: tuple[float, ...], bases: list[str],
 
 def survivors(artifacts: DataFrame, screening: DataFrame) -> DataFrame:
     """Artifacts of surviving signals. Fails if a survivor has no artifact: a corpus is never silently a subset."""
-    kept = screening.filter("status = 'SURVIVED'").select("alpha_id").distinct()
+    kept = screening.filter(F.col("status") == SURVIVED).select("alpha_id").distinct()
     lost = kept.join(artifacts, "alpha_id", "left_anti")
     if missing := [r["alpha_id"] for r in lost.orderBy("alpha_id").limit(5).collect()]:
         raise ValueError(f"survivors without an artifact, such as {missing}")
     return artifacts.join(kept, "alpha_id", "left_semi")
+
+
+# Why formulas of the published hundred and one are left out, by number.
+EXCLUSIONS = {
+    ("data_availability", "vwap"): (5, 11, 25, 27, 32, 36, 41, 47, 50, 57, 61, 62, 64, 65, 66, 71, 72, 73, 74, 75, 77, 78, 81, 83, 84, 86, 94, 96, 98),
+    ("data_availability+execution", "vwap"): (42,),
+    ("data_availability", "market cap"): (56,),
+    ("data_availability", "industry"): (58, 59, 63, 67, 69, 70, 76, 79, 80, 82, 87, 89, 90, 91, 93, 97, 100),
+    ("data_availability+execution", "industry"): (48,),
+    ("execution_convention", "delay 0"): (53, 54),
+}
+
+
+def control_manifest(spark: SparkSession, included: dict[int, int]) -> DataFrame:
+    """``number, alpha_id, included, exclusion_basis, reason, n_parameters`` of all 101 published formulas, in their order.
+
+    ``included`` has the number of parameters of each formula that is kept. Fails if the two lists don't cover 1 to 101 once.
+    """
+    rows = [(n, f"alpha_k{n:03d}", True, None, None, p) for n, p in included.items()]
+    rows += [(n, None, False, basis, reason, None) for (basis, reason), numbers in EXCLUSIONS.items() for n in numbers]
+    if sorted(r[0] for r in rows) != list(range(1, 102)):
+        raise ValueError("the manifest must have each of 101 formulas once")
+    return spark.createDataFrame(sorted(rows), "number int, alpha_id string, included boolean, exclusion_basis string, reason string, n_parameters int")
+
+
+def copy_survivors(artifacts: DataFrame, screening: DataFrame, path: str) -> None:
+    """Write the artifacts of surviving signals as JSON, one document a line."""
+    write_json(survivors(artifacts, screening), path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON, one document a line; missing fields are written as null."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LENGTHS = (2, 3, 4, 5, 6, 7, 8)
 REFERENCE_LENGTH = 5
@@ -139,7 +141,10 @@ def verdicts(t: DataFrame) -> DataFrame:
 
 
 def rank_sum(t: DataFrame, b: int = REFERENCE_LENGTH) -> DataFrame:
-    """``n_treatment, n_control, u, z``: Mann-Whitney of treatment against control t-values, normal with ties and continuity."""
+    """``n_treatment, n_control, u, z, p``: Mann-Whitney of treatment against control t-values, the alternative being greater.
+
+    p is exact if an arm has eight or fewer and there are no ties, else normal with ties and continuity; z is the latter's.
+    """
     pool = t.filter((F.col("b") == b) & F.col("t").isNotNull())
     low = F.rank().over(Window.orderBy("t"))  # one row for each signal
     tied = F.count(F.lit(1)).over(Window.partitionBy("t"))
@@ -150,11 +155,28 @@ def rank_sum(t: DataFrame, b: int = REFERENCE_LENGTH) -> DataFrame:
     total = F.col("m") + F.col("n")
     var = F.col("m") * F.col("n") / 12 * (total + 1 - F.col("ties") / (total * F.when(total > 1, total - 1)))
     z = (u - F.col("m") * F.col("n") / 2 - 0.5) / F.sqrt(F.when(var > 0, var))
-    return sums.select(F.col("m").alias("n_treatment"), F.col("n").alias("n_control"), u.alias("u"), z.alias("z"))
+    out = sums.select(F.col("m").alias("n_treatment"), F.col("n").alias("n_control"), u.alias("u"), z.alias("z"), "ties")
+    return out.withColumn("p", rank_sum_p("u", "n_treatment", "n_control", "ties", "z")).drop("ties")
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_sum_p(u: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    """One row goes in; Spark has neither the exact null distribution nor an error function."""
+
+    def one(u: float, m: int, n: int, ties: float, z: float) -> float | None:
+        if not m or not n or pd.isna(u):
+            return None
+        if min(m, n) <= 8 and not ties:
+            return exact_rank_sum_p(u, m, n)
+        return None if pd.isna(z) else 0.5 * math.erfc(z / math.sqrt(2))
+
+    return pd.Series([one(*x) for x in zip(u, m, n, ties, z)], dtype=float)
 
 
 def exact_rank_sum_p(u: float, m: int, n: int) -> float:
-    """P(U >= u) without ties, by counting rank sums: for arms of eight or fewer."""
+    """P(U >= u) without ties, by counting the ways to each rank sum of the smaller arm."""
+    if n < m:
+        return exact_rank_sum_p(u, n, m)  # both arms' statistics have one distribution
     counts = [[0] * (m * n + 1) for _ in range(m + 1)]
     counts[0][0] = 1
     for k in range(1, m + n + 1):
@@ -166,6 +188,21 @@ def exact_rank_sum_p(u: float, m: int, n: int) -> float:
     return sum(counts[m][math.ceil(u) :]) / math.comb(m + n, m)
 
 
+def month_cutoff(month: str) -> str:
+    """The first day after a month: a model that knows "2026-05" is tested from 2026-06-01 on."""
+    year, number = map(int, month.split("-"))
+    if not 1 <= number <= 12:
+        raise ValueError(f"not a month: {month!r}")
+    return f"{year + number // 12}-{number % 12 + 1:02d}-01"
+
+
+def cutoff_of(model: str, cutoffs: dict[str, str]) -> str:
+    """A model's cutoff from its last known month. There is no default: an unknown model is an error."""
+    if model not in cutoffs:
+        raise ValueError(f"no knowledge cutoff recorded for {model!r}")
+    return month_cutoff(cutoffs[model])
+
+
 def two_sample_ks(values: DataFrame) -> DataFrame:
     """``ks``: largest distance of the distribution functions of ``x`` where ``first`` and where not. One row per signal goes in."""
     upto = Window.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)

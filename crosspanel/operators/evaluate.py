@@ -17,6 +17,8 @@ from ..functions.nulls import finite
 from .series import average_rank
 
 CONVENTIONS = ("open_t1", "close_t1", "same_close")
+# What the screening table calls a signal.
+SURVIVED, REJECTED, FAILED = "SURVIVED_PHASE_1", "REJECTED_DSR", "FAILED_EXECUTION"
 EULER = 0.5772156649
 DAYS = 252
 
@@ -41,7 +43,10 @@ def rank_ic(signals: DataFrame, forward: DataFrame, min_names: int = 20) -> Data
 
     Ranks are taken after masking, ties averaged. Dates with fewer than ``min_names`` names or without spread are left out.
     """
-    both = signals.join(forward, ["date", "symbol"]).filter("signal is not null and fwd is not null")
+    return _correlate(signals.join(forward, ["date", "symbol"]).filter("signal is not null and fwd is not null"), min_names)
+
+
+def _correlate(both: DataFrame, min_names: int) -> DataFrame:
     key = ["alpha_id", "date"]
     ranked = both.select(*key, average_rank(F.col("signal"), key).alias("a"), average_rank(F.col("fwd"), key).alias("b"))
     spread = F.stddev_pop("a") * F.stddev_pop("b")
@@ -57,6 +62,15 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     )
 
 
+def rank_ic_wide(wide: DataFrame, names: list[str], min_names: int = 20) -> DataFrame:
+    """``rank_ic`` of signals in a column each, with their forward return in column ``fwd`` of the same rows: no join.
+
+    Only dates with enough names are ranked; the panel is unpivoted once, after the forward returns are there.
+    """
+    both = wide.filter("fwd is not null").unpivot(["date", "symbol", "fwd"], names, "alpha_id", "signal").filter("signal is not null")
+    return _correlate(both, min_names)
+
+
 def portfolio_returns(signals: DataFrame, panel: DataFrame) -> DataFrame:
     """``alpha_id, date, ret``: sum of yesterday's signal (a symbol's row before) times today's return; 0 on days without any.
 
@@ -67,6 +81,14 @@ def portfolio_returns(signals: DataFrame, panel: DataFrame) -> DataFrame:
     return held.groupBy("alpha_id", "date").agg(F.coalesce(F.sum(F.col("weight") * F.col("returns")), F.lit(0.0)).alias("ret"))
 
 
+def portfolio_returns_wide(wide: DataFrame, names: list[str]) -> DataFrame:
+    """``portfolio_returns`` of signals in a column each, on a symbol's own rows with their ``returns``: summed by date before anything is unpivoted."""
+    own = Window.partitionBy("symbol").orderBy("date")
+    held = wide.select("date", *((F.lag(n).over(own) * F.col("returns")).alias(n) for n in names))
+    daily = held.groupBy("date").agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
+    return daily.unpivot(["date"], names, "alpha_id", "ret").select("alpha_id", "date", "ret")
+
+
 def performance(daily: DataFrame) -> DataFrame:
     """``alpha_id, annualized_return, annualized_vol, sharpe_ratio, n_days, daily_sharpe, skew, kurtosis`` (kurtosis not in excess)."""
     vol, mean = F.stddev_samp("ret"), F.avg("ret")
@@ -98,9 +120,9 @@ def trials_per_model(artifacts: DataFrame) -> DataFrame:
 
 
 def dsr_z(sharpe: Column, best: Column, days: Column, skew: Column, kurtosis: Column) -> Column:
-    """z-score of a daily Sharpe ratio against ``best``, with skewed, heavy-tailed returns."""
+    """z-score of a daily Sharpe ratio against ``best``, with skewed, heavy-tailed returns; 0 where its error is 0."""
     under = 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe
-    return (sharpe - best) * F.sqrt(days - 1) / F.sqrt(F.when(under > 0, under))
+    return F.when(under == 0, 0.0).otherwise((sharpe - best) * F.sqrt(days - 1) / F.sqrt(F.when(under > 0, under)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -110,10 +132,20 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 
 
 def screen(performances: DataFrame, trials: DataFrame, level: float = 0.95) -> DataFrame:
-    """``performances`` (with model) and ``dsr_z_score, dsr, status``: SURVIVED above ``level``, else REJECTED."""
+    """``performances`` (with model) and ``dsr_z_score, dsr, status``: survived above ``level``, else rejected."""
     best = F.broadcast(expected_max_sharpe_column(trials))
     z = dsr_z(F.col("daily_sharpe"), F.col("z_best") / F.sqrt(F.col("n_days")), F.col("n_days"), F.col("skew"), F.col("kurtosis"))
     out = performances.join(best, "model").withColumn("dsr_z_score", z)
     p = normal_cdf("dsr_z_score")
     out = out.withColumn("dsr", F.when(p < 0.0001, 0.0001).when(p > 0.9999, 0.9999).otherwise(p)).drop("z_best")
-    return out.withColumn("status", F.when(F.col("dsr") > level, "SURVIVED").otherwise("REJECTED"))
+    return out.withColumn("status", F.when(F.col("dsr") > level, SURVIVED).otherwise(REJECTED))
+
+
+def with_failures(screened: DataFrame, failures: DataFrame) -> DataFrame:
+    """The screening table with a FAILED_EXECUTION row, and its message, for each of ``failures`` (alpha_id, model, theme, error).
+
+    A signal that can't be computed is a row like any other; its figures are missing and it has no day of rank correlation.
+    """
+    lost = failures.withColumn("status", F.lit(FAILED))
+    lost = lost.withColumn("ic_n_days", F.lit(0).cast("long")) if "ic_n_days" in screened.columns else lost
+    return screened.unionByName(lost, allowMissingColumns=True)

@@ -36,6 +36,11 @@ def descriptions(passages: DataFrame) -> DataFrame:
     return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("date", "description")
 
 
+def shorten(text: Column, most: int = 58) -> Column:
+    """Text of at most ``most`` characters; of longer ones the last three are dots, without white space before them."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))).otherwise(text)
+
+
 def as_of(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Rows of ``days`` with the position of the first calendar date on or after theirs; -1 beyond the end.
 

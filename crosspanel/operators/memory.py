@@ -6,11 +6,12 @@ windows, step 3 with matched low-salience episodes by permutation. Rank correlat
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import LEAST_DAYS, WINDOW, event_days
@@ -122,6 +123,21 @@ def matches(events: DataFrame, inverse: np.ndarray, caliper: float = CALIPER, na
     return pairs.filter(F.col("distance") <= caliper).select("event_id", "low_id", "distance")
 
 
+def nearest(events: DataFrame, inverse: np.ndarray, names: tuple[str, ...] = ("realized_vol", "drawdown", "dispersion")) -> DataFrame:
+    """``event_id, nearest``: distance of each high-salience event to the nearest low one, however far."""
+    return matches(events, inverse, math.inf, names).groupBy("event_id").agg(F.min("distance").alias("nearest"))
+
+
+def routes(event_d: DataFrame, gaps: DataFrame, near: DataFrame) -> DataFrame:
+    """``alpha_id, event_id, scenario, n_matched_low, matched_low_ids, nearest``: B with matched low events, else A, where steps 1 and 2 decide alone."""
+    met = event_d.filter("salience = 'high'").select("alpha_id", "event_id").join(gaps.select("alpha_id", "event_id", "n_low", "low_ids"), ["alpha_id", "event_id"], "left").join(F.broadcast(near), "event_id", "left")
+    some = F.col("n_low").isNotNull()
+    return met.select(
+        "alpha_id", "event_id", F.when(some, "B").otherwise("A").alias("scenario"), F.coalesce("n_low", F.lit(0)).cast("long").alias("n_matched_low"),
+        F.when(some, F.array_join("low_ids", "|")).otherwise("").alias("matched_low_ids"), "nearest",
+    )
+
+
 def composites(event_d: DataFrame, pairs: DataFrame) -> DataFrame:
     """``alpha_id, event_id, gap, n_low, low_ids``: an event's differential less the mean of its matched low events'."""
     low = event_d.filter("d is not null").select("alpha_id", F.col("event_id").alias("low_id"), F.col("d").alias("low_d"))
@@ -187,27 +203,71 @@ def salience_gradient(event_d: DataFrame, events: DataFrame, draws: int = 1_000)
     return met.groupBy("alpha_id").applyInPandas(fit, "alpha_id string, slope double, p double, r2_severity double")
 
 
+def step1_flags(means: DataFrame, overall: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``means`` (alpha_id, mean, ...) with ``pooled_flag, demeaned_flag, disagree, step1``: strictly above either threshold."""
+    met = means.join(F.broadcast(overall), "alpha_id").crossJoin(F.broadcast(thresholds))  # one row
+    pooled, demeaned = F.coalesce(F.col("mean") > F.col("pooled"), F.lit(False)), F.coalesce(F.col("mean") - F.col("own") > F.col("demeaned"), F.lit(False))
+    return met.select(*means.columns, pooled.alias("pooled_flag"), demeaned.alias("demeaned_flag"), (pooled != demeaned).alias("disagree"), (pooled | demeaned).alias("step1"))
+
+
+def gap_over_mdg(gap: Column, mdg: Column) -> Column:
+    """A gap in units of the least one that could be told from none; NULL without such a floor."""
+    return gap / F.when(mdg > 0, mdg)
+
+
 def event_verdicts(rows: DataFrame) -> DataFrame:
     """Adds ``verdict`` and ``binding``. Rows have d, step1, step2, step3 and has_placebo.
 
     INDETERMINATE without a differential or placebo; FAIL if steps 1 and 2 flag, or step 3 does; else PASS.
     """
-    both = F.col("step1") & F.col("step2")
+    both, salient = F.col("step1") & F.col("step2"), F.col("step3")
     known = F.col("d").isNotNull() & F.col("has_placebo")
-    verdict = F.when(~known, "INDETERMINATE").when(both | F.col("step3"), "FAIL").otherwise("PASS")
-    binding = F.when(known & both & F.col("step3"), "anomaly+differential+salience").when(known & both, "anomaly+differential").when(known & F.col("step3"), "salience")
+    verdict = F.when(~known, "INDETERMINATE").when(both | salient, "FAIL").otherwise("PASS")
+    binding = F.when(~known, "insufficient_data").when(both & salient, "anomaly_and_salience_gap").when(salient, "salience_gap").when(both, "step1_anomaly_and_control_differential").otherwise("none")
     return rows.withColumns({"verdict": verdict, "binding": binding})
 
 
 def synthesis(rows: DataFrame) -> DataFrame:
-    """A row for each signal: tested and failed events, flags by step, and the binding modes."""
-    count = lambda c: F.count_if(c)
-    modes = F.array_join(F.array_sort(F.collect_set("binding")), ", ")
+    """A row for each signal, counted over its events that have a verdict; INDETERMINATE if none has.
+
+    Rows have alpha_id, verdict, binding, step1, step2, step3, mdg and gap_over_mdg. The modes are those of failed events.
+    """
+    known, failed = F.col("verdict") != "INDETERMINATE", F.col("verdict") == "FAIL"
+    modes = F.array_join(F.array_sort(F.collect_set(F.when(failed, F.col("binding")))), ", ")
     out = rows.groupBy("alpha_id").agg(
-        count(F.col("verdict") != "INDETERMINATE").alias("events_tested"), count(F.col("verdict") == "FAIL").alias("events_failed"), count(F.col("step1")).alias("step1_flags"),
-        count(F.col("step2")).alias("step2_flags"), count(F.col("step3")).alias("step3_flags"), modes.alias("binding_modes"),
+        F.count_if(known).alias("events_tested"), F.count_if(failed).alias("events_failed"), F.count_if(known & F.col("step1")).alias("step1_anomaly_flags"),
+        F.count_if(known & F.col("step2")).alias("step2_differential_flags"), F.count_if(known & F.col("step3")).alias("step3_salience_gap_flags"),
+        F.percentile(F.when(known, F.col("mdg")), F.lit(0.5)).alias("step3_median_mdg"), F.max(F.when(known, F.col("gap_over_mdg"))).alias("step3_max_gap_over_mdg"), modes.alias("modes"),
+    )
+    verdict = F.when(F.col("events_tested") == 0, "INDETERMINATE").when(F.col("events_failed") > 0, "FAIL").otherwise("PASS")
+    return out.withColumns({"verdict": verdict, "binding_failure_mode": F.when(F.col("events_failed") > 0, F.col("modes")).otherwise("none")}).drop("modes")
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """``section, item, value``: the report's counts over all events that have a verdict, and the detection floor of scenario B."""
+    ev = rows.filter("verdict <> 'INDETERMINATE'")
+    power = ev.filter("scenario = 'B' and mdg is not null")
+    value = lambda c: c.cast("double").alias("value")
+    count = lambda c: F.count_if(c)
+    totals = ev.agg(
+        F.count(F.lit(1)).alias("tests"), count(F.col("scenario") == "A").alias("scenario_a"), count(F.col("scenario") == "B").alias("scenario_b"), count(F.col("disagree")).alias("step1_variants_disagree")
+    )
+    floor = power.agg(
+        F.count(F.lit(1)).alias("tests"), F.percentile("mdg", F.lit(0.5)).alias("median"), F.min("mdg").alias("least"), F.max("mdg").alias("greatest"),
+        F.max("gap_over_mdg").alias("greatest_ratio"), count(F.col("gap_over_mdg") >= 1).alias("reached"),
     )
-    return out.withColumn("verdict", F.when(F.col("events_failed") > 0, "FAIL").otherwise("PASS"))
+    long = lambda df, name: df.select(*(F.col(c).cast("double").alias(c) for c in df.columns)).unpivot([], df.columns, "item", "value").select(F.lit(name).alias("section"), "item", "value")
+    modes = ev.filter("verdict = 'FAIL'").groupBy("binding").agg(F.count(F.lit(1)).alias("n")).select(F.lit("binding").alias("section"), F.col("binding").alias("item"), value(F.col("n")))
+    return long(totals, "results").unionByName(modes).unionByName(long(floor, "detection_floor"))
+
+
+def power_by_event(rows: DataFrame, each: int = 3) -> DataFrame:
+    """``event_id, matches, mdg, place``: the ``each`` least and most powered events of scenario B, by the median floor over signals."""
+    power = rows.filter("verdict <> 'INDETERMINATE' and scenario = 'B' and mdg is not null")
+    out = power.groupBy("event_id").agg(F.first("n_matched_low").alias("matches"), F.percentile("mdg", F.lit(0.5)).alias("mdg"))
+    order = Window.orderBy(F.desc("mdg"), "event_id")  # some ten events
+    placed = out.withColumns({"place": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return placed.filter((F.col("place") <= each) | (F.col("place") > F.col("_n") - each)).drop("_n")
 
 
 def history(grid: DataFrame, width: int = WINDOW, least: int = LEAST_DAYS) -> DataFrame:

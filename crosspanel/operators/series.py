@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.nulls import INF, clip, finite, greatest_or_null, ieee_div, least_or_null, no_nan, safe_div
@@ -61,6 +61,8 @@ ROWWISE = {
     "isfinite": finite,
     "rowmax": lambda a, b, c: F.greatest(a, b, c),  # missing ones are skipped
     "safediv": safe_div,
+    "only": lambda c, x: F.when(c > 0.5, x),  # a missing condition is false
+    "pick": lambda c, a, b: F.when(c > 0.5, a).otherwise(b),
 }
 
 
@@ -73,9 +75,9 @@ def _full(agg, x: Column, d: int, least: int | None = None) -> Column:
     return F.when(F.count(v).over(w) >= (d if least is None else least), agg(v).over(w))
 
 
-def steady(x: Column) -> Column:
-    """Twelve decimals: what the order of summation leaves behind must not break ties of later ranks."""
-    return F.rint(x * 1e12) / 1e12
+def steady(x: Column, unit: Column | float = 1.0) -> Column:
+    """Twelve decimals, in units of ``unit``: what the order of summation leaves behind must not break ties of later ranks."""
+    return F.rint(x / unit * 1e12) / 1e12 * unit
 
 
 def _pair(x: Column, y: Column, d: int):
@@ -90,8 +92,11 @@ def correlation(x: Column, y: Column, d: int) -> Column:
 
 
 def covariance(x: Column, y: Column, d: int) -> Column:
+    """In units of the power of two next below the spread, so that small series are rounded no more than large ones."""
     a, b, w = _pair(x, y, d)
-    return F.when(F.count(a).over(w) >= d, steady(F.covar_samp(a, b).over(w)))
+    spread = F.stddev_samp(a).over(w) * F.stddev_samp(b).over(w)
+    unit = F.when(spread > 0, F.pow(F.lit(2.0), F.floor(F.log2(F.when(spread > 0, spread))))).otherwise(1.0)
+    return F.when(F.count(a).over(w) >= d, steady(F.covar_samp(a, b).over(w), unit))
 
 
 def ts_rank(x: Column, d: int) -> Column:
@@ -181,6 +186,7 @@ ALONG_TIME = {
     "ewm_rec": lambda x, span: ewm(x, span, recursive=True),
     "cumprod": lambda x: F.product(x).over(history()),
     "cummax": lambda x: F.max(x).over(history()),
+    "cumcount": lambda x: F.count(finite(x)).over(history()).cast("double"),
 }
 
 
@@ -188,14 +194,12 @@ ALONG_TIME = {
 
 
 def average_rank(x: Column, by: list[str] | None = None) -> Column:
-    """Rank from 1 within a date, ties averaged, NULL for NULL: the mean of the ranks from below and from above.
+    """Rank from 1 within a date, ties averaged, NULL for NULL: the least rank and half of the number of its equals beyond it.
 
-    All three windows share one partitioning, so a date's ranks cost one exchange.
+    Both windows share one partitioning and one order, so a date's ranks cost one exchange and one sort.
     """
-    keys = by or [DATE]
-    low = F.rank().over(Window.partitionBy(*keys).orderBy(x.asc_nulls_last()))
-    high = F.rank().over(Window.partitionBy(*keys).orderBy(x.desc_nulls_last()))
-    return F.when(x.isNotNull(), (low + F.count(x).over(Window.partitionBy(*keys)) + 1 - high) / 2)
+    order = Window.partitionBy(*(by or [DATE])).orderBy(x.asc_nulls_last())
+    return F.when(x.isNotNull(), F.rank().over(order) + (F.count(x).over(order.rangeBetween(0, 0)) - 1) / 2)
 
 
 def _n(x: Column) -> Column:
@@ -239,3 +243,14 @@ ACROSS = {
     "least_names": lambda x, least: F.when(_n(x) >= least, x),
     "unit": lambda x: scale(x, 1.0),
 }
+
+
+def market_sum(df: DataFrame, x: Column, d: int, name: str) -> DataFrame:
+    """Adds ``name``: the sum of a market series (one value a date) over the last d market dates, NULL if one is missing.
+
+    The series has a row for each date, some ten thousand, so it is rolled apart and sent back to the panel by date.
+    """
+    last = Window.orderBy(DATE).rowsBetween(1 - d, 0)
+    v = F.col("_v")
+    rolled = df.groupBy(DATE).agg(F.max(finite(x)).alias("_v")).select(F.col(DATE).alias("_date"), F.when(F.count(v).over(last) >= d, F.sum(v).over(last)).alias(name))
+    return df.join(F.broadcast(rolled), F.col(DATE) == F.col("_date"), "left").drop("_date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.series import ACROSS, ALONG_TIME, DATE, ROWWISE, SYMBOL
+from ..operators.series import ACROSS, ALONG_TIME, DATE, ROWWISE, SYMBOL, market_sum
 from .expr import ROW, TIME, Node, call, schedule
 
 
@@ -35,7 +35,10 @@ def evaluate(panel: DataFrame, formulas: dict[str, Node], keep: tuple[str, ...]
             names |= fresh
         table = ALONG_TIME if step.axis == TIME else ACROSS
         fresh = {n: f"_w{len(names) + i}" for i, n in enumerate(step.nodes)}
-        df = df.withColumns({name: table[n.op](*(_column(a, names) for a in n.args), *n.numbers) for n, name in fresh.items()})
+        for n, name in fresh.items():
+            if n.op == "market_sum":
+                df = market_sum(df, _column(n.args[0], names), n.numbers[0], name)
+        df = df.withColumns({name: table[n.op](*(_column(a, names) for a in n.args), *n.numbers) for n, name in fresh.items() if n.op != "market_sum"})
         names |= fresh
     return df.select(DATE, SYMBOL, *keep, *(_column(n, names).cast("double").alias(name) for name, n in formulas.items()))
 

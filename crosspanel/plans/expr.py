@@ -1,7 +1,8 @@
 """Formulas as a typed expression graph.
 
 A formula is text in the usual notation, ``-1 * correlation(rank(open), rank(volume), 10)``. It is parsed, never executed: only
-arithmetic, comparisons, field names, parameters and registered operators are accepted. Equal subexpressions are one node.
+arithmetic, comparisons, field names, parameters and registered operators are accepted. ``x = ...; y = ...; x / y`` names
+parts of a formula. Equal subexpressions are one node.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ SIGNATURES = {
     "add": (ROW, 2, 0), "sub": (ROW, 2, 0), "mul": (ROW, 2, 0), "div": (ROW, 2, 0), "neg": (ROW, 1, 0),
     "lt": (ROW, 2, 0), "gt": (ROW, 2, 0), "le": (ROW, 2, 0), "ge": (ROW, 2, 0), "where": (ROW, 3, 0), "emin": (ROW, 2, 0), "emax": (ROW, 2, 0),
     "power": (ROW, 2, 0), "signedpower": (ROW, 2, 0), "log": (ROW, 1, 0), "sign": (ROW, 1, 0), "abs": (ROW, 1, 0), "sqrt": (ROW, 1, 0), "log1p": (ROW, 1, 0),
-    "expm1": (ROW, 1, 0), "tanh": (ROW, 1, 0), "fill": (ROW, 1, 1), "clip": (ROW, 1, 2), "isfinite": (ROW, 1, 0), "rowmax": (ROW, 3, 0), "safediv": (ROW, 2, 0),
+    "expm1": (ROW, 1, 0), "tanh": (ROW, 1, 0), "fill": (ROW, 1, 1), "clip": (ROW, 1, 2), "isfinite": (ROW, 1, 0), "rowmax": (ROW, 3, 0), "safediv": (ROW, 2, 0), "only": (ROW, 2, 0), "pick": (ROW, 3, 0),
     "delay": (TIME, 1, 1), "delta": (TIME, 1, 1), "lead": (TIME, 1, 1), "ts_sum": (TIME, 1, 1), "ts_mean": (TIME, 1, 1), "stddev": (TIME, 1, 1), "ts_min": (TIME, 1, 1),
     "ts_max": (TIME, 1, 1), "ts_rank": (TIME, 1, 1), "ts_argmax": (TIME, 1, 1), "ts_argmin": (TIME, 1, 1), "correlation": (TIME, 2, 1), "covariance": (TIME, 2, 1),
     "decay_linear": (TIME, 1, 1), "product": (TIME, 1, 1), "stddev_pop": (TIME, 1, 1), "ts_median": (TIME, 1, 1), "ts_var": (TIME, 1, 1), "ts_count": (TIME, 1, 1),
-    "mean_min": (TIME, 1, 2), "std_min": (TIME, 1, 2), "sum_min": (TIME, 1, 2), "max_min": (TIME, 1, 2), "var_min": (TIME, 1, 2), "median_min": (TIME, 1, 2), "stdp_min": (TIME, 1, 2), "pct_change": (TIME, 1, 1), "ewm": (TIME, 1, 1), "ewm_rec": (TIME, 1, 1), "cumprod": (TIME, 1, 0), "cummax": (TIME, 1, 0),
+    "mean_min": (TIME, 1, 2), "std_min": (TIME, 1, 2), "sum_min": (TIME, 1, 2), "max_min": (TIME, 1, 2), "var_min": (TIME, 1, 2), "median_min": (TIME, 1, 2), "stdp_min": (TIME, 1, 2), "pct_change": (TIME, 1, 1), "ewm": (TIME, 1, 1), "ewm_rec": (TIME, 1, 1), "cumprod": (TIME, 1, 0), "cummax": (TIME, 1, 0), "cumcount": (TIME, 1, 0),
     "rank": (CROSS, 1, 0), "avgrank": (CROSS, 1, 0), "rank_centered": (CROSS, 1, 1), "midrank": (CROSS, 1, 0), "scale": (CROSS, 1, 1), "demean": (CROSS, 1, 0), "zscore": (CROSS, 1, 0),
-    "zscore_eps": (CROSS, 1, 1), "zscore_zero": (CROSS, 1, 1), "zscore_fill": (CROSS, 1, 0), "zscore_pop": (CROSS, 1, 2), "xmean": (CROSS, 1, 1), "xcount": (CROSS, 1, 0), "xstd": (CROSS, 1, 0), "least_names": (CROSS, 1, 1), "unit": (CROSS, 1, 0),
+    "zscore_eps": (CROSS, 1, 1), "zscore_zero": (CROSS, 1, 1), "zscore_fill": (CROSS, 1, 0), "zscore_pop": (CROSS, 1, 2), "xmean": (CROSS, 1, 1), "xcount": (CROSS, 1, 0), "xstd": (CROSS, 1, 0), "least_names": (CROSS, 1, 1), "unit": (CROSS, 1, 0), "market_sum": (CROSS, 1, 1),
 }
 #: Trailing numbers that may be left out.
 DEFAULTS = {"scale": (1.0,), "rank_centered": (2,), "xmean": (1,), "fill": (0.0,), "pct_change": (1,), "zscore_eps": (1e-8,), "zscore_zero": (1e-12,), "zscore_pop": (2, 1e-12)}
@@ -64,7 +65,7 @@ def call(op: str, *args: Node, numbers: tuple[float, ...] = ()) -> Node:
         numbers = numbers + DEFAULTS.get(op, ())[len(numbers) - trailing :]
     if len(numbers) != trailing:
         raise ValueError(f"{op} takes {trailing} numbers")
-    if axis == TIME and numbers:
+    if (axis == TIME or op == "market_sum") and numbers:
         numbers = tuple(math.floor(x) for x in numbers)  # lengths are floored: 8.9 days are 8
         if numbers[0] < 1:
             raise ValueError(f"{op}: a window needs a day")
@@ -80,7 +81,7 @@ def parse(text: str, adv_dollar: bool = False, **params: float) -> Node:
 
 @lru_cache(maxsize=4096)
 def _parse(text: str, adv_dollar: bool, params: tuple[tuple[str, float], ...]) -> Node:
-    known = dict(params)
+    known, parts = dict(params), {}
 
     def number(n: ast.expr) -> float | None:
         node = walk(n)
@@ -90,7 +91,7 @@ def _parse(text: str, adv_dollar: bool, params: tuple[tuple[str, float], ...]) -
         if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)):
             return const(n.value)
         if isinstance(n, ast.Name):
-            return const(known[n.id]) if n.id in known else field(n.id)
+            return parts[n.id] if n.id in parts else const(known[n.id]) if n.id in known else field(n.id)
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
             inner = walk(n.operand)
             return const(-inner.numbers[0]) if inner.op == "const" else call("neg", inner)
@@ -117,7 +118,14 @@ def _parse(text: str, adv_dollar: bool, params: tuple[tuple[str, float], ...]) -
             return call(n.func.id, *(walk(a) for a in n.args[:series]), numbers=numbers)
         raise ValueError(f"not a formula: {ast.unparse(n)}")
 
-    return walk(ast.parse(text.strip().replace("\n", " "), mode="eval").body)
+    *named, last = ast.parse(" ".join(text.split())).body
+    for n in named:
+        if not (isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name)):
+            raise ValueError(f"not a part of a formula: {ast.unparse(n)}")
+        parts[n.targets[0].id] = walk(n.value)
+    if not isinstance(last, ast.Expr):
+        raise ValueError(f"not a formula: {ast.unparse(last)}")
+    return walk(last.value)
 
 
 @dataclass(frozen=True)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from .expr import ROW, TIME, Node, schedule
 
 
-
-
 def _fin(x: str) -> str:
     return f"(CASE WHEN isfinite({x}) THEN {x} END)"
 
@@ -46,6 +44,8 @@ _ROWWISE = {
     "clip": lambda x, low, high: f"(CASE WHEN {x} < {low} THEN {low}::DOUBLE WHEN {x} > {high} THEN {high}::DOUBLE ELSE {x} END)",
     "isfinite": _fin,
     "rowmax": lambda a, b, c: f"greatest({a}, {b}, {c})",
+    "only": lambda c, x: f"(CASE WHEN {c} > 0.5 THEN {x} END)",
+    "pick": lambda c, a, b: f"(CASE WHEN {c} > 0.5 THEN {a} ELSE {b} END)",
     "safediv": lambda a, b: f"(CASE WHEN abs({b}) > 1e-15 THEN {a} / {b} END)",
 }
 
@@ -78,7 +78,10 @@ def _corr(x: str, y: str, d: int) -> str:
 
 def _cov(x: str, y: str, d: int) -> str:
     a, b = _pair(x, y)
-    return f"(CASE WHEN count({a}) {_over(d)} >= {d} THEN round(covar_samp({a}, {b}) {_over(d)} * 1e12) / 1e12 END)"
+    w = _over(d)
+    spread = f"nullif(stddev_samp({a}) {w} * stddev_samp({b}) {w}, 0)"
+    unit = f"coalesce(pow(2.0, floor(log2({spread}))), 1)"
+    return f"(CASE WHEN count({a}) {w} >= {d} THEN round(covar_samp({a}, {b}) {w} / {unit} * 1e12) / 1e12 * {unit} END)"
 
 
 def _ts_rank(x: str, d: int) -> str:
@@ -105,6 +108,13 @@ def _ewm(x: str, span: int) -> str:
     return f"(list_sum(list_transform({some}, lambda e: e.v * pow({keep!r}, rn - e.i))) / list_sum(list_transform({some}, lambda e: pow({keep!r}, rn - e.i))))"
 
 
+def _ewm_rec(x: str, span: int) -> str:
+    keep = 1 - 2 / (span + 1)
+    rows = f"list_filter(list(CASE WHEN isfinite({x}) THEN {{'i': rn, 'v': {x}}} END) {_over(40 * (span + 1))}, lambda e: e IS NOT NULL)"
+    step = f"{{'i': e.i, 'v': (s.v * pow({keep!r}, e.i - s.i) + e.v * {1 - keep!r}) / (pow({keep!r}, e.i - s.i) + {1 - keep!r})}}"
+    return f"(CASE WHEN len({rows}) > 0 THEN list_reduce({rows}, lambda s, e: {step}).v END)"
+
+
 def _avgrank(x: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY {x} ASC NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0 END)"
 
@@ -126,8 +136,9 @@ _ALONG = {
     "ts_min": _roll("min"), "ts_max": _roll("max"), "ts_median": _roll("median"), "product": _roll("product"),
     "mean_min": _roll("avg"), "std_min": _roll("stddev_samp"), "stdp_min": _roll("stddev_pop"), "var_min": _roll("var_samp"), "sum_min": _roll("sum"), "max_min": _roll("max"), "median_min": _roll("median"),
     "ts_count": lambda x, d: f"(count({_fin(x)}) {_over(d)})::DOUBLE",
-    "ts_rank": _ts_rank, "ts_argmax": _arg("max"), "ts_argmin": _arg("min"), "correlation": _corr, "covariance": _cov, "decay_linear": _decay, "ewm": _ewm,
+    "ts_rank": _ts_rank, "ts_argmax": _arg("max"), "ts_argmin": _arg("min"), "correlation": _corr, "covariance": _cov, "decay_linear": _decay, "ewm": _ewm, "ewm_rec": _ewm_rec,
     "cumprod": lambda x: f"product({x}) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)",
+    "cumcount": lambda x: f"(count({_fin(x)}) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING))::DOUBLE",
     "cummax": lambda x: f"max({x}) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)",
 }
 _ACROSS = {
@@ -148,7 +159,7 @@ _ACROSS = {
     "least_names": lambda x, least: f"(CASE WHEN {_n(x)} >= {least} THEN {x} END)",
     "unit": lambda x: f"({x} / nullif(sum(abs({x})) {_D}, 0))",
 }
-#: Operators with a twin; ``ewm_rec`` is recursive and has none.
+#: Operators with a twin; ``market_sum`` is a step of its own.
 SQL_OPS = {**_ROWWISE, **_ALONG, **_ACROSS}
 
 
@@ -191,7 +202,15 @@ def evaluate_sql(panel: str, formulas: dict[str, Node], keep: tuple[str, ...] =
             for a in n.args:
                 rows(a)
         table = _ALONG if step.axis == TIME else _ACROSS
-        add({n: table[n.op](*(_sql(a, names) for a in n.args), *n.numbers) for n in step.nodes})
+        for n in step.nodes:
+            if n.op == "market_sum":
+                v, d = _sql(n.args[0], names), n.numbers[0]
+                frame = f"OVER (ORDER BY date ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
+                daily = f"SELECT date, CASE WHEN count(v) {frame} >= {d} THEN sum(v) {frame} END AS v FROM (SELECT date, max({_fin(v)}) AS v FROM {last} GROUP BY date)"
+                steps.append(f"s{len(steps)} AS (SELECT p.*, m.v AS c{len(names)} FROM {last} p JOIN ({daily}) m USING (date))")
+                last = f"s{len(steps) - 1}"
+                names[n] = f"c{len(names)}"
+        add({n: table[n.op](*(_sql(a, names) for a in n.args), *n.numbers) for n in step.nodes if n.op != "market_sum"})
     for n in formulas.values():
         rows(n)
     out = ", ".join(["date", "symbol", *keep, *(f"{f'round({_sql(n, names)}, {digits})' if digits is not None else _sql(n, names)} AS {name}" for name, n in formulas.items())])

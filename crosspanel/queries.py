@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.artifact_catalogue import ARTIFACTS, artifact
 from .plans.catalogue import BASES, CONTROLS, control_signal
 from .plans.compiler import evaluate
 from .plans.expr import Node, parse
@@ -69,12 +70,19 @@ _OPERATORS = {
 for _name, _text in _OPERATORS.items():
     _formula(_name, parse(_text))
 _formula("ts_delay_row_axis", parse("delay(log(close), 3)"), axis="panel")
-_formula("ts_ewm_recursive", parse("ewm_rec(close, 3)"), twin=False)
+_formula("ts_ewm_recursive", parse("ewm_rec(close, 3)"))
+_formula("ts_market_sum", parse("market_sum(xmean(returns), 4)"), axis="panel")
+_formula("ts_cumcount", parse("cumcount(returns)"))
+_formula("row_only", parse("only(returns > 0, log(close))"))
+_formula("row_pick", parse("pick(returns > 0, log(close), volume)"))
 
 # ---- formula catalogues: on the weekly nation panel, which is dense enough for long windows ----
 for _name in CONTROLS:
     # k045 correlates sums over two days: without spread, what summation leaves behind decides its sign, in each engine its own way
     _formula(f"alpha_{_name}", control_signal(_name), by="nation", twin=_name != "k045", digits=10)
-for _name, _text in BASES.items():
-    _text = _text.replace("756", "300")  # the test tables have some 350 weeks
-    _formula(f"base_{_name}", parse(f"rank({_text}) - 0.5"), by="nation", axis="panel")
+for _name, _text in BASES.items():  # the longest window takes 756 rows of a symbol: more days than the test tables have weeks
+    _formula(f"base_{_name}", parse(f"rank({_text}) - 0.5"), by="nation", period="day" if "756" in _text else "week", axis="panel")
+# the artifacts count a symbol's own rows; suppliers have enough of them for the longest windows
+for _name, (_, _text, _) in ARTIFACTS.items():
+    if _text is not None:  # the one that can't be built with its own defaults runs with a shorter minimum
+        _formula(f"artifact_{_name.removeprefix('alpha_')}", artifact(_name, **({"min_obs": 60} if _name == "alpha_a728eba6" else {})), axis="panel")

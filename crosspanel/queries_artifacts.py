@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import artifacts as A
-from .plans.catalogue import BASES, LEAK_WEIGHTS
+from .operators import evaluate as E
+from .operators import events as V
+from .plans.artifact_catalogue import ARTIFACTS, artifacts
+from .plans.catalogue import BASES, CONTROLS, LEAK_WEIGHTS
 from .queries import register
 
 SECTIONS, TOKENS = ("the", "Section 2", "and", "le "), ("idiot", "clown", "est", "the")
@@ -30,8 +33,34 @@ register("code_block_first", lambda s, d: _documents(s, d).select("doc_id", A.co
 register("code_block_last", lambda s, d: _documents(s, d).select("doc_id", A.last_code_block(_fenced()).alias("block")), "SELECT doc_id, 'last' || chr(10) || lang || chr(10) AS block FROM documents")
 register("content_hash", lambda s, d: _documents(s, d).select("doc_id", A.content_hash(F.col("text")).alias("sha256"), A.slug(F.concat_ws(" ", "source", "lang")).alias("slug")), "SELECT doc_id, sha256(text) AS sha256, lower(source || '_' || lang) AS slug FROM documents")
 register("run_manifest", lambda s, d: A.manifest(_documents(s, d), "text"), "SELECT count(*) AS n, count(text) AS n_responses, count(text) - count(DISTINCT text) AS n_duplicates FROM documents")
+_STATUSES, _THEMES = ("en", "de", "fr"), ("code", "web")
+register(
+    "run_manifest_counts", lambda s, d: A.manifest(_documents(s, d), "text", _STATUSES, _THEMES, "lang", "source"),
+    f"SELECT count(*) AS n, count(text) AS n_responses, count(text) - count(DISTINCT text) AS n_duplicates, {', '.join(f"count(*) FILTER (lang = '{v}') AS n_{v}" for v in _STATUSES)}, {', '.join(f"count(*) FILTER (lower(source) = '{v}') AS theme_{v}" for v in _THEMES)} FROM documents",
+)
+register(
+    "generation_status", lambda s, d: _documents(s, d).select("doc_id", A.generation_status(F.col("lang") == "de", F.when(F.col("doc_id") % 7 != 0, F.col("text")), F.col("doc_id") % 5 == 0).alias("status")),
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'api_error' WHEN lang = 'de' THEN 'quarantined_retrieval_detected' WHEN doc_id % 7 = 0 OR trim(text) = '' THEN 'empty_response' ELSE 'success' END AS status FROM documents",
+)
+register("text_shorten", lambda s, d: _documents(s, d).select("doc_id", V.shorten(F.col("text")).alias("label")), "SELECT doc_id, CASE WHEN length(text) > 58 THEN rtrim(text[1:55], ' ') || '...' ELSE text END AS label FROM documents")
+register(
+    "control_manifest", lambda s, d: A.control_manifest(s, {int(k[1:]): len(p) for k, (_, p) in CONTROLS.items()}).groupBy("included", "exclusion_basis").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("numbers")),
+    "SELECT * FROM (VALUES (true, NULL, 50, 1757), (false, 'data_availability', 47, 3197), (false, 'data_availability+execution', 2, 90), (false, 'execution_convention', 2, 107)) t(included, exclusion_basis, n, numbers)",
+)
+
+
+def _failures(spark):
+    """Artifacts whose signal can't be built, as rows of the screening table."""
+    _, failed = artifacts()
+    return spark.createDataFrame([(k, "m", ARTIFACTS[k][0], v) for k, v in failed.items()], "alpha_id string, model string, theme string, error string")
+
+
+register(
+    "failed_execution", lambda s, d: E.with_failures(s.createDataFrame([("ok", "m", "t", E.SURVIVED, 9)], "alpha_id string, model string, theme string, status string, ic_n_days long"), _failures(s)).select("alpha_id", "theme", "status", "ic_n_days", F.col("error").isNotNull().alias("failed")),
+    "SELECT * FROM (VALUES ('ok', 't', 'SURVIVED_PHASE_1', 9::BIGINT, false), ('alpha_310a2d1a', 'liquidity', 'FAILED_EXECUTION', 0, true), ('alpha_a728eba6', 'nearness_to_the_52_week_high', 'FAILED_EXECUTION', 0, true)) t(alpha_id, theme, status, ic_n_days, failed)",
+)
 register("theme_balance", lambda s, d: A.balance(_documents(s, d), "source", 30), "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) <> 30")
-register("trials_per_model", lambda s, d: _documents(s, d).withColumnRenamed("source", "model").groupBy("model").agg(F.count(F.lit(1)).alias("n_trials")), "SELECT source AS model, count(*) AS n_trials FROM documents GROUP BY 1")
+register("trials_per_model", lambda s, d: E.trials_per_model(_documents(s, d).withColumnRenamed("source", "model")), "SELECT source AS model, count(*) AS n_trials FROM documents GROUP BY 1")
 register("code_flags", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", A.code_flags("text").alias("c")).select("conv_id", "turn", "c.parses", "c.defines", "c.negative_shift"))
 register("call_plan", lambda s, d: A.call_plan(s, ["x", "y"], 3), "SELECT t AS theme, i::INT AS sample, ((row_number() OVER (ORDER BY t, i)) - 1)::INT AS call_index FROM (SELECT unnest(['x', 'y']) AS t), (SELECT unnest(range(3)) AS i)")
 register("leak_plan", lambda s, d: A.leak_plan(s, LEAK_WEIGHTS, list(BASES)), f"SELECT 'leak_w' || lpad((round(100 * w)::INT)::VARCHAR, 2, '0') || '_' || i AS alpha_id, w::DOUBLE AS weight, {_list(BASES)}[(i % 8 + 1)::INT] AS base FROM (SELECT unnest({list(LEAK_WEIGHTS)}) AS w), (SELECT unnest(range(8)) AS i)")

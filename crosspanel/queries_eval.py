@@ -25,19 +25,20 @@ CUTOFF = "2001-01-01"
 _ALL = {k: parse(v) for k, v in (CONTROL_SET | TREATED_SET).items()}
 
 
-def signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(long signals on observed rows, dense panel)."""
-    dense = densify(trade_panel(spark, sf_dir))
-    wide = evaluate(dense, _ALL, ("observed",)).filter("observed").drop("observed")
-    return E.long_signals(wide, list(_ALL)), dense
+#: The forward return from the open of the next date to that of the one after, as one more formula of the batch.
+FORWARD = parse("isfinite(lead(open, 2) / lead(open, 1) - 1)")
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each signal and ``fwd``, on observed rows."""
+    return evaluate(densify(trade_panel(spark, sf_dir)), _ALL | {"fwd": FORWARD}, ("observed",)).filter("observed").drop("observed")
 
 
 def ic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rank correlations of all signals: the tests' common input, a row for each signal and date, written once."""
 
     def make() -> DataFrame:
-        long, dense = signals(spark, sf_dir)
-        return E.rank_ic(long, E.forward_returns(dense)).select("alpha_id", "date", "ic")
+        return E.rank_ic_wide(signals(spark, sf_dir), list(_ALL)).select("alpha_id", "date", "ic")
 
     return kept("ic", spark, sf_dir, make)
 
@@ -77,8 +78,7 @@ for _name, _expr in (("open_t1", "lead(open, 2) OVER w / lead(open, 1) OVER w -
 
 
 def _ic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long, dense = signals(spark, sf_dir)
-    return rounded(E.rank_ic(long, E.forward_returns(dense)))
+    return rounded(E.rank_ic_wide(signals(spark, sf_dir), list(_ALL)))
 
 
 register("rank_ic_daily", _ic_daily, f"WITH {_PRELUDE} SELECT alpha_id, date, round(ic, 6) AS ic, n_names FROM ics", ("date",))
@@ -118,8 +118,8 @@ _WEIGHTS = {k: neutral(_ALL[k]) for k in ("c01", "c06", "c12", "a01", "a02")}
 
 def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = trade_panel(spark, sf_dir)
-    wide = evaluate(densify(panel), _WEIGHTS, ("observed",)).filter("observed").drop("observed")
-    return E.portfolio_returns(E.long_signals(wide, list(_WEIGHTS)), panel)
+    wide = evaluate(densify(panel), _WEIGHTS, ("observed", "returns")).filter("observed").drop("observed")
+    return E.portfolio_returns_wide(wide, list(_WEIGHTS))
 
 
 _PORTFOLIO = trade_panel_sql() + ",\nwide AS (" + evaluate_sql("dense", _WEIGHTS, ("observed",), digits=None) + ")" + """,
@@ -154,14 +154,24 @@ def _screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _N = {m: sum((k in CONTROL_SET) == (m == "control") for k in _WEIGHTS) for m in ("control", "treatment")}
-_BEST = {m: E.expected_max_sharpe(n, 1) for m, n in _N.items()}
-register("screening", _screening)  # the normal distribution function isn't SQL
+# What the best of three and of two worthless signals is expected to reach, in standard errors:
+# (1 - g) q(1 - 1 / n) + g q(1 - 1 / (n e)) with g = 0.5772156649, q(2/3) = 0.4307272993, q(1 - 1 / 3e) = 1.1619569289, q(1/2) = 0, q(1 - 1 / 2e) = 0.9004525966.
+_BEST = {"control": 0.8528044961, "treatment": 0.5197553443}
+_DSR = f"""m AS (SELECT *, CASE WHEN alpha_id LIKE 'c%' THEN 'control' ELSE 'treatment' END AS model FROM perf),
+    n AS (SELECT *, CASE model WHEN 'control' THEN {_N["control"]} ELSE {_N["treatment"]} END::BIGINT AS n_trials, CASE model WHEN 'control' THEN {_BEST["control"]} ELSE {_BEST["treatment"]} END AS best FROM m),
+    zs AS (SELECT *, (daily_sharpe - best / sqrt(n_days)) * sqrt(n_days - 1) / sqrt(1 - skew * daily_sharpe + (kurtosis - 1) / 4 * daily_sharpe ** 2) AS z FROM n)"""
+register(
+    "screening",
+    _screening,
+    # the normal distribution function by Simpson's rule on [0, |z|]
+    f"""WITH {_PORTFOLIO}, {_DSR}, areas AS (
+      SELECT *, 0.5 + sign(z) * abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * k / 2000, 2) / 2))) / sqrt(2 * pi()) AS p FROM zs
+    ) SELECT alpha_id, model, n_trials, round(z, 4) AS dsr_z_score, round(least(0.9999, greatest(0.0001, p)), 4) AS dsr, CASE WHEN p > 0.95 THEN 'SURVIVED_PHASE_1' ELSE 'REJECTED_DSR' END AS status FROM areas""",
+)
 register(
     "deflated_sharpe_z",
     lambda spark, sf_dir: _screening(spark, sf_dir).select("alpha_id", "model", "n_trials", "dsr_z_score"),
-    f"""WITH {_PORTFOLIO}, m AS (SELECT *, CASE WHEN alpha_id LIKE 'c%' THEN 'control' ELSE 'treatment' END AS model FROM perf),
-    n AS (SELECT *, CASE model WHEN 'control' THEN {_N["control"]} ELSE {_N["treatment"]} END::BIGINT AS n_trials, CASE model WHEN 'control' THEN {_BEST["control"]!r} ELSE {_BEST["treatment"]!r} END AS z FROM m)
-    SELECT alpha_id, model, n_trials, round((daily_sharpe - z / sqrt(n_days)) * sqrt(n_days - 1) / sqrt(1 - skew * daily_sharpe + (kurtosis - 1) / 4 * daily_sharpe ** 2), 4) AS dsr_z_score FROM n""",
+    f"WITH {_PORTFOLIO}, {_DSR} SELECT alpha_id, model, n_trials, round(z, 4) AS dsr_z_score FROM zs",
 )
 
 # ---- test 1 ----
@@ -223,9 +233,12 @@ _test1("treatment_votes", lambda s, d: D.treatment_votes(t_values(s, d)), "SELEC
 _test1("false_positive_curve", lambda s, d: rounded(D.false_positive_curve(D.control_votes(t_values(s, d)))), "SELECT k, round(fpr, 6) AS fpr FROM curve")
 _test1("least_votes", lambda s, d: D.least_votes(D.control_votes(t_values(s, d))), "SELECT k_min FROM kmin")
 _test1("decay_verdicts", lambda s, d: rounded(D.verdicts(t_values(s, d)), 5), "SELECT alpha_id, votes, CASE WHEN votes >= k_min THEN 'FAILED' ELSE 'PASSED' END AS verdict, round(base_mean, 5) AS base_mean, round(oos_mean, 5) AS oos_mean FROM tvotes JOIN tvals USING (alpha_id), kmin WHERE b = 5")
+# three signals against fourteen: p counts the triples of ranks whose sum is as large as theirs
 _test1("rank_sum_pool", lambda s, d: rounded(D.rank_sum(t_values(s, d)), 5), """, p AS (SELECT arm, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY t) AS tied FROM tvals WHERE b = 5 AND t IS NOT NULL),
-s AS (SELECT count(*) FILTER (arm = 'treatment') AS m, count(*) FILTER (arm = 'control') AS n, sum(r) FILTER (arm = 'treatment') AS s, sum(tied * tied - 1) AS ties FROM p)
-SELECT m AS n_treatment, n AS n_control, round(s - m * (m + 1) / 2, 5) AS u, round((s - m * (m + 1) / 2 - m * n / 2 - 0.5) / sqrt(m * n / 12 * (m + n + 1 - ties / ((m + n) * (m + n - 1)))), 5) AS z FROM s""")
+s AS (SELECT count(*) FILTER (arm = 'treatment') AS m, count(*) FILTER (arm = 'control') AS n, sum(r) FILTER (arm = 'treatment') AS s, sum(tied * tied - 1) AS ties FROM p),
+draws AS (SELECT a.r + b.r + c.r AS total FROM p a JOIN p b ON a.r < b.r JOIN p c ON b.r < c.r)
+SELECT m AS n_treatment, n AS n_control, round(s - m * (m + 1) / 2, 5) AS u, round((s - m * (m + 1) / 2 - m * n / 2 - 0.5) / sqrt(m * n / 12 * (m + n + 1 - ties / ((m + n) * (m + n - 1)))), 5) AS z,
+(SELECT round(avg((total >= s)::INT), 5) FROM draws) AS p FROM s""")
 _test1("mean_pairwise_corr", lambda s, d: rounded(D.mean_pairwise_correlation(_controls(s, d))), "SELECT count(c) AS n_pairs, round(avg(c), 6) AS mean_corr FROM (SELECT corr(a.ic, b.ic) AS c FROM ics a JOIN ics b ON a.date = b.date AND a.alpha_id < b.alpha_id WHERE a.alpha_id LIKE 'c%' AND b.alpha_id LIKE 'c%' GROUP BY a.alpha_id, b.alpha_id)")
 _test1("pairwise_corr", lambda s, d: rounded(D.pairwise_correlations(ic_panel(s, d))), "SELECT a.alpha_id AS a, b.alpha_id AS b, round(corr(a.ic, b.ic), 6) AS corr FROM ics a JOIN ics b ON a.date = b.date AND a.alpha_id < b.alpha_id GROUP BY ALL")
 _test1("two_sample_ks", lambda s, d: rounded(D.two_sample_ks(t_values(s, d).filter("b = 5").select(F.col("t").alias("x"), (F.col("arm") == "treatment").alias("first")))), "SELECT round(max(abs(x)), 6) AS ks FROM (SELECT (SELECT avg((o.t <= v.t)::INT) FROM tvals o WHERE b = 5 AND arm = 'treatment') - (SELECT avg((o.t <= v.t)::INT) FROM tvals o WHERE b = 5 AND arm = 'control') AS x FROM tvals v WHERE b = 5)")

@@ -106,16 +106,41 @@ def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.permutation_gaps(gaps(spark, sf_dir), daily)
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def step1(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = M.window_means(grid(spark, sf_dir, controls=False), WIDTH, LEAST)
-    own = M.overall_means(ic_panel(spark, sf_dir))
     usable = events(spark, sf_dir).filter("usable").select("event_id", F.col("window_start").alias("start"))
-    step1 = means.join(F.broadcast(usable), "start").join(F.broadcast(own), "alpha_id").crossJoin(F.broadcast(thresholds(spark, sf_dir)))  # one row
-    step1 = step1.select("alpha_id", "event_id", F.coalesce((F.col("mean") > F.col("pooled")) | (F.col("mean") - F.col("own") > F.col("demeaned")), F.lit(False)).alias("step1"))
-    rows = p2(spark, sf_dir).join(step1, ["alpha_id", "event_id"], "left").join(permuted(spark, sf_dir), ["alpha_id", "event_id"], "left")
-    rows = M.benjamini_hochberg(M.benjamini_hochberg(rows, "p2", ["alpha_id"]), "p3", ["alpha_id"])
-    rows = rows.withColumns({"step2": F.col("p2_reject") & (F.col("d") > 0), "step3": F.coalesce(F.col("p3_reject") & (F.col("observed") > 0), F.lit(False)), "has_placebo": F.col("p2").isNotNull(), "step1": F.coalesce("step1", F.lit(False))})
-    return M.event_verdicts(rows).select("alpha_id", "event_id", "d", "p2", "p2_q", "p3", "p3_q", "mdg", "step1", "step2", "step3", "verdict", "binding")
+    met = means.join(F.broadcast(usable), "start").select("alpha_id", "event_id", "mean")
+    return M.step1_flags(met, M.overall_means(ic_panel(spark, sf_dir)), thresholds(spark, sf_dir))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir)
+    return M.routes(event_d(spark, sf_dir), gaps(spark, sf_dir), M.nearest(found, M.precision(found)))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(s: SparkSession, d: str) -> DataFrame:
+        key = ["alpha_id", "event_id"]
+        rows = p2(s, d).join(step1(s, d).drop("mean"), key, "left").join(permuted(s, d), key, "left").join(routes(s, d), key, "left")
+        rows = M.benjamini_hochberg(M.benjamini_hochberg(rows, "p2", ["alpha_id"]), "p3", ["alpha_id"])
+        rows = rows.withColumns({
+            "step2": F.col("p2_reject") & (F.col("d") > 0), "step3": F.coalesce(F.col("p3_reject") & (F.col("observed") > 0), F.lit(False)), "has_placebo": F.col("p2").isNotNull(),
+            "step1": F.coalesce("step1", F.lit(False)), "disagree": F.coalesce("disagree", F.lit(False)), "gap_over_mdg": M.gap_over_mdg(F.col("observed"), F.col("mdg")),
+        })
+        kept_columns = ["d", "p2", "p2_q", "p3", "p3_q", "observed", "mdg", "gap_over_mdg", "scenario", "n_matched_low", "matched_low_ids", "nearest", "step1", "disagree", "step2", "step3", "verdict", "binding"]
+        return M.event_verdicts(rows).select(*key, *kept_columns)
+
+    return _kept("verdicts", spark, sf_dir, make)
+
+
+def _made_up(spark: SparkSession) -> DataFrame:
+    """Event rows by hand: signals with failed, passed and no usable events; step flags of the latter must not count."""
+    rows = [
+        ("a", "e1", "FAIL", "salience_gap", True, False, True, 0.02, 1.5, "B", 2, True), ("a", "e2", "PASS", "none", True, False, False, 0.04, 0.5, "B", 1, False), ("a", "e3", "INDETERMINATE", "insufficient_data", True, True, False, None, None, "A", 0, False),
+        ("b", "e1", "PASS", "none", False, True, False, None, None, "A", 0, True), ("c", "e1", "INDETERMINATE", "insufficient_data", True, False, False, 0.5, 9.0, "B", 1, False),
+        ("d", "e1", "FAIL", "salience_gap", False, False, True, 0.03, 2.0, "B", 2, False), ("d", "e2", "FAIL", "anomaly_and_salience_gap", True, True, True, 0.01, None, "B", 1, False),
+    ]
+    return spark.createDataFrame(rows, "alpha_id string, event_id string, verdict string, binding string, step1 boolean, step2 boolean, step3 boolean, mdg double, gap_over_mdg double, scenario string, n_matched_low long, disagree boolean")
 
 
 _EVENTS = _PRELUDE + f""",
@@ -181,10 +206,39 @@ _test2("bh_fdr", lambda s, d: rounded(M.benjamini_hochberg(p2(s, d).filter("p2 i
 , k AS (SELECT *, row_number() OVER (PARTITION BY alpha_id ORDER BY p2) AS r, count(*) OVER (PARTITION BY alpha_id) AS m FROM pvals)
 SELECT alpha_id, event_id, round(p2, 6) AS p2, round(least(1, (SELECT min(o.p2 * o.m / o.r) FROM k o WHERE o.alpha_id = k.alpha_id AND o.p2 >= k.p2)), 6) AS p2_q,
 (SELECT min(o.p2 * o.m / o.r) FROM k o WHERE o.alpha_id = k.alpha_id AND o.p2 >= k.p2) <= 0.2 AS p2_reject FROM k""")
-_test2("mahalanobis_matches", lambda s, d: rounded(pairs(s, d)))
-_test2("salience_gaps", lambda s, d: rounded(gaps(s, d).select("alpha_id", "event_id", "gap", "n_low", F.array_join("low_ids", "|").alias("low_ids"))))
+# the inverse of three by three covariances, written out; where drawdowns don't vary, that of the other two (the pseudo-inverse)
+_PAIRS = f"""
+, r AS MATERIALIZED (SELECT e.event_id, c.tpos, mkt_ret, cs_std, product(1 + mkt_ret) OVER w AS c FROM events e JOIN days c ON c.tpos BETWEEN window_start AND window_end JOIN market mk ON mk.date = c.date WHERE usable AND mkt_ret IS NOT NULL WINDOW w AS (PARTITION BY e.event_id ORDER BY c.tpos)),
+tops AS (SELECT *, max(c) OVER (PARTITION BY event_id ORDER BY tpos) AS top FROM r),
+cov AS MATERIALIZED (SELECT event_id, salience, x, y, z FROM events JOIN (SELECT event_id, stddev_samp(mkt_ret) * sqrt(252) AS x, max(1 - c / top) AS y, avg(cs_std) AS z FROM tops GROUP BY event_id HAVING count(*) >= {LEAST}) USING (event_id) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+s3 AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, covar_samp(x, z) AS c, var_samp(y) AS d, covar_samp(y, z) AS e, var_samp(z) AS f FROM cov),
+inv AS (SELECT CASE WHEN d > 0 THEN xx ELSE f / flat END AS xx, CASE WHEN d > 0 THEN xy ELSE 0 END AS xy, CASE WHEN d > 0 THEN xz ELSE -c / flat END AS xz, CASE WHEN d > 0 THEN yy ELSE 0 END AS yy, CASE WHEN d > 0 THEN yz ELSE 0 END AS yz, CASE WHEN d > 0 THEN zz ELSE a / flat END AS zz
+  FROM (SELECT *, a * f - c * c AS flat, (d * f - e * e) / det AS xx, (c * e - b * f) / det AS xy, (b * e - c * d) / det AS xz, (a * f - c * c) / det AS yy, (b * c - a * e) / det AS yz, (a * d - b * b) / det AS zz
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s3))),
+apart AS MATERIALIZED (SELECT h.event_id, l.event_id AS low_id, sqrt(greatest(0, xx * (h.x - l.x) ** 2 + yy * (h.y - l.y) ** 2 + zz * (h.z - l.z) ** 2 + 2 * (xy * (h.x - l.x) * (h.y - l.y) + xz * (h.x - l.x) * (h.z - l.z) + yz * (h.y - l.y) * (h.z - l.z)))) AS distance
+  FROM cov h, cov l, inv WHERE h.salience = 'high' AND l.salience = 'low'),
+near AS (SELECT * FROM apart WHERE distance <= 2),
+gapped AS MATERIALIZED (SELECT h.alpha_id, h.event_id, any_value(h.d) - avg(l.d) AS gap, count(*) AS n_low, string_agg(n.low_id, '|' ORDER BY n.low_id) AS low_ids
+  FROM eventd h JOIN near n USING (event_id) JOIN eventd l ON l.alpha_id = h.alpha_id AND l.event_id = n.low_id WHERE h.d IS NOT NULL AND l.d IS NOT NULL GROUP BY h.alpha_id, h.event_id)"""
+_test2("mahalanobis_matches", lambda s, d: rounded(pairs(s, d)), f"{_PAIRS} SELECT event_id, low_id, round(distance, 6) AS distance FROM near")
+_test2("salience_gaps", lambda s, d: rounded(gaps(s, d).select("alpha_id", "event_id", "gap", "n_low", F.array_join("low_ids", "|").alias("low_ids")), 5), f"{_PAIRS} SELECT alpha_id, event_id, round(gap, 5) AS gap, n_low, low_ids FROM gapped")
+_test2("scenario_routes", lambda s, d: rounded(routes(s, d)), f"""{_PAIRS}
+SELECT e.alpha_id, e.event_id, CASE WHEN n_low IS NULL THEN 'A' ELSE 'B' END AS scenario, coalesce(n_low, 0) AS n_matched_low, coalesce(low_ids, '') AS matched_low_ids, round(nearest, 6) AS nearest
+FROM eventd e LEFT JOIN gapped g USING (alpha_id, event_id) LEFT JOIN (SELECT event_id, min(distance) AS nearest FROM apart GROUP BY event_id) USING (event_id) WHERE salience = 'high'""")
+_test2("step1_flags", lambda s, d: step1(s, d).drop("mean"), """
+, own AS (SELECT alpha_id, avg(ic) AS own FROM ics GROUP BY alpha_id), thr AS (SELECT quantile_cont(mean, 0.95) AS pooled, quantile_cont(mean - own, 0.95) AS demeaned FROM means JOIN own USING (alpha_id) WHERE alpha_id LIKE 'c%' AND mean IS NOT NULL),
+f AS (SELECT alpha_id, event_id, coalesce(mean > pooled, false) AS p, coalesce(mean - own > demeaned, false) AS q FROM means JOIN own USING (alpha_id) JOIN events ON window_start = start, thr WHERE usable AND alpha_id LIKE 'a%')
+SELECT alpha_id, event_id, p AS pooled_flag, q AS demeaned_flag, p <> q AS disagree, p OR q AS step1 FROM f""")
 _test2("permutation_gaps", lambda s, d: rounded(permuted(s, d)))
 _test2("salience_gradient", lambda s, d: rounded(M.salience_gradient(event_d(s, d), events(s, d))))
 _test2("event_verdicts", lambda s, d: rounded(verdicts(s, d)))
-_test2("signal_synthesis", lambda s, d: M.synthesis(verdicts(s, d)))
+_test2("signal_synthesis", lambda s, d: rounded(M.synthesis(verdicts(s, d))))
+register("synthesis_cases", lambda s, d: rounded(M.synthesis(_made_up(s))), """SELECT * FROM (VALUES
+('a', 2, 1, 2, 0, 1, 0.03, 1.5, 'FAIL', 'salience_gap'), ('b', 1, 0, 0, 1, 0, NULL, NULL, 'PASS', 'none'), ('c', 0, 0, 0, 0, 0, NULL, NULL, 'INDETERMINATE', 'none'), ('d', 2, 2, 1, 1, 2, 0.02, 2.0, 'FAIL', 'anomaly_and_salience_gap, salience_gap')
+) t(alpha_id, events_tested, events_failed, step1_anomaly_flags, step2_differential_flags, step3_salience_gap_flags, step3_median_mdg, step3_max_gap_over_mdg, verdict, binding_failure_mode)""")
+register("report_cases", lambda s, d: rounded(M.report(_made_up(s))), """SELECT section, item, value::DOUBLE AS value FROM (VALUES ('results', 'tests', 5), ('results', 'scenario_a', 1), ('results', 'scenario_b', 4), ('results', 'step1_variants_disagree', 2),
+('binding', 'salience_gap', 2), ('binding', 'anomaly_and_salience_gap', 1), ('detection_floor', 'tests', 4), ('detection_floor', 'median', 0.025), ('detection_floor', 'least', 0.01), ('detection_floor', 'greatest', 0.04), ('detection_floor', 'greatest_ratio', 2), ('detection_floor', 'reached', 2)) t(section, item, value)""")
+register("power_cases", lambda s, d: rounded(M.power_by_event(_made_up(s), 1)), "SELECT * FROM (VALUES ('e1', 2, 0.025, 1), ('e2', 1, 0.025, 2)) t(event_id, matches, mdg, place)")
+_test2("test2_report", lambda s, d: rounded(M.report(verdicts(s, d))))
+_test2("power_by_event", lambda s, d: rounded(M.power_by_event(verdicts(s, d))))
 _test2("histogram", lambda s, d: M.histogram(ic_panel(s, d), "ic"), ", e AS (SELECT min(ic) AS a, max(ic) AS b FROM ics) SELECT least(19, floor((ic - a) / (b - a) * 20))::INT AS bin, count(*) AS n FROM ics, e GROUP BY 1")

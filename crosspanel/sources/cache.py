@@ -28,9 +28,18 @@ def folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+def stamp(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the files below a folder, by Spark's own file systems; empty where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ()
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
 def kept(name: str, spark: SparkSession, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` of ``source``, made at its first use in an application."""
-    key = (name, source, spark.sparkContext.applicationId)
+    """The table ``name`` of ``source``, made at its first use in an application, and again when the files of ``source`` change."""
+    key = (name, source, stamp(spark, source), spark.sparkContext.applicationId)
     if key not in _paths:
         path = f"{folder(spark)}/kept-{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import SURVIVED
+
 
 def first_existing(*folders: str) -> str:
     """The first of several local folders that exists."""
@@ -23,10 +25,12 @@ def read_ic_csv(spark: SparkSession, path: str, keep_first: bool = False) -> Dat
     """
     wide = spark.read.csv(path, header=True)
     key, names = wide.columns[0], wide.columns[1:]
+    # the place of a row in its file: file, block, and order within the block
+    wide = wide.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
     wide = wide.withColumn("_date", F.try_to_date(F.col(key))) if hasattr(F, "try_to_date") else wide.withColumn("_date", F.expr(f"try_cast(`{key}` as date)"))
     wide = wide.filter("_date is not null")
     if keep_first:
-        order = Window.partitionBy("_date").orderBy(F.monotonically_increasing_id())
+        order = Window.partitionBy("_date").orderBy("_file", "_start", "_row")
         wide = wide.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     long = wide.select(F.col("_date").alias("date"), *names).unpivot("date", names, "alpha_id", "ic")
     return long.select("alpha_id", "date", F.expr("try_cast(ic as double)").alias("ic")).filter("ic is not null and not isnan(ic)")
@@ -38,8 +42,23 @@ def write_ic_csv(ic: DataFrame, path: str) -> None:
 
 
 def read_survivors(spark: SparkSession, path: str) -> DataFrame:
-    """``alpha_id`` of the signals that a screening table calls SURVIVED."""
-    return spark.read.csv(path, header=True).filter("status = 'SURVIVED'").select("alpha_id").distinct()
+    """``alpha_id`` of the signals that a screening table calls survivors. A table without any is most likely the wrong one: it fails."""
+    found = spark.read.csv(path, header=True, multiLine=True, escape='"').filter(F.col("status") == SURVIVED).select("alpha_id").distinct()
+    if not found.limit(1).count():
+        raise ValueError(f"no row of {path} has status {SURVIVED}")
+    return found
+
+
+def write_table(rows: DataFrame, path: str, order: list[str] | None = None, digits: dict[str, int] | None = None) -> None:
+    """A results table (screening, votes, events, event results, verdicts) as CSV in one sorted file.
+
+    Such tables have a row for each signal, event or pair of them. Doubles in ``digits`` are rounded; lists are joined by ``|``.
+    """
+    kinds = dict(rows.dtypes)
+    cells = [F.round(c, digits[c]).alias(c) if digits and c in digits else F.array_join(c, "|").alias(c) if kinds[c].startswith("array") else F.col(c) for c in rows.columns]
+    out = rows.select(*cells)
+    out = out.coalesce(1).sortWithinPartitions(*order) if order else out.coalesce(1)
+    out.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def read_constituents(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +75,10 @@ def read_jumps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restrict(ic: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rank correlations of the listed signals, whose ids are matched without regard to case. Fails if one has none."""
+    """Rank correlations of the listed signals, whose ids are matched without regard to case. Fails if one has none, or if none is listed."""
     wanted = ids.select(F.lower("alpha_id").alias("_id")).distinct()
+    if not wanted.limit(1).count():
+        raise ValueError("no ids to restrict to")
     lost = wanted.join(ic.select(F.lower("alpha_id").alias("_id")).distinct(), "_id", "left_anti")
     if missing := [r["_id"] for r in lost.orderBy("_id").limit(5).collect()]:
         raise ValueError(f"no rank correlations for {missing}")

@@ -14,10 +14,13 @@ from crosspanel.operators import decay as D
 from crosspanel.operators import evaluate as E
 from crosspanel.operators import events as V
 from crosspanel.operators import memory as M
+from crosspanel.plans.artifact_catalogue import ARTIFACTS, artifact, artifacts
 from crosspanel.plans.catalogue import BASES, CONTROLS, control, control_signal
 from crosspanel.plans.compiler import evaluate
 from crosspanel.plans.expr import call, parse, schedule
-from crosspanel.sources.panel import clean, densify
+from crosspanel.sources import tables
+from crosspanel.sources.cache import kept
+from crosspanel.sources.panel import clean, densify, read_panel
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -122,7 +125,18 @@ def test_order_statistic_and_votes(spark):
     assert D.least_votes(D.control_votes(t)).first()["k_min"] in range(1, 8)
 
 
-def test_exact_rank_sum():
+def test_exact_rank_sum(spark):
+    import itertools
+
+    for m, n in ((3, 5), (9, 4), (2, 2)):  # against all ways to draw the ranks
+        own = [sum(c) - m * (m + 1) // 2 for c in itertools.combinations(range(1, m + n + 1), m)]
+        for u in (0, m * n // 2, m * n):
+            assert D.exact_rank_sum_p(u, m, n) == pytest.approx(sum(x >= u for x in own) / len(own))
+    pool = lambda a, b: spark.createDataFrame([("treatment", f"a{i}", 5, t) for i, t in enumerate(a)] + [("control", f"c{i}", 5, t) for i, t in enumerate(b)], "arm string, alpha_id string, b int, t double")
+    assert D.rank_sum(pool([2.0, 3.0], [0.0, 1.0])).first()["p"] == pytest.approx(1 / 6)
+    tied = D.rank_sum(pool([2.0, 3.0], [2.0, 1.0])).first()  # ties: normal with correction
+    assert tied["p"] == pytest.approx(0.5 * math.erfc(tied["z"] / math.sqrt(2)))
+    assert D.rank_sum(pool([], [1.0])).first()["p"] is None
     assert D.exact_rank_sum_p(4, 2, 2) == pytest.approx(1 / 6) and D.exact_rank_sum_p(0, 2, 2) == pytest.approx(1)
 
 
@@ -159,13 +173,143 @@ def test_artifacts(spark):
     assert flags["parses"] and flags["defines"] and flags["keywords"] == ["d"] and flags["negative_shift"]
     assert A.manifest(df).first()["n_duplicates"] == 0
     with pytest.raises(ValueError):
-        A.survivors(df, spark.createDataFrame([("z", "SURVIVED")], "alpha_id string, status string"))
+        A.survivors(df, spark.createDataFrame([("z", "SURVIVED_PHASE_1")], "alpha_id string, status string"))
 
 
 def test_entry_without_llm():
-    import __spark_entry__ as e
+    """With the training-data operators gone, the engine's queries are still there."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['crosspanel.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert {'rank_ic_daily', 'alpha_k033'} <= set(q) and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def _by_symbol(x, f):
+    return x.groupby(level="symbol", group_keys=False).transform(f)
+
+
+def test_artifacts_against_pandas(spark):
+    """Signals of generated artifacts, one of each kind of statistic, against pandas written from their descriptions."""
+    sparse = panel_of(spark, 80, 26, holes={(s, t) for s in range(0, 26, 3) for t in range(20, 80, 17)})
+    names = ["alpha_8047543a", "alpha_cf45008b", "alpha_ac177fa4", "alpha_3205f951", "alpha_c76f01a4", "alpha_fc30ce60", "alpha_97aeb2d8", "alpha_b959ae38"]
+    short = {"alpha_cf45008b": {"N_mom": 5, "N_vol": 10, "N_vol_volume": 6}, "alpha_ac177fa4": {"N_lookback": 20}, "alpha_3205f951": {"N_cs_min": 10}, "alpha_c76f01a4": {"N_beta": 20}, "alpha_fc30ce60": {"N_beta": 30, "M_beta": 20}, "alpha_97aeb2d8": {"N_high": 20, "N_long_vol": 10}}
+    got = evaluate(sparse, {n: artifact(n, **short.get(n, {})) for n in names}).toPandas().set_index(["date", "symbol"]).sort_index().astype(float)
+    p = sparse.toPandas().set_index(["date", "symbol"]).sort_index()
+    p = p.astype(float)
+    o, h, lo, c, v, r = (p[k] for k in ("open", "high", "low", "close", "volume", "returns"))
+    date = lambda x, f: x.groupby(level="date").transform(f)
+    roll = lambda x, n, f, m=None: _by_symbol(x, lambda y: getattr(y.rolling(n, min_periods=m or n), f)())
+    z = lambda x: (x - date(x, "mean")) / date(x, "std")
+    centred = lambda x: 2 * (x.groupby(level="date").rank() - 1) / (date(x, "count") - 1) - 1
+    want = {}
+    share = lambda n: (roll(v.where(r > 0, 0.0), n, "sum") - roll(v.where(r < 0, 0.0), n, "sum")) / roll(v, n, "sum")
+    want["alpha_8047543a"] = z(share(5) - share(21))
+    smooth = _by_symbol(v / roll(v, 6, "mean"), lambda x: x.ewm(span=5, adjust=False).mean())
+    want["alpha_cf45008b"] = z(_by_symbol(c, lambda x: x / x.shift(5) - 1) / (roll(r, 10, "std") * 5**0.5) * smooth)
+    want["alpha_ac177fa4"] = _by_symbol(z(c / roll(h, 20, "max") * (v / roll(v, 20, "mean")).clip(upper=3)), lambda x: x.ewm(span=5, min_periods=5).mean())
+    spread = _by_symbol(r, lambda x: x.rolling(20, min_periods=20).std(ddof=0))
+    raw = -_by_symbol(c, lambda x: x / x.shift(3) - 1) / (spread * 3**0.5) * np.log(1 + v / roll(v, 20, "median"))
+    want["alpha_3205f951"] = raw.groupby(level="date").rank(pct=True).where(date(raw, "count") >= 10) - 0.5
+    m = date(r, "mean").where(date(r, "count") >= 20)
+    x, y = r.where(m.notna()), m.where(r.notna())
+    s = lambda a: roll(a, 20, "sum")
+    b = (s(x * y) - s(x) * s(y) / 20) / (s(y * y) - s(y) ** 2 / 20)
+    shock = m.groupby(level="date").first().rolling(5, min_periods=5).sum()
+    e = b * pd.Series(shock.reindex(b.index.get_level_values("date")).to_numpy(), b.index)
+    want["alpha_c76f01a4"] = (-centred(e)).where(date(e, "count") >= 20)
+    m = date(r, "mean").where(date(r, "count") >= 2)
+    x, y = r.where(m.notna()), m.where(r.notna())
+    q = lambda a: roll(a, 30, "mean", 20)
+    e = -(q(x * y) - q(x) * q(y)) / (q(y * y) - q(y) ** 2) * m
+    want["alpha_fc30ce60"] = (e - date(e, "mean")) / e.groupby(level="date").transform("std", ddof=0)
+    want["alpha_97aeb2d8"] = z(c / roll(h, 20, "max") * roll(v, 5, "mean") / roll(v, 10, "mean"))
+    before = _by_symbol(c, lambda x: x.shift(1))
+    tr = pd.concat([h - lo, (h - before).abs(), (lo - before).abs()], axis=1).max(axis=1)
+    e = roll((c - o) / tr * (tr / roll(_by_symbol(tr, lambda x: x.shift(1)), 20, "mean") - 1.25).clip(lower=0), 3, "mean")
+    rank = e.groupby(level="date").rank(pct=True)
+    want["alpha_b959ae38"] = rank - date(rank, "mean")
+    for n in names:
+        assert want[n].notna().sum() > 300
+        np.testing.assert_allclose(got[n].to_numpy(), want[n].reindex(got.index).to_numpy(), rtol=1e-4, atol=1e-6, err_msg=n)  # the signals add small numbers to what they divide by
+
+
+def test_artifact_catalogue_isolates_failures():
+    built, failed = artifacts()
+    assert len(ARTIFACTS) == 48 and len(built) == 46 and "min_periods 126 must be <= window 60" in failed["alpha_a728eba6"] and "alpha_310a2d1a" in failed
+    with pytest.raises(ValueError):
+        artifact("alpha_0a22b5d9", N_none=1)
+
+
+def test_covariance_of_small_series_keeps_its_order(spark):
+    """Prices of a millionth don't turn covariances into ties."""
+    small = panel_of(spark).withColumns({k: F.col(k) * 1e-7 for k in ("open", "close", "high", "low")}).withColumn("volume", F.col("volume") * 1e-7)
+    got = wide(evaluate(small, {"value": parse("covariance(close, volume, 5)")})).to_numpy()
+    live = got[~np.isnan(got)]
+    assert len(np.unique(live)) > 0.99 * len(live)
+
+
+def test_tables_round_trip(spark, tmp_path):
+    ic = spark.createDataFrame([("Alpha_a", DAY0, 0.25), ("Alpha_b", DAY0, -0.5), ("Alpha_a", DAY0 + dt.timedelta(1), 0.125)], "alpha_id string, date date, ic double")
+    tables.write_ic_csv(ic, f"{tmp_path}/ic")
+    assert sorted(map(tuple, tables.read_ic_csv(spark, f"{tmp_path}/ic").collect())) == sorted(map(tuple, ic.collect()))
+    (tmp_path / "odd.csv").write_text("date,x,y\n2020-01-01,1.5,\n2020-01-01,9,\n2020-01-02,oops,\nno date,3,\n")
+    assert [tuple(r) for r in tables.read_ic_csv(spark, f"{tmp_path}/odd.csv", keep_first=True).collect()] == [("x", DAY0, 1.5)]
+    assert tables.restrict(ic, spark.createDataFrame([("alpha_A",)], "alpha_id string")).count() == 2
+    for ids in ([("nobody",)], []):
+        with pytest.raises(ValueError):
+            tables.restrict(ic, spark.createDataFrame(ids, "alpha_id string"))
+    screened = spark.createDataFrame([("a", E.SURVIVED, 1.23456, None), ("b", E.REJECTED, 0.5, None), ("c", E.FAILED, None, 'said "no",\nthen ended')], "alpha_id string, status string, dsr double, error string")
+    tables.write_table(screened, f"{tmp_path}/screened", ["alpha_id"], {"dsr": 4})
+    assert [r["alpha_id"] for r in tables.read_survivors(spark, f"{tmp_path}/screened").collect()] == ["a"]
+    back = spark.read.csv(f"{tmp_path}/screened", header=True, multiLine=True, escape='"').collect()
+    assert [r["dsr"] for r in back] == ["1.2346", "0.5", None] and back[2]["error"] == 'said "no",\nthen ended'
+    with pytest.raises(ValueError):
+        tables.write_table(screened.filter("alpha_id = 'b'"), f"{tmp_path}/none")
+        tables.read_survivors(spark, f"{tmp_path}/none")
+    (tmp_path / "jumps.csv").write_text(" date , clarity,description\n2020-01-01,3,text\nnever,x,\n")
+    assert [tuple(r) for r in tables.read_jumps(spark, f"{tmp_path}/jumps.csv").collect()] == [(DAY0, 3.0, "text"), (None, None, None)]
+    (tmp_path / "parts.csv").write_text("symbol,market_cap,weight\nA,1,2\n")
+    assert tables.read_constituents(spark, f"{tmp_path}/parts.csv").columns == ["symbol"]
+    assert tables.first_existing("/nowhere", str(tmp_path)) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        tables.first_existing("/nowhere")
+
+
+def test_panel_and_artifact_files(spark, tmp_path):
+    raw = spark.createDataFrame([(f"2020-01-0{d} 00:00:00", "A", 1.0, 2.0, 0.5, c, 10, "x") for d, c in ((1, 1.0), (2, 2.0), (3, float("nan")), (4, 3.0))], "date string, symbol string, open double, high double, low double, close double, volume long, other string")
+    raw.withColumn("date", F.to_timestamp("date")).write.parquet(f"{tmp_path}/panel")
+    got = read_panel(spark, f"{tmp_path}/panel").orderBy("date").collect()
+    assert [(r["date"], r["returns"]) for r in got] == [(DAY0, None), (dt.date(2020, 1, 2), 1.0), (dt.date(2020, 1, 4), 0.5)] and "other" not in got[0]
+    folder = tmp_path / "artifacts"
+    folder.mkdir()
+    (folder / "alpha_1.json").write_text('{"metadata": {"model": "m", "theme": "t", "generation_status": "success"},\n "raw_response": "Section 1 cap\\n```\\nx\\n```", "response_sha256": "s"}')
+    (folder / "alpha_2.json").write_text('{"metadata": {"alpha_id": "own"}, "raw_response": null}')
+    found = A.read_artifacts(spark, str(folder))
+    flags = {r["alpha_id"]: r for r in A.validate(found).collect()}
+    assert flags["alpha_1"]["code_block_found"] and flags["alpha_1"]["names_cap"] and flags["own"]["code_block_found"] is None and flags["own"]["missing_sections"] is None
+    A.copy_survivors(found, spark.createDataFrame([("own", E.SURVIVED), ("alpha_1", E.REJECTED)], "alpha_id string, status string"), f"{tmp_path}/kept")
+    assert [r["alpha_id"] for r in spark.read.json(f"{tmp_path}/kept").collect()] == ["own"]
+
+
+def test_descriptions_and_cutoffs(spark):
+    rows = spark.createDataFrame([(DAY0, " longer text "), (DAY0, "short"), (DAY0, "NaN"), (DAY0, ""), (None, "x")], "date date, description string")
+    assert [tuple(r) for r in V.descriptions(rows).collect()] == [(DAY0, "short")]
+    assert D.month_cutoff("2026-05") == "2026-06-01" and D.month_cutoff("2025-12") == "2026-01-01"
+    for bad in ("2026-13", "2026-00"):
+        with pytest.raises(ValueError):
+            D.month_cutoff(bad)
+    with pytest.raises(ValueError):
+        D.cutoff_of("unknown", {"known": "2026-01"})
+
 
-    assert {"rank_ic_daily", "alpha_k033"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+def test_kept_tables_follow_their_source(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    make = lambda: spark.read.parquet(f"{tmp_path}/t")
+    assert kept("t", spark, f"{tmp_path}/t", make).count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t")
+    assert kept("t", spark, f"{tmp_path}/t", make).count() == 5
 
 
 def test_call_errors():
