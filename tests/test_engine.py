@@ -194,7 +194,7 @@ def test_artifacts_against_pandas(spark):
     """Signals of generated artifacts, one of each kind of statistic, against pandas written from their descriptions."""
     sparse = panel_of(spark, 80, 26, holes={(s, t) for s in range(0, 26, 3) for t in range(20, 80, 17)})
     names = ["alpha_8047543a", "alpha_cf45008b", "alpha_ac177fa4", "alpha_3205f951", "alpha_c76f01a4", "alpha_fc30ce60", "alpha_97aeb2d8", "alpha_b959ae38"]
-    short = {"alpha_cf45008b": {"N_mom": 5, "N_vol": 10, "N_vol_volume": 6}, "alpha_ac177fa4": {"N_lookback": 20}, "alpha_3205f951": {"N_cs_min": 10}, "alpha_c76f01a4": {"N_beta": 20}, "alpha_fc30ce60": {"N_beta": 30, "M_beta": 20}, "alpha_97aeb2d8": {"N_high": 20, "N_long_vol": 10}}
+    short = {"alpha_cf45008b": {"N_mom": 5, "N_vol": 10, "N_vol_volume": 6}, "alpha_ac177fa4": {"N_lookback": 20}, "alpha_3205f951": {"N_cs_min": 10}, "alpha_c76f01a4": {"N_beta": 20, "N_mkt": 10, "N_xs": 10}, "alpha_fc30ce60": {"N_beta": 30, "M_beta": 20}, "alpha_97aeb2d8": {"N_high": 20, "N_long_vol": 10}}
     got = evaluate(sparse, {n: artifact(n, **short.get(n, {})) for n in names}).toPandas().set_index(["date", "symbol"]).sort_index().astype(float)
     p = sparse.toPandas().set_index(["date", "symbol"]).sort_index()
     p = p.astype(float)
@@ -212,13 +212,13 @@ def test_artifacts_against_pandas(spark):
     spread = _by_symbol(r, lambda x: x.rolling(20, min_periods=20).std(ddof=0))
     raw = -_by_symbol(c, lambda x: x / x.shift(3) - 1) / (spread * 3**0.5) * np.log(1 + v / roll(v, 20, "median"))
     want["alpha_3205f951"] = raw.groupby(level="date").rank(pct=True).where(date(raw, "count") >= 10) - 0.5
-    m = date(r, "mean").where(date(r, "count") >= 20)
+    m = date(r, "mean").where(date(r, "count") >= 10)
     x, y = r.where(m.notna()), m.where(r.notna())
     s = lambda a: roll(a, 20, "sum")
     b = (s(x * y) - s(x) * s(y) / 20) / (s(y * y) - s(y) ** 2 / 20)
     shock = m.groupby(level="date").first().rolling(5, min_periods=5).sum()
     e = b * pd.Series(shock.reindex(b.index.get_level_values("date")).to_numpy(), b.index)
-    want["alpha_c76f01a4"] = (-centred(e)).where(date(e, "count") >= 20)
+    want["alpha_c76f01a4"] = (-centred(e)).where(date(e, "count") >= 10)
     m = date(r, "mean").where(date(r, "count") >= 2)
     x, y = r.where(m.notna()), m.where(r.notna())
     q = lambda a: roll(a, 30, "mean", 20)
