@@ -351,17 +351,70 @@ def test_language_model_reads_all_trusted(spark):
     assert seen == [26_000 - held] and seen[0] > 20_000
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_in_shards(spark, docs, monkeypatch, order):
-    rows = [(i, prose(60), "en", "s", 1) for i in range(100, 140)] + fixture()
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 130)], "doc_id long, quality int, toxic int")
+def kneser_ney(texts, order, vocabulary=50_257):
+    """Interpolated modified Kneser-Ney by dictionaries: log probability of a token after its predecessors."""
+    grams = collections.Counter()
+    for t in texts:
+        t = (None,) * (order - 1) + tuple(t)
+        grams.update(t[i : i + order] for i in range(len(t) - order + 1))
+    counts = {order: grams}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k):
+        n = [max(1, sum(c == i for c in counts[k].values())) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1]
+
+    below = {k: discount(k) for k in counts}
+    totals, masses = {}, {}
+    for k, found in counts.items():
+        for g, c in found.items():
+            totals[k, g[:-1]] = totals.get((k, g[:-1]), 0) + c
+            masses[k, g[:-1]] = masses.get((k, g[:-1]), 0) + below[k](c)
+
+    def prob(g):
+        k, context = len(g), g[:-1]
+        lower = 1 / vocabulary if k == 1 else prob(g[1:])
+        if (k, context) not in totals:
+            return lower
+        c = counts[k].get(g, 0)
+        return ((c - below[k](c) if c else 0) + masses[k, context] * lower) / totals[k, context]
+
+    return lambda t: [np.log(prob(((None,) * (order - 1) + tuple(t))[i : i + order])) for i in range(len(t))]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_perplexity_against_brute_force(spark, docs, order):
+    """Every document's perplexity, and the limits and verdicts; sixteen shards and several pieces."""
+    words = WORDS[:40]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 60))), "en" if i % 3 else None, "s", 1) for i in range(100, 160)] + fixture() + [(None, "x", "de", None, 1)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 150)] + [(150, 0, 0), (151, 1, 1)], "doc_id long, quality int, toxic int")
+    held = {r[0] for r in labels.filter("quality = 1 and toxic = 0 and pmod(xxhash64(doc_id), 5) = 0").collect()}
+    t = Tokenizer.from_file(TOKENIZER)
+    ids = [t.encode(r[1] or "", add_special_tokens=False).ids for r in rows]
+    model = kneser_ney([x for r, x in zip(rows, ids) if r[0] in range(100, 150) and r[0] not in held], order)
+    scores = [-np.mean(model(x)) if x else None for x in ids]
+    limits = quality_lm._limits([(r[2], int(np.floor(round(s, 6) / quality_lm.BIN)), 1) for r, s in zip(rows, scores) if r[0] in held], 0.99, 0.3)
+    want = sorted(((r[0], r[2], len(x), s and np.exp(s), np.exp(limits.get((r[2], "lang"), limits[("all",)]))) for r, x, s in zip(rows, ids, scores)), key=str)
     every = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    whole = collections.Counter(map(tuple, quality_verdicts(every, labels, TOKENIZER, order=order).collect()))
-    monkeypatch.setattr(quality_lm, "BROADCAST_GRAMS", 400)
-    split = collections.Counter(map(tuple, quality_verdicts(every, labels, TOKENIZER, order=order).collect()))
-    key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    for a, b in zip(sorted(whole.elements(), key=key), sorted(split.elements(), key=key), strict=True):
-        assert (a[:3], a[5]) == (b[:3], b[5]) and [x or 0 for x in a[3:5]] == pytest.approx([x or 0 for x in b[3:5]], rel=1e-4)
+    got = sorted(map(tuple, quality_verdicts(every, labels, TOKENIZER, order=order).collect()), key=str)
+    key = lambda r: (str(r[0]), r[2], r[3] or 0)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and (a[3] or 0, a[4]) == pytest.approx((b[3] or 0, b[4]), rel=2e-4) and a[5] == (b[3] is not None and a[3] <= a[4])
+
+
+def test_keep_good_leaves_columns_alone(spark):
+    """Input columns with the operator's own names, repeated rows and null languages come through as they are."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(40), None if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, None, None)], "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("_tokens", "_limit", "_kept", "id", "tokens", "kept", "text_", "lang_")})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = quality_lm.keep_good(docs, labels, TOKENIZER)
+    verdicts = collections.Counter(r["doc_id"] for r in quality_verdicts(docs, labels, TOKENIZER).collect() if r["kept"])
+    assert got.columns == docs.columns and collections.Counter(r["doc_id"] for r in got.collect()) == verdicts and verdicts[3] == 2 and {r["_kept"] for r in got.collect()} == {"x"}
 
 
 def test_rules_threshold_is_of_all_trusted(spark):
