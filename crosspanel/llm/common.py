@@ -118,6 +118,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, count: str, total: int, floor: int = 2_000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and in ``count`` how many rows of ``left`` have it.
+
+    Keys of more than ``floor`` rows and more than a hundred-thousandth of all ``total`` rows are at most 100,000: these rows
+    of ``right`` are broadcast, so that no task gathers the rows of a hot key. The others meet in a shuffle. ``left`` is read twice.
+    """
+    big = max(floor, total // 100_000)
+    hot, cold = right.filter(F.col(count) > big).drop(count), right.filter(F.col(count) <= big).drop(count)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

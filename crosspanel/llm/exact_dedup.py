@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, partitions, small_batches, squeeze, stash, text_bytes, tidy
+from .common import code_points, join_spread, partitions, small_batches, squeeze, stash, text_bytes, tidy
 
 #: Up to so many suspect fingerprints (8 bytes each) are broadcast; beyond that the texts meet them in a shuffled join.
 BROADCAST_FINGERPRINTS = 1_000_000
@@ -158,10 +158,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id"))
     groups = texts.groupBy("print", "squeezed").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
     groups = stash(groups.select(F.unhex(F.sha2("squeezed", 256)).alias("sha"), "size", F.col("best.id").alias("keep"), (-F.col("best.points")).alias("most")), "groups")
-    # the row that stays is met by (text, id, length), never by the text alone: copies of one text spread
-    top = suspects.select("sha", "id", "points", "row").join(groups.select(F.col("sha").alias("_sha"), "keep", "most"), (F.col("sha") == F.col("_sha")) & F.col("id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("most")))
+    # the row that stays is met by (text, id, length), whose rows are combined first: copies of one text spread
+    top = suspects.groupBy("sha", "id", "points").agg(F.min("row").alias("row")).join(groups.select(F.col("sha").alias("_sha"), "keep", "most"), (F.col("sha") == F.col("_sha")) & F.col("id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("most")))
     winners = top.groupBy("sha").agg(F.min("row").alias("winner"))
     decided = stash(groups.join(winners, "sha").select("sha", "keep", "size", "winner"), "decided")
-    copies = suspects.join(decided, "sha").select("id", "keep", "size", (F.col("row") == F.col("winner")).alias("kept"), "sha")
+    copies = join_spread(suspects, decided.withColumn("many", F.col("size")), "sha", "many", suspects.count()).select("id", "keep", "size", (F.col("row") == F.col("winner")).alias("kept"), "sha")
     both = single.unionByName(copies)
     return both.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
