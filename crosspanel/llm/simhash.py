@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, small_batches, stash, text_bytes, tidy
+from .common import join_spread, partitions, small_batches, stash, text_bytes, tidy
 from .repeats import by_key
 
 HALF = 32
@@ -172,15 +172,17 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """``node, root`` for every node of the edges (a, b): root is the smallest node reachable.
 
-    Alternating large and small stars; each round is written to the shared folder. Raises if ``most`` rounds aren't enough.
+    Alternating large and small stars; edges of a hub are not gathered in one task (see ``join_spread``). Each round is written to the shared folder. Raises if ``most`` rounds aren't enough.
     """
     edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        total = 2 * edges.count()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_spread(both.filter("v > u"), least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stash(large, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_spread(large, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         fresh = stash(small, "edges")
         # done when every node has one edge, to a node that has none
         roots = fresh.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
@@ -191,6 +193,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def component_ids(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``key, n, component_id``: the least id in the component of each node. ``nodes`` has key, least and n; ``found`` node and root."""
+    members = found.select(F.col("node").alias("_node"), "root").unionByName(found.select(F.col("root").alias("_node"), "root").distinct())
+    rooted = stash(nodes.join(members, F.col(key) == F.col("_node"), "left").select(key, "least", "n", F.coalesce("root", key).alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("many"))
+    return stash(join_spread(rooted, ids, "root", "many", rooted.count()).select(key, "n", "component_id"), "labels")
+
+
 def simhash_dedup(docs: DataFrame, distance: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint, component_id`` of every row.
 
@@ -203,10 +213,6 @@ def simhash_dedup(docs: DataFrame, distance: int = 3, width: int = 3, id_col: st
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("print", T.LongType())])
     marked = stash(slim.mapInArrow(tidy(_fingerprints(width)), schema), "simhash")
-    nodes = stash(marked.groupBy("print").agg(F.min("id").alias("least")), "nodes")
-    found = components(near_edges(nodes.select("print"), distance))
-    members = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    rooted = nodes.join(members, nodes["print"] == members["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("print", "root").join(ids, "root").select("print", "component_id")
-    return marked.join(labels, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = stash(marked.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    labels = component_ids(nodes, components(near_edges(nodes.select("print"), distance)), "print")
+    return join_spread(marked, labels, "print", "n", marked.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
