@@ -314,6 +314,103 @@ def test_pipeline_stages(spark, docs):
     assert len(kept) == len({squeeze((f[1] or "").encode()) for f in fixture()})
 
 
+def test_hot_keys_are_spread(spark):
+    """A join whose hot keys are broadcast and whose others are shuffled has the rows of a plain one."""
+    from crosspanel.llm.common import join_spread
+
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(100)], "k int, v int")
+    right = left.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as w").filter("k <> 95")
+    got = sorted(map(tuple, join_spread(left, right, "k", "n", 100, floor=5).collect()))
+    assert got == sorted((k, v, 2 * k) for k, v in map(tuple, left.collect()) if k != 95)
+
+
+@pytest.mark.parametrize("hub", [True, False])
+def test_components(spark, hub):
+    """A hub of 5,000 leaves, and a path, beside small parts: roots against union-find."""
+    from crosspanel.llm.simhash import components
+
+    pairs = [(7, 100 + i) for i in range(5_000)] if hub else [(100 + i, 101 + i) for i in range(300)]
+    pairs += [(1, 2), (2, 3), (50, 3), (60, 61), (61, 60)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up if root(x) != x}
+
+
+CLASHES = ("_id", "_source", "_times", "_copy", "_sha", "_place", "_tokens", "_limit", "_kept", "_many", "id", "text_", "kept")
+
+
+def _pipeline_docs():
+    """Documents with repeated rows, copies, near copies, poor and empty texts, ties that differ in another column only."""
+    rows = []
+    for i in range(60):
+        rows.append((i, prose(60), "en" if i % 2 else "de", f"s{i % 3}" if i % 7 else None, i))
+    base = rows[5][1].split()
+    rows += [(100, rows[3][1] + " ", "en", "s1", 1), (101, " ".join([*base[:-1], "other"]), "en", "s2", 2), (102, " ".join(f"{w.upper()}%%%" for w in base), "en", "s0", 3), (103, None, "en", None, 4), (104, " ", None, "s1", 5)]
+    rows += [rows[8], (*rows[9][:4], 1), (*rows[9][:4], 2), (None, rows[10][1], "en", "s1", 6), (None, prose(50), "en", "s1", 7)]
+    return rows
+
+
+def test_pipeline_run(spark, tmp_path):
+    """All five stages through run(), against a brute-force version of each on what the stage before it kept."""
+    import corpus_pipeline as C
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(_pipeline_docs(), SCHEMA).withColumns({c: F.lit("x") for c in CLASHES})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    row = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])
+    now, seen = docs, {}
+    for name, stage in C.STAGES[:-1]:
+        now = C.stash(stage(spark, now, str(tmp_path)), "test")
+        assert now.columns == docs.columns and now.filter("_kept <> 'x'").count() == 0
+        seen[name] = [row(r) for r in now.collect()]
+    again = spark.createDataFrame(seen["quality classifier"], SCHEMA)
+    for name, stage in C.STAGES[1:3]:  # ties are broken alike, however rows are dealt out
+        again = C.stash(stage(spark, again.repartition(5, F.rand(1)), str(tmp_path)), "test")
+        assert collections.Counter(map(row, again.collect())) == collections.Counter(seen[name])
+    good = collections.Counter((r["doc_id"], r["lang"], r["kept"]) for r in quality_verdicts(docs, labels, TOKENIZER).collect())
+    assert collections.Counter((i, lang) for i, _, lang, _, _ in seen["quality classifier"]) == {(i, lang): n for (i, lang, kept), n in good.items() if kept}
+    assert not {102, 103, 104} & {r[0] for r in seen["quality classifier"]}
+    groups = collections.defaultdict(list)
+    for r in seen["quality classifier"]:
+        groups[squeeze(r[1].encode())].append(r)
+    best = {k: min((-len(r[1]), r[0] is None, r[0] or 0) for r in v) for k, v in groups.items()}
+    assert sorted((-len(r[1]), r[0] is None, r[0] or 0) for r in seen["exact dedup"]) == sorted(best.values())
+    words = [(r, frozenset(zip(*(r[1].lower().split()[k:] for k in range(5))))) for r in seen["exact dedup"]]
+    gone = {max(a[0], b[0]) for a, x in words for b, y in words if a[0] is not None and b[0] is not None and a[0] < b[0] and 5 * len(x & y) >= 4 * len(x | y)}
+    assert gone == {101} and sorted(map(str, seen["near-dedup"])) == sorted(str(r) for r, _ in words if r[0] not in gone)
+    taken = {(r["doc_id"], r["source"]): (r["taken"], r["size"]) for r in mix(spark.createDataFrame(seen["near-dedup"], SCHEMA)).collect() if r["doc_id"] is not None}
+    times = collections.Counter((r[0], r[3]) for r in seen["mixing"] if r[0] is not None)
+    assert times == {k: (2 * t + n) // (2 * n) for k, (t, n) in taken.items() if n and 2 * t >= n}
+    packed = C.run(spark, str(tmp_path)).collect()
+    t = Tokenizer.from_file(TOKENIZER)
+    want = collections.Counter()
+    for r in seen["mixing"]:
+        want[r[0]] += len(t.encode(r[1], add_special_tokens=False).ids) + 1
+    got = collections.Counter()
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+    assert got == want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_near_copies(spark):
     """The near stage against all pairs of five-word shingle sets; op2's three bits leave most of these copies."""
     import corpus_pipeline as C
