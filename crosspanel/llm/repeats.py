@@ -3,7 +3,8 @@
 Consecutive windows that share their minimal k-gram hash (the minimizer) form a run. Equal windows have equal minimizers, so
 runs dealt by minimizer meet every window they can equal, at a twelfth (words) or less of the rows that single windows take.
 Minimizers that a sample of documents shows to be very frequent are hot; their windows are dealt one by one, by their own
-hash. A sender passes on a run that it sees again and again twice; further copies are known to be repeated.
+hash. What the sample misses is cut where it comes (``by_key_cut``), so no task holds a whole frequent key. A sender passes
+on a run that it sees again and again twice; further copies are known to be repeated.
 """
 
 from __future__ import annotations
@@ -82,26 +83,33 @@ def runs_of(valid: np.ndarray, key: np.ndarray, cap: int = RUN) -> tuple[np.ndar
 
 
 class Seen:
-    """How often a task has sent each run so far (it counts to two). Forgetting is harmless: a run is then sent again."""
+    """How often a task has sent each run so far (it counts to two). Forgetting is harmless: a run is then sent again.
+
+    Runs are told apart by two 64-bit halves of a digest; of two that share the first half only one is remembered.
+    """
 
     def __init__(self, most: int = 3_000_000) -> None:
-        self.once, self.twice, self.most = np.zeros(0, np.uint64), np.zeros(0, np.uint64), most
+        self.first, self.second, self.count, self.most = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), most
 
-    def keep(self, hashes: np.ndarray) -> np.ndarray:
+    def keep(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Which of these to send; the others have been sent twice."""
-        if len(self.once) > self.most:
-            self.once = self.twice = np.zeros(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        s = hashes[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(s)))
-        rank = np.arange(len(s)) - np.repeat(first, size)
-        distinct = s[first]
-        before = np.isin(distinct, self.once, assume_unique=True).astype(np.int64) + np.isin(distinct, self.twice, assume_unique=True)
-        out = np.empty(len(hashes), bool)
+        if len(self.first) > self.most:
+            self.__init__(self.most)
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(a)))
+        rank = np.arange(len(a)) - np.repeat(head, size)
+        da, db = a[head], b[head]
+        at = np.minimum(np.searchsorted(self.first, da), max(0, len(self.first) - 1))
+        met = (self.first[at] == da) & (self.second[at] == db) if len(self.first) else np.zeros(len(da), bool)
+        before = np.where(met, self.count[at], 0) if len(self.first) else np.zeros(len(da), np.int64)
+        out = np.empty(len(first), bool)
         out[order] = rank + np.repeat(before, size) < 2
-        self.twice = np.union1d(self.twice, distinct[before + size >= 2])
-        self.once = np.union1d(self.once, distinct)
+        self.count[at[met]] = np.minimum(before + size, 2)[met]
+        fresh = ~met
+        _, new = np.unique(np.concatenate([self.first, da[fresh]]), return_index=True)  # what is remembered comes first
+        self.first, self.second, self.count = (np.concatenate([x, y[fresh]])[new] for x, y in ((self.first, da), (self.second, db), (self.count, np.minimum(size, 2))))
         return out
 
 
@@ -139,6 +147,62 @@ def by_key(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def by_key_cut(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """(table, begun, goes_on): as ``by_key``, but a key of more than ``most`` rows is cut, so tables are bounded.
+
+    ``begun``: rows of the first key may have been in tables before; ``goes_on``: rows of the last key may come in later ones.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, begun = 0, False
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = whole.column("key").to_numpy()
+        cut = int(np.flatnonzero(keys == keys[-1])[0])
+        if cut:
+            yield whole.slice(0, cut), begun, False
+            begun, rows = False, rows - cut
+        held = whole.slice(cut).to_batches()
+        if rows >= most:
+            yield whole.slice(cut), begun, True
+            held, rows, begun = [], 0, True
+    if rows:
+        yield pa.Table.from_batches(held), begun, False
+
+
+def repeated_rows(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, flags) of rows sorted by ``key`` and ``proof``: flagged if another row has both. Equals are found by binary search.
+
+    Tables are bounded, however many rows are equal: the last row of one is compared with the first ones of the next.
+    """
+    carry, last = None, None
+    for t, _, goes_on in by_key_cut(batches, least, most):
+        if carry is not None:
+            t, carry = pa.concat_tables([carry, t]), None
+        key, proof = t.column("key").to_numpy(), t.column("proof").to_numpy()
+        order = np.lexsort((proof, key))
+        key, proof = key[order], proof[order]
+        twin = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left") > 1
+        same = (key[1:] == key[:-1]) & (proof[1:] == proof[:-1])
+        twin &= np.append(same, False) | np.append(False, same)
+        if last is not None:
+            twin |= (key == last[0]) & (proof == last[1])
+        last = key[-1], proof[-1]
+        flags = np.empty(len(key), bool)
+        flags[order] = twin
+        if goes_on and not twin[-1]:
+            at = int(order[-1])
+            carry, last = t.slice(at, 1), None
+            rest = np.delete(np.arange(len(key)), at)
+            t, flags = t.take(pa.array(rest)), flags[rest]
+        yield t, flags
+    if carry is not None:
+        yield carry, np.zeros(1, bool)
+
+
 def flagged_spans(flag: np.ndarray, record: np.ndarray, position: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, begin, end) of the covered symbols, one for each stretch of flagged windows in a record."""
     at = np.flatnonzero(flag)
@@ -165,7 +229,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, text: Column) -> DataFrame:
 
     Documents with the same id and the same text share their intervals. Both sides meet by id and a hash of the text.
     """
-    lists = spans.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    lists = spans.groupBy("id", "print").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # repeated rows find equal intervals
     lists = lists.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "spans")
     left = docs.select("id", F.xxhash64(text).alias("print"), text.alias("text"))
     return left.join(lists, left["id"].eqNullSafe(lists["_id"]) & (left["print"] == lists["_print"]), "left").select("id", "text", "spans")

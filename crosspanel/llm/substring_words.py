@@ -1,4 +1,4 @@
-"""Substring dedup over words: Rabin-Karp hashes of every fixed-length window of words, counted in Spark."""
+"""Substring dedup over words: Rabin-Karp hashes of every fixed-length window of words, shuffled in runs by Spark and counted by the tasks that own them."""
 
 from __future__ import annotations
 
@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix64, partitions, small_batches, text_bytes, tidy
-from .repeats import CODE, Roller, Seen, binary_array, by_key, flagged_spans, merge, ranges, runs_of, sliding_min, span_arrays, with_spans
+from .common import mix64, partitions, small_batches, stash, text_bytes, tidy
+from .repeats import CODE, Roller, Seen, binary_array, by_key_cut, flagged_spans, merge, ranges, repeated_rows, runs_of, sliding_min, span_arrays, with_spans
 
 #: Words are taken to memory in pieces of about so many bytes of text.
 PIECE = 4 << 20
-#: Share of the sampled documents from which on a minimizer is hot, and one document in so many is sampled.
-HOT_SHARE, SAMPLE = 0.002, 64
+#: A minimizer is hot if it is estimated in this share of the documents, or in so many; one document in SAMPLE is looked at.
+HOT_SHARE, HOT_ROWS, SAMPLE = 0.002, 20_000, 64
+#: Rows of one minimizer beyond which its windows are dealt out once more, each by its own hash.
+MOST = 200_000
 
 
 class Words:
@@ -82,13 +84,10 @@ def _hot(window: int, gram: int):
 
 
 def hot_keys(docs: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Minimizers of at least ``HOT_SHARE`` of a sample of documents: a hint for dealing; results don't depend on it.
-
-    A document has a bounded mean number of runs, so the list is bounded by that mean over ``HOT_SHARE``.
-    """
+    """Very frequent minimizers of a sample of documents: a hint for dealing, at most 100,000; results don't depend on it."""
     sample = docs.filter(F.pmod(F.xxhash64("id", "print"), F.lit(SAMPLE)) == 0)
     counted = sample.select("text").mapInArrow(tidy(_hot(window, gram)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    least = max(3, int(sample.count() * HOT_SHARE))
+    least = max(3, min(HOT_ROWS // SAMPLE, int(sample.count() * HOT_SHARE)))
     found = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(100_000).collect()
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
@@ -108,10 +107,10 @@ def _send(window: int, gram: int, hot: np.ndarray, schema: pa.Schema):
                 loose = np.isin(least[start], hot)
                 single = ranges(start[loose], length[loose])
                 start, length = np.concatenate([start[~loose], single]), np.concatenate([length[~loose], np.ones(len(single), np.int64)])
-                key = np.concatenate([least[start[: len(start) - len(single)]], mix64(whole[single] ^ np.uint64(1))])
+                key = np.concatenate([least[start[: len(start) - len(single)]], mix64(whole[single] ^ mix64(least[single]))])
                 sums = np.append(np.uint64(0), np.cumsum(mix64(whole) * roll.power[: len(whole)], dtype=np.uint64))
                 content = mix64((sums[start + length] - sums[start]) * roll.inverse[start] ^ key)
-                send = seen.keep(content)
+                send = seen.keep(content, key)
                 row = owner[start]
                 place = start - begin[row]
                 at = ranges(start[send], length[send])
@@ -138,38 +137,52 @@ def _send(window: int, gram: int, hot: np.ndarray, schema: pa.Schema):
     return run
 
 
-def _count(window: int):
-    """Owner task: windows with one minimizer and one hash that occur twice are repeated."""
+def _count(window: int, most: int, schema: pa.Schema):
+    """Owner task: windows with one minimizer and one hash that occur twice are repeated.
+
+    Rows are spans (``key`` is null), or, of a minimizer with more than ``most`` rows, single windows for another count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, 150_000):
+        for t, begun, goes_on in by_key_cut(batches, 150_000, most):
             known = t.column("code").is_null().to_numpy() if t.column("code").null_count else np.zeros(t.num_rows, bool)
             n = t.column("n").to_numpy().astype(np.int64)
             start = t.column("start").to_numpy().astype(np.int64)
+            key = t.column("key").to_numpy().view(np.uint64)
+            part = (begun & (key == key[0])) | (goes_on & (key == key[-1]))  # of a key that other tables have too
             full = np.flatnonzero(~known)
             code = np.frombuffer(b"".join(t.column("code").take(pa.array(full)).to_pylist()), np.uint8).reshape(-1, CODE)
             wide = np.zeros((len(code), 8), np.uint8)
             wide[:, :CODE] = code
+            code = wide.view(np.uint64).ravel()
             record = np.repeat(full, n[full])
-            key = t.column("key").to_numpy().view(np.uint64)
-            both = mix64(key)[record] + mix64(wide.view(np.uint64).ravel())
-            order = np.argsort(both)
-            s = both[order]
-            twin = np.zeros(len(s), bool)
-            twin[1:] = s[1:] == s[:-1]
-            twin[:-1] |= twin[1:]
-            flag = np.empty(len(s), bool)
-            flag[order] = twin
+            order = np.lexsort((code, key[record]))
+            a, b = key[record][order], code[order]
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            flag = np.empty(len(order), bool)
+            flag[order] = np.append(same, False)[: len(order)] | np.append(False, same)[: len(order)]
             position = ranges(start[full], n[full])
-            r, b, e = flagged_spans(flag, record, position, window)
+            loose = part[record]
+            r, x, y = flagged_spans(flag & ~loose, record, position, window)
             k = np.flatnonzero(known)
-            r, b, e = np.concatenate([r, k]), np.concatenate([b, start[k]]), np.concatenate([e, start[k] + n[k] - 1 + window])
-            at = pa.array(r)
-            yield pa.RecordBatch.from_arrays([t.column("id").take(at).combine_chunks(), t.column("print").take(at).combine_chunks(), pa.array(b.astype(np.int32)), pa.array(e.astype(np.int32))], names=["id", "print", "begin", "end"])
+            lone = np.flatnonzero(loose)
+            none = len(r) + len(k)
+            r, x, y = np.concatenate([r, k, record[lone]]), np.concatenate([x, start[k], position[lone]]), np.concatenate([y, start[k] + n[k] - 1 + window, position[lone] + window])
+            again = np.append(np.zeros(none, np.uint64), mix64(key[record[lone]] ^ mix64(code[lone]))).view(np.int64)
+            at, span = pa.array(r), np.arange(len(r)) < none
+            yield pa.RecordBatch.from_arrays([
+                pa.array(again, mask=span), pa.array(np.append(np.zeros(none, np.uint64), code[lone]).view(np.int64), mask=span),
+                t.column("id").take(at).combine_chunks(), t.column("print").take(at).combine_chunks(), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)),
+            ], schema=schema)
 
     return run
 
 
+def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t, flags in repeated_rows(batches, 150_000, 400_000):
+        yield from t.filter(pa.array(flags)).drop_columns(["key", "proof"]).to_batches()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, begins, ends = span_arrays(batch.column(2))
@@ -193,7 +206,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_word_spans(slim: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
+def repeated_word_spans(slim: DataFrame, window: int = 35, gram: int = 12, most: int | None = None) -> DataFrame:
     """``id, print, begin, end``: intervals of words that repeated windows cover. ``slim`` has id, print (hash of the text), text."""
     kind = slim.schema["id"].dataType
     hot = hot_keys(slim, window, gram)
@@ -201,21 +214,28 @@ def repeated_word_spans(slim: DataFrame, window: int = 35, gram: int = 12) -> Da
     sent = slim.mapInArrow(tidy(_send(window, gram, hot, pa.schema(fields))), T.StructType([
         T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("print", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("code", T.BinaryType()),
     ]))
-    dealt = sent.repartition(partitions(slim.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(tidy(_count(window)), T.StructType([T.StructField("id", kind), T.StructField("print", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    n = partitions(slim.sparkSession)
+    spans = T.StructType([T.StructField("id", kind), T.StructField("print", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    fields = [("key", pa.int64()), ("proof", pa.int64()), ("id", to_arrow_type(kind)), ("print", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())]
+    counted = sent.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
+        tidy(_count(window, MOST if most is None else most, pa.schema(fields))), T.StructType([T.StructField("key", T.LongType()), T.StructField("proof", T.LongType()), *spans.fields])
+    )
+    counted = stash(counted, "counted")
+    again = counted.filter("key is not null").repartition(n, "key").sortWithinPartitions("key", "proof").mapInArrow(tidy(_recount), spans)
+    return counted.filter("key is null").select(spans.names).unionByName(again)
+
+
+def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 12, most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word of a window of ``window`` words that also starts anywhere else: ``id_col, n_words, n_removed, kept_sha256``.
 
     Windows are judged on the input and never cross documents. Repeated rows are repetitions of each other. A null text
     has no words; its digest is that of the empty string. Null ids are kept; an empty table gives an empty result; other
-    columns are not read.
+    columns are not read. A minimizer with more than ``most`` rows in one task has its windows dealt out once more.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_word_spans(slim, window, gram)
+    spans = repeated_word_spans(slim, window, gram, most)
     joined = with_spans(slim, spans, F.col("text"))
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(tidy(_cut), schema).withColumnRenamed("id", id_col)

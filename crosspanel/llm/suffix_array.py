@@ -1,10 +1,11 @@
 """Suffix-array dedup of byte strings.
 
 Windows that can be repeated are found first: runs of windows with one minimizer (see ``repeats``) whose minimizer occurs
-again. Runs whose whole content occurs twice are repeated as they are. What remains, runs that share a minimizer but not
-their content, goes to shards by minimizer. A shard builds the suffix array of its runs by Larsson-Sadakane refinement, takes
-common prefixes by Kasai's algorithm, and marks windows that agree with a neighbour on their full length. A very frequent
-minimizer is spread over shards by content; their sorted windows are then merged by binary search.
+again. Runs whose whole bytes, told by a 128-bit digest, occur twice are repeated as they are. What remains, runs that share a
+minimizer but not their bytes, goes to shards by minimizer. A shard builds the suffix array of its runs by Larsson-Sadakane
+refinement, takes common prefixes by Kasai's algorithm, and marks windows that agree with a neighbour on their full length.
+A very frequent minimizer is spread over shards by content, and one that fills a shard is cut; the digests of their windows
+are sorted across shards and met by binary search.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import buffers, mix64, partitions, small_batches, stash, text_bytes, tidy
-from .repeats import Roller, Seen, binary_array, by_key, flagged_spans, merge, ranges, runs_of, sliding_min, span_arrays
+from .repeats import Roller, Seen, binary_array, by_key_cut, flagged_spans, merge, ranges, repeated_rows, runs_of, sliding_min, span_arrays
 
 #: Bytes of text scanned at once.
 PIECE = 1 << 20
@@ -28,8 +29,10 @@ PIECE = 1 << 20
 SHARD = (1 << 21) - 4096
 #: Low bits of a minimum that hold its place in a piece of text.
 _PLACE = np.uint64((1 << 28) - 1)
-#: One document in SAMPLE is looked at for very frequent minimizers: those in HOT_SHARE of the sampled documents.
-SAMPLE, HOT_SHARE = 64, 0.002
+#: A minimizer is very frequent if it is estimated in this share of the documents, or in so many; one document in SAMPLE is looked at.
+SAMPLE, HOT_SHARE, HOT_ROWS = 64, 0.002, 20_000
+#: Rows of one minimizer beyond which a task takes them in parts: when it settles equal runs, and when it fills shards.
+MOST_RUNS, MOST_PARTS = 400_000, 40_000
 
 
 # ---- the suffix array -------------------------------------------------------------------------------------------------
@@ -146,6 +149,13 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarra
         yield first, raw[ranges(begin[first:at], counts)], counts
 
 
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of stretches of bytes, as two unsigned 64-bit columns."""
+    view, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    joined = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    return np.frombuffer(joined, np.uint64).reshape(-1, 2)
+
+
 def _scan(data: np.ndarray, counts: np.ndarray, roll: Roller, window: int, gram: int):
     if len(data) < window:
         return None
@@ -163,7 +173,7 @@ def _scan(data: np.ndarray, counts: np.ndarray, roll: Roller, window: int, gram:
     row = np.searchsorted(begin, start, side="right") - 1
     while len(row) and (counts[row] == 0).any():  # several texts may begin at one place: the last one has bytes
         row = np.where(counts[row] == 0, row + 1, row)
-    content = mix64((prefix[start + n + window - 1] - prefix[start]) * roll.inverse[start] + n.astype(np.uint64))
+    content = digests(data, start, start + n + window - 1)
     # equal windows in one run have their minimizers at different places
     moves = np.append(0, np.cumsum(place[1:] != place[:-1]))
     return start, n, row, least[start], content, begin, moves[start + n - 1] != moves[start]
@@ -188,13 +198,13 @@ def hot_keys(slim: DataFrame, window: int, gram: int) -> np.ndarray:
     """Very frequent minimizers of a sample: a hint for dealing that results don't depend on; at most 100,000."""
     sample = slim.filter(F.pmod(F.xxhash64("id", "print"), F.lit(SAMPLE)) == 0)
     counted = sample.select("text").mapInArrow(tidy(_hot(window, gram)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    least = max(3, int(sample.count() * HOT_SHARE))
+    least = max(3, min(HOT_ROWS // SAMPLE, int(sample.count() * HOT_SHARE)))
     found = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(100_000).collect()
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
 
 def _runs(window: int, gram: int, hot: np.ndarray, schema: pa.Schema):
-    """Rows (key, mini, content, id, print, start, n, known, own); own: the run may repeat itself. A hot run is dealt by its content, others by their minimizer."""
+    """Rows (key, mini, content, proof, id, print, start, n, known, own); own: the run may repeat itself. A hot run is dealt by its content, others by their minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, seen = Roller(), Seen()
@@ -204,46 +214,67 @@ def _runs(window: int, gram: int, hot: np.ndarray, schema: pa.Schema):
                 if (found := _scan(data, counts, roll, window, gram)) is None or not len(found[0]):
                     continue
                 start, n, row, mini, content, begin, own = found
-                known = ~seen.keep(mix64(content ^ mini))
+                content, proof = content[:, 0].copy(), content[:, 1].copy()
+                known = ~seen.keep(content, proof)
                 key = np.where(np.isin(mini, hot), mix64(content ^ mini), mini)
                 key = np.where(known, mix64(prints[first + row].view(np.uint64) + start.astype(np.uint64)), key)
                 at = first + row
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(key.view(np.int64)), pa.array(mini.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(prints[at]),
+                    pa.array(key.view(np.int64)), pa.array(mini.view(np.int64)), pa.array(content.view(np.int64)), pa.array(proof.view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(prints[at]),
                     pa.array((start - begin[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known), pa.array(own),
                 ], schema=schema)
 
     return run
 
 
-def _settle(window: int, hot: np.ndarray):
-    """Owner of minimizers: rows (id, print, begin, end, mini, content, open). Not open: repeated; open: for a shard to sort out."""
+def _settle(window: int, hot: np.ndarray, most: int):
+    """Owner of minimizers: rows (id, print, begin, end, mini, content, open). Not open: repeated; open: for a shard to sort out.
+
+    Rows come sorted by key and content. A key of more than ``most`` rows comes in several tables; all its contents go to the shards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, 200_000):
-            key, mini, content = (t.column(name).to_numpy() for name in ("key", "mini", "content"))
+        carry, last = None, None
+        for t, begun, goes_on in by_key_cut(batches, 200_000, most):
+            if carry is not None:
+                t, carry = pa.concat_tables([carry, t]), None
+            key, mini, content, proof = (t.column(name).to_numpy() for name in ("key", "mini", "content", "proof"))
             start, n = t.column("start").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64)
             known = t.column("known").to_numpy()
             free = np.flatnonzero(~known)
-            order = free[np.lexsort((content[free], key[free]))]
-            k, c = key[order], content[order]
+            order = free[np.lexsort((proof[free], content[free], key[free]))]
+            if goes_on and len(order):
+                end = order[-1]
+                alike = (key[order] == key[end]) & (content[order] == content[end]) & (proof[order] == proof[end])
+                if alike.sum() == 1 and last != (key[end], content[end], proof[end]):  # its copies may come later
+                    carry, order = t.slice(int(end), 1), order[:-1]
+            k, c, p = key[order], content[order], proof[order]
             new_key = np.ones(len(order), bool)
             new_key[1:] = k[1:] != k[:-1]
             new = new_key.copy()
-            new[1:] |= c[1:] != c[:-1]
+            new[1:] |= (c[1:] != c[:-1]) | (p[1:] != p[:-1])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(order)))
             group = np.cumsum(new_key) - 1
-            mixed = (np.bincount(group, new)[group] > 1)[first] | np.isin(mini[order[first]].view(np.uint64), hot) | t.column("own").to_numpy()[order[first]]
+            cut = (begun & (k == key[0])) | (goes_on & (k == key[-1])) if len(key) else np.zeros(0, bool)
+            mixed = ((np.bincount(group, new)[group] > 1) | cut)[first] | np.isin(mini[order[first]].view(np.uint64), hot) | t.column("own").to_numpy()[order[first]]
+            met = np.array([last == x for x in zip(k[first].tolist(), c[first].tolist(), p[first].tolist())], bool) if begun and last else np.zeros(len(first), bool)
+            if len(order):
+                last = k[-1].item(), c[-1].item(), p[-1].item()
             # copies: all rows of a content that comes twice; the first row of each content of a mixed minimizer goes on
-            done = np.concatenate([np.flatnonzero(known), order[np.repeat(size > 1, size)]])
-            rows = np.concatenate([done, order[first[mixed]]])
-            open_ = np.arange(len(rows)) >= len(done)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([
-                t.column("id").take(at).combine_chunks(), t.column("print").take(at).combine_chunks(), pa.array(start[rows].astype(np.int32)),
-                pa.array((start[rows] + n[rows] - 1 + window).astype(np.int32)), pa.array(mini[rows]), pa.array(content[rows]), pa.array(open_),
-            ], names=["id", "print", "begin", "end", "mini", "content", "open"])
+            done = np.concatenate([np.flatnonzero(known), order[np.repeat((size > 1) | met, size)]])
+            rows = np.concatenate([done, order[first[mixed & ~met]]])
+            yield settled(t, rows, len(done), start, n, mini, content)
+        if carry is not None:
+            one = [carry.column(name).to_numpy() for name in ("start", "n", "mini", "content")]
+            yield settled(carry, np.zeros(1, np.int64), 0, one[0].astype(np.int64), one[1].astype(np.int64), *one[2:])
+
+    def settled(t: pa.Table, rows: np.ndarray, done: int, start: np.ndarray, n: np.ndarray, mini: np.ndarray, content: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(rows)
+        return pa.RecordBatch.from_arrays([
+            t.column("id").take(at).combine_chunks(), t.column("print").take(at).combine_chunks(), pa.array(start[rows].astype(np.int32)),
+            pa.array((start[rows] + n[rows] - 1 + window).astype(np.int32)), pa.array(mini[rows]), pa.array(content[rows]), pa.array(np.arange(len(rows)) >= done),
+        ], names=["id", "print", "begin", "end", "mini", "content", "open"])
 
     return run
 
@@ -273,8 +304,8 @@ def _extents(hot: np.ndarray, schema: pa.Schema):
     return run
 
 
-def _shards(window: int, schema: pa.Schema):
-    """Suffix arrays over runs. Rows (id, print, begin, end, window): spans, and the sorted windows of wide runs for the merge."""
+def _shards(window: int, most: int, room: int, schema: pa.Schema):
+    """Suffix arrays over runs. Rows (id, print, begin, end, key, proof): spans, and the digests of the windows of wide runs for the merge."""
 
     def one(t: pa.Table, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         parts = t.column("bytes").to_pylist()
@@ -288,50 +319,37 @@ def _shards(window: int, schema: pa.Schema):
         rows, begin, end = flagged_spans(flag, record, place, window)
         none = pa.nulls(len(rows), pa.int64())
         ids, prints = t.column("id").combine_chunks(), t.column("print").combine_chunks()
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), prints.take(pa.array(rows)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), none], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), prints.take(pa.array(rows)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), none, none], schema=schema)
         if wide.any():
-            data = np.frombuffer(b"".join(parts), np.uint8)
-            roll = Roller()
-            at = ranges(np.cumsum(sizes) - sizes, counts)
-            hashes = roll.windows(roll.prefix(data.astype(np.uint64) + np.uint64(1)), window)[at]
             chosen = np.flatnonzero(wide[record])
+            at = ranges(np.cumsum(sizes) - sizes, counts)[chosen]
+            marks = digests(np.frombuffer(b"".join(parts), np.uint8), at, at + window)
             # of the windows that are repeated in here, one of each stands for all; the rest ask
-            known = chosen[flag[chosen]]
-            known = known[np.unique(hashes[known], return_index=True)[1]]
-            chosen = np.concatenate([known, chosen[~flag[chosen]]])
-            chosen = chosen[np.argsort(hashes[chosen], kind="stable")]
+            order = np.lexsort((marks[:, 1], marks[:, 0]))
+            again = np.append(False, (marks[order[1:]] == marks[order[:-1]]).all(axis=1))[: len(order)]
+            order = order[~(again & flag[chosen[order]])]
+            chosen, marks = chosen[order], marks[order].view(np.int64)
             rows = pa.array(record[chosen])
-            yield pa.RecordBatch.from_arrays([ids.take(rows), prints.take(rows), pa.array(place[chosen].astype(np.int32)), pa.array((place[chosen] + window).astype(np.int32)), pa.array(hashes[chosen].view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([
+                ids.take(rows), prints.take(rows), pa.array(place[chosen].astype(np.int32)), pa.array((place[chosen] + window).astype(np.int32)),
+                pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()),
+            ], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, 4_000):
+        for t, begun, goes_on in by_key_cut(batches, 4_000, most):
             key = t.column("key").to_numpy()
             size = pc_lengths(t) + 2
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            group = np.add.reduceat(size, edge)
-            edge = [*edge.tolist(), len(key)]
-            lo, room = 0, SHARD
-            cuts: list[tuple[int, int, bool]] = []
-            for g, total in enumerate(group.tolist()):
-                if total > room and edge[g] > lo:
-                    cuts.append((lo, edge[g], False))
-                    lo, room = edge[g], SHARD
-                if total > SHARD:  # one minimizer fills several shards
-                    run_ = np.cumsum(size[lo : edge[g + 1]])
-                    while lo < edge[g + 1]:
-                        upto = lo + max(1, int(np.searchsorted(run_, (run_[0] - size[lo] if len(run_) else 0) + SHARD, side="right")))
-                        cuts.append((lo, min(upto, edge[g + 1]), True))
-                        run_ = run_[upto - lo :]
-                        lo = min(upto, edge[g + 1])
-                    room = SHARD
-                else:
-                    room -= total
-            if lo < len(key):
-                cuts.append((lo, len(key), False))
-            for a, b, split in cuts:
-                part = t.slice(a, b - a)
-                wide = part.column("wide").to_numpy() | split
-                yield from one(part, wide)
+            part = (begun & (key == key[0])) | (goes_on & (key == key[-1]))  # of a key that other tables have too
+            lo = 0
+            while lo < len(key):
+                upto = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), room, side="right")))
+                split = upto < len(key) and key[upto] == key[upto - 1]
+                if split and (head := int(np.flatnonzero(key == key[upto])[0])) > lo:
+                    upto, split = head, False  # the key that doesn't fit begins the next shard
+                if split:
+                    part = part | (key == key[upto])  # one minimizer fills several shards
+                yield from one(t.slice(lo, upto - lo), t.column("wide").to_numpy()[lo:upto] | part[lo:upto])
+                lo = upto
 
     return run
 
@@ -342,12 +360,9 @@ def pc_lengths(t: pa.Table) -> np.ndarray:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of several shards, in order: one is repeated if a binary search finds its hash in more than one place."""
-    for t in by_key(batches, 200_000):
-        key = t.column("key").to_numpy()
-        twice = np.flatnonzero(np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left") > 1)
-        t = t.take(pa.array(twice)).drop_columns("key")
-        yield from t.to_batches()
+    """Windows of several shards, sorted by their digests: repeated are those that binary search finds in more than one place."""
+    for t, flags in repeated_rows(batches, 200_000, 400_000):
+        yield from t.filter(pa.array(flags)).drop_columns(["key", "proof"]).to_batches()
 
 
 def attach(slim: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -381,39 +396,40 @@ def _fields(kind: T.DataType, **types: T.DataType) -> tuple[T.StructType, pa.Sch
     return T.StructType(fields), pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
 
 
-def repeated_byte_spans(slim: DataFrame, window: int, gram: int) -> DataFrame:
+def repeated_byte_spans(slim: DataFrame, window: int, gram: int, most_runs: int = MOST_RUNS, most_parts: int = MOST_PARTS, room: int = SHARD) -> DataFrame:
     """``id, print, begin, end``: bytes that repeated windows cover. ``slim`` has id, print (hash of the text) and text."""
     n = partitions(slim.sparkSession)
     kind, long, int_ = slim.schema["id"].dataType, T.LongType(), T.IntegerType()
     hot = hot_keys(slim, window, gram)
-    spark_schema, arrow = _fields(kind, key=long, mini=long, content=long, id=kind, print=long, start=int_, n=int_, known=T.BooleanType(), own=T.BooleanType())
-    dealt = slim.mapInArrow(tidy(_runs(window, gram, hot, arrow)), spark_schema).repartition(n, "key").sortWithinPartitions("key")
+    spark_schema, arrow = _fields(kind, key=long, mini=long, content=long, proof=long, id=kind, print=long, start=int_, n=int_, known=T.BooleanType(), own=T.BooleanType())
+    dealt = slim.mapInArrow(tidy(_runs(window, gram, hot, arrow)), spark_schema).repartition(n, "key").sortWithinPartitions("key", "content", "proof")
     settled_schema, _ = _fields(kind, id=kind, print=long, begin=int_, end=int_, mini=long, content=long, open=T.BooleanType())
-    settled = stash(dealt.mapInArrow(tidy(_settle(window, hot)), settled_schema), "settled")
+    settled = stash(dealt.mapInArrow(tidy(_settle(window, hot, most_runs)), settled_schema), "settled")
     open_ = settled.filter("open")
-    lists = open_.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end", "mini", "content")).alias("runs"))
+    lists = open_.groupBy("id", "print").agg(F.collect_set(F.struct("begin", "end", "mini", "content")).alias("runs"))
     extent_schema, arrow = _fields(kind, key=long, id=kind, print=long, start=int_, wide=T.BooleanType(), bytes=T.BinaryType())
     extents = attach(slim, lists, "inner").select("id", "print", "text", "runs").mapInArrow(tidy(_extents(hot, arrow)), extent_schema)
-    shard_schema, arrow = _fields(kind, id=kind, print=long, begin=int_, end=int_, window=long)
-    shards = stash(extents.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_shards(window, arrow)), shard_schema), "shards")
+    shard_schema, arrow = _fields(kind, id=kind, print=long, begin=int_, end=int_, key=long, proof=long)
+    shards = stash(extents.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_shards(window, most_parts, room, arrow)), shard_schema), "shards")
     span_schema, _ = _fields(kind, id=kind, print=long, begin=int_, end=int_)
-    across = shards.filter("window is not null").withColumnRenamed("window", "key").repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_merge), span_schema)
+    across = shards.filter("key is not null").repartition(n, "key").sortWithinPartitions("key", "proof").mapInArrow(tidy(_merge), span_schema)
     columns = ["id", "print", "begin", "end"]
-    return settled.filter("not open").select(columns).unionByName(shards.filter("window is null").select(columns)).unionByName(across)
+    return settled.filter("not open").select(columns).unionByName(shards.filter("key is null").select(columns)).unionByName(across)
 
 
-def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
     """Remove every byte of a ``window`` bytes long string that also starts anywhere else: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Texts are taken as UTF-8; strings are judged on the input, never cross documents, and may overlap their repetition.
     Repeated rows are repetitions of each other. A null text is empty. Null ids are kept; an empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. ``bounds``: ``most_runs``, ``most_parts`` and ``room``, the rows of a minimizer and
+    the bytes of a shard that a task holds at once.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), F.col(text_col).cast("string").alias("text"))
-    spans = stash(repeated_byte_spans(slim, window, gram), "spans")
-    lists = spans.groupBy("id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = stash(repeated_byte_spans(slim, window, gram, **bounds), "spans")
+    lists = spans.groupBy("id", "print").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # repeated rows find equal spans
     joined = attach(slim, lists, "left").select("id", "text", "spans")
     schema, _ = _fields(kind, id=kind, n_bytes=T.LongType(), n_removed=T.LongType(), n_spans=T.LongType(), kept_sha256=T.StringType())
     return joined.mapInArrow(tidy(_cut), schema).withColumnRenamed("id", id_col)

@@ -118,6 +118,70 @@ def test_suffix_bytes(docs):
     assert collections.Counter(map(tuple, suffix_dedup(docs).collect())) == want
 
 
+def _crowd():
+    """Documents around one phrase in ever other company, some of them copies, and null ids with one text."""
+    phrase, rows = prose(30), []
+    for i in range(120):
+        rows.append((i, f"{prose(int(rng.integers(5, 40)))} {phrase} {prose(int(rng.integers(5, 40)))}"))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 120, 9)] + [(None, rows[5][1])] * 30 + [(300, None), (301, "")]
+    return rows
+
+
+def test_substring_words_of_cut_keys(spark):
+    """Minimizers with more rows than a task may hold have their windows dealt out once more: results stay."""
+    rows = _crowd()
+    seqs = [(t or "").encode().split() for _, t in rows]
+    want = collections.Counter((r[0], len(s), sum(g), hashlib.sha256(b" ".join(w for w, x in zip(s, g) if not x)).hexdigest()) for r, s, g in zip(rows, seqs, _covered(seqs, 35)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (1, 40, None):
+        assert collections.Counter(map(tuple, substring_dedup(docs, most=most).collect())) == want
+
+
+@pytest.mark.parametrize("bounds", [{}, {"room": 2_000}, {"most_runs": 5, "most_parts": 4, "room": 1_500}, {"hot": True}])
+def test_suffix_bytes_of_split_shards(spark, monkeypatch, bounds):
+    """One minimizer in ever other company: shards split, keys cut, and minimizers taken as very frequent."""
+    from crosspanel.llm import suffix_array
+
+    rows = [(i, None if t is None else t.replace(" ", "-")) for i, t in _crowd()]
+    seqs = [(t or "").encode() for _, t in rows]
+    want = collections.Counter()
+    for (i, _), s, g in zip(rows, seqs, _covered(seqs, 120)):
+        spans = sum(x and (k == 0 or not g[k - 1]) for k, x in enumerate(g))
+        want[i, len(s), sum(g), spans, hashlib.sha256(bytes(b for b, x in zip(s, g) if not x)).hexdigest()] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if bounds.pop("hot", False):
+        monkeypatch.setattr(suffix_array, "SAMPLE", 1)
+        monkeypatch.setattr(suffix_array, "HOT_ROWS", 3)
+        slim = docs.selectExpr("doc_id as id", "xxhash64(text) as print", "text")
+        assert len(suffix_array.hot_keys(slim, 120, 60)) > 5
+    assert collections.Counter(map(tuple, suffix_dedup(docs, window=120, gram=60, **bounds).collect())) == want
+
+
+def test_repeated_rows_over_cuts():
+    import pyarrow as pa
+    from crosspanel.llm.repeats import repeated_rows
+
+    for _ in range(50):
+        pairs = sorted((int(rng.integers(0, 3)), int(rng.integers(0, 12))) for _ in range(60))
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in pairs[i : i + 7]], "proof": [p for _, p in pairs[i : i + 7]]}) for i in range(0, 60, 7)]
+        got = [(k, p, bool(x)) for t, flags in repeated_rows(iter(batches), 5, 9) for k, p, x in zip(t.column("key").to_pylist(), t.column("proof").to_pylist(), flags)]
+        count = collections.Counter(pairs)
+        assert sorted(got) == sorted((k, p, count[k, p] > 1) for k, p in pairs)
+
+
+def test_seen_counts_to_two():
+    from crosspanel.llm.repeats import Seen
+
+    seen, count = Seen(), collections.Counter()
+    for _ in range(20):
+        a, b = rng.integers(0, 4, 30).astype(np.uint64), np.zeros(30, np.uint64)
+        sent = seen.keep(a, b)
+        for x in a[sent].tolist():
+            count[x] += 1
+    assert set(count.values()) == {2}
+    assert seen.keep(np.array([1], np.uint64), np.array([9], np.uint64)).all()  # another second half: not the same run
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(min_size=8, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=8))
 def test_suffix_array(parts):
