@@ -86,3 +86,17 @@ for _name, _text in BASES.items():  # the longest window takes 756 rows of a sym
 for _name, (_, _text, _) in ARTIFACTS.items():
     if _text is not None:  # the one that can't be built with its own defaults runs with a shorter minimum
         _formula(f"artifact_{_name.removeprefix('alpha_')}", artifact(_name, **({"min_obs": 60} if _name == "alpha_a728eba6" else {})), axis="panel")
+
+# ---- all published formulas in one plan ----
+_BATCH = {_name: control_signal(_name) for _name in CONTROLS}
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = evaluate(densify(trade_panel(spark, sf_dir, "week", "nation")), _BATCH, ("observed",)).filter("observed")
+    return wide.agg(*(F.count(n).alias(n) for n in _BATCH)).unpivot([], list(_BATCH), "alpha_id", "n_signals")
+
+
+register(
+    "control_batch", _batch,
+    f"UNPIVOT (SELECT {', '.join(f'count({n}) AS {n}' for n in _BATCH)} FROM ({evaluate_sql('dense', _BATCH, ('observed',), prelude=trade_panel_sql('week', 'nation'), digits=None)}) WHERE observed) ON {', '.join(_BATCH)} INTO NAME alpha_id VALUE n_signals",
+)
