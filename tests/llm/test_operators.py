@@ -585,3 +585,34 @@ def test_rules_threshold_is_of_all_trusted(spark):
     got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels, trusted_limit=10, quantile=0.3).collect()
     least = np.quantile([r["score"] for r in got if r["doc_id"] < 120], 0.3)
     assert len(got) == 150 and all(r["kept"] == (not r["base_failed"] and r["score"] >= least - 1e-12) for r in got)
+
+
+def test_near_text_of_crowds(spark, monkeypatch):
+    """Crowds cut in blocks find the components of the whole groups: near copies, strangers among them, exact copies, empty texts."""
+    from crosspanel.llm import near_text
+
+    base = prose(80).split()
+    texts = [None, "", "  "] + [" ".join(base)] * 5
+    for i in range(60):  # near copies of one text
+        own = list(base)
+        own[int(rng.integers(80))] = f"near{i}"
+        texts.append(" ".join(own))
+    for i in range(40):  # they share half of their words with it, in threes also their own halves
+        texts.append(" ".join(base[:40]) + " " + " ".join(f"far{i // 3}x{j}" for j in range(39)) + f" last{i}")
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) if t else frozenset() for t in texts]
+    part = list(range(len(texts)))
+    for _ in range(3):
+        for a in range(len(texts)):
+            for b in range(a):
+                if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    part[a] = part[b] = min(part[a], part[b])
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    monkeypatch.setattr(near_text, "CROWD", 7)
+    calls = []
+    strangers = near_text._strangers
+    monkeypatch.setattr(near_text, "_strangers", lambda *a: calls.append(strangers(*a)) or calls[-1])
+    # bands that all agree make one crowd of everything, so that strangers stand beside a hub
+    monkeypatch.setattr(near_text, "bands", lambda found: np.arange(25, dtype=np.uint64))
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_dedup(rows).collect()}
+    assert got == dict(enumerate(part)) and calls[0] is not None
+    assert max(r["count"] for r in calls[0].groupBy("key").count().collect()) <= 40
