@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -616,3 +617,67 @@ def test_near_text_of_crowds(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_dedup(rows).collect()}
     assert got == dict(enumerate(part)) and calls[0] is not None
     assert max(r["count"] for r in calls[0].groupBy("key").count().collect()) <= 40
+
+
+def _xx(value, seed=42):
+    """Spark's xxhash64 of an int, a long or a text, unsigned."""
+    raw = value.encode() if isinstance(value, str) else value
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def test_shards_against_brute_force(spark):
+    """The published jump loop, with a generator of its own key and step; 40 shards, 41 shards, and what the first says of the second."""
+
+    def jump(key, shards):
+        shard, target, i = -1, 0, 0
+        while target < shards:
+            i += 1
+            shard = target
+            seed = 42 if key is None else _xx(struct.pack("<q", key))
+            unit = ((_xx(struct.pack("<i", i), seed) >> 11) + 1) / 2**53
+            target = int((shard + 1) / unit)
+        return shard
+
+    keys = [None, 0, -1, 2**62, *range(7, 3000, 3), 10, 10]
+    table = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    at, more = ([(r["doc_id"], r["shard"], r["grown_shard"]) for r in shard_rows(table, n).collect()] for n in (40, 41))
+    assert collections.Counter(at) == collections.Counter((k, jump(k, 40), jump(k, 41)) for k in keys)
+    assert collections.Counter((k, s) for k, s, _ in more) == collections.Counter((k, g) for k, _, g in at)
+
+
+def test_rules_verdict_against_brute_force(spark):
+    """``score`` and ``kept`` by counting hashed words and word pairs in Python; every document above or below the limit is told apart."""
+    draw = np.random.default_rng(11)
+    good, poor = WORDS[:200], WORDS[100:]
+    rows = [(i, " ".join(draw.choice(good if i % 2 else poor, 25 + i % 40))) for i in range(80)]
+    rows += [(80, None), (81, ""), (82, "few words"), (83, "same words " * 40), (84, rows[0][1]), (None, rows[1][1]), (3, rows[3][1]), (85, "é ü x " + rows[5][1])]
+    trusted = {i for i in range(1, 80, 4)} | {82}
+    labels = [(i, 1, 0) for i in trusted] + [(2, 1, 1), (4, 0, 0), (None, 1, 0), (1, 1, 0)]
+    buckets = 1 << 12
+
+    def features(text):
+        words = [w.decode() for w in (text or "").encode().split()]
+        half = buckets // 2
+        return [_xx(w) % half * 2 for w in words] + [_xx(b, _xx(a)) % half * 2 + 1 for a, b in zip(words, words[1:])]
+
+    target, raw = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(features(t))
+        if i in trusted:
+            target.update(features(t))
+    t, r = target.total() + buckets / 2, raw.total() + buckets / 2
+    score = {text: sum(round(np.log((target[f] + 0.5) / t) - np.log((raw[f] + 0.5) / r), 6) for f in features(text)) / max(1, len(features(text))) for _, text in rows}
+    least = np.quantile([score[text] for i, text in rows if i in trusted], 0.12)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), buckets=buckets, quantile=0.12)
+    texts = collections.defaultdict(set)
+    for i, text in rows:
+        texts[i].add(text)
+    verdicts = collections.Counter()
+    for x in got.collect():
+        (text,) = texts[x["doc_id"]]
+        assert abs(x["score"] - score[text]) < 3e-6
+        assert abs(score[text] - least) > 3e-6 and x["kept"] == (not x["base_failed"] and score[text] >= least)
+        verdicts[x["base_failed"], x["kept"]] += 1
+    assert sum(verdicts.values()) == len(rows) and verdicts[False, False] > 5 and verdicts[False, True] > 5 and verdicts[True, False] >= 4
