@@ -73,6 +73,9 @@ def _pair(x: str, y: str) -> tuple[str, str]:
 def _corr(x: str, y: str, d: int) -> str:
     a, b = _pair(x, y)
     w = _over(d)
+    if d == 2:
+        turn = [f"(CASE WHEN abs({v} - lag({v}) {_T}) > greatest(abs({v}), abs(lag({v}) {_T})) * 1e-12 THEN sign({v} - lag({v}) {_T}) END)" for v in (a, b)]
+        return f"({turn[0]} * {turn[1]})::DOUBLE"
     return f"(CASE WHEN count({a}) {w} >= {d} THEN round(covar_samp({a}, {b}) {w} / nullif(stddev_samp({a}) {w} * stddev_samp({b}) {w}, 0) * 1e12) / 1e12 END)"
 
 

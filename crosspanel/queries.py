@@ -36,16 +36,14 @@ def register(name: str, query: Query, sql: str | None = None, dates: tuple[str,
         SQL[name] = f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
 
 
-def _formula(name: str, formula: Node, by: str = "supplier", period: str = "week", axis: str = "dense", twin: bool = True, digits: int = 6) -> None:
+def _formula(name: str, formula: Node, by: str = "supplier", period: str = "week", axis: str = "dense", digits: int = 6) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel = trade_panel(spark, sf_dir, period, by)
         if axis == "dense":
             return rounded(evaluate(densify(panel), {"value": formula}, ("observed",)).filter("observed").drop("observed"), digits)
         return rounded(evaluate(panel, {"value": formula}), digits)
 
-    sql = None
-    if twin:
-        sql = evaluate_sql(axis, {"value": formula}, prelude=trade_panel_sql(period, by), digits=digits) + (" WHERE observed" if axis == "dense" else "")
+    sql = evaluate_sql(axis, {"value": formula}, prelude=trade_panel_sql(period, by), digits=digits) + (" WHERE observed" if axis == "dense" else "")
     register(name, query, sql, ("date",))
 
 
@@ -78,8 +76,7 @@ _formula("row_pick", parse("pick(returns > 0, log(close), volume)"))
 
 # ---- formula catalogues: on the weekly nation panel, which is dense enough for long windows ----
 for _name in CONTROLS:
-    # k045 correlates sums over two days: without spread, what summation leaves behind decides its sign, in each engine its own way
-    _formula(f"alpha_{_name}", control_signal(_name), by="nation", twin=_name != "k045", digits=10)
+    _formula(f"alpha_{_name}", control_signal(_name), by="nation", digits=10)
 for _name, _text in BASES.items():  # the longest window takes 756 rows of a symbol: more days than the test tables have weeks
     _formula(f"base_{_name}", parse(f"rank({_text}) - 0.5"), by="nation", period="day" if "756" in _text else "week", axis="panel")
 # the artifacts count a symbol's own rows; suppliers have enough of them for the longest windows

@@ -1,6 +1,7 @@
 """Formula language, null algebra, evaluation and statistics against small hand-made cases and pandas."""
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -163,6 +164,51 @@ def test_permutation_is_reproducible(spark):
     assert one == two and one["observed"] == 1 and one["p3"] < 0.05
 
 
+def test_permutations_against_all_orders(spark):
+    """p and the 95 % point of the null against every order of the pooled days of an event and its two low events."""
+    windows = {"e1": [0.9, 0.1, 0.5], "e2": [0.3, -0.4], "e3": [0.2, 0.65]}
+    gaps = spark.createDataFrame([("a", "e1", ["e2", "e3"])], "alpha_id string, event_id string, low_ids array<string>")
+    days = spark.createDataFrame([("a", e, t, v) for e, x in windows.items() for t, v in enumerate(x)], "alpha_id string, event_id string, tpos int, d double")
+    got = M.permutation_gaps(gaps, days).first()
+    gap = lambda x: x[..., :3].mean(-1) - (x[..., 3:5].mean(-1) + x[..., 5:].mean(-1)) / 2
+    pool = np.concatenate(list(windows.values()))
+    null = gap(np.array(list(itertools.permutations(pool))))
+    assert got["observed"] == pytest.approx(gap(pool)) and abs(got["p3"] - (null >= gap(pool) - 1e-12).mean()) < 0.02
+    # the null has steps, so the quantile is held between its neighbours
+    assert np.quantile(null, 0.94) <= got["mdg"] + 1e-12 and got["mdg"] - 1e-12 <= np.quantile(null, 0.96)
+
+
+def test_salience_gradient_against_all_orders(spark):
+    """Slope by the residuals of both sides, p against every order of consensus; five events are too few."""
+    draw = np.random.default_rng(4)
+    x, nc = draw.normal(size=(7, 3)), draw.normal(size=7)
+    d = 0.4 * nc + x @ [0.2, -0.1, 0.3] + draw.normal(size=7) * 0.5
+    rows = [(f"e{i}", True, *map(float, (nc[i], *x[i]))) for i in range(7)] + [("off", False, 9.0, 9.0, 9.0, 9.0), ("gap", True, 9.0, None, 9.0, 9.0)]
+    events = spark.createDataFrame(rows, "event_id string, usable boolean, consensus double, realized_vol double, drawdown double, dispersion double")
+    seen = [("a", f"e{i}", float(d[i])) for i in range(7)] + [("a", "off", 5.0), ("a", "gap", 5.0), ("a", "none", None)] + [("few", f"e{i}", 1.0) for i in range(5)]
+    got = {r["alpha_id"]: r for r in M.salience_gradient(spark.createDataFrame(seen, "alpha_id string, event_id string, d double"), events).collect()}
+    rest = np.column_stack([np.ones(7), x])
+    left = np.eye(7) - rest @ np.linalg.inv(rest.T @ rest) @ rest.T
+    slope = lambda v: (left @ v) @ d / ((left @ v) @ v)
+    null = np.array([slope(np.array(v)) for v in itertools.permutations(nc)])
+    assert got["a"]["slope"] == pytest.approx(slope(nc)) and abs(got["a"]["p"] - (null >= slope(nc) - 1e-12).mean()) < 0.06
+    assert got["a"]["r2_severity"] == pytest.approx(1 - (left @ nc) @ nc / ((nc - nc.mean()) ** 2).sum())
+    assert got["few"]["slope"] is None and got["few"]["p"] is None
+
+
+def test_correlation_of_two_days_against_pandas(spark):
+    """The formula without an SQL twin: over two days a correlation is the product of the signs of both changes."""
+    panel = panel_of(spark, n_days=34)
+    got = wide(evaluate(densify(panel), {"value": control("k045")}))
+    close, volume = wide(panel, "close"), wide(panel, "volume")
+    two = lambda a, b: (np.sign(a.diff()) * np.sign(b.diff())).replace(0.0, np.nan)
+    rank = lambda v: v.rank(axis=1, pct=True)
+    total = lambda n: close.rolling(n).sum()
+    want = -(rank(close.shift(5).rolling(20).mean()) * two(close, volume) * rank(two(total(5), total(20))))
+    assert want.notna().sum().sum() > 100
+    np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9, equal_nan=True)
+
+
 def test_artifacts(spark):
     text = "Section 1\n```python\nx = 1\n```\nSection 2\n```\ndef generate_alpha(df, *, d=3):\n    return df.shift(-1)\n```\n"
     df = spark.createDataFrame([("a", text), ("b", None)], "alpha_id string, raw_response string")
