@@ -91,5 +91,22 @@ FROM t JOIN kept USING (uid)
 """
 
 
+OP13 = """
+WITH t AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.vec_id, b.label = a.label AS alike, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM t a JOIN t b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS slot FROM scored WHERE alike QUALIFY slot <= 5
+), hard AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.slot ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.alike AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score QUALIFY rank <= 5
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM hard
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_suffix_dedup": OP3, "op4_exact_dedup": OP4, "op7_substring_words": OP7}
+    return {"op1_mix_sources": OP1, "op3_suffix_dedup": OP3, "op4_exact_dedup": OP4, "op7_substring_words": OP7, "op13_hard_negatives": OP13}
