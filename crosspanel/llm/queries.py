@@ -16,6 +16,7 @@ from .mixing import mix
 from .packing import pack
 from .quality_lm import quality_verdicts
 from .quality_rules import quality_rules
+from .ranked_search import rank
 from .sharding import shard_rows
 from .simhash import simhash_dedup
 from .substring_words import substring_dedup
@@ -62,6 +63,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     return mine(table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))

@@ -91,6 +91,30 @@ FROM t JOIN kept USING (uid)
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH words AS (
+  SELECT uid, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS uid, doc_id, text FROM documents)
+), tfs AS (
+  SELECT uid, doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), sizes AS (
+  SELECT uid, sum(tf)::BIGINT AS n FROM tfs GROUP BY uid
+), stats AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, stats GROUP BY term, docs
+), items AS (
+  SELECT DISTINCT uid AS item, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS uid, item_id, text FROM benchmark)
+), scored AS (
+  SELECT item, item_id, uid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (uid), stats GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP13 = """
 WITH t AS (
   SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
@@ -109,4 +133,4 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_suffix_dedup": OP3, "op4_exact_dedup": OP4, "op7_substring_words": OP7, "op13_hard_negatives": OP13}
+    return {"op1_mix_sources": OP1, "op3_suffix_dedup": OP3, "op4_exact_dedup": OP4, "op7_substring_words": OP7, "op12_ranked_search": OP12, "op13_hard_negatives": OP13}

@@ -2,10 +2,12 @@
 
 import collections
 import math
+import re
 
 import numpy as np
 import pytest
 
+from crosspanel.llm import ranked_search
 from crosspanel.llm.hard_negatives import mine, product
 
 VECTORS = "vec_id long, embedding array<float>, label int, score long, block string, grp string"
@@ -71,3 +73,73 @@ def test_product_is_exact():
 def test_hard_negatives_of_few_rows(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert collections.Counter(map(tuple, mine(df).collect())) == hard(rows)
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def ranked(docs, queries, most=10):
+    """Brute force: every document's score for every query."""
+    counts = [(i, collections.Counter(terms(t))) for i, t in docs]
+    filled = [(i, c) for i, c in counts if c]
+    n, total = len(filled), sum(sum(c.values()) for _, c in filled)
+    df = collections.Counter(t for _, c in filled for t in c)
+    out = collections.Counter()
+    for q, text in queries:
+        scored = []
+        for i, c in filled:
+            m = 100 - 90 + 90 * sum(c.values()) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in set(terms(text)) if t in c)
+            if s > 0:
+                scored.append((-s, i is None, i or 0, i))
+        for k, (s, _, _, i) in enumerate(sorted(scored)[:most], 1):
+            out[q, k, i, -s] += 1
+    return out
+
+
+def search_rows():
+    words = ["w%d" % int(x) for x in rng.zipf(1.3, 20000) if x < 3000]
+    text = lambda n: " ".join(rng.choice(words, n))
+    passage = text(30)
+    docs = [(int(i), text(int(rng.integers(1, 120)))) for i in rng.permutation(900)]
+    docs += [(1000 + i, passage) for i in range(150)] + [(2000 + i, text(5) + " " + passage) for i in range(40)]  # copies: equal scores over many ranges
+    docs += [(None, passage), (None, passage), (1000, passage), (3000, None), (3001, ""), (3002, "!? \n"), (3003, text(60000)), (3004, "Äpfel ÄPFEL äpfel Über-Äpfel"), (3005, "CamelCase x9 X9")]
+    queries = [(i, text(int(rng.integers(1, 40)))) for i in range(25)] + [(100, passage), (100, passage), (101, passage.upper().replace(" ", "--")), (None, "w1 w2"), (102, None), (103, "?"), (104, "Äpfel x9"), (105, "unseen"), (106, " ".join(words))]
+    return docs, queries
+
+
+@pytest.mark.parametrize("shard,fan,group", [(8192, 32, 100_000), (50, 4, 60), (1, 4, 100_000), (33, 32, 1000)])
+def test_ranked_search(spark, monkeypatch, shard, fan, group):
+    for name, value in (("SHARD", shard), ("FAN", fan), ("TERMS", group)):
+        monkeypatch.setattr(ranked_search, name, value)
+    docs, queries = search_rows()
+    if shard == 1:
+        docs, queries = docs[:300] + docs[-20:], queries[:6] + queries[25:29]
+    if group == 60:
+        queries = [q for q in queries if q[0] != 106]
+    a = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, rid string, score int").repartition(3)
+    b = spark.createDataFrame([(*q, "x") for q in queries], "item_id long, text string, rank string")
+    got = collections.Counter(map(tuple, ranked_search.rank(a, b).collect()))
+    assert got == ranked(docs, queries) and len(got) > 50
+
+
+def test_search_opens_few_ranges():
+    """The bound cuts: a query of rare words opens a small part of the tree, and copies of equal score don't open it all."""
+    n = 8192
+    doc = np.concatenate([np.arange(n), np.arange(0, n, 500)])
+    value = np.concatenate([np.full(n, 5), np.arange(900, 900 + len(range(0, n, 500)))])
+    trees = ranked_search.Trees(np.array([0, n, len(doc)]), doc, value, n)
+    top = []
+    opened = trees.search(np.array([0, 1]), np.array([1, 100]), list(range(n)), top, 10)
+    assert [x[2] for x in top] == list(range(8000, 3000, -500)) and opened < 60
+    top = []
+    assert trees.search(np.array([0]), np.array([1]), list(range(n)), top, 10) <= 5 and [x[2] for x in top] == list(range(10))
+
+
+def test_ranked_search_of_empty_tables(spark):
+    a = spark.createDataFrame([(1, "one two")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, "two")], "item_id int, text string")
+    assert ranked_search.rank(a, b.limit(0)).collect() == [] and ranked_search.rank(a.limit(0), b).collect() == []
+    assert [tuple(r)[:3] for r in ranked_search.rank(a, b).collect()] == [(1, 1, 1)]
+    assert ranked_search.rank(a, b).schema.names == ranked_search.rank(a, b.limit(0)).schema.names
