@@ -3,11 +3,16 @@
 import collections
 import math
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from crosspanel.llm import ranked_search
+from crosspanel.llm import best_fit, ranked_search
 from crosspanel.llm.hard_negatives import mine, product
 
 VECTORS = "vec_id long, embedding array<float>, label int, score long, block string, grp string"
@@ -143,3 +148,68 @@ def test_ranked_search_of_empty_tables(spark):
     assert ranked_search.rank(a, b.limit(0)).collect() == [] and ranked_search.rank(a.limit(0), b).collect() == []
     assert [tuple(r)[:3] for r in ranked_search.rank(a, b).collect()] == [(1, 1, 1)]
     assert ranked_search.rank(a, b).schema.names == ranked_search.rank(a, b.limit(0)).schema.names
+
+
+WORD_BPE = P.path("word_bpe_49k.json")
+ODD_TEXTS = ["", " \n\t", "It's I'll we're <|endoftext|> <|startoftext|>x", "a<|endoftext|>b", "Ünïcode ÇA ǅ ΣΑΣ İstanbul ﬁ ½ ١٢٣ 漢字かな 🙂🙂 é a ́b", "x y z\x85w\x1cv", "line\r\nline\x0b\x0cline", "1234567 a1b2 '''s's", "̈́  q Å`"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from([*ODD_TEXTS, "'", "s", " ", "\n", "́"]), max_size=8).map("".join)))
+def test_word_ids_equal_the_library(text):
+    library = best_fit._encoders.setdefault(WORD_BPE, best_fit._Words(WORD_BPE)).tokenizer
+    assert np.frombuffer(best_fit.token_ids(WORD_BPE, text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_word_ids_of_texts_with_white_space_of_all_kinds():
+    library = Tokenizer.from_file(WORD_BPE)
+    for text in [*ODD_TEXTS, "\n".join(ODD_TEXTS), "word " * 20000, "w" * 5000]:
+        assert np.frombuffer(best_fit.token_ids(WORD_BPE, text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=60))
+def test_sum_of_squares_rule(sizes):
+    """Each step against all choices, sums counted anew; bins hold what they can, places have no gaps."""
+    capacity = 12
+    where, place = best_fit.sum_of_squares(np.array(sizes, np.int64), capacity)
+    used = collections.defaultdict(int)
+    for s, w, p in zip(sizes, where, place):
+        squares = lambda level: sum(n * n for g, n in collections.Counter(capacity - u for u in level.values()).items() if g)
+        choices = [squares({**used, b: used[b] + s}) for b in list(used) if used[b] + s <= capacity] + [squares({**used, "new": s})]
+        assert p == used[w] and p + s <= capacity
+        used[w] += s
+        assert squares(used) == min(choices)
+
+
+def test_best_fit(spark, monkeypatch):
+    library = Tokenizer.from_file(WORD_BPE)
+    texts = [(i, " ".join(rng.choice(["alpha", "beta9", "Gamma's", "delta", "epsilon"], int(n)))) for i, n in enumerate(rng.integers(0, 700, 260))]
+    texts += [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(2000, None), (None, "null id"), (None, "null id"), (3, texts[3][1]), (3000, "long one " * 6000)]
+    ids = [(i, library.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in texts]
+    want = collections.Counter((i, k, k * 2048, len(x[k * 2048 :][:2048]), zlib.crc32(np.array(x[k * 2048 :][:2048], "<u4").tobytes())) for i, x in ids for k in range(-(-len(x) // 2048)))
+    docs = spark.createDataFrame([(*t, "x", 5) for t in texts], "doc_id long, text string, length string, shard int").repartition(3)
+    least = -(-sum(len(x) for _, x in ids) // 2048)
+    for shard in (65_536, 60):
+        monkeypatch.setattr(best_fit, "SHARD", shard)
+        got = best_fit.best_fit(docs, WORD_BPE).collect()
+        assert collections.Counter(tuple(r)[:5] for r in got) == want
+        bins = collections.defaultdict(list)
+        for r in got:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for b in bins.values():
+            at = 0
+            for offset, n in sorted(b):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        assert len(bins) <= least + (8 if shard > 60 else 30)
+    assert best_fit.best_fit(docs.limit(0), WORD_BPE).collect() == []
+
+
+def test_best_fit_leaves_little():
+    """Over lengths like those of documents, about as few bins as the sum needs."""
+    sizes = np.clip(rng.lognormal(6, 1, 60_000).astype(np.int64), 1, 2047)
+    x = sizes[best_fit.order(sizes, rng.integers(0, 1 << 62, len(sizes)))]
+    where, _ = best_fit.sum_of_squares(x, 2048)
+    assert where.max() + 1 <= -(-sizes.sum() // 2048) * 1.003
