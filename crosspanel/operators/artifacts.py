@@ -11,10 +11,15 @@ from pyspark.sql import types as T
 
 from .evaluate import SURVIVED
 
-# Headings that a response must have, and words that hint at data it must not use.
+# Headings that a response must have; what in its code hints at data beyond prices and volume, and the whole
+# word that does; and what in it fills, drops or bounds values.
 SECTIONS = tuple(f"Section {i}" for i in range(1, 6))
-FORBIDDEN = ("market_cap", "sector", "industry", "fundamental", "earnings", "vwap")
-WATCHED = ("rank", "zscore", "neutral", "winsor")
+FORBIDDEN = ("vwap", "market_cap", "marketcap", "indclass", "industry", "sector", "adv20_cap", "shares_outstanding", "float")
+FORBIDDEN_WORD = "cap"
+WATCHED = ("fillna", "ffill", "bfill", "pad(", "interpolate", "clip", "replace", "dropna", "np.inf", "inf)")
+FENCE = "```"
+# What counts as white space between words.
+_WHITE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 METADATA = T.StructType([T.StructField(n, T.StringType()) for n in ("alpha_id", "model", "provider", "theme", "generation_status", "run_id")] + [T.StructField("call_index", T.IntegerType())])
 SCHEMA = T.StructType([T.StructField("metadata", METADATA), T.StructField("raw_response", T.StringType()), T.StructField("response_sha256", T.StringType())])
@@ -34,10 +39,16 @@ def first_code_block(text: Column) -> Column:
 
 
 def last_code_block(text: Column) -> Column:
-    """What is between the last two fences, without its first line; NULL with fewer than two."""
-    parts = F.split(text, "```")
-    body = F.get(parts, F.size(parts) - 2)
-    return F.when(F.size(parts) >= 3, F.regexp_replace(body, r"^[^\n]*\n?", ""))
+    """What follows the first line after the last fence but one, up to the last; NULL with fewer than two fences or without that line's end.
+
+    Fences may overlap: four backticks are two. Both are found from the end, in the reversed text.
+    """
+    back = F.reverse(text)
+    last = F.locate(FENCE, back)
+    before = F.when(last > 0, F.call_function("locate", F.lit(FENCE), back, last + 1))
+    block = F.when(before > 0, F.substring(text, F.length(text) - before - 1, before - last))
+    line = F.locate("\n", block)
+    return F.when(line > 0, F.substring(block, line + 1, F.length(block)))
 
 
 def missing_sections(text: Column, sections: tuple[str, ...] = SECTIONS) -> Column:
@@ -50,8 +61,13 @@ def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:
 
 
 def has_word(text: Column, word: str) -> Column:
-    """Whether a whole word occurs; letters and digits of any script belong to words."""
-    return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){word}([^\p{{L}}\p{{N}}_]|$)")
+    """Whether the lower-cased text has the word between white space, brackets, dots, commas and equals signs around it aside."""
+    return F.exists(F.split(F.lower(text), _WHITE), lambda w: F.btrim(w, F.lit("(),.[]= ")) == word)
+
+
+def data_tokens(code: Column, tokens: tuple[str, ...] = FORBIDDEN, word: str = FORBIDDEN_WORD) -> Column:
+    """The tokens that the code contains, and the word last if it occurs on its own."""
+    return F.concat(token_hits(code, tokens), F.when(has_word(code, word), F.array(F.lit(word))).otherwise(F.array().cast("array<string>")))
 
 
 def content_hash(text: Column) -> Column:
@@ -62,14 +78,23 @@ def slug(text: Column) -> Column:
     return F.translate(F.lower(text), "- ", "__")
 
 
-def validate(artifacts: DataFrame, text: str = "raw_response") -> DataFrame:
-    """Static flags of each response; all are NULL where the call failed and there is none."""
-    t = F.col(text)
+def validate(artifacts: DataFrame, text: str = "raw_response", sections: tuple[str, ...] = SECTIONS, tokens: tuple[str, ...] = FORBIDDEN, word: str = FORBIDDEN_WORD, watched: tuple[str, ...] = WATCHED) -> DataFrame:
+    """Static flags of each response; all are NULL where the call failed and there is none.
+
+    Sections are looked for in the whole response; tokens, words and syntax in its last code block alone, and without one their
+    lists are empty. Nothing is executed and nothing is left out for its flags.
+    """
+    t, code = F.col(text), F.col("_code")
+    none = F.array().cast("array<string>")
+    inside = lambda flag, empty: F.when(code.isNotNull(), flag).otherwise(empty)
+    tree = F.col("_tree")
     flags = {
-        "code_block_found": last_code_block(t).isNotNull(), "missing_sections": missing_sections(t), "forbidden_data_tokens": token_hits(t, FORBIDDEN),
-        "fidelity_watch_tokens": token_hits(t, WATCHED), "names_cap": has_word(t, "cap"), "response_sha256": content_hash(t),
+        "missing_sections": missing_sections(t, sections), "code_block_found": code.isNotNull(), "code_parses": inside(tree["parses"], F.lit(False)), "generate_alpha_defined": inside(tree["defines"], F.lit(False)),
+        "keyword_args": inside(tree["keywords"], none), "has_keyword_args": inside(F.size(tree["keywords"]) > 0, F.lit(False)), "negative_shift_present": inside(tree["negative_shift"], F.lit(False)),
+        "forbidden_data_tokens": inside(data_tokens(code, tokens, word), none), "fidelity_watch_tokens": inside(token_hits(code, watched), none), "syntax_error": tree["error"], "response_sha256": content_hash(t),
     }
-    return artifacts.withColumns({name: F.when(t.isNotNull(), flag) for name, flag in flags.items()})
+    parsed = artifacts.withColumn("_code", last_code_block(t)).withColumn("_tree", code_flags("_code"))
+    return parsed.withColumns({name: F.when(t.isNotNull(), flag) for name, flag in flags.items()}).drop("_code", "_tree")
 
 
 CODE_FLAGS = T.StructType([T.StructField("parses", T.BooleanType()), T.StructField("defines", T.BooleanType()), T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("negative_shift", T.BooleanType()), T.StructField("error", T.StringType())])
@@ -77,31 +102,38 @@ CODE_FLAGS = T.StructType([T.StructField("parses", T.BooleanType()), T.StructFie
 
 @F.pandas_udf(CODE_FLAGS)
 def code_flags(code: pd.Series) -> pd.DataFrame:
-    """What a block of code defines, by its syntax tree; nothing is executed."""
+    """What a block of code defines, by its syntax tree; nothing is executed.
+
+    ``keywords`` are ``generate_alpha``'s arguments with defaults and its keyword-only ones; ``negative_shift`` is a look-ahead by a
+    negative number in any place of a call of ``shift``, also as a keyword. A very deep tree is an error like a wrong one.
+    """
+
+    def backwards(value: ast.expr) -> bool:
+        return isinstance(value, ast.UnaryOp) and isinstance(value.op, ast.USub) or isinstance(value, ast.Constant) and type(value.value) is int and value.value < 0
 
     def one(text: str | None) -> tuple:
         if text is None:
             return None, None, None, None, None
         try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError) as e:
+            nodes = list(ast.walk(ast.parse(text)))
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
             return False, False, [], False, str(e)
-        found = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef) and n.name == "generate_alpha"]
-        words = [a.arg for a in found[0].args.args[1:] + found[0].args.kwonlyargs] if found else []
-        shifts = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "shift" and n.args]
-        back = any(isinstance(c.args[0], ast.UnaryOp) and isinstance(c.args[0].op, ast.USub) for c in shifts)
-        return True, bool(found), words, back, None
+        defined = [n.args for n in nodes if isinstance(n, ast.FunctionDef) and n.name == "generate_alpha"]
+        words = [a.arg for a in (defined[-1].args[-len(defined[-1].defaults) :] if defined[-1].defaults else []) + defined[-1].kwonlyargs] if defined else []
+        shifts = [n for n in nodes if isinstance(n, ast.Call) and (getattr(n.func, "attr", None) or getattr(n.func, "id", None)) == "shift"]
+        return True, bool(defined), words, any(backwards(v) for n in shifts for v in [*n.args, *(k.value for k in n.keywords)]), None
 
     return pd.DataFrame([one(c) for c in code], columns=[f.name for f in CODE_FLAGS])
 
 
 def generation_status(retrieval: Column, text: Column, failed: Column) -> Column:
-    """Status of a call: what shows evidence of retrieval is quarantined, since its cutoff is then the day it was made.
+    """Status of a call: a failed one is an error; an empty or missing text is an empty response, whatever was retrieved; what
+    shows evidence of retrieval is quarantined, since its cutoff is then the day it was made. White space is a text.
 
-    ``retrieval`` and ``failed`` are booleans, NULL counts as false; an empty or missing text is an empty response.
+    ``retrieval`` and ``failed`` are booleans, NULL counts as false.
     """
-    found = F.coalesce(retrieval, F.lit(False))
-    return F.when(F.coalesce(failed, F.lit(False)), "api_error").when(found, "quarantined_retrieval_detected").when(F.coalesce(F.trim(text), F.lit("")) == "", "empty_response").otherwise("success")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(failed), "api_error").when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty_response").when(yes(retrieval), "quarantined_retrieval_detected").otherwise("success")
 
 
 def manifest(artifacts: DataFrame, text: str = "raw_response", statuses: tuple[str, ...] = (), themes: tuple[str, ...] = (), status: str = "status", theme: str = "theme") -> DataFrame:

@@ -38,7 +38,8 @@ def descriptions(passages: DataFrame) -> DataFrame:
 
 def shorten(text: Column, most: int = 58) -> Column:
     """Text of at most ``most`` characters; of longer ones the last three are dots, without white space before them."""
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))).otherwise(text)
+    cut = F.regexp_replace(F.substring(text, 1, most - 3), r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+\z", "")
+    return F.when(F.length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
 def as_of(days: DataFrame, calendar: DataFrame) -> DataFrame:

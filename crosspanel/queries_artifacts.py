@@ -14,6 +14,11 @@ from .queries import register
 SECTIONS, TOKENS = ("the", "Section 2", "and", "le "), ("idiot", "clown", "est", "the")
 
 
+def _response():
+    """A document as a response: every line break becomes a fence, so its lines are blocks of code."""
+    return F.replace(F.col("text"), F.lit("\n"), F.lit("\n```\n"))
+
+
 def _fenced():
     """A document made up as a response with two fenced blocks."""
     return F.concat(F.lit("intro\n```python\n"), F.col("text"), F.lit("\n```\nmore\n```\nlast\n"), F.col("lang"), F.lit("\n```\n"))
@@ -28,9 +33,22 @@ def _list(names):
 
 
 register("missing_sections", lambda s, d: _documents(s, d).select("doc_id", F.array_join(A.missing_sections(F.col("text"), SECTIONS), "|").alias("missing")), f"SELECT doc_id, array_to_string(list_filter({_list(SECTIONS)}, lambda x: NOT contains(text, x)), '|') AS missing FROM documents")
-register("token_flags", lambda s, d: _documents(s, d).select("doc_id", F.array_join(A.token_hits(F.col("text"), TOKENS), "|").alias("hits"), A.has_word(F.col("text"), "est").alias("whole")), f"SELECT doc_id, array_to_string(list_filter({_list(TOKENS)}, lambda x: contains(lower(text), x)), '|') AS hits, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])est([^\\p{{L}}\\p{{N}}_]|$)') AS whole FROM documents")
+register("token_flags", lambda s, d: _documents(s, d).select("doc_id", F.array_join(A.token_hits(F.col("text"), TOKENS), "|").alias("hits"), A.has_word(F.col("text"), "est").alias("whole")), f"SELECT doc_id, array_to_string(list_filter({_list(TOKENS)}, lambda x: contains(lower(text), x)), '|') AS hits, list_contains(list_transform(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+'), lambda w: trim(w, '(),.[]= ')), 'est') AS whole FROM documents")
 register("code_block_first", lambda s, d: _documents(s, d).select("doc_id", A.content_hash(A.first_code_block(_fenced())).alias("block")), "SELECT doc_id, sha256(text || chr(10)) AS block FROM documents")
 register("code_block_last", lambda s, d: _documents(s, d).select("doc_id", A.last_code_block(_fenced()).alias("block")), "SELECT doc_id, 'last' || chr(10) || lang || chr(10) AS block FROM documents")
+register("code_block_of_lines", lambda s, d: _documents(s, d).select("doc_id", A.last_code_block(_response()).alias("block")), "SELECT doc_id, CASE WHEN len(l) >= 3 THEN l[-2] || chr(10) END AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+_FLAGS = ("missing_sections", "forbidden_data_tokens", "fidelity_watch_tokens", "keyword_args")
+register(
+    "validation_flags",
+    lambda s, d: A.validate(_documents(s, d).withColumn("raw_response", F.when(F.col("doc_id") % 11 != 0, _response())), sections=SECTIONS, tokens=TOKENS[:2] + ("on", "er"), word="the", watched=("and", "tion", "ein"))
+    .select("doc_id", "code_block_found", *(F.array_join(c, "|").alias(c) for c in _FLAGS), "generate_alpha_defined", "has_keyword_args", "negative_shift_present", "response_sha256"),
+    f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN replace(text, chr(10), chr(10) || '```' || chr(10)) END AS r, string_split(text, chr(10)) AS l FROM documents),
+    c AS (SELECT doc_id, r, CASE WHEN r IS NOT NULL AND len(l) >= 3 THEN lower(l[-2] || chr(10)) END AS code FROM r)
+    SELECT doc_id, CASE WHEN r IS NOT NULL THEN code IS NOT NULL END AS code_block_found, CASE WHEN r IS NOT NULL THEN array_to_string(list_filter({_list(SECTIONS)}, lambda x: NOT contains(r, x)), '|') END AS missing_sections,
+    CASE WHEN r IS NOT NULL THEN coalesce(array_to_string(list_filter({_list(TOKENS[:2] + ("on", "er"))}, lambda x: contains(code, x)) || list_filter(['the'], lambda x: list_contains(list_transform(regexp_split_to_array(code, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+'), lambda w: trim(w, '(),.[]= ')), x)), '|'), '') END AS forbidden_data_tokens,
+    CASE WHEN r IS NOT NULL THEN coalesce(array_to_string(list_filter(['and', 'tion', 'ein'], lambda x: contains(code, x)), '|'), '') END AS fidelity_watch_tokens, CASE WHEN r IS NOT NULL THEN '' END AS keyword_args,
+    CASE WHEN r IS NOT NULL THEN false END AS generate_alpha_defined, CASE WHEN r IS NOT NULL THEN false END AS has_keyword_args, CASE WHEN r IS NOT NULL THEN false END AS negative_shift_present, sha256(r) AS response_sha256 FROM c""",
+)
 register("content_hash", lambda s, d: _documents(s, d).select("doc_id", A.content_hash(F.col("text")).alias("sha256"), A.slug(F.concat_ws(" ", "source", "lang")).alias("slug")), "SELECT doc_id, sha256(text) AS sha256, lower(source || '_' || lang) AS slug FROM documents")
 register("run_manifest", lambda s, d: A.manifest(_documents(s, d), "text"), "SELECT count(*) AS n, count(text) AS n_responses, count(text) - count(DISTINCT text) AS n_duplicates FROM documents")
 _STATUSES, _THEMES = ("en", "de", "fr"), ("code", "web")
@@ -40,9 +58,9 @@ register(
 )
 register(
     "generation_status", lambda s, d: _documents(s, d).select("doc_id", A.generation_status(F.col("lang") == "de", F.when(F.col("doc_id") % 7 != 0, F.col("text")), F.col("doc_id") % 5 == 0).alias("status")),
-    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'api_error' WHEN lang = 'de' THEN 'quarantined_retrieval_detected' WHEN doc_id % 7 = 0 OR trim(text) = '' THEN 'empty_response' ELSE 'success' END AS status FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'api_error' WHEN doc_id % 7 = 0 OR text = '' THEN 'empty_response' WHEN lang = 'de' THEN 'quarantined_retrieval_detected' ELSE 'success' END AS status FROM documents",
 )
-register("text_shorten", lambda s, d: _documents(s, d).select("doc_id", V.shorten(F.col("text")).alias("label")), "SELECT doc_id, CASE WHEN length(text) > 58 THEN rtrim(text[1:55], ' ') || '...' ELSE text END AS label FROM documents")
+register("text_shorten", lambda s, d: _documents(s, d).select("doc_id", V.shorten(F.col("text")).alias("label")), "SELECT doc_id, CASE WHEN length(text) > 58 THEN regexp_replace(text[1:55], '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+$', '') || '...' ELSE text END AS label FROM documents")
 register(
     "control_manifest", lambda s, d: A.control_manifest(s, {int(k[1:]): len(p) for k, (_, p) in CONTROLS.items()}).groupBy("included", "exclusion_basis").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("numbers")),
     "SELECT * FROM (VALUES (true, NULL, 50, 1757), (false, 'data_availability', 47, 3197), (false, 'data_availability+execution', 2, 90), (false, 'execution_convention', 2, 107)) t(included, exclusion_basis, n, numbers)",

@@ -334,7 +334,7 @@ def test_panel_and_artifact_files(spark, tmp_path):
     (folder / "alpha_2.json").write_text('{"metadata": {"alpha_id": "own"}, "raw_response": null}')
     found = A.read_artifacts(spark, str(folder))
     flags = {r["alpha_id"]: r for r in A.validate(found).collect()}
-    assert flags["alpha_1"]["code_block_found"] and flags["alpha_1"]["names_cap"] and flags["own"]["code_block_found"] is None and flags["own"]["missing_sections"] is None
+    assert flags["alpha_1"]["code_block_found"] and flags["alpha_1"]["forbidden_data_tokens"] == [] and flags["own"]["code_block_found"] is None and flags["own"]["missing_sections"] is None
     A.copy_survivors(found, spark.createDataFrame([("own", E.SURVIVED), ("alpha_1", E.REJECTED)], "alpha_id string, status string"), f"{tmp_path}/kept")
     assert [r["alpha_id"] for r in spark.read.json(f"{tmp_path}/kept").collect()] == ["own"]
 
@@ -394,3 +394,36 @@ def test_queries_draw_as_often_as_the_operators(spark, monkeypatch):
     monkeypatch.setattr(Q, "events", lambda *_: found)
     p = [r["p"] * 1_000 for r in QUERIES["salience_gradient"](spark, "").collect()]
     assert all(abs(x - round(x)) < 1e-6 for x in p) and any(round(x) % 5 for x in p)
+
+
+def test_validation_looks_into_the_code_alone(spark):
+    """Tokens of the prose don't count, those of the last block do; the whole word is found between brackets and equals signs."""
+    code = """import numpy as np
+def generate_alpha(df, n=5, *, k=2):
+    indclass = df['shares_outstanding'].fillna(0).replace(np.inf, cap)
+    return df.shift(periods=-1)
+"""
+    texts = [
+        ("code", f"no sector data, no clip\n```python\nold = vwap\n```\nSection 1\n```python\n{code}```\nindustry"), ("plain", f"rank\n```\nreturn capital_cap + (cap_a)\n```"), ("bare", "sector, cap"), ("one line", "```x```"),
+        ("four", "a\n````\nb\n```"), ("wrong", "```py\ndef generate_alpha(:\n```"), ("second", "```\ndef generate_alpha(df, a, b): return df.shift(1, -2), shift(x, -1)\n```"), ("ahead", "```\ng = x.shift(2)\n```"), (None, None),
+    ]
+    got = {r["id"]: r for r in A.validate(spark.createDataFrame(texts, "id string, raw_response string")).collect()}
+    r = got["code"]
+    assert r["forbidden_data_tokens"] == ["indclass", "shares_outstanding", "cap"] and r["fidelity_watch_tokens"] == ["fillna", "replace", "np.inf"]
+    assert r["keyword_args"] == ["n", "k"] and r["has_keyword_args"] and r["negative_shift_present"] and r["generate_alpha_defined"] and r["missing_sections"] == [f"Section {i}" for i in range(2, 6)]
+    assert got["plain"]["forbidden_data_tokens"] == [] and not got["plain"]["code_parses"] is None
+    for name in ("bare", "one line"):
+        assert not got[name]["code_block_found"] and got[name]["forbidden_data_tokens"] == [] and got[name]["syntax_error"] is None
+    assert got["four"]["code_block_found"] and got["wrong"]["syntax_error"] and not got["wrong"]["code_parses"]
+    assert got["second"]["keyword_args"] == [] and got["second"]["negative_shift_present"] and not got["ahead"]["negative_shift_present"]
+    assert got[None]["code_block_found"] is None and got[None]["forbidden_data_tokens"] is None
+    blocks = {r["id"]: r["b"] for r in spark.createDataFrame(texts, "id string, t string").select("id", A.last_code_block(F.col("t")).alias("b")).collect()}
+    assert blocks["four"] == "b\n" and blocks["code"] == code and blocks["one line"] is None
+
+
+def test_status_of_empty_and_retrieved(spark):
+    rows = [(True, "", False), (True, None, None), (True, " ", False), (None, "x", None), (True, "x", True), (True, "x", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "r boolean, t string, f boolean").select(A.generation_status(F.col("r"), F.col("t"), F.col("f"))).collect()]
+    assert got == ["empty_response", "empty_response", "quarantined_retrieval_detected", "success", "api_error", "quarantined_retrieval_detected"]
+    cut = spark.createDataFrame([("x" * 53 + "\t\u3000" + "y" * 9,), ("z" * 58,)], "t string").select(V.shorten(F.col("t"))).collect()
+    assert [r[0] for r in cut] == ["x" * 53 + "...", "z" * 58]
