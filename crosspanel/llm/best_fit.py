@@ -7,17 +7,21 @@ within a shard they come in hashed order, the smallest tenth last and longest fi
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import arrow_batches, buffers, mix64, stash, tidy
+from .packing import byte_alphabet
 
 #: Pieces that one shard packs, about.
 SHARD = 65_536
@@ -26,18 +30,48 @@ WORDS, LONGEST = 400_000, 64
 _encoders: dict[str, _Words] = {}
 
 
+# The tokenizer's pattern over small letters that lie in these ranges, and texts that the pattern's short form reads
+# as the library does: ASCII, and the Latin letters up to U+017F but for two that are no letters and one that grows when made small.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u017F]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u017F]+")
+_PLAIN = re.compile(r"[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+_END = "</w>"
+
+
+def _byte_pairs(spec: dict) -> tiktoken.Encoding | None:
+    """The vocabulary as byte pairs whose words end in a byte that no text has; None if ids don't rise with the order of merges.
+
+    Where they do, the pair of least id is always the pair merged first, so both libraries take the same steps.
+    """
+    of, vocabulary = byte_alphabet(), spec["model"]["vocab"]
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    special = {t["content"] for t in spec["added_tokens"]}
+    if spec["model"].get("end_of_word_suffix") != _END or merged != list(range(merged[0], merged[0] + len(merged))):
+        return None
+    ranks = {bytes(map(of.__getitem__, t.removesuffix(_END) if t != _END else t)) + b"\xff" * (t.endswith(_END) and t != _END): i for t, i in vocabulary.items() if t not in special}
+    return tiktoken.Encoding("word-ends", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+
+
 class _Words(dict):
     """Ids, as little-endian 32-bit integers, of what stands between ASCII white space.
 
     The tokenizer's pattern never matches across white space and its normaliser composes nothing across it, so ids of a text are
-    those of its parts, joined; tests hold this against the library.
+    those of its parts, joined. Words of Latin letters, digits and ASCII signs are cut and merged here, three times as fast; all
+    others, and what may be a special token, go through the library. Tests hold both against it.
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.pairs, self.special = _byte_pairs(spec), [t["content"] for t in spec["added_tokens"]]
         self.tokenizer = Tokenizer.from_file(path)
 
+    def _ids(self, word: str) -> list[int]:
+        if self.pairs is None or len(word) > LONGEST or not _PLAIN.fullmatch(word) or any(t in word for t in self.special):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        return [i for part in _PART.findall(word.lower()) for i in self.pairs._encode_single_piece(part.encode() + b"\xff")]
+
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = np.array(self._ids(word.decode("utf-8", "replace")), "<u4").tobytes()
         if len(word) <= LONGEST and len(self) < WORDS:
             self[word] = ids
         return ids
