@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import decay as D
 from .operators import evaluate as E
+from .operators.screening import Signal, screening_table
 from .plans.compiler import evaluate, neutral
 from .plans.expr import call, field, parse
 from .plans.twin import evaluate_sql
@@ -174,6 +175,56 @@ register(
     f"WITH {_PORTFOLIO}, {_DSR} SELECT alpha_id, model, n_trials, round(z, 4) AS dsr_z_score FROM zs",
 )
 
+# ---- the whole screening table, with signals that fail when they are built, analysed and run ----
+def _duplicated(panel: DataFrame) -> DataFrame:
+    return panel.unionByName(panel).select("date", "symbol", F.col("close").alias("signal"))
+
+
+def _over_own_mean(panel: DataFrame) -> DataFrame:
+    own = panel.groupBy("symbol").agg(F.avg("close").alias("m"))
+    return panel.join(own, "symbol").select("date", "symbol", (F.col("close") / F.col("m") - 1).alias("signal"))
+
+
+_PLUGINS = [
+    Signal("p01", lambda p: F.col("volume") - F.avg("volume").over(Window.partitionBy("date")), "plugin", "volume"), Signal("p02", _over_own_mean, "plugin", "level"),
+    Signal("f01", lambda p: F.col("earnings") / F.col("close"), "plugin", "unknown column"), Signal("f02", lambda p: F.col("volume").cast("int") * F.lit(2147483647), "plugin", "overflow"),
+    Signal("f03", "mean_min(returns, 60, 126)", "plugin", "window"), Signal("f04", _duplicated, "plugin", "duplicates"),
+]
+
+
+def _whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = [Signal(k, w, "control" if k in CONTROL_SET else "treatment") for k, w in _WEIGHTS.items()]
+    reason = F.regexp_extract("error", r"^(\[[A-Z0-9_.]+\]|\w+)", 1)
+    return screening_table(trade_panel(spark, sf_dir), [*mine, *_PLUGINS]).withColumns({"error": reason, "mean_rank_ic": F.round("mean_rank_ic", 4), "ic_std": F.round("ic_std", 4)}).drop("annualized_return")
+
+
+# The same expectation for six trials, with q(1 - 1 / 6) = 0.9674215661 and q(1 - 1 / 6e) = 1.5438425505.
+_BEST |= {"plugin": 1.3001407878}
+register(
+    "screening_table", _whole_table,
+    f"""WITH {_PORTFOLIO.replace("signals AS (SELECT", "formulas AS (SELECT").replace("daily AS MATERIALIZED", """signals AS (
+      SELECT alpha_id, date, symbol, signal FROM formulas
+      UNION ALL SELECT 'p01', date, symbol, volume - avg(volume) OVER (PARTITION BY date) FROM panel
+      UNION ALL SELECT 'p02', date, symbol, close / avg(close) OVER (PARTITION BY symbol) - 1 FROM panel
+    ), daily AS MATERIALIZED""")},
+    m AS (SELECT *, CASE alpha_id[1] WHEN 'c' THEN 'control' WHEN 'a' THEN 'treatment' ELSE 'plugin' END AS model FROM perf),
+    n AS (SELECT *, CASE model WHEN 'control' THEN {_BEST["control"]} WHEN 'treatment' THEN {_BEST["treatment"]} ELSE {_BEST["plugin"]} END AS best FROM m),
+    zs AS (SELECT *, (daily_sharpe - best / sqrt(n_days)) * sqrt(n_days - 1) / sqrt(1 - skew * daily_sharpe + (kurtosis - 1) / 4 * daily_sharpe ** 2) AS z FROM n),
+    areas AS (
+      SELECT *, 0.5 + sign(z) * abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * k / 2000, 2) / 2))) / sqrt(2 * pi()) AS p FROM zs
+    ), fwd AS (SELECT date, symbol, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS fwd FROM dense WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    joint AS (SELECT * FROM signals JOIN fwd USING (date, symbol) WHERE signal IS NOT NULL AND fwd IS NOT NULL),
+    ranked AS (SELECT alpha_id, date, rank() OVER (PARTITION BY alpha_id, date ORDER BY signal) + (count(*) OVER (PARTITION BY alpha_id, date, signal) - 1) / 2.0 AS a,
+      rank() OVER (PARTITION BY alpha_id, date ORDER BY fwd) + (count(*) OVER (PARTITION BY alpha_id, date, fwd) - 1) / 2.0 AS b FROM joint),
+    ics AS (SELECT alpha_id, date, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM ranked GROUP BY ALL HAVING count(*) >= 20),
+    sums AS (SELECT alpha_id, count(ic) AS ic_n_days, avg(ic) AS m, stddev_samp(ic) AS s FROM ics GROUP BY alpha_id)
+    SELECT alpha_id, model, CASE alpha_id WHEN 'p01' THEN 'volume' WHEN 'p02' THEN 'level' END AS theme, round(annualized_vol, 4) AS annualized_vol, round(sharpe_ratio, 4) AS sharpe_ratio,
+      round(z, 2) AS dsr_z_score, round(least(0.9999, greatest(0.0001, p)), 4) AS dsr, 'open_t1' AS ic_execution, round(m, 4) AS mean_rank_ic, round(s, 4) AS ic_std, round(m / s, 4) AS ic_information_ratio, ic_n_days,
+      CASE WHEN p > 0.95 THEN 'SURVIVED_PHASE_1' ELSE 'REJECTED_DSR' END AS status, NULL AS error FROM areas JOIN sums USING (alpha_id)
+    UNION ALL SELECT a, 'plugin', t, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 'FAILED_EXECUTION', e
+    FROM (VALUES ('f01', 'unknown column', '[UNRESOLVED_COLUMN.WITH_SUGGESTION]'), ('f02', 'overflow', '[ARITHMETIC_OVERFLOW]'), ('f03', 'window', 'ValueError'), ('f04', 'duplicates', '[USER_RAISED_EXCEPTION]')) t(a, t, e)""",
+)
+
 # ---- test 1 ----
 _TEST1 = _PRELUDE + f""",
 ctrl AS (SELECT date, avg(ic) AS bench FROM ics WHERE alpha_id LIKE 'c%' GROUP BY date),

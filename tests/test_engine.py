@@ -427,3 +427,38 @@ def test_status_of_empty_and_retrieved(spark):
     assert got == ["empty_response", "empty_response", "quarantined_retrieval_detected", "success", "api_error", "quarantined_retrieval_detected"]
     cut = spark.createDataFrame([("x" * 53 + "\t\u3000" + "y" * 9,), ("z" * 58,)], "t string").select(V.shorten(F.col("t"))).collect()
     assert [r[0] for r in cut] == ["x" * 53 + "...", "z" * 58]
+
+
+def test_batch_isolates_failures_of_every_kind(spark):
+    """Only culprits fail, whatever their number and place; the others' values are those of a batch without them."""
+    import pandas as pd
+    from pyspark.sql import functions as G
+
+    from crosspanel.operators.screening import Batch, Signal, screening_table
+
+    @G.pandas_udf("double")
+    def broken(x: pd.Series) -> pd.Series:
+        raise KeyError("no such level")
+
+    panel = panel_of(spark)
+    good = [Signal(f"g{i}", f"delta(close, {i + 1})", calendar=i % 2 == 0) for i in range(6)] + [Signal("col", lambda p: G.col("close") - 1), Signal("tab", lambda p: p.select("date", "symbol", G.col("volume").alias("signal")).filter("symbol < 's1'"))]
+    bad = {
+        "parse": "close +", "operator": "nothing(close)", "window": "mean_min(returns, 5, 9)", "column": lambda p: G.col("zzz"), "type": lambda p: G.array("close"), "kind": lambda p: 7, "raises": lambda p: 1 // 0,
+        "overflow": lambda p: (G.dayofyear("date") + 1) * 2147483647, "udf": lambda p: broken("close"), "twice": lambda p: p.union(p).select("date", "symbol", G.col("close").alias("signal")),
+    }
+    mixed = [*good[:3], *(Signal(k, v) for k, v in bad.items()), *good[3:]]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    batch = Batch(panel, mixed)
+    assert set(batch.failures) == set(bad) and all(batch.failures.values()) and spark.conf.get("spark.sql.ansi.enabled") == before
+    assert batch.failures["overflow"].startswith("[ARITHMETIC_OVERFLOW]") and batch.failures["udf"].startswith("KeyError") and "two values" in batch.failures["twice"] and batch.failures["raises"].startswith("ZeroDivisionError")
+    rows = lambda b: sorted((r["alpha_id"], r["date"], r["symbol"], r["signal"]) for r in b.signals.filter("signal is not null").collect())
+    alone = Batch(panel, good)
+    assert rows(batch) == rows(alone) and alone.runs == 1 and not alone.failures and 1 < batch.runs < 2 * len(mixed)
+    table = {r["alpha_id"]: r for r in screening_table(panel, mixed, min_names=5).collect()}
+    assert len(table) == len(mixed) and {k for k, r in table.items() if r["status"] == E.FAILED} == set(bad)
+    assert table["udf"]["ic_n_days"] == 0 and table["udf"]["dsr"] is None and table["col"]["ic_execution"] == "open_t1" and table["g0"]["mean_rank_ic"] is not None
+    assert screening_table(panel, [Signal("x", "close +")]).first()["status"] == E.FAILED
+    with pytest.raises(ValueError):
+        Batch(panel, [good[0], good[0]])
+    with pytest.raises(ValueError):
+        screening_table(panel, good, "never")
