@@ -144,11 +144,11 @@ class Batch:
             self._run(batch[half:])
 
 
-def screening_table(panel: DataFrame, signals: Iterable[Signal], convention: str = "open_t1", min_names: int = 20, level: float = 0.95) -> DataFrame:
+def screening_table(panel: DataFrame, signals: Iterable[Signal], convention: str = "open_t1", min_names: int = 20, level: float = 0.95, digits: dict[str, int] = DIGITS) -> DataFrame:
     """One row for each signal: ``alpha_id, model, theme``, performance, deflated Sharpe ratio, rank correlations, ``status, error``.
 
     All signals count as trials of their model, failed ones too. Figures of failed signals are missing, their days of rank
-    correlation are 0; below three days the others' correlations are missing. A signal without any value has flat returns.
+    correlation are 0; below three days the others' correlations are missing. Figures in ``digits`` are rounded. A signal without any value has flat returns.
     """
     if convention not in E.CONVENTIONS:
         raise ValueError(f"convention must be one of {E.CONVENTIONS}, not {convention!r}")
@@ -161,4 +161,4 @@ def screening_table(panel: DataFrame, signals: Iterable[Signal], convention: str
     screened = E.screen(done, E.trials_per_model(listed), level).join(ic, "alpha_id", "left")
     screened = screened.withColumns({"ic_execution": F.lit(convention), "ic_n_days": F.coalesce("ic_n_days", F.lit(0)).cast("long")})
     table = E.with_failures(screened, lost).select(*COLUMNS)
-    return table.select(*(F.round(c, DIGITS[c]).alias(c) if c in DIGITS else c for c in COLUMNS))
+    return table.select(*(F.round(c, digits[c]).alias(c) if c in digits else c for c in COLUMNS))
