@@ -7,7 +7,7 @@ windows, step 3 with matched low-salience episodes by permutation. Rank correlat
 from __future__ import annotations
 
 import math
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import LEAST_DAYS, WINDOW, event_days
+from .orders import BLOCK, orders, seed_of
 
-SEED = 20260716
 CALIPER = 1.0
+#: What the order of summation may leave between equal statistics: of gaps, and of slopes relative to their size.
+EQUAL, EQUAL_SHARE = 1e-12, 1e-9
 
 
 def on_calendar(ic: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -154,53 +156,103 @@ def day_differentials(ic: DataFrame, bench_days: DataFrame, events: DataFrame, c
     return met.select("alpha_id", "event_id", "tpos", (F.col("ic") - F.col("beta") * F.col("bench")).alias("d")).filter("d is not null")
 
 
+def _by_draws(groups: DataFrame, key: list[str], draws: int) -> DataFrame:
+    """A row for each group and block of draws, spread over all tasks: ``first`` is the block's first draw, ``count`` its draws."""
+    blocks = groups.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK))))
+    return blocks.withColumn("count", F.least(F.lit(BLOCK), F.lit(draws) - F.col("first"))).repartition(*key, "first")
+
+
+def gap_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean of the first slot less the mean of the other slots' means, along the last axis."""
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    means = np.stack([values[..., a:b].mean(axis=-1) for a, b in zip(edge, edge[1:])])
+    return means[0] - means[1:].mean(axis=0)
+
+
+def _gaps_drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            pool, sizes = np.asarray(r.pool, float), np.asarray(r.sizes)
+            if len(sizes) < r.slots:  # a slot without a valid day
+                continue
+            own = float(gap_of(pool, sizes))
+            null = gap_of(pool[orders(seed_of(r.alpha_id, r.event_id), r.first, r.count, len(pool))], sizes)
+            out.append((r.alpha_id, r.event_id, own, null, int((null >= own - EQUAL).sum())))
+        yield pd.DataFrame(out, columns=["alpha_id", "event_id", "observed", "nulls", "reached"])
+
+
 def permutation_gaps(gaps: DataFrame, days: DataFrame, draws: int = 10_000) -> DataFrame:
     """``alpha_id, event_id, observed, p3, mdg``: gap of an event and its low events under permutations of their pooled days.
 
-    ``mdg`` is the 95 % quantile of the null. Each pair of signal and event has its own random stream, so results don't depend
-    on how they are spread over tasks. A group has (1 + matches) windows of days.
+    ``mdg`` is the 95 % quantile of the null. Each draw's order follows from seed, signal, event and the draw's number, so results
+    don't depend on how draws are spread over tasks; gaps that differ by what the order of summation leaves count as equal. A group
+    has (1 + matches) windows of days, one row; its draws are made in blocks by many tasks. A group with a slot without days has no row.
     """
-    slots = gaps.select("alpha_id", "event_id", F.explode(F.concat(F.array("event_id"), "low_ids")).alias("slot"))
+    key = ["alpha_id", "event_id"]
+    slots = gaps.select(*key, (F.size("low_ids") + 1).alias("slots"), F.explode(F.concat(F.array("event_id"), "low_ids")).alias("slot"))
     pooled = slots.join(days.select("alpha_id", F.col("event_id").alias("slot"), "tpos", "d"), ["alpha_id", "slot"])
-
-    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
-        alpha, event = pdf["alpha_id"].iloc[0], pdf["event_id"].iloc[0]
-        pdf = pdf.sort_values(["slot", "tpos"])
-        own = pdf["slot"].to_numpy() == event
-        parts = [pdf["d"].to_numpy()[own], *(g["d"].to_numpy() for _, g in pdf[~own].groupby("slot"))]
-        pool, sizes = np.concatenate(parts), [len(x) for x in parts]
-        rng = np.random.default_rng([SEED, zlib.crc32(f"{alpha}|{event}".encode())])
-        edges = np.cumsum([0, *sizes])
-        mean = lambda x: np.stack([x[..., a:b].mean(axis=-1) for a, b in zip(edges, edges[1:])])
-        observed = mean(pool)
-        null = mean(pool[rng.permuted(np.tile(np.arange(len(pool)), (draws, 1)), axis=1)])
-        gap = observed[0] - observed[1:].mean()
-        nulls = null[0] - null[1:].mean(axis=0)
-        return pd.DataFrame({"alpha_id": [alpha], "event_id": [event], "observed": [gap], "p3": [(nulls >= gap).mean()], "mdg": [np.quantile(nulls, 0.95)]})
-
-    return pooled.groupBy("alpha_id", "event_id").applyInPandas(permute, "alpha_id string, event_id string, observed double, p3 double, mdg double")
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("slot") != F.col("event_id")).alias("low"), "slot", "tpos", "d")))
+    grouped = pooled.groupBy(*key, "slots").agg(ordered.alias("rows"))
+    names = F.array_distinct(F.transform("rows", lambda r: r["slot"]))
+    sizes = F.transform(names, lambda s: F.size(F.filter("rows", lambda r: r["slot"] == s)))
+    # a group whose own event has no valid day starts with another slot
+    whole = grouped.filter(F.col("rows")[0]["slot"] == F.col("event_id")).select(*key, "slots", F.transform("rows", lambda r: r["d"]).alias("pool"), sizes.alias("sizes"))
+    drawn = _by_draws(whole, key, draws).mapInPandas(_gaps_drawn, "alpha_id string, event_id string, observed double, nulls array<double>, reached long")
+    each = drawn.select(*key, "observed", "reached", F.posexplode("nulls").alias("i", "null"))
+    return each.groupBy(*key).agg(F.first("observed").alias("observed"), (F.sum(F.when(F.col("i") == 0, F.col("reached"))) / draws).alias("p3"), F.percentile("null", F.lit(0.95)).alias("mdg"))
+
+
+def residual_basis(columns: np.ndarray) -> np.ndarray:
+    """Orthonormal columns that span a constant and ``columns``; what others leave nothing of is left out."""
+    basis: list[np.ndarray] = []
+    for c in np.column_stack([np.ones(len(columns)), columns]).T:
+        left = c.astype(float)
+        for _ in range(2):  # the second time takes off what rounding left
+            for b in basis:
+                left = left - (left @ b) * b
+        if left @ left > 1e-20 * max(c @ c, 1e-300):
+            basis.append(left / np.sqrt(left @ left))
+    return np.column_stack(basis)
+
+
+def partial_slopes(y: np.ndarray, x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Slope of y on each row of x beside the basis: what the basis leaves of y times x over what it leaves of x, squared."""
+    left = y - basis @ (basis.T @ y)
+    spread = (x * x).sum(-1) - ((x @ basis) ** 2).sum(-1)
+    return np.where(spread > 1e-12 * (x * x).sum(-1), x @ left / np.where(spread > 0, spread, 1.0), np.nan)
+
+
+def _slopes_drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            y, nc, basis = np.asarray(r.d, float), np.asarray(r.consensus, float), residual_basis(np.column_stack([np.asarray(c, float) for c in (r.c0, r.c1, r.c2)]))
+            nc = nc - nc.mean()
+            own = float(partial_slopes(y, nc[None, :], basis)[0])
+            null = partial_slopes(y, nc[orders(seed_of(r.alpha_id), r.first, r.count, len(nc))], basis)
+            total = float(nc @ nc)
+            r2 = 1 - (total - float(((nc @ basis) ** 2).sum())) / total if total > 0 else None
+            out.append((r.alpha_id, None if np.isnan(own) else own, int((null >= own - EQUAL_SHARE * abs(own)).sum()), r2, r.first == 0))
+        yield pd.DataFrame(out, columns=["alpha_id", "slope", "reached", "r2_severity", "is_first"])
 
 
 def salience_gradient(event_d: DataFrame, events: DataFrame, draws: int = 1_000) -> DataFrame:
-    """``alpha_id, slope, p, r2_severity``: slope of d on consensus beside volatility, drawdown and dispersion; p by permuting consensus."""
+    """``alpha_id, slope, p, n_episodes, r2_severity``: slope of d on consensus beside volatility, drawdown and dispersion; p by permuting consensus.
+
+    ``n_episodes`` are those with all values; below six the rest is missing. A slope is one dot product: y's residual on severity
+    times consensus, over consensus' own residual; so no draw fits a regression. Severity without spread is left out.
+    """
     names = ["realized_vol", "drawdown", "dispersion"]
     met = event_d.filter("d is not null").join(F.broadcast(events.filter("usable").select("event_id", "consensus", *names)), "event_id").na.drop("any")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        alpha, y, nc = pdf["alpha_id"].iloc[0], pdf["d"].to_numpy(), pdf["consensus"].to_numpy()
-        rest = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy()])
-        if len(pdf) < 6:
-            return pd.DataFrame({"alpha_id": [alpha], "slope": [None], "p": [None], "r2_severity": [None]})
-        slope = lambda x: np.linalg.lstsq(np.column_stack([rest, x]), y, rcond=None)[0][-1]
-        rng = np.random.default_rng([SEED, zlib.crc32(alpha.encode())])
-        own = slope(nc)
-        null = np.array([slope(rng.permutation(nc)) for _ in range(draws)])
-        left = nc - rest @ np.linalg.lstsq(rest, nc, rcond=None)[0]
-        total = ((nc - nc.mean()) ** 2).sum()
-        return pd.DataFrame({"alpha_id": [alpha], "slope": [own], "p": [(null >= own).mean()], "r2_severity": [1 - (left**2).sum() / total if total > 0 else None]})
-
-    return met.groupBy("alpha_id").applyInPandas(fit, "alpha_id string, slope double, p double, r2_severity double")
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "d", "consensus", *names)))
+    grouped = met.groupBy("alpha_id").agg(rows.alias("rows"), F.count(F.lit(1)).alias("n_episodes"))
+    pick = lambda c: F.transform("rows", lambda r: r[c])
+    enough = grouped.filter("n_episodes >= 6").select("alpha_id", pick("d").alias("d"), pick("consensus").alias("consensus"), *(pick(c).alias(f"c{i}") for i, c in enumerate(names)))
+    drawn = _by_draws(enough, ["alpha_id"], draws).mapInPandas(_slopes_drawn, "alpha_id string, slope double, reached long, r2_severity double, is_first boolean")
+    fitted = drawn.groupBy("alpha_id").agg(F.first("slope").alias("slope"), (F.sum("reached") / draws).alias("p"), F.first("r2_severity").alias("r2_severity"))
+    out = grouped.select("alpha_id", "n_episodes").join(fitted, "alpha_id", "left")
+    return out.select("alpha_id", "slope", F.when(F.col("slope").isNotNull(), F.col("p")).alias("p"), "n_episodes", "r2_severity")
 
 
 def step1_flags(means: DataFrame, overall: DataFrame, thresholds: DataFrame) -> DataFrame:

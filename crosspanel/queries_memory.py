@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import events as V
 from .operators import memory as M
+from .operators.orders import keys_sql, seed_sql
 from .queries import register, rounded
 from .queries_eval import _PRELUDE, ic_panel
 from .sources.cache import kept
@@ -229,16 +230,55 @@ _test2("step1_flags", lambda s, d: step1(s, d).drop("mean"), """
 , own AS (SELECT alpha_id, avg(ic) AS own FROM ics GROUP BY alpha_id), thr AS (SELECT quantile_cont(mean, 0.95) AS pooled, quantile_cont(mean - own, 0.95) AS demeaned FROM means JOIN own USING (alpha_id) WHERE alpha_id LIKE 'c%' AND mean IS NOT NULL),
 f AS (SELECT alpha_id, event_id, coalesce(mean > pooled, false) AS p, coalesce(mean - own > demeaned, false) AS q FROM means JOIN own USING (alpha_id) JOIN events ON window_start = start, thr WHERE usable AND alpha_id LIKE 'a%')
 SELECT alpha_id, event_id, p AS pooled_flag, q AS demeaned_flag, p <> q AS disagree, p OR q AS step1 FROM f""")
-_test2("permutation_gaps", lambda s, d: rounded(permuted(s, d)))
-_test2("salience_gradient", lambda s, d: rounded(M.salience_gradient(event_d(s, d), events(s, d))))
-_test2("event_verdicts", lambda s, d: rounded(verdicts(s, d)))
-_test2("signal_synthesis", lambda s, d: rounded(M.synthesis(verdicts(s, d))))
+# days of an event and its low events, pooled; each draw sorts them by its keys and deals them into slots of the old sizes
+_DRAWN = f"""{_PAIRS},
+slots AS (SELECT alpha_id, event_id, event_id AS slot, 0 AS low FROM gapped UNION ALL SELECT g.alpha_id, g.event_id, n.low_id, 1 FROM gapped g JOIN near n USING (event_id) JOIN eventd l ON l.alpha_id = g.alpha_id AND l.event_id = n.low_id WHERE l.d IS NOT NULL),
+dayd AS (SELECT l.alpha_id, e.event_id AS slot, x.tpos, y - beta * x AS d FROM events e JOIN lwo l ON l.start = window_start JOIN xy x ON x.alpha_id = l.alpha_id AND x.tpos BETWEEN window_start AND window_end WHERE usable AND x IS NOT NULL AND beta IS NOT NULL),
+pool AS MATERIALIZED (SELECT alpha_id, event_id, slot, low, d, row_number() OVER (PARTITION BY alpha_id, event_id ORDER BY low, slot, tpos) - 1 AS i, count(*) OVER (PARTITION BY alpha_id, event_id) AS n, {seed_sql("alpha_id", "event_id")} AS seed FROM slots JOIN dayd USING (alpha_id, slot)),
+drawn AS (SELECT alpha_id, event_id, draw, d, row_number() OVER (PARTITION BY alpha_id, event_id, draw ORDER BY key, i) - 1 AS place FROM (SELECT *, {keys_sql("seed", "draw", "n", "i")} AS key FROM pool, (SELECT unnest(range(10000)) AS draw))),
+slot_means AS (SELECT p.alpha_id, p.event_id, draw, p.low, p.slot, avg(r.d) AS m FROM drawn r JOIN pool p ON p.alpha_id = r.alpha_id AND p.event_id = r.event_id AND p.i = r.place GROUP BY ALL),
+nulls AS (SELECT alpha_id, event_id, draw, avg(m) FILTER (low = 0) - avg(m) FILTER (low = 1) AS gap FROM slot_means GROUP BY ALL),
+seen AS (SELECT alpha_id, event_id, avg(m) FILTER (low = 0) - avg(m) FILTER (low = 1) AS observed FROM (SELECT alpha_id, event_id, low, slot, avg(d) AS m FROM pool GROUP BY ALL) GROUP BY ALL),
+perms AS MATERIALIZED (SELECT alpha_id, event_id, any_value(observed) AS observed, avg((gap >= observed - 1e-12)::INT) AS p3, quantile_cont(gap, 0.95) AS mdg FROM nulls JOIN seen USING (alpha_id, event_id) GROUP BY ALL)"""
+_test2("permutation_gaps", lambda s, d: rounded(permuted(s, d)), f"{_DRAWN} SELECT alpha_id, event_id, round(observed, 6) AS observed, round(p3, 6) AS p3, round(mdg, 6) AS mdg FROM perms")
+# severity made orthogonal column by column, the differentials' residual, and for each draw a dot product over what it leaves of consensus
+_FLAT = lambda a, *by: " - ".join([a, *(f"coalesce(sum({a} * {b}) OVER w / nullif(sum({b} * {b}) OVER w, 0), 0) * {b}" for b in by)])
+_test2("salience_gradient", lambda s, d: rounded(M.salience_gradient(event_d(s, d), events(s, d)), 5), f"""{_PAIRS},
+met AS (SELECT alpha_id, e.event_id, d, consensus, c.x, c.y, c.z, row_number() OVER (PARTITION BY alpha_id ORDER BY e.event_id) - 1 AS i, count(*) OVER (PARTITION BY alpha_id) AS n FROM eventd e JOIN events v USING (event_id) JOIN cov c USING (event_id) WHERE d IS NOT NULL),
+g0 AS (SELECT *, x - avg(x) OVER w AS x0, y - avg(y) OVER w AS y0, z - avg(z) OVER w AS z0, consensus - avg(consensus) OVER w AS c0, d - avg(d) OVER w AS d0 FROM met WINDOW w AS (PARTITION BY alpha_id)),
+g1 AS (SELECT *, {_FLAT("y0", "x0")} AS y1 FROM g0 WINDOW w AS (PARTITION BY alpha_id)),
+g2 AS (SELECT *, {_FLAT("z0", "x0", "y1")} AS z1 FROM g1 WINDOW w AS (PARTITION BY alpha_id)),
+g3 AS MATERIALIZED (SELECT *, {_FLAT("d0", "x0", "y1", "z1")} AS rest, {seed_sql("alpha_id")} AS seed FROM g2 WINDOW w AS (PARTITION BY alpha_id)),
+turned AS (SELECT alpha_id, draw, c0, row_number() OVER (PARTITION BY alpha_id, draw ORDER BY key, i) - 1 AS place FROM (SELECT *, {keys_sql("seed", "draw", "n", "i")} AS key FROM g3, (SELECT unnest(range(1000)) AS draw))),
+mixed AS (SELECT g.alpha_id, draw, t.c0 AS c, g.x0, g.y1, g.z1, g.rest FROM turned t JOIN g3 g ON g.alpha_id = t.alpha_id AND g.i = t.place UNION ALL SELECT alpha_id, -1, c0, x0, y1, z1, rest FROM g3),
+slopes AS (SELECT alpha_id, draw, sum(c * rest) / (sum(c * c) - {" - ".join(f"coalesce(sum(c * {b}) ** 2 / nullif(sum({b} * {b}), 0), 0)" for b in ("x0", "y1", "z1"))}) AS slope, sum(c * c) AS total, {" + ".join(f"coalesce(sum(c * {b}) ** 2 / nullif(sum({b} * {b}), 0), 0)" for b in ("x0", "y1", "z1"))} AS part FROM mixed GROUP BY ALL)
+SELECT o.alpha_id, CASE WHEN any_value(n) >= 6 THEN round(any_value(o.slope), 5) END AS slope, CASE WHEN any_value(n) >= 6 THEN round(avg((s.slope >= o.slope - 1e-9 * abs(o.slope))::INT), 5) END AS p, any_value(n) AS n_episodes, CASE WHEN any_value(n) >= 6 THEN round(any_value(o.part / o.total), 5) END AS r2_severity
+FROM slopes o JOIN slopes s ON s.alpha_id = o.alpha_id AND s.draw >= 0 JOIN (SELECT alpha_id, count(*) AS n FROM met GROUP BY 1) c ON c.alpha_id = o.alpha_id WHERE o.draw = -1 GROUP BY o.alpha_id""")
+_STEPS = f"""{_DRAWN},
+own AS (SELECT alpha_id, avg(ic) AS own FROM ics GROUP BY alpha_id), thr AS (SELECT quantile_cont(mean, 0.95) AS pooled, quantile_cont(mean - own, 0.95) AS demeaned FROM means JOIN own USING (alpha_id) WHERE alpha_id LIKE 'c%' AND mean IS NOT NULL),
+flags AS (SELECT alpha_id, event_id, coalesce(mean > pooled, false) AS a, coalesce(mean - own > demeaned, false) AS b FROM means JOIN own USING (alpha_id) JOIN events ON window_start = start, thr WHERE usable AND alpha_id LIKE 'a%'),
+tested AS (SELECT e.alpha_id, e.event_id, e.d, p2, p3, observed, mdg, coalesce(a OR b, false) AS step1, coalesce(a <> b, false) AS disagree, CASE WHEN n_low IS NULL THEN 'A' ELSE 'B' END AS scenario, coalesce(n_low, 0) AS n_matched_low, coalesce(low_ids, '') AS matched_low_ids, nearest,
+  row_number() OVER (PARTITION BY e.alpha_id ORDER BY p2 NULLS LAST) AS r2, count(p2) OVER (PARTITION BY e.alpha_id) AS m2, row_number() OVER (PARTITION BY e.alpha_id ORDER BY p3 NULLS LAST) AS r3, count(p3) OVER (PARTITION BY e.alpha_id) AS m3
+  FROM eventd e LEFT JOIN pvals USING (alpha_id, event_id) LEFT JOIN flags USING (alpha_id, event_id) LEFT JOIN perms USING (alpha_id, event_id) LEFT JOIN gapped USING (alpha_id, event_id) LEFT JOIN (SELECT event_id, min(distance) AS nearest FROM apart GROUP BY event_id) USING (event_id) WHERE e.salience = 'high'),
+adjusted AS (SELECT t.*, (SELECT least(1, min(o.p2 * o.m2 / o.r2)) FROM tested o WHERE o.alpha_id = t.alpha_id AND o.p2 >= t.p2) AS p2_q, (SELECT least(1, min(o.p3 * o.m3 / o.r3)) FROM tested o WHERE o.alpha_id = t.alpha_id AND o.p3 >= t.p3) AS p3_q FROM tested t),
+stepped AS (SELECT *, coalesce(p2_q <= 0.05 AND d > 0, false) AS step2, coalesce(p3_q <= 0.05 AND observed > 0, false) AS step3, observed / nullif(greatest(mdg, 0), 0) AS gap_over_mdg, d IS NOT NULL AND p2 IS NOT NULL AS known FROM adjusted),
+judged AS MATERIALIZED (SELECT *, CASE WHEN NOT known THEN 'INDETERMINATE' WHEN step1 AND step2 OR step3 THEN 'FAIL' ELSE 'PASS' END AS verdict,
+  CASE WHEN NOT known THEN 'insufficient_data' WHEN step1 AND step2 AND step3 THEN 'anomaly_and_salience_gap' WHEN step3 THEN 'salience_gap' WHEN step1 AND step2 THEN 'step1_anomaly_and_control_differential' ELSE 'none' END AS binding FROM stepped)"""
+_test2("event_verdicts", lambda s, d: rounded(verdicts(s, d), 5), f"""{_STEPS} SELECT alpha_id, event_id, {", ".join(f"round({c}, 5) AS {c}" for c in ("d", "p2", "p2_q", "p3", "p3_q", "observed", "mdg", "gap_over_mdg", "nearest"))}, scenario, n_matched_low, matched_low_ids, step1, disagree, step2, step3, verdict, binding FROM judged""")
+_test2("signal_synthesis", lambda s, d: rounded(M.synthesis(verdicts(s, d)), 5), f"""{_STEPS}, counted AS (
+SELECT alpha_id, count(*) FILTER (known) AS events_tested, count(*) FILTER (verdict = 'FAIL') AS events_failed, count(*) FILTER (known AND step1) AS step1_anomaly_flags, count(*) FILTER (known AND step2) AS step2_differential_flags, count(*) FILTER (known AND step3) AS step3_salience_gap_flags,
+  round(quantile_cont(mdg, 0.5) FILTER (known), 5) AS step3_median_mdg, round(max(gap_over_mdg) FILTER (known), 5) AS step3_max_gap_over_mdg, string_agg(DISTINCT binding, ', ' ORDER BY binding) FILTER (verdict = 'FAIL') AS modes FROM judged GROUP BY alpha_id)
+SELECT * EXCLUDE modes, CASE WHEN events_tested = 0 THEN 'INDETERMINATE' WHEN events_failed > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, coalesce(modes, 'none') AS binding_failure_mode FROM counted""")
 register("synthesis_cases", lambda s, d: rounded(M.synthesis(_made_up(s))), """SELECT * FROM (VALUES
 ('a', 2, 1, 2, 0, 1, 0.03, 1.5, 'FAIL', 'salience_gap'), ('b', 1, 0, 0, 1, 0, NULL, NULL, 'PASS', 'none'), ('c', 0, 0, 0, 0, 0, NULL, NULL, 'INDETERMINATE', 'none'), ('d', 2, 2, 1, 1, 2, 0.02, 2.0, 'FAIL', 'anomaly_and_salience_gap, salience_gap')
 ) t(alpha_id, events_tested, events_failed, step1_anomaly_flags, step2_differential_flags, step3_salience_gap_flags, step3_median_mdg, step3_max_gap_over_mdg, verdict, binding_failure_mode)""")
 register("report_cases", lambda s, d: rounded(M.report(_made_up(s))), """SELECT section, item, value::DOUBLE AS value FROM (VALUES ('results', 'tests', 5), ('results', 'scenario_a', 1), ('results', 'scenario_b', 4), ('results', 'step1_variants_disagree', 2),
 ('binding', 'salience_gap', 2), ('binding', 'anomaly_and_salience_gap', 1), ('detection_floor', 'tests', 4), ('detection_floor', 'median', 0.025), ('detection_floor', 'least', 0.01), ('detection_floor', 'greatest', 0.04), ('detection_floor', 'greatest_ratio', 2), ('detection_floor', 'reached', 2)) t(section, item, value)""")
 register("power_cases", lambda s, d: rounded(M.power_by_event(_made_up(s), 1)), "SELECT * FROM (VALUES ('e1', 2, 0.025, 1), ('e2', 1, 0.025, 2)) t(event_id, matches, mdg, place)")
-_test2("test2_report", lambda s, d: rounded(M.report(verdicts(s, d))))
-_test2("power_by_event", lambda s, d: rounded(M.power_by_event(verdicts(s, d))))
+_test2("test2_report", lambda s, d: rounded(M.report(verdicts(s, d)), 5), f"""{_STEPS}, ev AS (SELECT * FROM judged WHERE known), power AS (SELECT * FROM ev WHERE scenario = 'B' AND mdg IS NOT NULL)
+SELECT 'results' AS section, item, value::DOUBLE AS value FROM (UNPIVOT (SELECT count(*) AS tests, count(*) FILTER (scenario = 'A') AS scenario_a, count(*) FILTER (scenario = 'B') AS scenario_b, count(*) FILTER (disagree) AS step1_variants_disagree FROM ev) ON COLUMNS(*) INTO NAME item VALUE value)
+UNION ALL SELECT 'binding', binding, count(*) FROM ev WHERE verdict = 'FAIL' GROUP BY binding
+UNION ALL SELECT 'detection_floor', item, round(value, 5) FROM (SELECT unnest(['tests', 'median', 'least', 'greatest', 'greatest_ratio', 'reached']) AS item, unnest([count(*), quantile_cont(mdg, 0.5), min(mdg), max(mdg), max(gap_over_mdg), count(*) FILTER (gap_over_mdg >= 1)]) AS value FROM power)""")
+_test2("power_by_event", lambda s, d: rounded(M.power_by_event(verdicts(s, d)), 5), f"""{_STEPS}, power AS (SELECT event_id, any_value(n_matched_low) AS matches, quantile_cont(mdg, 0.5) AS m FROM judged WHERE known AND scenario = 'B' AND mdg IS NOT NULL GROUP BY event_id),
+placed AS (SELECT event_id, matches, round(m, 5) AS mdg, row_number() OVER (ORDER BY m DESC, event_id) AS place, count(*) OVER () AS n FROM power) SELECT event_id, matches, mdg, place::INT AS place FROM placed WHERE place <= 3 OR place > n - 3""")
 _test2("histogram", lambda s, d: M.histogram(ic_panel(s, d), "ic"), ", e AS (SELECT min(ic) AS a, max(ic) AS b FROM ics) SELECT least(19, floor((ic - a) / (b - a) * 20))::INT AS bin, count(*) AS n FROM ics, e GROUP BY 1")

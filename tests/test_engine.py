@@ -193,7 +193,7 @@ def test_salience_gradient_against_all_orders(spark):
     null = np.array([slope(np.array(v)) for v in itertools.permutations(nc)])
     assert got["a"]["slope"] == pytest.approx(slope(nc)) and abs(got["a"]["p"] - (null >= slope(nc) - 1e-12).mean()) < 0.06
     assert got["a"]["r2_severity"] == pytest.approx(1 - (left @ nc) @ nc / ((nc - nc.mean()) ** 2).sum())
-    assert got["few"]["slope"] is None and got["few"]["p"] is None
+    assert got["few"]["slope"] is None and got["few"]["p"] is None and got["few"]["n_episodes"] == 5 and got["a"]["n_episodes"] == 7
 
 
 def test_correlation_of_two_days_against_pandas(spark):
@@ -462,3 +462,39 @@ def test_batch_isolates_failures_of_every_kind(spark):
         Batch(panel, [good[0], good[0]])
     with pytest.raises(ValueError):
         screening_table(panel, good, "never")
+
+
+def test_orders_by_counters(monkeypatch):
+    """The generator's published first numbers; every item is equally often in every place; blocks of draws are parts of one sequence."""
+    from crosspanel.operators import orders as O
+
+    assert [hex(x) for x in O.keys(0, 0, 1, 3)[0].tolist()] == ["0xe220a8397b1dcdaf", "0x6e789e6aa1b965f4", "0x6c45d188009454f"]
+    assert (O.keys(9, 0, 6, 5) == np.vstack([O.keys(9, 0, 2, 5), O.keys(9, 2, 4, 5)])).all()
+    drawn = O.orders(O.seed_of("a", "e"), 0, 20_000, 5)
+    for place in range(5):
+        assert abs(np.bincount(drawn[:, place], minlength=5) / 20_000 - 0.2).max() < 0.012
+    assert len({tuple(x) for x in drawn.tolist()}) == 120 and O.seed_of("a", "e") != O.seed_of("ae", "")
+
+
+def test_permutations_do_not_depend_on_blocks(spark, monkeypatch):
+    """Windows of unequal length and a group whose own event has no valid day; draws in one block or in many give the same."""
+    draw = np.random.default_rng(8)
+    sizes = {"e1": 4, "e2": 3, "e3": 5, "e9": 2}
+    days = spark.createDataFrame([(a, e, t, float(draw.normal())) for a in "ab" for e, n in sizes.items() for t in range(n)], "alpha_id string, event_id string, tpos int, d double")
+    gaps = spark.createDataFrame([("a", "e1", ["e2", "e3"]), ("b", "e9", ["e1"]), ("a", "e7", ["e1"]), ("b", "e3", ["e2", "e8"])], "alpha_id string, event_id string, low_ids array<string>")
+    one = sorted(map(tuple, M.permutation_gaps(gaps, days, 1100).collect()))
+    monkeypatch.setattr(M, "BLOCK", 7)
+    many = sorted(map(tuple, M.permutation_gaps(gaps.repartition(2), days, 1100).collect()))
+    assert [r[:2] for r in one] == [("a", "e1"), ("b", "e9")] and [r[:4] for r in one] == [r[:4] for r in many] and np.allclose([r[4] for r in one], [r[4] for r in many], atol=1e-12)
+
+
+def test_partial_slopes_against_least_squares():
+    """Each permuted slope is that of a whole regression, also where a severity has no spread or repeats another."""
+    draw = np.random.default_rng(5)
+    z = draw.normal(size=(30, 3))
+    for columns in (z, np.column_stack([z[:, 0], np.full(30, 2.5), z[:, 2]]), np.column_stack([z[:, 0], 3 * z[:, 0] + 1, z[:, 2]])):
+        y, x = draw.normal(size=30), draw.normal(size=(4, 30))
+        got = M.partial_slopes(y, x - x.mean(1, keepdims=True), M.residual_basis(columns))
+        want = [np.linalg.lstsq(np.column_stack([np.ones(30), v, columns]), y, rcond=None)[0][1] for v in x]
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+    assert np.isnan(M.partial_slopes(y, (2 * z[:, :1]).T, M.residual_basis(z)))[0]
