@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,10 +150,10 @@ def balance(artifacts: DataFrame, by: str, each: int) -> DataFrame:
     return artifacts.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != each)
 
 
-def call_plan(spark: SparkSession, themes: list[str], samples: int) -> DataFrame:
-    """``theme, sample, call_index``: each theme so many times."""
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(themes)], "no int, theme string")
-    return rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("theme", "sample", (F.col("no") * samples + F.col("sample")).alias("call_index"))
+def call_plan(themes: DataFrame, samples: int) -> DataFrame:
+    """``theme, sample, call_index``: each theme (column ``theme``) so many times; calls are numbered by theme, then sample. Themes are some ten."""
+    placed = themes.select("theme").distinct().withColumn("no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("theme")) - 1)
+    return placed.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("theme", "sample", (F.col("no") * samples + F.col("sample")).cast("int").alias("call_index"))
 
 
 def leak_plan(spark: SparkSession, weights: tuple[float, ...], bases: list[str], replicates: int = 8) -> DataFrame:
@@ -182,16 +182,23 @@ EXCLUSIONS = {
 }
 
 
-def control_manifest(spark: SparkSession, included: dict[int, int]) -> DataFrame:
-    """``number, alpha_id, included, exclusion_basis, reason, n_parameters`` of all 101 published formulas, in their order.
+def control_manifest(spark: SparkSession, included: dict[int, tuple[int, list[str]]]) -> DataFrame:
+    """``number, alpha_id, included, exclusion_basis, reason, n_parameters, required_inputs`` of all 101 published formulas, in their order.
 
-    ``included`` has the number of parameters of each formula that is kept. Fails if the two lists don't cover 1 to 101 once.
+    ``included`` has the number of parameters and the fields of each formula that is kept. Fails if the two lists don't cover 1 to 101 once.
     """
-    rows = [(n, f"alpha_k{n:03d}", True, None, None, p) for n, p in included.items()]
-    rows += [(n, None, False, basis, reason, None) for (basis, reason), numbers in EXCLUSIONS.items() for n in numbers]
+    rows = [(n, f"alpha_k{n:03d}", True, None, None, *p) for n, p in included.items()]
+    rows += [(n, None, False, basis, reason, None, None) for (basis, reason), numbers in EXCLUSIONS.items() for n in numbers]
     if sorted(r[0] for r in rows) != list(range(1, 102)):
         raise ValueError("the manifest must have each of 101 formulas once")
-    return spark.createDataFrame(sorted(rows), "number int, alpha_id string, included boolean, exclusion_basis string, reason string, n_parameters int")
+    return spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "number int, alpha_id string, included boolean, exclusion_basis string, reason string, n_parameters int, required_inputs array<string>")
+
+
+def with_coverage(manifest: DataFrame, panel: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Adds ``n_rows``: rows of the panel that have all of a formula's inputs. The panel is counted once for each set of fields that rows have."""
+    seen = panel.groupBy(F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields)).alias("_have")).agg(F.count(F.lit(1)).alias("_n"))  # at most 2 ** fields rows
+    met = manifest.join(F.broadcast(seen), F.size(F.array_except("required_inputs", "_have")) == 0, "left")
+    return met.groupBy(*manifest.columns).agg(F.sum("_n").alias("n_rows"))
 
 
 def copy_survivors(artifacts: DataFrame, screening: DataFrame, path: str) -> None:

@@ -53,6 +53,16 @@ def field(name: str) -> Node:
     return Node("field", name=name)
 
 
+def fields_of(n: Node) -> list[str]:
+    """The fields that a formula reads, in the panel's order."""
+    found, todo = set(), [n]
+    while todo:
+        at = todo.pop()
+        found |= {at.name} if at.op == "field" else set()
+        todo += at.args
+    return [f for f in FIELDS if f in found]
+
+
 def const(value: float) -> Node:
     return Node("const", numbers=(float(value),))
 

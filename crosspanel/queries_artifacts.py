@@ -8,8 +8,13 @@ from .operators import artifacts as A
 from .operators import evaluate as E
 from .operators import events as V
 from .plans.artifact_catalogue import ARTIFACTS, artifacts
-from .plans.catalogue import BASES, CONTROLS, LEAK_WEIGHTS
-from .queries import register
+from .plans.catalogue import BASES, CONTROLS, LEAK_WEIGHTS, control_signal
+from .plans.compiler import evaluate
+from .plans.expr import FIELDS, fields_of, parse
+from .plans.twin import evaluate_sql
+from . import queries_eval as Q
+from .queries import SQL, register
+from .sources.panel import trade_panel, trade_panel_sql
 
 SECTIONS, TOKENS = ("the", "Section 2", "and", "le "), ("idiot", "clown", "est", "the")
 
@@ -61,9 +66,17 @@ register(
     "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'api_error' WHEN doc_id % 7 = 0 OR text = '' THEN 'empty_response' WHEN lang = 'de' THEN 'quarantined_retrieval_detected' ELSE 'success' END AS status FROM documents",
 )
 register("text_shorten", lambda s, d: _documents(s, d).select("doc_id", V.shorten(F.col("text")).alias("label")), "SELECT doc_id, CASE WHEN length(text) > 58 THEN regexp_replace(text[1:55], '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+$', '') || '...' ELSE text END AS label FROM documents")
+def _manifest(spark, sf_dir):
+    """The manifest's formulas counted by whether and why, with the panel's rows that have their inputs."""
+    kept = {int(k[1:]): (len(p), fields_of(control_signal(k))) for k, (_, p) in CONTROLS.items()}
+    rows = A.with_coverage(A.control_manifest(spark, kept), trade_panel(spark, sf_dir), FIELDS)
+    return rows.groupBy("included", "exclusion_basis").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("numbers"), F.sum("n_rows").alias("n_rows"))
+
+
+# nine of the formulas read returns, which a symbol's first row hasn't
 register(
-    "control_manifest", lambda s, d: A.control_manifest(s, {int(k[1:]): len(p) for k, (_, p) in CONTROLS.items()}).groupBy("included", "exclusion_basis").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("numbers")),
-    "SELECT * FROM (VALUES (true, NULL, 50, 1757), (false, 'data_availability', 47, 3197), (false, 'data_availability+execution', 2, 90), (false, 'execution_convention', 2, 107)) t(included, exclusion_basis, n, numbers)",
+    "control_manifest", _manifest,
+    f"WITH {trade_panel_sql()} SELECT t.*, (CASE WHEN included THEN (SELECT 41 * count(*) + 9 * count(returns) FROM panel) END)::BIGINT AS n_rows FROM (VALUES (true, NULL, 50, 1757), (false, 'data_availability', 47, 3197), (false, 'data_availability+execution', 2, 90), (false, 'execution_convention', 2, 107)) t(included, exclusion_basis, n, numbers)",
 )
 
 
@@ -74,11 +87,25 @@ def _failures(spark):
 
 
 register(
-    "failed_execution", lambda s, d: E.with_failures(s.createDataFrame([("ok", "m", "t", E.SURVIVED, 9)], "alpha_id string, model string, theme string, status string, ic_n_days long"), _failures(s)).select("alpha_id", "theme", "status", "ic_n_days", F.col("error").isNotNull().alias("failed")),
-    "SELECT * FROM (VALUES ('ok', 't', 'SURVIVED_PHASE_1', 9::BIGINT, false), ('alpha_310a2d1a', 'liquidity', 'FAILED_EXECUTION', 0, true), ('alpha_a728eba6', 'nearness_to_the_52_week_high', 'FAILED_EXECUTION', 0, true)) t(alpha_id, theme, status, ic_n_days, failed)",
+    "failed_execution", lambda s, d: E.with_failures(Q.screening(s, d).withColumn("ic_n_days", F.lit(9).cast("long")), _failures(s)).select("alpha_id", "theme", "status", "ic_n_days", F.col("error").isNotNull().alias("failed")),
+    f"SELECT alpha_id, NULL AS theme, status, 9::BIGINT AS ic_n_days, false AS failed FROM ({SQL['screening']}) UNION ALL SELECT * FROM (VALUES ('alpha_310a2d1a', 'liquidity', 'FAILED_EXECUTION', 0, true), ('alpha_a728eba6', 'nearness_to_the_52_week_high', 'FAILED_EXECUTION', 0, true))",
 )
 register("theme_balance", lambda s, d: A.balance(_documents(s, d), "source", 30), "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) <> 30")
 register("trials_per_model", lambda s, d: E.trials_per_model(_documents(s, d).withColumnRenamed("source", "model")), "SELECT source AS model, count(*) AS n_trials FROM documents GROUP BY 1")
 register("code_flags", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", A.code_flags("text").alias("c")).select("conv_id", "turn", "c.parses", "c.defines", "c.negative_shift"))
-register("call_plan", lambda s, d: A.call_plan(s, ["x", "y"], 3), "SELECT t AS theme, i::INT AS sample, ((row_number() OVER (ORDER BY t, i)) - 1)::INT AS call_index FROM (SELECT unnest(['x', 'y']) AS t), (SELECT unnest(range(3)) AS i)")
-register("leak_plan", lambda s, d: A.leak_plan(s, LEAK_WEIGHTS, list(BASES)), f"SELECT 'leak_w' || lpad((round(100 * w)::INT)::VARCHAR, 2, '0') || '_' || i AS alpha_id, w::DOUBLE AS weight, {_list(BASES)}[(i % 8 + 1)::INT] AS base FROM (SELECT unnest({list(LEAK_WEIGHTS)}) AS w), (SELECT unnest(range(8)) AS i)")
+register("call_plan", lambda s, d: A.call_plan(_documents(s, d).withColumnRenamed("source", "theme"), 3), "SELECT theme, i::INT AS sample, ((row_number() OVER (ORDER BY theme, i)) - 1)::INT AS call_index FROM (SELECT DISTINCT source AS theme FROM documents), (SELECT unnest(range(3)) AS i)")
+_BASE_NODES = {k: parse(v) for k, v in BASES.items()}
+
+
+def _leak_corpus(spark, sf_dir):
+    """The plan of leaked signals, and how many values the panel gives each one's base."""
+    wide = evaluate(trade_panel(spark, sf_dir), _BASE_NODES)
+    counts = wide.agg(*(F.count(n).alias(n) for n in BASES)).unpivot([], list(BASES), "base", "n_values")
+    return A.leak_plan(spark, LEAK_WEIGHTS, list(BASES)).join(counts, "base").select("alpha_id", "weight", "base", "n_values")
+
+
+register(
+    "leak_plan", _leak_corpus,
+    f"""WITH {trade_panel_sql()}, wide AS ({evaluate_sql("panel", _BASE_NODES, digits=None)}), counts AS (UNPIVOT (SELECT {", ".join(f"count({n}) AS {n}" for n in BASES)} FROM wide) ON {", ".join(BASES)} INTO NAME base VALUE n_values)
+    SELECT * FROM (SELECT 'leak_w' || lpad((round(100 * w)::INT)::VARCHAR, 2, '0') || '_' || i AS alpha_id, w::DOUBLE AS weight, {_list(BASES)}[(i % 8 + 1)::INT] AS base FROM (SELECT unnest({list(LEAK_WEIGHTS)}) AS w), (SELECT unnest(range(8)) AS i)) JOIN counts USING (base)""",
+)

@@ -148,7 +148,7 @@ def _artifact_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "alpha_id string, model string")
 
 
-def _screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = _artifact_models(spark)
     done = E.performance(daily_returns(spark, sf_dir)).join(F.broadcast(models), "alpha_id")
     return rounded(E.screen(done, E.trials_per_model(models)).select("alpha_id", "model", "n_trials", "dsr_z_score", "dsr", "status"), 4)
@@ -163,7 +163,7 @@ _DSR = f"""m AS (SELECT *, CASE WHEN alpha_id LIKE 'c%' THEN 'control' ELSE 'tre
     zs AS (SELECT *, (daily_sharpe - best / sqrt(n_days)) * sqrt(n_days - 1) / sqrt(1 - skew * daily_sharpe + (kurtosis - 1) / 4 * daily_sharpe ** 2) AS z FROM n)"""
 register(
     "screening",
-    _screening,
+    screening,
     # the normal distribution function by Simpson's rule on [0, |z|]
     f"""WITH {_PORTFOLIO}, {_DSR}, areas AS (
       SELECT *, 0.5 + sign(z) * abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * k / 2000, 2) / 2))) / sqrt(2 * pi()) AS p FROM zs
@@ -171,7 +171,7 @@ register(
 )
 register(
     "deflated_sharpe_z",
-    lambda spark, sf_dir: _screening(spark, sf_dir).select("alpha_id", "model", "n_trials", "dsr_z_score"),
+    lambda spark, sf_dir: screening(spark, sf_dir).select("alpha_id", "model", "n_trials", "dsr_z_score"),
     f"WITH {_PORTFOLIO}, {_DSR} SELECT alpha_id, model, n_trials, round(z, 4) AS dsr_z_score FROM zs",
 )
 

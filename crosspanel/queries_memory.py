@@ -134,14 +134,25 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept("verdicts", spark, sf_dir, make)
 
 
-def _made_up(spark: SparkSession) -> DataFrame:
-    """Event rows by hand: signals with failed, passed and no usable events; step flags of the latter must not count."""
-    rows = [
-        ("a", "e1", "FAIL", "salience_gap", True, False, True, 0.02, 1.5, "B", 2, True), ("a", "e2", "PASS", "none", True, False, False, 0.04, 0.5, "B", 1, False), ("a", "e3", "INDETERMINATE", "insufficient_data", True, True, False, None, None, "A", 0, False),
-        ("b", "e1", "PASS", "none", False, True, False, None, None, "A", 0, True), ("c", "e1", "INDETERMINATE", "insufficient_data", True, False, False, 0.5, 9.0, "B", 1, False),
-        ("d", "e1", "FAIL", "salience_gap", False, False, True, 0.03, 2.0, "B", 2, False), ("d", "e2", "FAIL", "anomaly_and_salience_gap", True, True, True, 0.01, None, "B", 1, False),
-    ]
-    return spark.createDataFrame(rows, "alpha_id string, event_id string, verdict string, binding string, step1 boolean, step2 boolean, step3 boolean, mdg double, gap_over_mdg double, scenario string, n_matched_low long, disagree boolean")
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows dealt from the orders: signals with failed, passed and no usable events, whose steps must not count, and one without any."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    signal = F.col("o_custkey") % 40
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (key % n + 1).cast("int"))
+    verdict = F.when(signal == 7, "INDETERMINATE").when(signal == 8, "PASS").otherwise(pick(7, "FAIL", "PASS", "PASS", "INDETERMINATE", "PASS", "PASS", "FAIL"))
+    odd = lambda n: key % n == 0
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("s"), signal).alias("alpha_id"), F.concat(F.lit("e"), key % 23).alias("event_id"), verdict.alias("verdict"), pick(3, "salience_gap", "anomaly_and_salience_gap", "step1_anomaly_and_control_differential").alias("binding"),
+        odd(2).alias("step1"), odd(3).alias("step2"), odd(5).alias("step3"), F.when(~odd(4), F.floor(price) / 1000).alias("mdg"), F.when(~odd(6), F.floor(price / 50000)).cast("double").alias("gap_over_mdg"),
+        F.when(odd(3), "A").otherwise("B").alias("scenario"), (key % 23 % 5).alias("n_matched_low"), odd(11).alias("disagree"),
+    )
+
+
+_DEALT = """WITH dealt AS (
+SELECT 's' || (o_custkey % 40) AS alpha_id, 'e' || (o_orderkey % 23) AS event_id, CASE o_custkey % 40 WHEN 7 THEN 'INDETERMINATE' WHEN 8 THEN 'PASS' ELSE CASE o_orderkey % 7 WHEN 0 THEN 'FAIL' WHEN 6 THEN 'FAIL' WHEN 3 THEN 'INDETERMINATE' ELSE 'PASS' END END AS verdict,
+  CASE o_orderkey % 3 WHEN 0 THEN 'salience_gap' WHEN 1 THEN 'anomaly_and_salience_gap' ELSE 'step1_anomaly_and_control_differential' END AS binding, o_orderkey % 2 = 0 AS step1, o_orderkey % 3 = 0 AS step2, o_orderkey % 5 = 0 AS step3,
+  CASE WHEN o_orderkey % 4 <> 0 THEN floor(o_totalprice) / 1000 END AS mdg, CASE WHEN o_orderkey % 6 <> 0 THEN floor(o_totalprice / 50000) END AS gap_over_mdg, CASE WHEN o_orderkey % 3 = 0 THEN 'A' ELSE 'B' END AS scenario, o_orderkey % 23 % 5 AS n_matched_low, o_orderkey % 11 = 0 AS disagree FROM orders
+), ev AS (SELECT * FROM dealt WHERE verdict <> 'INDETERMINATE'), power AS (SELECT * FROM ev WHERE scenario = 'B' AND mdg IS NOT NULL)"""
 
 
 _EVENTS = _PRELUDE + f""",
@@ -269,12 +280,17 @@ _test2("signal_synthesis", lambda s, d: rounded(M.synthesis(verdicts(s, d)), 5),
 SELECT alpha_id, count(*) FILTER (known) AS events_tested, count(*) FILTER (verdict = 'FAIL') AS events_failed, count(*) FILTER (known AND step1) AS step1_anomaly_flags, count(*) FILTER (known AND step2) AS step2_differential_flags, count(*) FILTER (known AND step3) AS step3_salience_gap_flags,
   round(quantile_cont(mdg, 0.5) FILTER (known), 5) AS step3_median_mdg, round(max(gap_over_mdg) FILTER (known), 5) AS step3_max_gap_over_mdg, string_agg(DISTINCT binding, ', ' ORDER BY binding) FILTER (verdict = 'FAIL') AS modes FROM judged GROUP BY alpha_id)
 SELECT * EXCLUDE modes, CASE WHEN events_tested = 0 THEN 'INDETERMINATE' WHEN events_failed > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, coalesce(modes, 'none') AS binding_failure_mode FROM counted""")
-register("synthesis_cases", lambda s, d: rounded(M.synthesis(_made_up(s))), """SELECT * FROM (VALUES
-('a', 2, 1, 2, 0, 1, 0.03, 1.5, 'FAIL', 'salience_gap'), ('b', 1, 0, 0, 1, 0, NULL, NULL, 'PASS', 'none'), ('c', 0, 0, 0, 0, 0, NULL, NULL, 'INDETERMINATE', 'none'), ('d', 2, 2, 1, 1, 2, 0.02, 2.0, 'FAIL', 'anomaly_and_salience_gap, salience_gap')
-) t(alpha_id, events_tested, events_failed, step1_anomaly_flags, step2_differential_flags, step3_salience_gap_flags, step3_median_mdg, step3_max_gap_over_mdg, verdict, binding_failure_mode)""")
-register("report_cases", lambda s, d: rounded(M.report(_made_up(s))), """SELECT section, item, value::DOUBLE AS value FROM (VALUES ('results', 'tests', 5), ('results', 'scenario_a', 1), ('results', 'scenario_b', 4), ('results', 'step1_variants_disagree', 2),
-('binding', 'salience_gap', 2), ('binding', 'anomaly_and_salience_gap', 1), ('detection_floor', 'tests', 4), ('detection_floor', 'median', 0.025), ('detection_floor', 'least', 0.01), ('detection_floor', 'greatest', 0.04), ('detection_floor', 'greatest_ratio', 2), ('detection_floor', 'reached', 2)) t(section, item, value)""")
-register("power_cases", lambda s, d: rounded(M.power_by_event(_made_up(s), 1)), "SELECT * FROM (VALUES ('e1', 2, 0.025, 1), ('e2', 1, 0.025, 2)) t(event_id, matches, mdg, place)")
+register("synthesis_cases", lambda s, d: rounded(M.synthesis(_dealt(s, d))), f"""{_DEALT}
+SELECT alpha_id, events_tested, events_failed, coalesce(step1, 0) AS step1_anomaly_flags, coalesce(step2, 0) AS step2_differential_flags, coalesce(step3, 0) AS step3_salience_gap_flags, step3_median_mdg, step3_max_gap_over_mdg, CASE WHEN events_tested = 0 THEN 'INDETERMINATE' WHEN events_failed > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, coalesce(modes, 'none') AS binding_failure_mode
+FROM (SELECT alpha_id, sum((verdict <> 'INDETERMINATE')::INT)::BIGINT AS events_tested, sum((verdict = 'FAIL')::INT)::BIGINT AS events_failed FROM dealt GROUP BY 1) LEFT JOIN
+(SELECT alpha_id, sum(step1::INT)::BIGINT AS step1, sum(step2::INT)::BIGINT AS step2, sum(step3::INT)::BIGINT AS step3, round(median(mdg), 6) AS step3_median_mdg, max(gap_over_mdg) AS step3_max_gap_over_mdg FROM ev GROUP BY 1) USING (alpha_id) LEFT JOIN
+(SELECT alpha_id, string_agg(binding, ', ' ORDER BY binding) AS modes FROM (SELECT DISTINCT alpha_id, binding FROM ev WHERE verdict = 'FAIL') GROUP BY 1) USING (alpha_id)""")
+register("report_cases", lambda s, d: rounded(M.report(_dealt(s, d))), f"""{_DEALT}
+SELECT 'results' AS section, 'tests' AS item, count(*)::DOUBLE AS value FROM ev UNION ALL SELECT 'results', 'scenario_a', count(*) FROM ev WHERE scenario = 'A' UNION ALL SELECT 'results', 'scenario_b', count(*) FROM ev WHERE scenario = 'B' UNION ALL SELECT 'results', 'step1_variants_disagree', count(*) FROM ev WHERE disagree
+UNION ALL SELECT 'binding', binding, count(*) FROM ev WHERE verdict = 'FAIL' GROUP BY 2 UNION ALL SELECT 'detection_floor', 'tests', count(*) FROM power UNION ALL SELECT 'detection_floor', 'median', round(median(mdg), 6) FROM power UNION ALL SELECT 'detection_floor', 'least', round(min(mdg), 6) FROM power
+UNION ALL SELECT 'detection_floor', 'greatest', round(max(mdg), 6) FROM power UNION ALL SELECT 'detection_floor', 'greatest_ratio', max(gap_over_mdg) FROM power UNION ALL SELECT 'detection_floor', 'reached', count(*) FROM power WHERE gap_over_mdg >= 1""")
+register("power_cases", lambda s, d: rounded(M.power_by_event(_dealt(s, d), 2)), f"""{_DEALT}, m AS (SELECT event_id, any_value(n_matched_low) AS matches, median(mdg) AS mdg FROM power GROUP BY 1),
+p AS (SELECT *, 1 + (SELECT count(*) FROM m o WHERE o.mdg > m.mdg OR o.mdg = m.mdg AND o.event_id < m.event_id) AS place FROM m) SELECT event_id, matches, round(mdg, 6) AS mdg, place::INT AS place FROM p WHERE place <= 2 OR place > (SELECT count(*) FROM m) - 2""")
 _test2("test2_report", lambda s, d: rounded(M.report(verdicts(s, d)), 5), f"""{_STEPS}, ev AS (SELECT * FROM judged WHERE known), power AS (SELECT * FROM ev WHERE scenario = 'B' AND mdg IS NOT NULL)
 SELECT 'results' AS section, item, value::DOUBLE AS value FROM (UNPIVOT (SELECT count(*) AS tests, count(*) FILTER (scenario = 'A') AS scenario_a, count(*) FILTER (scenario = 'B') AS scenario_b, count(*) FILTER (disagree) AS step1_variants_disagree FROM ev) ON COLUMNS(*) INTO NAME item VALUE value)
 UNION ALL SELECT 'binding', binding, count(*) FROM ev WHERE verdict = 'FAIL' GROUP BY binding
