@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.compiler import evaluate
+from ..plans.dialect import translate
 from ..plans.expr import Node, parse
 from ..sources.cache import folder
 from ..sources.panel import densify
 from . import evaluate as E
+from .artifacts import first_code_block
 
 #: Decimals of the screening table's figures.
 DIGITS = {"annualized_return": 4, "annualized_vol": 4, "sharpe_ratio": 4, "dsr_z_score": 2, "dsr": 4, "mean_rank_ic": 5, "ic_std": 5, "ic_information_ratio": 4}
@@ -30,11 +32,13 @@ _LONG = "alpha_id string, date date, symbol string, signal double"
 
 @dataclass(frozen=True)
 class Signal:
-    """``make``: a formula (text or graph), or a function of the panel that gives a column or a table. ``calendar``: a formula
-    counts market dates, else a symbol's own rows; functions always get the panel as it is."""
+    """``make``: a formula (text or graph), or a function of the panel that gives a formula's graph, a column or a table.
+
+    ``calendar``: a formula counts market dates, else a symbol's own rows; functions always get the panel as it is.
+    """
 
     alpha_id: str
-    make: str | Node | Callable[[DataFrame], Column | DataFrame]
+    make: str | Node | Callable[[DataFrame], Node | Column | DataFrame]
     model: str = "own"
     theme: str | None = None
     calendar: bool = True
@@ -144,6 +148,24 @@ class Batch:
             self._run(batch[half:])
 
 
+def code_signals(artifacts: DataFrame, trials: str = "model", calendar: bool = False) -> list[Signal]:
+    """Artifacts (alpha_id, model, theme, raw_response) as signals: the first block of code of each response, read and never run.
+
+    A response without code, and code that the engine can't read, are signals that fail with their reason. Some hundred rows come to the driver.
+    """
+
+    def make(code: str | None) -> Callable[[DataFrame], Node]:
+        def build(_: DataFrame) -> Node:
+            if code is None:
+                raise ValueError("no Python code block in the response")
+            return translate(code)
+
+        return build
+
+    rows = artifacts.select("alpha_id", F.col(trials).alias("model"), "theme", first_code_block(F.col("raw_response")).alias("code")).orderBy("alpha_id").collect()
+    return [Signal(r["alpha_id"], make(r["code"]), r["model"], r["theme"], calendar) for r in rows]
+
+
 def screening_table(panel: DataFrame, signals: Iterable[Signal], convention: str = "open_t1", min_names: int = 20, level: float = 0.95, digits: dict[str, int] = DIGITS) -> DataFrame:
     """One row for each signal: ``alpha_id, model, theme``, performance, deflated Sharpe ratio, rank correlations, ``status, error``.
 

@@ -61,6 +61,7 @@ ROWWISE = {
     "isfinite": finite,
     "rowmax": lambda a, b, c: F.greatest(a, b, c),  # missing ones are skipped
     "safediv": safe_div,
+    "before": lambda days: (F.datediff(F.col(DATE), F.lit("1970-01-01").cast("date")) < days).cast("double"),  # the row's date, in days since 1970
     "only": lambda c, x: F.when(c > 0.5, x),  # a missing condition is false
     "pick": lambda c, a, b: F.when(c > 0.5, a).otherwise(b),
 }

@@ -19,7 +19,7 @@ SIGNATURES = {
     "add": (ROW, 2, 0), "sub": (ROW, 2, 0), "mul": (ROW, 2, 0), "div": (ROW, 2, 0), "neg": (ROW, 1, 0),
     "lt": (ROW, 2, 0), "gt": (ROW, 2, 0), "le": (ROW, 2, 0), "ge": (ROW, 2, 0), "where": (ROW, 3, 0), "emin": (ROW, 2, 0), "emax": (ROW, 2, 0),
     "power": (ROW, 2, 0), "signedpower": (ROW, 2, 0), "log": (ROW, 1, 0), "sign": (ROW, 1, 0), "abs": (ROW, 1, 0), "sqrt": (ROW, 1, 0), "log1p": (ROW, 1, 0),
-    "expm1": (ROW, 1, 0), "tanh": (ROW, 1, 0), "fill": (ROW, 1, 1), "clip": (ROW, 1, 2), "isfinite": (ROW, 1, 0), "rowmax": (ROW, 3, 0), "safediv": (ROW, 2, 0), "only": (ROW, 2, 0), "pick": (ROW, 3, 0),
+    "expm1": (ROW, 1, 0), "tanh": (ROW, 1, 0), "fill": (ROW, 1, 1), "clip": (ROW, 1, 2), "isfinite": (ROW, 1, 0), "rowmax": (ROW, 3, 0), "safediv": (ROW, 2, 0), "only": (ROW, 2, 0), "pick": (ROW, 3, 0), "before": (ROW, 0, 1),
     "delay": (TIME, 1, 1), "delta": (TIME, 1, 1), "lead": (TIME, 1, 1), "ts_sum": (TIME, 1, 1), "ts_mean": (TIME, 1, 1), "stddev": (TIME, 1, 1), "ts_min": (TIME, 1, 1),
     "ts_max": (TIME, 1, 1), "ts_rank": (TIME, 1, 1), "ts_argmax": (TIME, 1, 1), "ts_argmin": (TIME, 1, 1), "correlation": (TIME, 2, 1), "covariance": (TIME, 2, 1),
     "decay_linear": (TIME, 1, 1), "product": (TIME, 1, 1), "stddev_pop": (TIME, 1, 1), "ts_median": (TIME, 1, 1), "ts_var": (TIME, 1, 1), "ts_count": (TIME, 1, 1),

@@ -44,6 +44,7 @@ _ROWWISE = {
     "clip": lambda x, low, high: f"(CASE WHEN {x} < {low} THEN {low}::DOUBLE WHEN {x} > {high} THEN {high}::DOUBLE ELSE {x} END)",
     "isfinite": _fin,
     "rowmax": lambda a, b, c: f"greatest({a}, {b}, {c})",
+    "before": lambda days: f"(date < DATE '1970-01-01' + {int(days)})::INT::DOUBLE",
     "only": lambda c, x: f"(CASE WHEN {c} > 0.5 THEN {x} END)",
     "pick": lambda c, a, b: f"(CASE WHEN {c} > 0.5 THEN {a} ELSE {b} END)",
     "safediv": lambda a, b: f"(CASE WHEN abs({b}) > 1e-15 THEN {a} / {b} END)",

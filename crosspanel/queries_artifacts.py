@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from .operators import artifacts as A
 from .operators import evaluate as E
 from .operators import events as V
+from .operators.screening import code_signals, screening_table
 from .plans.artifact_catalogue import ARTIFACTS, artifacts
 from .plans.catalogue import BASES, CONTROLS, LEAK_WEIGHTS, control_signal
 from .plans.compiler import evaluate
+from .plans.dialect import translate
 from .plans.expr import FIELDS, fields_of, parse
 from .plans.twin import evaluate_sql
 from . import queries_eval as Q
-from .queries import SQL, register
+from .queries import SQL, register, rounded
 from .sources.panel import trade_panel, trade_panel_sql
 
 SECTIONS, TOKENS = ("the", "Section 2", "and", "le "), ("idiot", "clown", "est", "the")
@@ -109,3 +111,90 @@ register(
     f"""WITH {trade_panel_sql()}, wide AS ({evaluate_sql("panel", _BASE_NODES, digits=None)}), counts AS (UNPIVOT (SELECT {", ".join(f"count({n}) AS {n}" for n in BASES)} FROM wide) ON {", ".join(BASES)} INTO NAME base VALUE n_values)
     SELECT * FROM (SELECT 'leak_w' || lpad((round(100 * w)::INT)::VARCHAR, 2, '0') || '_' || i AS alpha_id, w::DOUBLE AS weight, {_list(BASES)}[(i % 8 + 1)::INT] AS base FROM (SELECT unnest({list(LEAK_WEIGHTS)}) AS w), (SELECT unnest(range(8)) AS i)) JOIN counts USING (base)""",
 )
+
+# ---- signals as code: read into the engine's graph, beside some that can't be ----
+_HEAD = "import numpy as np\nimport pandas as pd\n\ndef generate_alpha(df, "
+CODES = {
+    "calm_reversal": _HEAD + """N=5, least=3, floor=0.0):
+    spread = (df["high"] - df["low"]) / df["close"]
+    calm = spread.groupby(level="symbol").transform(lambda s: s.rolling(N, min_periods=least).mean())
+    move = df["close"].div(df.groupby(level="symbol")["close"].shift(2)).sub(1)
+    raw = (-move / calm.where(calm > floor)).replace([np.inf, -np.inf], np.nan)
+    by_day = raw.groupby(level="date")
+    return (raw - by_day.transform("mean")) / by_day.transform("std")
+""",
+    "late_volume": _HEAD + """N=4, cap=2.0):
+    x = df.sort_index(level=["symbol", "date"])
+    usual = x["volume"].groupby(level="symbol").rolling(window=N, min_periods=N).median().droplevel(0)
+    ratio = (x["volume"] / usual).clip(upper=cap)
+    x["_up"] = np.where((x["returns"] > 0) & usual.notna(), ratio, np.where(x["returns"].isna(), np.nan, -ratio ** 2))
+    rank = x.groupby(level="date")["_up"].rank(method="average", pct=True)
+    count = x["_up"].notna().groupby(level="date").transform("sum")
+    return (rank - 0.5).where(count >= 20).fillna(0.0).reindex(df.index)
+""",
+    "leaked_level": _HEAD + """W=0.3, UNTIL="2000-06-01"):
+    g = df.groupby(level="symbol")
+    base = (g["close"].shift(1) / g["high"].transform(lambda h: h.rolling(3).max()) - 1).groupby(level="date").rank(pct=True)
+    ahead = (g["open"].shift(-2) / g["open"].shift(-1) - 1).groupby(level="date").rank(pct=True)
+    early = pd.Series(df.index.get_level_values("date") < pd.Timestamp(UNTIL), index=df.index)
+    return base.where(~early, W * ahead + (1 - W) * base)
+""",
+    "refused_loop": _HEAD + """N=3):
+    total = df["close"]
+    for k in range(N):
+        total = total + k
+    return total
+""",
+    "refused_window": _HEAD + """N=5, least=9):
+    return df["close"].groupby(level="symbol").transform(lambda s: s.rolling(N, min_periods=least).std())
+""",
+    "refused_column": _HEAD + """N=5):
+    return df["earnings"] / df["close"]
+""",
+    "refused_itself": _HEAD + """N=1):
+    if N < 2:
+        raise ValueError("N must be at least 2")
+    return df["close"]
+""",
+}
+_CODE_SQL = f"""{trade_panel_sql()}, calm AS (
+  SELECT date, symbol, move, CASE WHEN n >= 3 AND c > 0 THEN c END AS c FROM (SELECT date, symbol, close / lag(close, 2) OVER s - 1 AS move, avg((high - low) / close) OVER w AS c, count(*) OVER w AS n FROM panel
+    WINDOW s AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING))
+), reversal AS (SELECT date, symbol, -move / c AS raw FROM calm), late AS (
+  SELECT date, symbol, CASE WHEN returns IS NULL THEN NULL WHEN returns > 0 AND usual IS NOT NULL THEN least(volume / usual, 2) WHEN usual IS NOT NULL THEN -power(least(volume / usual, 2), 2) END AS up
+  FROM (SELECT *, CASE WHEN count(*) OVER w = 4 THEN median(volume) OVER w END AS usual FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 3 PRECEDING))
+), level AS (
+  SELECT date, symbol, close1 / CASE WHEN n = 3 THEN h END - 1 AS b, o2 / o1 - 1 AS a FROM (SELECT *, lag(close) OVER s AS close1, lead(open) OVER s AS o1, lead(open, 2) OVER s AS o2, max(high) OVER w AS h, count(*) OVER w AS n FROM panel
+    WINDOW s AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS 2 PRECEDING))
+), blends AS (
+  SELECT date, symbol, CASE WHEN b IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY b) + (count(*) OVER (PARTITION BY date, b) - 1) / 2) / count(b) OVER (PARTITION BY date) END AS b,
+    CASE WHEN a IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2) / count(a) OVER (PARTITION BY date) END AS a FROM level
+), coded AS (
+  SELECT 'calm_reversal' AS alpha_id, date, symbol, (raw - avg(raw) OVER d) / stddev_samp(raw) OVER d AS signal FROM reversal WINDOW d AS (PARTITION BY date)
+  UNION ALL SELECT 'late_volume', date, symbol, CASE WHEN count(up) OVER (PARTITION BY date) >= 20 AND up IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY up) + (count(*) OVER (PARTITION BY date, up) - 1) / 2) / count(up) OVER (PARTITION BY date) - 0.5 ELSE 0 END FROM late
+  UNION ALL SELECT 'leaked_level', date, symbol, CASE WHEN date < DATE '2000-06-01' THEN 0.3 * a + 0.7 * b ELSE b END FROM blends
+)"""
+
+
+def coded(spark, names=tuple(CODES)):
+    """The codes as artifacts: responses with a fenced block, and one that failed."""
+    rows = [(n, "reader", "codes", f"Section 1\n```python\n{CODES[n]}\n```\n") for n in names] + [("silent", "reader", "codes", None)]
+    return spark.createDataFrame(rows, "alpha_id string, model string, theme string, raw_response string")
+
+
+def _translated(spark, sf_dir):
+    nodes = {n: translate(CODES[n]) for n in CODES if not n.startswith("refused")}
+    return rounded(E.long_signals(evaluate(trade_panel(spark, sf_dir), nodes), list(nodes)))
+
+
+register("translated_signals", _translated, f"WITH {_CODE_SQL} SELECT alpha_id, date, symbol, round(signal, 6) AS signal FROM coded", ("date",))
+register(
+    "corpus_screening",
+    lambda s, d: rounded(screening_table(trade_panel(s, d), code_signals(coded(s)), digits={}).select("alpha_id", "status", "ic_n_days", "mean_rank_ic", F.regexp_extract("error", r"(no column|not known|min_periods|at least 2|no Python)", 1).alias("reason")).withColumn("status", F.when(F.col("status") == E.FAILED, E.FAILED).otherwise("SCREENED")), 5),
+    f"""WITH {_CODE_SQL}, fwd AS (SELECT date, symbol, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS fwd FROM dense WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    ranked AS (SELECT alpha_id, date, rank() OVER (PARTITION BY alpha_id, date ORDER BY signal) + (count(*) OVER (PARTITION BY alpha_id, date, signal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY alpha_id, date ORDER BY fwd) + (count(*) OVER (PARTITION BY alpha_id, date, fwd) - 1) / 2.0 AS b
+      FROM coded JOIN fwd USING (date, symbol) WHERE signal IS NOT NULL AND fwd IS NOT NULL),
+    ics AS (SELECT alpha_id, date, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM ranked GROUP BY ALL HAVING count(*) >= 20)
+    SELECT alpha_id, 'SCREENED' AS status, count(ic) AS ic_n_days, round(avg(ic), 5) AS mean_rank_ic, NULL AS reason FROM ics GROUP BY alpha_id
+    UNION ALL SELECT a, 'FAILED_EXECUTION', 0, NULL, r FROM (VALUES ('refused_loop', 'not known'), ('refused_window', 'min_periods'), ('refused_column', 'no column'), ('refused_itself', 'at least 2'), ('silent', 'no Python')) t(a, r)""",
+)
