@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.nulls import INF, clip, finite, greatest_or_null, ieee_div, least_or_null, no_nan, safe_div
 
 DATE, SYMBOL = "date", "symbol"
+#: What rows of a time window have in common: the symbol, or the symbol and a block of its time.
+_along: ContextVar[tuple[str, ...]] = ContextVar("_along", default=(SYMBOL,))
 
 
-def trailing(days: int) -> WindowSpec:
-    """The last ``days`` rows of a symbol, today included."""
-    return Window.partitionBy(SYMBOL).orderBy(DATE).rowsBetween(1 - days, 0)
+@contextmanager
+def along(*by: str) -> Iterator[None]:
+    """Time windows that are built inside of the block are partitioned by ``by``."""
+    token = _along.set(by)
+    try:
+        yield
+    finally:
+        _along.reset(token)
 
 
-def history() -> WindowSpec:
-    return Window.partitionBy(SYMBOL).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+def along_names() -> tuple[str, ...]:
+    return _along.get()
 
 
 def ordered() -> WindowSpec:
-    return Window.partitionBy(SYMBOL).orderBy(DATE)
+    return Window.partitionBy(*_along.get()).orderBy(DATE)
+
+
+def trailing(days: int) -> WindowSpec:
+    """The last ``days`` rows of a symbol, today included."""
+    return ordered().rowsBetween(1 - days, 0)
+
+
+def history() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def day() -> WindowSpec:
@@ -88,7 +108,7 @@ def _pair(x: Column, y: Column, d: int):
 
 def _turn(x: Column) -> Column:
     """Sign of today's change; NULL for one so small that the order of summation could have made it."""
-    before = F.lag(x).over(Window.partitionBy(SYMBOL).orderBy(DATE))
+    before = F.lag(x).over(ordered())
     return F.when(F.abs(x - before) > F.greatest(F.abs(x), F.abs(before)) * 1e-12, F.signum(x - before))
 
 
@@ -109,22 +129,6 @@ def covariance(x: Column, y: Column, d: int) -> Column:
     return F.when(F.count(a).over(w) >= d, steady(F.covar_samp(a, b).over(w), unit))
 
 
-def ts_rank(x: Column, d: int) -> Column:
-    """Average rank of today's value among the last d, over d."""
-    v, w = finite(x), trailing(d)
-    rows = F.collect_list(v).over(w)
-    last = F.element_at(rows, -1)
-    below, level = F.size(F.filter(rows, lambda e: e < last)), F.size(F.filter(rows, lambda e: e == last))
-    return F.when(F.count(v).over(w) >= d, (below + (level + 1) / 2) / d)
-
-
-def _arg(x: Column, d: int, extreme) -> Column:
-    """Place, from the oldest row (1), of the first extreme value of the last d rows; NULL if one is missing. Infinities count."""
-    w = trailing(d)
-    rows = F.collect_list(x).over(w)
-    return F.when(F.count(x).over(w) >= d, F.array_position(rows, extreme(rows)).cast("double"))
-
-
 def decay_linear(x: Column, d: int) -> Column:
     """Mean of the last d rows with weights d, d - 1, ..., 1 from the newest; NULL if one is missing."""
     w = ordered()
@@ -135,35 +139,7 @@ def decay_linear(x: Column, d: int) -> Column:
     return no_nan(total / (d * (d + 1) / 2))
 
 
-def ewm(x: Column, span: int, recursive: bool = False) -> Column:
-    """Exponentially weighted mean with weight 2 / (span + 1); older rows decay across gaps, gaps carry the last value.
-
-    ``recursive``: the first value has full weight and later ones that of the recursion. Weights below about 1e-17 are left
-    out: rows older than 40 spans don't change a double.
-    """
-    keep = 1.0 - 2.0 / (span + 1)
-    reach = 40 * (span + 1)
-    w = trailing(reach)
-    rows = F.collect_list(F.when(finite(x).isNotNull(), F.struct(F.row_number().over(ordered()).alias("i"), finite(x).alias("v")))).over(w)
-    if recursive:
-        def step(s: Column, e: Column) -> Column:
-            old = F.pow(F.lit(keep), e["i"] - s["i"])
-            fresh = (s["y"] * old + e["v"] * (1 - keep)) / (old + (1 - keep))
-            return F.struct(e["i"].alias("i"), F.when(s["i"] == 0, e["v"]).otherwise(fresh).alias("y"))
-
-        start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("y"))
-        return F.when(F.size(rows) > 0, F.aggregate(rows, start, step)["y"])
-    now = F.row_number().over(ordered())
-    weight = lambda e: F.pow(F.lit(keep), now - e["i"])
-    top = F.aggregate(rows, F.lit(0.0), lambda s, e: s + e["v"] * weight(e))
-    low = F.aggregate(rows, F.lit(0.0), lambda s, e: s + weight(e))
-    return F.when(low > 0, top / F.when(low > 0, low))
-
-
-def _median(v: Column) -> Column:
-    return F.percentile(v, F.lit(0.5))
-
-
+#: Operators that are window columns; sliding order statistics and exponential means are tables' work (``sliding``, ``history``).
 ALONG_TIME = {
     "delay": lambda x, d: F.lag(x, d).over(ordered()),
     "lead": lambda x, d: F.lead(x, d).over(ordered()),
@@ -176,7 +152,6 @@ ALONG_TIME = {
     "ts_var": lambda x, d: _full(F.var_samp, x, d),
     "ts_min": lambda x, d: _full(F.min, x, d),
     "ts_max": lambda x, d: _full(F.max, x, d),
-    "ts_median": lambda x, d: _full(_median, x, d),
     "product": lambda x, d: _full(F.product, x, d),
     "ts_count": lambda x, d: F.count(finite(x)).over(trailing(d)).cast("double"),
     "mean_min": lambda x, d, m: _full(F.avg, x, d, m),
@@ -185,15 +160,9 @@ ALONG_TIME = {
     "var_min": lambda x, d, m: _full(F.var_samp, x, d, m),
     "sum_min": lambda x, d, m: _full(F.sum, x, d, m),
     "max_min": lambda x, d, m: _full(F.max, x, d, m),
-    "median_min": lambda x, d, m: _full(_median, x, d, m),
-    "ts_rank": ts_rank,
-    "ts_argmax": lambda x, d: _arg(x, d, F.array_max),
-    "ts_argmin": lambda x, d: _arg(x, d, F.array_min),
     "correlation": correlation,
     "covariance": covariance,
     "decay_linear": decay_linear,
-    "ewm": ewm,
-    "ewm_rec": lambda x, span: ewm(x, span, recursive=True),
     "cumprod": lambda x: F.product(x).over(history()),
     "cummax": lambda x: F.max(x).over(history()),
     "cumcount": lambda x: F.count(finite(x)).over(history()).cast("double"),

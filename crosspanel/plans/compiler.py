@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.series import ACROSS, ALONG_TIME, DATE, ROWWISE, SYMBOL, market_sum
-from .expr import ROW, TIME, Node, call, schedule
+from ..functions.nulls import finite
+from ..operators.history import AROUND, BLOCK, ewm_frame, numbered, with_surroundings
+from ..operators.history import ROW as ROW_NUMBER
+from ..operators.series import ACROSS, ALONG_TIME, DATE, ROWWISE, SYMBOL, along, along_names, market_sum
+from ..operators.sliding import SLIDING, slide
+from .expr import ROW, TIME, Node, Step, call, schedule
 
 
 def _column(n: Node, names: dict[Node, str]) -> Column:
@@ -19,28 +23,126 @@ def _column(n: Node, names: dict[Node, str]) -> Column:
     return ROWWISE[n.op](*(_column(a, names) for a in n.args), *n.numbers)
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, Node], keep: tuple[str, ...] = ()) -> DataFrame:
+#: Operators that need a symbol's whole past; their rows aren't cut into blocks.
+_ENDLESS = frozenset(("ewm", "ewm_rec", "cumprod", "cummax", "cumcount"))
+_SHIFTS = frozenset(("delay", "delta", "pct_change", "lead"))
+
+
+def reach(n: Node, inside: frozenset[Node]) -> tuple[int, int]:
+    """Rows before and after a row that the node needs, through the nodes of ``inside`` that it is made of."""
+    back, ahead = (max((reach(a, inside)[i] for a in n.args), default=0) for i in (0, 1))
+    if n not in inside:
+        return back, ahead
+    own = int(n.numbers[0]) if n.numbers else 0
+    if n.op == "lead":
+        return back, ahead + own
+    extra = 1 if n.op == "correlation" and own == 2 else 0  # looks at the change from the row before its window's last
+    return back + (own if n.op in _SHIFTS else own - 1 + extra), ahead
+
+
+def _time_step(df: DataFrame, nodes: tuple[Node, ...], names: dict[Node, str], fresh: dict[Node, str]) -> DataFrame:
+    """One pass along time: window columns together, then sliding order statistics in one grouped pass, then exponential means."""
+    plain = {n: name for n, name in fresh.items() if n.op in ALONG_TIME}
+    df = df.withColumns({name: ALONG_TIME[n.op](*(_column(a, names) for a in n.args), *n.numbers) for n, name in plain.items()})
+    sliding = {n: name for n, name in fresh.items() if n.op in SLIDING}
+    if sliding:
+        inputs = {n: f"{name}_in" for n, name in sliding.items()}
+        df = df.withColumns({inputs[n]: _column(n.args[0], names).cast("double") for n in sliding})
+        df = slide(df, list(along_names()), DATE, [(name, inputs[n], n.op, tuple(map(int, n.numbers))) for n, name in sliding.items()]).drop(*inputs.values())
+    for n, name in fresh.items():
+        if n.op in ("ewm", "ewm_rec"):
+            df = ewm_frame(df, finite(_column(n.args[0], names)), n.numbers[0], n.op == "ewm_rec", name)
+    return df
+
+
+def evaluate(panel: DataFrame, formulas: dict[str, Node], keep: tuple[str, ...] = (), block_rows: int | None = None) -> DataFrame:
     """``date, symbol, *keep`` and a column for each formula.
 
     Stages alternate between partitioning by symbol and by date; each costs one exchange, however many formulas there are.
     Row-wise results that several windows need are computed once, in the pass before.
+
+    ``block_rows``: a symbol's rows are cut into blocks of so many (or as many as windows reach), each with the rows around it that
+    its windows need, so that one symbol's long history is the work of many tasks. Results are the same. Cumulative and exponential
+    operators carry a state through the whole history; stages that have them are not cut.
     """
     names: dict[Node, str] = {}
-    df = panel
-    for step in schedule(list(formulas.values())):
-        inputs = {a for n in step.nodes for a in n.args if a.axis == ROW and a.op not in ("field", "const") and a not in names}
-        fresh = {a: f"_r{len(names) + i}" for i, a in enumerate(sorted(inputs, key=repr))}
-        if fresh:
-            df = df.withColumns({name: _column(a, names) for a, name in fresh.items()})
-            names |= fresh
-        table = ALONG_TIME if step.axis == TIME else ACROSS
-        fresh = {n: f"_w{len(names) + i}" for i, n in enumerate(step.nodes)}
+    df, extra = panel, ()
+    roots = list(formulas.values())
+    steps = schedule(roots)
+    if block_rows is not None and any(s.axis == TIME for s in steps):
+        df, extra = numbered(panel), (ROW_NUMBER,)
+    for stage in sorted({s.stage for s in steps}):
+        mine = [s for s in steps if s.stage == stage]
+        inside = frozenset(n for s in mine for n in s.nodes)
+        cut = bool(extra) and mine[0].axis == TIME and not any(n.op in _ENDLESS for n in inside)
+        if cut:
+            back, ahead = (max(reach(n, inside)[i] for n in inside) for i in (0, 1))
+            df = with_surroundings(df, max(block_rows or 1, back, ahead), back, ahead)
+        with along(SYMBOL, BLOCK) if cut else along(SYMBOL):
+            for step in mine:
+                df = _step(df, step, names)
+                live = _live(roots, names)  # columns that nothing needs any more would be resolved again in every later pass
+                marks = [c for c in (*extra, *((BLOCK, AROUND) if cut else ())) if c not in keep]
+                df = df.select(DATE, SYMBOL, *keep, *marks, *sorted({n.name for n in live if n.op == "field"} - set(keep)), *(names[n] for n in sorted(live, key=lambda n: names.get(n, "")) if n in names))
+        if cut:
+            df = df.filter(~F.col(AROUND)).drop(BLOCK, AROUND)
+    df = _rows(df, roots, names)
+    return df.select(DATE, SYMBOL, *keep, *(_column(n, names).cast("double").alias(name) for name, n in formulas.items()))
+
+
+def _leaf(n: Node) -> bool:
+    return n.op in ("field", "const")
+
+
+def _rows(df: DataFrame, roots: list[Node], names: dict[Node, str]) -> DataFrame:
+    """Adds a column for each row-wise node below the roots, level by level: an expression that repeats its arguments, as guarded
+    ones do, then repeats a name, and a plan grows with its formulas and not with a power of their depth."""
+    depth: dict[Node, int] = {}
+
+    def visit(n: Node) -> int:
+        if n in names or _leaf(n) or n.axis != ROW:
+            return 0
+        if n not in depth:
+            depth[n] = 1 + max((visit(a) for a in n.args), default=0)
+        return depth[n]
+
+    for r in roots:
+        visit(r)
+    for level in range(1, max(depth.values(), default=0) + 1):
+        mine = sorted((n for n, d in depth.items() if d == level), key=repr)
+        fresh = {n: f"_r{len(names) + i}" for i, n in enumerate(mine)}
+        df = df.withColumns({name: _column(n, names) for n, name in fresh.items()})
+        names |= fresh
+    return df
+
+
+def _live(roots: list[Node], names: dict[Node, str]) -> set[Node]:
+    """Nodes and fields that have a column and that something still to be computed needs."""
+    found, todo = set(), list(roots)
+    while todo:
+        n = todo.pop()
+        if n in found:
+            continue
+        if n in names or n.op == "field":
+            found.add(n)
+        else:
+            todo += n.args
+    return found
+
+
+def _step(df: DataFrame, step: Step, names: dict[Node, str]) -> DataFrame:
+    """Adds the columns of one pass, and their names to ``names``."""
+    df = _rows(df, [a for n in step.nodes for a in n.args if a.axis == ROW], names)
+    fresh = {n: f"_w{len(names) + i}" for i, n in enumerate(step.nodes)}
+    if step.axis == TIME:
+        df = _time_step(df, step.nodes, names, fresh)
+    else:
         for n, name in fresh.items():
             if n.op == "market_sum":
                 df = market_sum(df, _column(n.args[0], names), n.numbers[0], name)
-        df = df.withColumns({name: table[n.op](*(_column(a, names) for a in n.args), *n.numbers) for n, name in fresh.items() if n.op != "market_sum"})
-        names |= fresh
-    return df.select(DATE, SYMBOL, *keep, *(_column(n, names).cast("double").alias(name) for name, n in formulas.items()))
+        df = df.withColumns({name: ACROSS[n.op](*(_column(a, names) for a in n.args), *n.numbers) for n, name in fresh.items() if n.op != "market_sum"})
+    names |= fresh
+    return df
 
 
 def neutral(n: Node, min_names: int = 20, neutralize: bool = True) -> Node:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.history import ROW, numbered
 from .plans.artifact_catalogue import ARTIFACTS, artifact
 from .plans.catalogue import BASES, CONTROLS, control_signal
 from .plans.compiler import evaluate
@@ -74,6 +75,18 @@ _formula("ts_cumcount", parse("cumcount(returns)"))
 _formula("row_only", parse("only(returns > 0, log(close))"))
 _formula("row_pick", parse("pick(returns > 0, log(close), volume)"))
 
+# ---- the same windows over blocks of time, so that a long history is the work of many tasks ----
+_BLOCKED = parse("ts_mean(log(close), 4) - ts_max(delay(log(low), 2), 3) + rank(correlation(open, volume, 5)) + ts_rank(volume, 6) * ts_median(volume, 5)")
+
+
+def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = densify(trade_panel(spark, sf_dir))
+    return rounded(evaluate(dense, {"value": _BLOCKED}, ("observed",), block_rows=48).filter("observed").drop("observed"))
+
+
+register("ts_blocks_of_time", _blocked, evaluate_sql("dense", {"value": _BLOCKED}, prelude=trade_panel_sql()) + " WHERE observed", ("date",))
+register("ts_row_numbers", lambda s, d: numbered(trade_panel(s, d)).select("date", "symbol", F.col(ROW).alias("n")), f"WITH {trade_panel_sql()} SELECT date, symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM panel", ("date",))
+
 # ---- formula catalogues: on the weekly nation panel, which is dense enough for long windows ----
 for _name in CONTROLS:
     _formula(f"alpha_{_name}", control_signal(_name), by="nation", digits=10)
