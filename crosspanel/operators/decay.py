@@ -8,12 +8,17 @@ over its standard error, is flagged against an order statistic of the controls'
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import handed, value_range
+
 LENGTHS = (2, 3, 4, 5, 6, 7, 8)
 REFERENCE_LENGTH = 5
 FLOOR = 1e-14
@@ -146,7 +151,9 @@ def rank_sum(t: DataFrame, b: int = REFERENCE_LENGTH) -> DataFrame:
     p is exact if an arm has eight or fewer and there are no ties, else normal with ties and continuity; z is the latter's.
     """
     pool = t.filter((F.col("b") == b) & F.col("t").isNotNull())
-    low = F.rank().over(Window.orderBy("t"))  # one row for each signal
+    # ranks within ranges of values, after the rows of lower ranges; equal values are in one range
+    pool = handed(pool.withColumn("_range", value_range(pool, "t")), "_range", earlier={"_below_sum": F.count(F.lit(1))})
+    low = F.coalesce("_below_sum", F.lit(0)) + F.rank().over(Window.partitionBy("_range").orderBy("t"))
     tied = F.count(F.lit(1)).over(Window.partitionBy("t"))
     ranked = pool.select("arm", (low + (tied - 1) / 2).alias("r"), tied.alias("tied"))
     own = F.col("arm") == "treatment"
@@ -204,26 +211,77 @@ def cutoff_of(model: str, cutoffs: dict[str, str]) -> str:
 
 
 def two_sample_ks(values: DataFrame) -> DataFrame:
-    """``ks``: largest distance of the distribution functions of ``x`` where ``first`` and where not. One row per signal goes in."""
-    upto = Window.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
+    """``ks``: largest distance of the distribution functions of ``x`` where ``first`` and where not, counted over ranges of x."""
+    rows = values.filter("x is not null")
     a, b = F.when(F.col("first"), 1), F.when(~F.col("first"), 1)
-    gap = F.abs(F.count(a).over(upto) / F.count(a).over(every) - F.count(b).over(upto) / F.count(b).over(every))
-    return values.filter("x is not null").select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    rows = handed(rows.withColumn("_range", value_range(rows, "x")), "_range", earlier={"_a_sum": F.count(a), "_b_sum": F.count(b)})
+    upto = Window.partitionBy("_range").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.select((F.coalesce("_a_sum", F.lit(0)) + F.count(a).over(upto)).alias("m"), (F.coalesce("_b_sum", F.lit(0)) + F.count(b).over(upto)).alias("n"))
+    whole = rows.agg(F.max("m").alias("_m"), F.max("n").alias("_n"))  # one row
+    return rows.crossJoin(F.broadcast(whole)).agg(F.max(F.abs(F.col("m") / F.when(F.col("_m") > 0, F.col("_m")) - F.col("n") / F.when(F.col("_n") > 0, F.col("_n")))).alias("ks"))
+
+
+#: Signals of a block, and days of a block, in the products of ``pairwise_correlations``.
+SIGNALS, SPAN = 64, 512
+
+
+def _panel_of_block(table: pa.Table) -> pa.Table:
+    """One block's values as a matrix of signals by days, missing ones as NaN."""
+    names, row = np.unique(table["alpha_id"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    day = table["day"].to_numpy()
+    x = np.full((len(names), SPAN), np.nan)
+    x[row, day] = table["x"].to_numpy()
+    return pa.table({"sb": table["sb"].slice(0, 1), "db": table["db"].slice(0, 1), "names": pa.array([names.tolist()], pa.list_(pa.string())), "x": pa.array([x.tobytes()], pa.binary())})
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Six sums over joint days for each pair of signals of two blocks, by matrix products."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            x, y = (np.frombuffer(r[k]).reshape(-1, SPAN) for k in ("x", "y"))
+            a, b = ~np.isnan(x), ~np.isnan(y)
+            x, y, p, q = np.where(a, x, 0.0), np.where(b, y, 0.0), a.astype(float), b.astype(float)
+            sums = {"n": p @ q.T, "sx": x @ q.T, "sy": p @ y.T, "sxx": (x * x) @ q.T, "syy": p @ (y * y).T, "sxy": x @ y.T}
+            left, right = np.array(r["anames"], object)[:, None], np.array(r["bnames"], object)[None, :]
+            i, j = np.nonzero((left != right) & (sums["n"] > 0))
+            swap = left[i, 0] > right[0, j]
+            if r["asb"] == r["bsb"]:  # both orders of a pair are here
+                i, j, swap = i[~swap], j[~swap], swap[~swap]
+            one, two = np.where(swap, right[0, j], left[i, 0]), np.where(swap, left[i, 0], right[0, j])
+            turned = {"sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}
+            cells = {k: np.where(swap, sums[turned.get(k, k)][i, j], v[i, j]) for k, v in sums.items()}
+            yield pa.RecordBatch.from_pydict({"a": pa.array(one, pa.string()), "b": pa.array(two, pa.string())} | {k: pa.array(v, pa.float64()) for k, v in cells.items()})
+
+
+def pairwise_correlations(ic: DataFrame, value: str = "ic") -> DataFrame:
+    """``a, b, corr`` for every pair of signals a < b on their joint dates; NULL where one doesn't vary there, no row without a joint date.
+
+    Signals are dealt into blocks by a hash, dates into blocks of SPAN days; each pair of signal blocks meets once for each block of
+    days, as matrices, and gives six sums for each pair of signals. So rows are shuffled by blocks, not by dates and pairs.
+    Values are taken less their signal's mean, which leaves correlations as they are and sums small. The driver gets one count.
+    """
+    rows = ic.filter(F.col(value).isNotNull()).select("alpha_id", "date", F.col(value).alias("v"))
+    blocks = max(1, -(-rows.select("alpha_id").distinct().count() // SIGNALS))
+    centred = rows.join(rows.groupBy("alpha_id").agg(F.avg("v").alias("m")), "alpha_id")
+    days = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date"))
+    placed = centred.select("alpha_id", (F.col("v") - F.col("m")).alias("x"), F.pmod(F.xxhash64("alpha_id"), F.lit(blocks)).cast("int").alias("sb"), F.floor(days / SPAN).cast("int").alias("db"), F.pmod(days, F.lit(SPAN)).cast("int").alias("day"))
+    panels = placed.groupBy("sb", "db").applyInArrow(_panel_of_block, "sb int, db int, names array<string>, x binary")
+    left = panels.select("db", F.col("sb").alias("asb"), F.col("names").alias("anames"), "x", F.explode(F.sequence(F.col("sb"), F.lit(blocks - 1))).alias("bsb"))
+    right = panels.select("db", F.col("sb").alias("bsb"), F.col("names").alias("bnames"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("sb"))).alias("asb"))
+    met = left.join(right, ["db", "asb", "bsb"]).mapInArrow(_products, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = met.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    spread = lambda q, t: F.col("n") * F.col(q) - F.col(t) * F.col(t)
+    varies = (spread("sxx", "sx") > 1e-12 * F.col("n") * F.col("sxx")) & (spread("syy", "sy") > 1e-12 * F.col("n") * F.col("syy"))
+    below = F.sqrt(F.when(varies, spread("sxx", "sx") * spread("syy", "sy")))
+    return s.select("a", "b", ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / below).alias("corr"))
 
 
 def mean_pairwise_correlation(ic: DataFrame) -> DataFrame:
-    """``n_pairs, mean_corr``: mean over pairs of signals of the correlation on joint dates. Signals are some hundred."""
-    a = ic.filter("ic is not null").select("date", F.col("alpha_id").alias("a"), F.col("ic").alias("x"))
-    b = ic.filter("ic is not null").select("date", F.col("alpha_id").alias("b"), F.col("ic").alias("y"))
-    spread = F.stddev_samp("x") * F.stddev_samp("y")
-    pairs = a.join(b, "date").filter("a < b").groupBy("a", "b").agg((F.covar_samp("x", "y") / F.when(spread != 0, spread)).alias("corr"))
-    return pairs.agg(F.count("corr").alias("n_pairs"), F.avg("corr").alias("mean_corr"))
-
-
-def pairwise_correlations(ic: DataFrame) -> DataFrame:
-    """``a, b, corr`` for every pair of signals a < b on their joint dates."""
-    a = ic.filter("ic is not null").select("date", F.col("alpha_id").alias("a"), F.col("ic").alias("x"))
-    b = ic.filter("ic is not null").select("date", F.col("alpha_id").alias("b"), F.col("ic").alias("y"))
-    spread = F.stddev_samp("x") * F.stddev_samp("y")
-    return a.join(b, "date").filter("a < b").groupBy("a", "b").agg((F.covar_samp("x", "y") / F.when(spread != 0, spread)).alias("corr"))
+    """``n_pairs, mean_corr``: mean over pairs of signals of the correlation on joint dates."""
+    return pairwise_correlations(ic).agg(F.count("corr").alias("n_pairs"), F.avg("corr").alias("mean_corr"))
+
+
+def correlation_range(ic: DataFrame, value: str = "ic") -> DataFrame:
+    """``n_pairs, median_corr, least_corr, greatest_corr`` over pairs of signals."""
+    c = F.col("corr")
+    return pairwise_correlations(ic, value).agg(F.count(c).alias("n_pairs"), F.percentile(c, F.lit(0.5)).alias("median_corr"), F.min(c).alias("least_corr"), F.max(c).alias("greatest_corr"))

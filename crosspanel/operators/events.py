@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import DAYS, day_range, handed
+
 WINDOW, GAP, LEAST_DAYS = 21, 21, 15
 
 
@@ -45,31 +47,40 @@ def shorten(text: Column, most: int = 58) -> Column:
 def as_of(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """Rows of ``days`` with the position of the first calendar date on or after theirs; -1 beyond the end.
 
-    Both are sorted together once: the next calendar row's position is a running minimum from below, no range join.
+    Both are sorted together within ranges of days: the next calendar row's position is a running minimum from below, and beyond
+    the range's end the least position of later ranges; no range join.
     """
     marks = days.select("date", F.lit(None).cast("int").alias("tpos"), F.lit(1).alias("side")).unionByName(calendar.select("date", F.col("tpos").cast("int").alias("tpos"), F.lit(0).alias("side")))
-    ahead = Window.orderBy(F.col("date"), F.desc("side")).rowsBetween(0, Window.unboundedFollowing)
-    found = marks.withColumn("next", F.min("tpos").over(ahead)).filter("side = 1").select("date", F.coalesce("next", F.lit(-1)).alias("tpos")).distinct()
+    marks = handed(marks.withColumn("_range", day_range("date")), "_range", later={"after_min": F.min("tpos")})
+    ahead = Window.partitionBy("_range").orderBy(F.col("date"), F.desc("side")).rowsBetween(0, Window.unboundedFollowing)
+    found = marks.withColumn("next", F.coalesce(F.min("tpos").over(ahead), "after_min")).filter("side = 1").select("date", F.coalesce("next", F.lit(-1)).alias("tpos")).distinct()
     return days.join(found, "date")
 
 
 def decluster(mapped: DataFrame, gap: int = GAP) -> DataFrame:
     """One anchor for each chain of jumps at most ``gap`` days apart: greatest clarity, then absolute return, then the earliest.
 
-    Adds ``cluster`` and ``episode_n_jumps``.
+    Adds ``cluster`` and ``episode_n_jumps``. Chains are found over ranges of positions: a range is handed the last position
+    before it, and how many chains began in earlier ranges.
     """
-    order = Window.orderBy("tpos", "date")
-    fresh = F.when(F.col("tpos") - F.lag("tpos").over(order) <= gap, 0).otherwise(1)
-    chained = mapped.filter("tpos >= 0").withColumn("_new", fresh).withColumn("cluster", (F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    rows = mapped.filter("tpos >= 0").withColumn("_range", F.floor(F.col("tpos") / DAYS).cast("int"))
+    order = Window.partitionBy("_range").orderBy("tpos", "date")
+    rows = handed(rows, "_range", earlier={"_last_max": F.max("tpos")})
+    fresh = F.when(F.col("tpos") - F.coalesce(F.lag("tpos").over(order), "_last_max") <= gap, 0).otherwise(1)
+    rows = handed(rows.withColumn("_new", fresh), "_range", earlier={"_chains_sum": F.sum("_new")})
+    own = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chained = rows.withColumn("cluster", (F.coalesce("_chains_sum", F.lit(0)) + own - 1).cast("int"))
     best = Window.partitionBy("cluster").orderBy(F.desc("clarity"), F.desc(F.abs("ret")), "date")
     counted = chained.withColumn("episode_n_jumps", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
-    return counted.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_new")
+    return counted.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_new", "_range", "_last_max", "_chains_sum")
 
 
 def salience(episodes: DataFrame) -> DataFrame:
     """Adds ``consensus``, half the z-scores of clarity and confidence, and ``salience``: low up to the lower quartile, else high from the upper, else middle."""
-    z = lambda c: (F.col(c) - F.avg(c).over(Window.partitionBy())) / F.when(F.stddev_samp(c).over(Window.partitionBy()) != 0, F.stddev_samp(c).over(Window.partitionBy()))
-    scored = episodes.withColumn("consensus", 0.5 * z("clarity") + 0.5 * z("confidence"))
+    names = ("clarity", "confidence")
+    spread = episodes.agg(*(f(c).alias(f"_{n}_{c}") for c in names for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
+    z = lambda c: (F.col(c) - F.col(f"_mean_{c}")) / F.when(F.col(f"_sd_{c}") != 0, F.col(f"_sd_{c}"))
+    scored = episodes.crossJoin(F.broadcast(spread)).withColumn("consensus", 0.5 * z("clarity") + 0.5 * z("confidence")).drop(*spread.columns)  # one row
     q = scored.agg(F.percentile("consensus", F.lit(0.25)).alias("_low"), F.percentile("consensus", F.lit(0.75)).alias("_high"))
     arm = F.when(F.col("consensus") <= F.col("_low"), "low").when(F.col("consensus") >= F.col("_high"), "high").otherwise("middle")
     return scored.crossJoin(F.broadcast(q)).withColumn("salience", arm).drop("_low", "_high")  # one row

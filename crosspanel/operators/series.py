@@ -9,6 +9,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .ranges import day_range, numbered_over
 from ..functions.nulls import INF, clip, finite, greatest_or_null, ieee_div, least_or_null, no_nan, safe_div
 
 DATE, SYMBOL = "date", "symbol"
@@ -227,9 +228,16 @@ ACROSS = {
 def market_sum(df: DataFrame, x: Column, d: int, name: str) -> DataFrame:
     """Adds ``name``: the sum of a market series (one value a date) over the last d market dates, NULL if one is missing.
 
-    The series has a row for each date, some ten thousand, so it is rolled apart and sent back to the panel by date.
+    The series has a row for each date, some ten thousand. Its dates are numbered over ranges and summed in blocks, each with the
+    d - 1 dates before it; the sums go back to the panel by date.
     """
-    last = Window.orderBy(DATE).rowsBetween(1 - d, 0)
+    series = df.groupBy(DATE).agg(F.max(finite(x)).alias("_v")).withColumn("_range", day_range(DATE))
+    placed = numbered_over(series, "_range", [F.col(DATE)], "_n")
+    length = max(256, d)
+    block = F.floor((F.col("_n") - 1) / length)
+    after = F.when((F.col("_n") - 1) % length >= length - (d - 1), block + 1)
+    spread = placed.withColumn("_home", block).withColumn("_block", F.explode(F.filter(F.array(block, after), lambda b: b.isNotNull())))
+    last = Window.partitionBy("_block").orderBy("_n").rowsBetween(1 - d, 0)
     v = F.col("_v")
-    rolled = df.groupBy(DATE).agg(F.max(finite(x)).alias("_v")).select(F.col(DATE).alias("_date"), F.when(F.count(v).over(last) >= d, F.sum(v).over(last)).alias(name))
+    rolled = spread.withColumn(name, F.when(F.count(v).over(last) >= d, F.sum(v).over(last))).filter("_home = _block").select(F.col(DATE).alias("_date"), name)
     return df.join(F.broadcast(rolled), F.col(DATE) == F.col("_date"), "left").drop("_date")

@@ -292,4 +292,5 @@ SELECT m AS n_treatment, n AS n_control, round(s - m * (m + 1) / 2, 5) AS u, rou
 (SELECT round(avg((total >= s)::INT), 5) FROM draws) AS p FROM s""")
 _test1("mean_pairwise_corr", lambda s, d: rounded(D.mean_pairwise_correlation(_controls(s, d))), "SELECT count(c) AS n_pairs, round(avg(c), 6) AS mean_corr FROM (SELECT corr(a.ic, b.ic) AS c FROM ics a JOIN ics b ON a.date = b.date AND a.alpha_id < b.alpha_id WHERE a.alpha_id LIKE 'c%' AND b.alpha_id LIKE 'c%' GROUP BY a.alpha_id, b.alpha_id)")
 _test1("pairwise_corr", lambda s, d: rounded(D.pairwise_correlations(ic_panel(s, d))), "SELECT a.alpha_id AS a, b.alpha_id AS b, round(corr(a.ic, b.ic), 6) AS corr FROM ics a JOIN ics b ON a.date = b.date AND a.alpha_id < b.alpha_id GROUP BY ALL")
+_test1("correlation_range", lambda s, d: rounded(D.correlation_range(ic_panel(s, d))), "SELECT count(c) AS n_pairs, round(median(c), 6) AS median_corr, round(min(c), 6) AS least_corr, round(max(c), 6) AS greatest_corr FROM (SELECT corr(a.ic, b.ic) AS c FROM ics a JOIN ics b ON a.date = b.date AND a.alpha_id < b.alpha_id GROUP BY a.alpha_id, b.alpha_id)")
 _test1("two_sample_ks", lambda s, d: rounded(D.two_sample_ks(t_values(s, d).filter("b = 5").select(F.col("t").alias("x"), (F.col("arm") == "treatment").alias("first")))), "SELECT round(max(abs(x)), 6) AS ks FROM (SELECT (SELECT avg((o.t <= v.t)::INT) FROM tvals o WHERE b = 5 AND arm = 'treatment') - (SELECT avg((o.t <= v.t)::INT) FROM tvals o WHERE b = 5 AND arm = 'control') AS x FROM tvals v WHERE b = 5)")

@@ -45,13 +45,18 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.as_of(_jumps(spark, sf_dir), days(spark, sf_dir))
+    return _kept("mapped", spark, sf_dir, lambda s, d: V.as_of(_jumps(s, d), days(s, d)))
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One jump for each episode: later steps read this small table more than once."""
+    return _kept("anchors", spark, sf_dir, lambda s, d: V.decluster(mapped(s, d), GAP))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(s: SparkSession, d: str) -> DataFrame:
         cal = days(s, d)
-        placed = V.windows(V.salience(V.decluster(mapped(s, d), GAP)), cal.count(), WIDTH)
+        placed = V.windows(V.salience(anchors(s, d)), cal.count(), WIDTH)
         return placed.join(V.window_covariates(placed, cal, market(s, d), LEAST), "event_id", "left")
 
     return _kept("events", spark, sf_dir, make)
@@ -199,8 +204,8 @@ _test2("calendar", days, "SELECT date, tpos FROM days", ("date",))
 _test2("market_covariates", lambda s, d: rounded(market(s, d)), "SELECT date, round(mkt_ret, 6) AS mkt_ret, round(cs_std, 6) AS cs_std FROM market", ("date",))
 _test2("dominant_category", lambda s, d: rounded(_jumps(s, d).select("date", "category", "category_share")), "SELECT date, category, round(category_share, 6) AS category_share FROM jumped", ("date",))
 _test2("as_of_map", lambda s, d: mapped(s, d).select("date", "tpos"), "SELECT date, tpos FROM mapped", ("date",))
-_test2("decluster", lambda s, d: V.decluster(mapped(s, d), GAP).select("date", "tpos", "cluster", "episode_n_jumps"), "SELECT date, tpos, cluster::INT AS cluster, episode_n_jumps FROM anchors", ("date",))
-_test2("salience", lambda s, d: rounded(V.salience(V.decluster(mapped(s, d), GAP)).select("date", "consensus", "salience")), "SELECT date, round(consensus, 6) AS consensus, salience FROM armed", ("date",))
+_test2("decluster", lambda s, d: anchors(s, d).select("date", "tpos", "cluster", "episode_n_jumps"), "SELECT date, tpos, cluster::INT AS cluster, episode_n_jumps FROM anchors", ("date",))
+_test2("salience", lambda s, d: rounded(V.salience(anchors(s, d)).select("date", "consensus", "salience")), "SELECT date, round(consensus, 6) AS consensus, salience FROM armed", ("date",))
 _test2("event_windows", lambda s, d: events(s, d).select("event_id", "window_start", "window_end", "usable"), "SELECT event_id, window_start, window_end, usable FROM events")
 _test2("window_covariates", lambda s, d: rounded(events(s, d).filter("usable").select("event_id", "realized_vol", "drawdown", "dispersion")), f"""
 , r AS (SELECT e.event_id, c.tpos, mkt_ret, cs_std, product(1 + mkt_ret) OVER w AS c FROM events e JOIN days c ON c.tpos BETWEEN window_start AND window_end JOIN market mk ON mk.date = c.date WHERE usable AND mkt_ret IS NOT NULL WINDOW w AS (PARTITION BY e.event_id ORDER BY c.tpos)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import finite, ieee_div, no_nan
+from ..operators.ranges import day_range, numbered_over
 
 PRICES = ("open", "high", "low", "close", "volume")
 SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("symbol", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in PRICES)])
@@ -29,8 +30,9 @@ def clean(raw: DataFrame) -> DataFrame:
 
 
 def calendar(panel: DataFrame) -> DataFrame:
-    """``date, tpos``: the distinct dates, numbered from 0. A market has some ten thousand of them."""
-    return panel.select("date").distinct().withColumn("tpos", F.row_number().over(Window.orderBy("date")) - 1)
+    """``date, tpos``: the distinct dates, numbered from 0 over ranges of days."""
+    days = numbered_over(panel.select("date").distinct().withColumn("_range", day_range("date")), "_range", [F.col("date")], "tpos")
+    return days.select("date", (F.col("tpos") - 1).cast("int").alias("tpos"))
 
 
 def densify(panel: DataFrame) -> DataFrame:

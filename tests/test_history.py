@@ -100,3 +100,64 @@ def test_one_symbol_is_many_tasks(spark):
     out = evaluate(panel.repartition(4), {"v": parse("ts_mean(close, 20)")}, block_rows=100)
 
     assert re.search(r"Exchange hashpartitioning\(symbol#\d+, _block#\d+L?, \d+\)", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_ranges_put_an_order_together(spark):
+    """Numbers, running states and forward minima over ranges equal those of one window over everything."""
+    from crosspanel.operators import decay, events, ranges
+
+    draw = np.random.default_rng(6)
+    at = sorted(set(draw.integers(0, 3000, 400).tolist()))
+    days = [DAY0 + dt.timedelta(int(t)) for t in at]
+    cal = [DAY0 + dt.timedelta(int(t)) for t in range(0, 2600) if t % 7 < 5 and not 1000 < t < 1300]
+    frame = spark.createDataFrame([(d,) for d in cal], "date date").repartition(3)
+    numbered = ranges.numbered_over(frame.withColumn("r", ranges.day_range("date")), "r", [F.col("date")], "n")
+    assert [r["n"] for r in numbered.orderBy("date").collect()] == list(range(1, len(cal) + 1))
+    calendar = spark.createDataFrame(list(zip(cal, range(len(cal)))), "date date, tpos int")
+    jumps = spark.createDataFrame([(d, float(draw.normal()), float(draw.integers(0, 3))) for d in days], "date date, ret double, clarity double")
+    placed = events.as_of(jumps, calendar)
+    want = {d: next((i for i, c in enumerate(cal) if c >= d), -1) for d in days}
+    assert {r["date"]: r["tpos"] for r in placed.collect()} == want
+    got = sorted((r["date"], r["cluster"], r["episode_n_jumps"]) for r in events.decluster(placed, 9).collect())
+    chain, last, rows = -1, None, []
+    for d in days:
+        if want[d] < 0:
+            continue
+        chain += last is None or want[d] - last > 9
+        last = want[d]
+        rows.append((chain, d))
+    clarity = {r["date"]: (-r["clarity"], -abs(r["ret"]), r["date"]) for r in jumps.collect()}
+    groups = {k: [d for c, d in rows if c == k] for k in {c for c, _ in rows}}
+    assert got == sorted((min(g, key=clarity.get), k, len(g)) for k, g in groups.items()) and len(got) > 20
+    x = draw.integers(0, 40, 300).astype(float)
+    first = draw.random(300) < 0.4
+    ks = decay.two_sample_ks(spark.createDataFrame([(float(a), bool(b)) for a, b in zip(x, first)] + [(None, True)], "x double, first boolean")).first()["ks"]
+    assert ks == pytest.approx(max(abs((x[first] <= v).mean() - (x[~first] <= v).mean()) for v in x))
+    t = spark.createDataFrame([("treatment" if b else "control", 5, float(a)) for a, b in zip(x, first)], "arm string, b int, t double")
+    assert decay.rank_sum(t).first()["u"] == sum((x[first][:, None] > x[~first]).ravel()) + 0.5 * sum((x[first][:, None] == x[~first]).ravel())
+
+
+@pytest.mark.parametrize("size", [64, 3])
+def test_correlations_by_blocks_against_pandas(spark, monkeypatch, size):
+    from crosspanel.operators import decay
+
+    monkeypatch.setattr(decay, "SIGNALS", size)
+    monkeypatch.setattr(decay, "SPAN", 50)
+    draw = np.random.default_rng(size)
+    wide = pd.DataFrame(draw.normal(5, 0.01, (160, 11)), columns=[f"z{i}" for i in range(11)], index=[DAY0 + dt.timedelta(3 * i) for i in range(160)])
+    wide = wide.mask(draw.random(wide.shape) < 0.3)
+    wide["z3"] = 2.5  # doesn't vary
+    wide["z4"] = wide["z5"] * 3 - 1
+    wide.loc[wide.index[:80], "z6"] = np.nan
+    wide.loc[wide.index[80:], "z7"] = np.nan  # no joint date with z6
+    rows = [(n, d, None if np.isnan(v) else float(v)) for d, r in wide.iterrows() for n, v in r.items()]
+    ic = spark.createDataFrame(rows, "alpha_id string, date date, ic double").repartition(3)
+    got = {(r["a"], r["b"]): r["corr"] for r in decay.pairwise_correlations(ic).collect()}
+    want = wide.corr(min_periods=2)
+    names = sorted(wide.columns)
+    pairs = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :]} - {("z6", "z7")}
+    assert set(got) == pairs
+    for (a, b), c in got.items():
+        assert (c is None) if "z3" in (a, b) else c == pytest.approx(want.loc[a, b], abs=1e-9)
+    live = [c for c in got.values() if c is not None]
+    assert tuple(decay.correlation_range(ic).first()) == pytest.approx((len(live), np.median(live), min(live), max(live)))
