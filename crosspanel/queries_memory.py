@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from .operators import memory as M
 from .operators.orders import keys_sql, seed_sql
 from .queries import register, rounded
 from .queries_eval import _PRELUDE, ic_panel
-from .sources.cache import kept
+from .sources.cache import folder, kept
 from .sources.panel import calendar, trade_panel
+from .sources.sheets import write_sheet
+from .sources.tables import read_jumps
 
 WIDTH, GAP, LEAST = 5, 2, 4
 FIRST, LAST = "1995-02-01", "2001-10-01"
@@ -203,6 +207,15 @@ def _test2(name: str, query, sql: str | None = None, dates: tuple[str, ...] = ()
 _test2("calendar", days, "SELECT date, tpos FROM days", ("date",))
 _test2("market_covariates", lambda s, d: rounded(market(s, d)), "SELECT date, round(mkt_ret, 6) AS mkt_ret, round(cs_std, 6) AS cs_std FROM market", ("date",))
 _test2("dominant_category", lambda s, d: rounded(_jumps(s, d).select("date", "category", "category_share")), "SELECT date, category, round(category_share, 6) AS category_share FROM jumped", ("date",))
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jump table written as a workbook and read again, with its types."""
+    path = f"{folder(spark)}/jumps-{uuid.uuid4().hex}.xlsx"
+    write_sheet(raw_jumps(spark, sf_dir), path, "jumps by day", ["date"])
+    back = read_jumps(spark, path, "jumps by day")
+    return rounded(V.jumps(back, ["share_o", "share_f", "share_p"], FIRST, LAST, {"share_o": "open"}))
+
+
+_test2("jumps_from_a_sheet", _sheet, "SELECT date, round(ret, 6) AS ret, clarity, confidence, category, round(category_share, 6) AS category_share FROM jumped", ("date",))
 _test2("as_of_map", lambda s, d: mapped(s, d).select("date", "tpos"), "SELECT date, tpos FROM mapped", ("date",))
 _test2("decluster", lambda s, d: anchors(s, d).select("date", "tpos", "cluster", "episode_n_jumps"), "SELECT date, tpos, cluster::INT AS cluster, episode_n_jumps FROM anchors", ("date",))
 _test2("salience", lambda s, d: rounded(V.salience(anchors(s, d)).select("date", "consensus", "salience")), "SELECT date, round(consensus, 6) AS consensus, salience FROM armed", ("date",))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import SURVIVED
+from .sheets import read_sheet
 
 
 def first_existing(*folders: str) -> str:
@@ -66,20 +67,40 @@ def read_constituents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True).drop("market_cap", "weight")
 
 
-def read_jumps(spark: SparkSession, path: str) -> DataFrame:
-    """A jump table from CSV or Parquet; Spark reads no spreadsheets. Column names lose outer white space."""
-    raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=False)
+def _raw(spark: SparkSession, path: str, sheet: str | int) -> DataFrame:
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    return read_sheet(spark, path, sheet) if path.endswith(".xlsx") else spark.read.csv(path, header=True, inferSchema=False)
+
+
+def read_jumps(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """A jump table from a workbook's sheet, CSV or Parquet. Column names lose outer white space; what isn't a number or a date is missing."""
+    raw = _raw(spark, path, sheet)
     named = raw.toDF(*(c.strip() for c in raw.columns))
     numbers = [c for c in named.columns if c not in ("date", "description")]
     return named.withColumns({"date": F.expr("try_cast(date as date)")} | {c: F.expr(f"try_cast(`{c}` as double)") for c in numbers})
 
 
+def read_passages(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """``date, description`` of a passages table, by default the first sheet; several rows of a date stay."""
+    raw = _raw(spark, path, sheet)
+    named = raw.toDF(*(c.strip() for c in raw.columns))
+    return named.select(F.expr("try_cast(date as date)").alias("date"), F.col("description").cast("string").alias("description"))
+
+
 def restrict(ic: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rank correlations of the listed signals, whose ids are matched without regard to case. Fails if one has none, or if none is listed."""
-    wanted = ids.select(F.lower("alpha_id").alias("_id")).distinct()
+    """Rank correlations of the listed signals. An id is matched exactly, else without regard to case. Fails if one has none, or if none is listed.
+
+    Of two names that differ in case alone, an id that equals one doesn't take the other.
+    """
+    wanted = ids.select(F.col("alpha_id").alias("_id")).distinct()
     if not wanted.limit(1).count():
         raise ValueError("no ids to restrict to")
-    lost = wanted.join(ic.select(F.lower("alpha_id").alias("_id")).distinct(), "_id", "left_anti")
+    names = ic.select("alpha_id").distinct()
+    exact = wanted.join(names, F.col("_id") == F.col("alpha_id"), "left_semi")
+    loose = wanted.join(exact, "_id", "left_anti")
+    met = exact.select("_id", F.col("_id").alias("alpha_id")).unionByName(loose.join(names, F.lower("_id") == F.lower("alpha_id")))
+    lost = wanted.join(met, "_id", "left_anti")
     if missing := [r["_id"] for r in lost.orderBy("_id").limit(5).collect()]:
         raise ValueError(f"no rank correlations for {missing}")
-    return ic.join(F.broadcast(wanted), F.lower("alpha_id") == F.col("_id"), "left_semi")
+    return ic.join(F.broadcast(met.select("alpha_id").distinct()), "alpha_id", "left_semi")
