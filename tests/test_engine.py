@@ -350,12 +350,35 @@ def test_descriptions_and_cutoffs(spark):
         D.cutoff_of("unknown", {"known": "2026-01"})
 
 
-def test_kept_tables_follow_their_source(spark, tmp_path):
-    spark.range(3).write.parquet(f"{tmp_path}/t")
-    make = lambda: spark.read.parquet(f"{tmp_path}/t")
-    assert kept("t", spark, f"{tmp_path}/t", make).count() == 3
-    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t")
-    assert kept("t", spark, f"{tmp_path}/t", make).count() == 5
+def test_kept_tables_follow_their_source(spark, tmp_path, monkeypatch):
+    """Fresh after a change anywhere below the source or of the plan; old versions and tables beyond the limit are gone."""
+    import os
+
+    from crosspanel.sources import cache
+
+    cache.clear(spark)
+    monkeypatch.setattr(cache, "folder", lambda _: str(tmp_path / "scratch"))
+    left = lambda: len(os.listdir(tmp_path / "scratch"))
+    source, runs = str(tmp_path / "source"), []
+
+    def make(part="deep/t", more=0):
+        runs.append(part)
+        return spark.read.parquet(f"{source}/{part}").selectExpr(f"id + {more} as id")
+
+    spark.range(3).write.parquet(f"{source}/deep/t")
+    spark.range(2).write.parquet(f"{source}/other/u")
+    assert cache.kept("t", spark, source, make).count() == 3 and cache.kept("t", spark, source, make).count() == 3 and left() == 1
+    spark.range(4).write.mode("append").parquet(f"{source}/deep/t")  # a part file two levels down
+    assert cache.kept("t", spark, source, make).count() == 7 and left() == 1
+    assert cache.kept("t", spark, source, lambda: make(more=5)).agg({"id": "min"}).first()[0] == 5 and left() == 1
+    assert cache.kept("u", spark, source, lambda: make("other/u")).count() == 2 and left() == 2
+    monkeypatch.setattr(cache, "MOST", 3)
+    for i in range(5):
+        cache.kept(f"v{i}", spark, source, lambda: make("other/u"))
+        assert cache.kept("u", spark, source, lambda: make("other/u")).count() == 2  # read again and again, so it stays
+    assert left() == 3
+    cache.clear(spark)
+    assert left() == 0 and cache.stamp(spark, f"{source}/nothing") == ""
 
 
 def test_call_errors():
