@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .ranges import DAYS, day_range, handed
 
 WINDOW, GAP, LEAST_DAYS = 21, 21, 15
+# White space of all scripts.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def dominant_category(shares: list[str], labels: dict[str, str] | None = None) -> tuple[Column, Column]:
@@ -32,15 +34,51 @@ def jumps(raw: DataFrame, shares: list[str], first: str, last: str, labels: dict
 
 def descriptions(passages: DataFrame) -> DataFrame:
     """``date, description``: the shortest usable text of each date, the least of equally short ones."""
-    text = F.trim("description")
+    text = stripped(F.col("description"))
     kept = passages.filter("date is not null").withColumn("description", text).filter((F.length("description") > 0) & ~F.lower("description").isin("nan", "none"))
     order = Window.partitionBy("date").orderBy(F.length("description"), "description")
     return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("date", "description")
 
 
+def stripped(text: Column, ends: str = "both") -> Column:
+    """Text without white space of any kind at its end, or at both ends."""
+    return F.regexp_replace(text, rf"{WHITE}+\z" if ends == "right" else rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
+def described(events: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds ``description`` of each event's date, empty where there is none. ``texts`` has one row a date at most."""
+    found = texts.select(F.col("date").alias("_date"), F.col("description"))
+    return events.join(F.broadcast(found), F.col("date") == F.col("_date"), "left").drop("_date").withColumn("description", F.coalesce("description", F.lit("")))
+
+
+def label(description: Column, category: Column) -> Column:
+    """An event's line in the report: its shortened description or a stand-in, and its category in brackets."""
+    text = F.when(F.length(description) > 0, shorten(description)).otherwise("[no description]")
+    return F.when(F.length(category) > 0, F.concat(text, F.lit("  ("), category, F.lit(")"))).otherwise(text)
+
+
+def event_list(events: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """``event_id, date, ret, consensus, matches, label`` of the usable events of high salience; matches are missing without a geometry.
+
+    ``pairs`` (event_id, low_id) has the low events within the caliper; ``events`` have a description.
+    """
+    high = events.filter("usable and salience = 'high'")
+    n = None if pairs is None else pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("matches"))
+    met = high.withColumn("matches", F.lit(None).cast("long")) if n is None else high.join(F.broadcast(n), "event_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+    return met.select("event_id", "date", "ret", "consensus", "matches", label(F.col("description"), F.coalesce("category", F.lit(""))).alias("label"))
+
+
+def event_counts(jump_days: DataFrame, episodes: DataFrame) -> DataFrame:
+    """``section, item, value``: the report's counts of jumps, episodes and arms; an arm holds usable episodes, the middle is what is left."""
+    arm = lambda v: F.count_if(F.col("usable") & (F.col("salience") == v))
+    counts = episodes.agg(F.count(F.lit(1)).alias("episodes"), arm("high").alias("high"), arm("low").alias("low")).withColumn("middle", F.col("episodes") - F.col("high") - F.col("low"))
+    both = counts.crossJoin(jump_days.agg(F.count(F.lit(1)).alias("jumps")))  # one row each
+    return both.unpivot([], ["jumps", "episodes", "high", "low", "middle"], "item", "value").select(F.lit("events").alias("section"), "item", F.col("value").cast("double").alias("value"))
+
+
 def shorten(text: Column, most: int = 58) -> Column:
     """Text of at most ``most`` characters; of longer ones the last three are dots, without white space before them."""
-    cut = F.regexp_replace(F.substring(text, 1, most - 3), r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+\z", "")
+    cut = stripped(F.substring(text, 1, most - 3), "right")
     return F.when(F.length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
 
 

@@ -216,6 +216,19 @@ def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _test2("jumps_from_a_sheet", _sheet, "SELECT date, round(ret, 6) AS ret, clarity, confidence, category, round(category_share, 6) AS category_share FROM jumped", ("date",))
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as passages, dealt over nine hundred weeks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 900 * 7).cast("int")).alias("date"), F.col("text").alias("description"))
+
+
+def _event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = V.described(events(spark, sf_dir), V.descriptions(passages(spark, sf_dir)))
+    return rounded(V.event_list(found, pairs(spark, sf_dir)))
+
+
+_TEXTS = """, told AS (SELECT date, t AS description FROM (SELECT DATE '1990-01-01' + (doc_id % 900 * 7)::INT AS date, regexp_replace(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+$', '') AS t FROM documents)
+WHERE t <> '' AND lower(t) NOT IN ('nan', 'none') QUALIFY row_number() OVER (PARTITION BY date ORDER BY length(t), t) = 1)"""
 _test2("as_of_map", lambda s, d: mapped(s, d).select("date", "tpos"), "SELECT date, tpos FROM mapped", ("date",))
 _test2("decluster", lambda s, d: anchors(s, d).select("date", "tpos", "cluster", "episode_n_jumps"), "SELECT date, tpos, cluster::INT AS cluster, episode_n_jumps FROM anchors", ("date",))
 _test2("salience", lambda s, d: rounded(V.salience(anchors(s, d)).select("date", "consensus", "salience")), "SELECT date, round(consensus, 6) AS consensus, salience FROM armed", ("date",))
@@ -251,6 +264,12 @@ near AS (SELECT * FROM apart WHERE distance <= 2),
 gapped AS MATERIALIZED (SELECT h.alpha_id, h.event_id, any_value(h.d) - avg(l.d) AS gap, count(*) AS n_low, string_agg(n.low_id, '|' ORDER BY n.low_id) AS low_ids
   FROM eventd h JOIN near n USING (event_id) JOIN eventd l ON l.alpha_id = h.alpha_id AND l.event_id = n.low_id WHERE h.d IS NOT NULL AND l.d IS NOT NULL GROUP BY h.alpha_id, h.event_id)"""
 _test2("mahalanobis_matches", lambda s, d: rounded(pairs(s, d)), f"{_PAIRS} SELECT event_id, low_id, round(distance, 6) AS distance FROM near")
+_test2("event_list", _event_list, f"""{_PAIRS} {_TEXTS}, n AS (SELECT event_id, count(*) AS matches FROM near GROUP BY 1)
+SELECT event_id, date, round(ret, 6) AS ret, round(consensus, 6) AS consensus, coalesce(matches, 0) AS matches, CASE WHEN description IS NULL THEN '[no description]' WHEN length(description) > 58 THEN regexp_replace(description[1:55], '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+$', '') || '...' ELSE description END || '  (' || category || ')' AS label
+FROM events LEFT JOIN n USING (event_id) LEFT JOIN told USING (date) WHERE usable AND salience = 'high'""", ("date",))
+_test2("event_counts", lambda s, d: V.event_counts(_jumps(s, d), events(s, d)), """, c AS (SELECT (SELECT count(*) FROM jumped) AS jumps, count(*) AS episodes, count(*) FILTER (usable AND salience = 'high') AS high, count(*) FILTER (usable AND salience = 'low') AS low, count(*) - count(*) FILTER (usable AND salience IN ('high', 'low')) AS middle FROM events)
+SELECT 'events' AS section, item, value::DOUBLE AS value FROM (UNPIVOT c ON COLUMNS(*) INTO NAME item VALUE value)""")
+_test2("passage_descriptions", lambda s, d: V.descriptions(passages(s, d)), f"{_TEXTS} SELECT date, description FROM told", ("date",))
 _test2("salience_gaps", lambda s, d: rounded(gaps(s, d).select("alpha_id", "event_id", "gap", "n_low", F.array_join("low_ids", "|").alias("low_ids")), 5), f"{_PAIRS} SELECT alpha_id, event_id, round(gap, 5) AS gap, n_low, low_ids FROM gapped")
 _test2("scenario_routes", lambda s, d: rounded(routes(s, d)), f"""{_PAIRS}
 SELECT e.alpha_id, e.event_id, CASE WHEN n_low IS NULL THEN 'A' ELSE 'B' END AS scenario, coalesce(n_low, 0) AS n_matched_low, coalesce(low_ids, '') AS matched_low_ids, round(nearest, 6) AS nearest
