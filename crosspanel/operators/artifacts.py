@@ -25,9 +25,9 @@ METADATA = T.StructType([T.StructField(n, T.StringType()) for n in ("alpha_id",
 SCHEMA = T.StructType([T.StructField("metadata", METADATA), T.StructField("raw_response", T.StringType()), T.StructField("response_sha256", T.StringType())])
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each JSON file; ids fall back on the file's name."""
-    raw = spark.read.schema(SCHEMA).json(path, multiLine=True)
+def read_artifacts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each JSON file, or for each of its ``lines``, as ``write_json`` leaves them; ids fall back on the file's name."""
+    raw = spark.read.schema(SCHEMA).json(path, multiLine=not lines)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(\.json)?$", 1)
     return raw.select(F.coalesce("metadata.alpha_id", stem).alias("alpha_id"), "metadata.model", "metadata.theme", F.col("metadata.generation_status").alias("status"), "raw_response", "response_sha256")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .operators import artifacts as A
@@ -16,7 +18,9 @@ from .plans.expr import FIELDS, fields_of, parse
 from .plans.twin import evaluate_sql
 from . import queries_eval as Q
 from .queries import SQL, register, rounded
+from .sources.cache import folder
 from .sources.panel import trade_panel, trade_panel_sql
+from .sources.tables import read_ic_csv, read_survivors, restrict, write_ic_csv, write_table
 
 SECTIONS, TOKENS = ("the", "Section 2", "and", "le "), ("idiot", "clown", "est", "the")
 
@@ -112,6 +116,46 @@ register(
     SELECT * FROM (SELECT 'leak_w' || lpad((round(100 * w)::INT)::VARCHAR, 2, '0') || '_' || i AS alpha_id, w::DOUBLE AS weight, {_list(BASES)}[(i % 8 + 1)::INT] AS base FROM (SELECT unnest({list(LEAK_WEIGHTS)}) AS w), (SELECT unnest(range(8)) AS i)) JOIN counts USING (base)""",
 )
 
+# ---- files between stages: written, and read again ----
+def _scratch(spark, name):
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _ic_file(spark, sf_dir):
+    path = _scratch(spark, "ic")
+    write_ic_csv(Q.ic_panel(spark, sf_dir), path)
+    return rounded(read_ic_csv(spark, path, keep_first=True))
+
+
+def _survivors_of(spark, sf_dir):
+    path = _scratch(spark, "screened")
+    models = Q.screening(spark, sf_dir, 0.02)
+    write_table(models, path, ["alpha_id"], {"dsr": 4})
+    return read_survivors(spark, path)
+
+
+def _artifact_files(spark, sf_dir):
+    """Documents as artifacts: written, read, and those that their label calls good copied and read once more."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    meta = F.struct(F.concat(F.lit("d"), "doc_id").alias("alpha_id"), F.col("source").alias("model"), F.lit("p").alias("provider"), F.col("lang").alias("theme"), F.lit("success").alias("generation_status"), F.lit("r").alias("run_id"), F.lit(0).alias("call_index"))
+    path, copied = _scratch(spark, "artifacts"), _scratch(spark, "survivors")
+    A.write_json(docs.select(meta.alias("metadata"), F.col("text").alias("raw_response"), A.content_hash(F.col("text")).alias("response_sha256")), path)
+    found = A.read_artifacts(spark, path, lines=True)
+    A.copy_survivors(found, labels.select(F.concat(F.lit("d"), "doc_id").alias("alpha_id"), F.when(F.col("quality") == 1, E.SURVIVED).otherwise(E.REJECTED).alias("status")), copied)
+    back = spark.read.schema(found.schema).json(copied)
+    return back.select("alpha_id", "model", "theme", "status", A.content_hash(F.col("raw_response")).alias("sha256"), (A.content_hash(F.col("raw_response")) == F.col("response_sha256")).alias("intact"))
+
+
+def _restricted(spark, sf_dir):
+    ids = spark.createDataFrame([("A01",), ("a03",), ("C07",)], "alpha_id string")
+    return rounded(restrict(Q.ic_panel(spark, sf_dir), ids).groupBy("alpha_id").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean")))
+
+
+register("ic_panel_file", _ic_file, f"WITH {Q._PRELUDE} SELECT alpha_id, date, round(ic, 6) AS ic FROM ics", ("date",))
+register("survivors_file", _survivors_of, SQL["screening"].replace("SELECT alpha_id, model, n_trials, round(z, 4) AS dsr_z_score,", "SELECT alpha_id FROM (SELECT alpha_id,", 1).replace("CASE WHEN p > 0.95", "CASE WHEN p > 0.02", 1) + ") WHERE status = 'SURVIVED_PHASE_1'")
+register("artifact_files", _artifact_files, "SELECT 'd' || doc_id AS alpha_id, source AS model, lang AS theme, 'success' AS status, sha256(text) AS sha256, true AS intact FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+register("restricted_corpus", _restricted, f"WITH {Q._PRELUDE} SELECT alpha_id, count(ic) AS n, round(avg(ic), 6) AS mean FROM ics WHERE alpha_id IN ('a01', 'a03', 'c07') GROUP BY 1")
+
 # ---- signals as code: read into the engine's graph, beside some that can't be ----
 _HEAD = "import numpy as np\nimport pandas as pd\n\ndef generate_alpha(df, "
 CODES = {

@@ -148,10 +148,10 @@ def _artifact_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "alpha_id string, model string")
 
 
-def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+def screening(spark: SparkSession, sf_dir: str, level: float = 0.95) -> DataFrame:
     models = _artifact_models(spark)
     done = E.performance(daily_returns(spark, sf_dir)).join(F.broadcast(models), "alpha_id")
-    return rounded(E.screen(done, E.trials_per_model(models)).select("alpha_id", "model", "n_trials", "dsr_z_score", "dsr", "status"), 4)
+    return rounded(E.screen(done, E.trials_per_model(models), level).select("alpha_id", "model", "n_trials", "dsr_z_score", "dsr", "status"), 4)
 
 
 _N = {m: sum((k in CONTROL_SET) == (m == "control") for k in _WEIGHTS) for m in ("control", "treatment")}
