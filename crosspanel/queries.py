@@ -110,3 +110,15 @@ register(
     "control_batch", _batch,
     f"UNPIVOT (SELECT {', '.join(f'count({n}) AS {n}' for n in _BATCH)} FROM ({evaluate_sql('dense', _BATCH, ('observed',), prelude=trade_panel_sql('week', 'nation'), digits=None)}) WHERE observed) ON {', '.join(_BATCH)} INTO NAME alpha_id VALUE n_signals",
 )
+
+
+def _batch_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = evaluate(densify(trade_panel(spark, sf_dir, "week", "nation")), _BATCH, ("observed",)).filter("observed")
+    return rounded(wide.unpivot(["date", "symbol"], list(_BATCH), "alpha_id", "value"), 8)
+
+
+register(
+    "control_batch_values", _batch_values,
+    f"SELECT * FROM (SELECT date, symbol, {', '.join(f'round({n}, 8) AS {n}' for n in _BATCH)} FROM ({evaluate_sql('dense', _BATCH, ('observed',), prelude=trade_panel_sql('week', 'nation'), digits=None)}) WHERE observed) UNPIVOT INCLUDE NULLS (value FOR alpha_id IN ({', '.join(_BATCH)}))",
+    ("date",),
+)
