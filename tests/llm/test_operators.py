@@ -343,6 +343,52 @@ def test_html_generated_pages():
         assert main_text(page) == "\n".join(body)
 
 
+SENTENCES = "A sentence of some length that is the text of the page. " * 4
+STORY = f"<h1>Title</h1><p>{SENTENCES}</p>%s<p>Short end.</p>"
+STORY_TEXT = f"Title\n{SENTENCES.strip()}\nShort end."
+
+
+@pytest.mark.parametrize("beside", [
+    '<ol class="commentlist"><li>Nice post, I agree with all of it and more.</ol>', '<div class="comment-thread"><p>said a reader</div>', '<div class="user-comments">x</div>', '<section id="reader-comments"><article><p>no</article></section>', '<div class="CommentList">x</div>',
+    '<div class="related-posts"><p>Another story</div>', '<div class="related-articles">x</div>', '<div class="gdpr-banner">We care</div>', '<ins class="adsbygoogle">Buy</ins>', '<div class="subscribe-now">Get mail</div>', "<ul><li><a>one<li><a>two<li><a>three<li><a>four</ul>", '<aside class="zq">x</aside>',
+])
+def test_html_leaves_out_what_stands_in_the_article(beside):
+    assert main_text(f"<article>{STORY % beside}</article>") == STORY_TEXT
+    assert main_text(f"<body><div>{STORY % beside}</div></body>") == STORY_TEXT
+
+
+@pytest.mark.parametrize("page", [
+    '<article><div class="entry share">%s</div></article>', '<body><div class="post widget">%s</div></body>', '<div class="main-content page-menu">%s</div>', "<body><div><a>Home</a> <a>News</a></div><div>%s</div><div><p>&copy; 2024 Site</p><p>Imprint</p></div></body>",
+    "<article><p><a>Up</a></p>%s<p><a>Read</a> <a>on</a></p></article>", "<article><a>Teaser one here</a></article><div>%s</div><article><p>Teaser two</p></article>", "<body><ul><li><a>Home</a></li><li><a>News</a></li></ul>%s</body>", '<div id="comments"><article><p>' + SENTENCES * 3 + "</p></article></div><article>%s</article>",
+    '<body class="has-sidebar comments-open"><main>%s<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></main></body>', "<div class=wrap><div><div>%s</div></div><div><div><p>About us</p><p>Contact</p></div></div></div>", '<div class="postContent noSidebar">%s</div><div class="site-footer"><p>x</p></div>',
+])
+def test_html_finds_the_story(page):
+    assert main_text(page % (STORY % "")) == STORY_TEXT == main_text(page % (STORY.replace("Title", "<a href=/>Title</a>") % ""))
+    assert main_text(page % (STORY.replace("<p>", "<div><p>").replace("</p>", "</p></div>") % "")) == STORY_TEXT
+
+
+def test_html_without_names():
+    """Pages of divs whose names say nothing: link bars, short boxes and a footer around the story go by their lengths and links alone."""
+    for k in range(150):
+        word = lambda: "".join(rng.choice(list("qxzvkj"), 5))
+        bar = "<div class=%s>%s</div>" % (word(), " ".join(f"<a href=/{i}>{prose(1)}</a>" for i in range(int(rng.integers(2, 8)))))
+        listed = "<ul class=%s>%s</ul>" % (word(), "".join(f"<li><a>{prose(2)}</a>" for _ in range(int(rng.integers(3, 8)))))
+        small = f"<div id={word()}><p>{prose(2)}</p><p>{prose(1)}</p></div>"
+        body = [prose(6), *(prose(int(rng.integers(2, 70))) for _ in range(int(rng.integers(1, 7)))), prose(90)]
+        inner = "".join(f"<p>{x}</p>" if k % 3 else f"<div><p>{x}</p></div>" for x in body)
+        before, after = ("".join(rng.choice([bar, listed, small], int(rng.integers(0, 4)))) for _ in range(2))
+        page = f"<body>{before}<div class={word()}><div>{inner}</div></div>{after}<div class={word()}><p>&copy; {prose(2)}</p><p>{prose(2)}</p></div></body>"
+        assert main_text(page) == "\n".join(body)
+
+
+def test_html_of_a_very_long_page():
+    """A million characters in one paragraph, then in a hundred thousand, inside and outside of an article."""
+    one, many = "word " * 200_000, [f"line {i}" for i in range(100_000)]
+    for shell in ("<article>%s</article>", "<div>%s</div>"):
+        assert main_text(shell % f"<p>{one}</p>") == one.strip()
+        assert main_text(shell % "".join(f"<p>{x}" for x in many)) == "\n".join(many)
+
+
 def test_html_deep_nesting_is_linear():
     for page in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<div class=ad><article>" * 30_000 + "x", "<ul><li>" * 50_000 + "x", "<p><span class=share>" * 50_000):
         main_text(page)
