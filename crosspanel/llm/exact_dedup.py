@@ -24,19 +24,22 @@ BROADCAST_FINGERPRINTS = 1_000_000
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
-    """Rice code (a Golomb code with a power of two) of sorted distinct unsigned 64-bit values."""
+    """Rice code (a Golomb code with a power of two) of sorted distinct unsigned 64-bit values.
+
+    The first value is sent as it is; the parameter follows from the gaps between values, wherever their range begins.
+    """
     n = len(values)
     if n == 0:
         return b""
-    delta = np.diff(values, prepend=np.uint64(0))
-    k = max(0, int(max(1, int(values[-1]) // n)).bit_length() - 1)
+    delta = np.diff(values)
+    k = max(0, (int(values[-1] - values[0]) // n).bit_length() - 1)
     quotient = (delta >> np.uint64(k)).astype(np.int64)
     ends = np.cumsum(quotient + 1)
-    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary = np.zeros(int(ends[-1]) if n > 1 else 0, np.uint8)
     unary[ends - 1] = 1
     shifts = np.arange(k - 1, -1, -1, dtype=np.uint64)
     low = ((delta[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel()
-    head = np.array([n, k, len(unary)], "<i8").tobytes()
+    head = np.array([n, k, len(unary)], "<i8").tobytes() + values[:1].astype("<u8").tobytes()
     return head + np.packbits(unary).tobytes() + np.packbits(low).tobytes()
 
 
@@ -44,15 +47,16 @@ def golomb_decode(code: bytes) -> np.ndarray:
     if not code:
         return np.zeros(0, np.uint64)
     n, k, bits = (int(x) for x in np.frombuffer(code, "<i8", 3))
-    cut = 24 + (bits + 7) // 8
-    ends = np.flatnonzero(np.unpackbits(np.frombuffer(code[24:cut], np.uint8), count=bits))
+    cut = 32 + (bits + 7) // 8
+    first = np.frombuffer(code[24:32], "<u8")
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(code[32:cut], np.uint8), count=bits))
     quotient = np.diff(ends, prepend=-1) - 1
     delta = quotient.astype(np.uint64) << np.uint64(k)
     if k:
-        low = np.unpackbits(np.frombuffer(code[cut:], np.uint8), count=n * k).reshape(n, k)
+        low = np.unpackbits(np.frombuffer(code[cut:], np.uint8), count=(n - 1) * k).reshape(n - 1, k)
         for column in range(k):
             delta |= low[:, column].astype(np.uint64) << np.uint64(k - 1 - column)
-    return np.cumsum(delta, dtype=np.uint64)
+    return np.concatenate([first, first + np.cumsum(delta, dtype=np.uint64)]).astype(np.uint64)
 
 
 def _digest(text: bytes) -> bytes:

@@ -55,6 +55,17 @@ def docs(spark):
     return spark.createDataFrame(fixture(), SCHEMA).withColumns({c: F.lit("x") for c in ("id", "print", "size", "spans", "key", "words", "bucket", "keep_id")}).repartition(3)
 
 
+def test_golomb_of_an_owners_range():
+    """The last of a thousand owners' codes takes no more bits a value than the first one's."""
+    step = (1 << 64) // 1000 + 1
+    draw = np.sort(rng.integers(0, step // 2, 2000).astype(np.uint64))
+    for base in (0, 999 * step):
+        v = np.unique(draw + np.uint64(base))
+        assert (golomb_decode(golomb_encode(v)) == v).all() and len(golomb_encode(v)) == len(golomb_encode(np.unique(draw)))
+    for v in ([5], [0], [(1 << 64) - 1], [0, (1 << 64) - 1], [7, 8, 9]):
+        assert golomb_decode(golomb_encode(np.array(v, np.uint64))).tolist() == v
+
+
 def test_golomb():
     for n in (0, 1, 1000):
         v = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
