@@ -169,13 +169,14 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.mapInArrow(tidy(_verify(distance)), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges (a, b): root is the smallest node reachable.
 
-    Alternating large and small stars; edges of a hub are not gathered in one task (see ``join_spread``). Each round is written to the shared folder. Raises if ``most`` rounds aren't enough.
+    Alternating large and small stars; edges of a hub are not gathered in one task (see ``join_spread``). Each round is written to the shared folder. Rounds go on until
+    nothing moves: labels only fall, and their number grows with the logarithm of the longest path.
     """
     edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         total = 2 * edges.count()
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -190,7 +191,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         edges = fresh
         if not open_:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def component_ids(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
