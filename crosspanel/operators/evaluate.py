@@ -8,7 +8,9 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,13 +64,35 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     )
 
 
+def _date_ics(names: list[str], min_names: int):
+    """Rank correlations of a date's cross-section, all signals at once: ranks within the names that have both values, ties averaged."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pick = lambda c: table[c].to_numpy(zero_copy_only=False).astype(float)  # noqa: E731  missing ones are NaN
+        fwd, x = pick("fwd"), np.column_stack([pick(n) for n in names])
+        live = ~np.isnan(x) & ~np.isnan(fwd)[:, None]
+        n = live.sum(0)
+        a = pd.DataFrame(np.where(live, x, np.nan)).rank().to_numpy()
+        same = (live == live[:, :1]).all()
+        b = pd.DataFrame(np.where(live[:, :1] if same else live, fwd[:, None], np.nan)).rank().to_numpy()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            middle = (n + 1) / 2.0  # the mean of average ranks
+            a, b = np.where(live, a - middle, 0.0), np.where(live, b - middle, 0.0)
+            spread = np.sqrt((a * a).sum(0) * (b * b).sum(0))
+            ic = np.where(spread > 0, (a * b).sum(0) / spread, np.nan)
+        keep = np.flatnonzero((n >= min_names) & ~np.isnan(ic))
+        return pa.table({"alpha_id": pa.array([names[i] for i in keep], pa.string()), "date": pa.array([table["date"][0].as_py()] * len(keep), pa.date32()), "ic": pa.array(ic[keep], pa.float64()), "n_names": pa.array(n[keep], pa.int64())})
+
+    return run
+
+
 def rank_ic_wide(wide: DataFrame, names: list[str], min_names: int = 20) -> DataFrame:
     """``rank_ic`` of signals in a column each, with their forward return in column ``fwd`` of the same rows: no join.
 
-    Only dates with enough names are ranked; the panel is unpivoted once, after the forward returns are there.
+    Rows go by date, once for all signals, not once for each; a task ranks a date's cross-section, as many rows as there are names.
     """
-    both = wide.filter("fwd is not null").unpivot(["date", "symbol", "fwd"], names, "alpha_id", "signal").filter("signal is not null")
-    return _correlate(both, min_names)
+    both = wide.filter("fwd is not null").select("date", "fwd", *names)
+    return both.groupBy("date").applyInArrow(_date_ics(names, min_names), "alpha_id string, date date, ic double, n_names long")
 
 
 def portfolio_returns(signals: DataFrame, panel: DataFrame) -> DataFrame:

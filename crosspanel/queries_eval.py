@@ -94,8 +94,8 @@ register(
 def _leak_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     formulas = {f"w{round(100 * w):02d}": leak_signals(w) for w in (0.0, 0.02, 0.04, 0.06, 0.08, 0.10, 0.15, 0.20)}
     panel = trade_panel(spark, sf_dir)
-    long = E.long_signals(evaluate(panel, formulas), list(formulas))
-    ic = E.rank_ic(long, E.forward_returns(densify(panel))).filter(F.col("date") < F.lit(CUTOFF).cast("date"))
+    wide = evaluate(panel, formulas).join(E.forward_returns(densify(panel)), ["date", "symbol"])
+    ic = E.rank_ic_wide(wide.filter(F.col("date") < F.lit(CUTOFF).cast("date")), list(formulas))
     return rounded(E.ic_summary(ic).select("alpha_id", "mean_rank_ic"))
 
 

@@ -521,3 +521,20 @@ def test_partial_slopes_against_least_squares():
         want = [np.linalg.lstsq(np.column_stack([np.ones(30), v, columns]), y, rcond=None)[0][1] for v in x]
         np.testing.assert_allclose(got, want, rtol=1e-9)
     assert np.isnan(M.partial_slopes(y, (2 * z[:, :1]).T, M.residual_basis(z)))[0]
+
+
+def test_rank_correlations_of_a_date_equal_the_long_form(spark):
+    """Ties, missing values by signal, thin dates, a constant signal and one without values."""
+    draw = np.random.default_rng(12)
+    rows = []
+    for t in range(12):
+        for s in range(4 if t == 3 else 30):
+            some = lambda x, p: None if draw.random() < p else float(x)
+            rows.append((DAY0 + dt.timedelta(t), f"s{s}", some(draw.normal(), 0.2), float(draw.integers(0, 4)), some(draw.normal(), 0.4 if t % 2 else 0.0), 1.0, None))
+    wide_rows = spark.createDataFrame(rows, "date date, symbol string, fwd double, a double, b double, c double, d double").repartition(3)
+    names = ["a", "b", "c", "d"]
+    long = E.rank_ic(E.long_signals(wide_rows, names), wide_rows.select("date", "symbol", "fwd"), 10)
+    key = lambda df: {(r["alpha_id"], r["date"]): (pytest.approx(r["ic"], abs=1e-12), r["n_names"]) for r in df.collect()}
+    got, want = key(E.rank_ic_wide(wide_rows, names, 10)), key(long)
+    assert got.keys() == want.keys() and len(got) >= 20 and all(got[k][0] == want[k][0].expected and got[k][1] == want[k][1] for k in got)
+    assert {k[0] for k in got} == {"a", "b"}
