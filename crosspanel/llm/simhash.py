@@ -21,7 +21,7 @@ from .common import join_spread, partitions, small_batches, stash, text_bytes, t
 from .repeats import by_key
 
 HALF = 32
-#: Variants with more members than this are dealt again by a quarter of the other half, one of which must agree.
+#: Variants with more members than this are dealt again by segments of the other half, one of which must agree, and again.
 CROWD = 2_000
 
 
@@ -145,26 +145,46 @@ def _verify(distance: int):
     return run
 
 
+def _dealt_again(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """Rows (key, print, rest) under four finer keys each: rests of ``width`` bits that differ in three bits at most agree in one of
+    four segments; the finer key has that segment, the finer rest the other bits."""
+    step = -(-width // 4)
+    starts = [k * step for k in range(4) if k * step < width]
+    rest = F.col("rest")
+    segment = lambda at: F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << step) - 1))
+    without = lambda at: F.shiftleft(F.shiftrightunsigned(rest, at + step), at).bitwiseOR(rest.bitwiseAND(F.lit((1 << at) - 1)))
+    parts = F.array(*(F.struct(F.xxhash64("key", F.lit(width), F.lit(at), segment(at)).alias("key"), without(at).alias("rest")) for at in starts))
+    return rows.select("print", F.explode(parts).alias("part")).select("part.key", "print", "part.rest"), width - step
+
+
 def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``print``) within ``distance`` bits that span every component.
 
-    Works for ``distance`` up to 3. A crowded variant is dealt again: what shares a variant differs in at most 3 bits of the
-    other half, so one of its four bytes agrees; keys of (variant, byte number, byte) split the crowd without losing a pair.
+    Works for ``distance`` up to 3. What shares a variant differs in at most 3 bits of the other half; a crowded variant is dealt
+    again by segments of that half, one of which agrees, and what is still crowded by segments of the bits that are left, until no
+    key has more than CROWD fingerprints. No pair is lost, and no key is held whole that is larger.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with one wildcard find up to three differing bits")
     spark = prints.sparkSession
     pairs = prints.mapInArrow(tidy(_variants), "key long, print long")
     n = partitions(spark)
-    crowded = stash(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"), "crowds")
-    crowds = crowded.count()
+    crowds = lambda rows: stash(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"), "crowds")
+    crowded = crowds(pairs)
     loose = pairs
-    if crowds:
+    if crowded.limit(1).count():
         marked = pairs.join(crowded.withColumn("crowd", F.lit(True)), "key", "left")
-        other = F.when(F.shiftright("key", 37).bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("print", 32)).otherwise(F.col("print"))
-        byte = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(k.alias("no"), F.call_function("shiftright", other, k * 8).bitwiseAND(F.lit(255)).alias("value"))))
-        split = marked.filter("crowd").select("key", "print", byte.alias("part")).select(F.xxhash64("key", "part.no", "part.value").alias("key"), "print")
-        loose = marked.filter("crowd is null").select("key", "print").unionByName(split)
+        other = F.when(F.shiftright("key", 37).bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("print", 32)).otherwise(F.col("print").bitwiseAND(F.lit(0xFFFFFFFF)))
+        loose, hot, width = marked.filter("crowd is null").select("key", "print"), marked.filter("crowd").select("key", "print", other.alias("rest")), 32
+        while True:
+            hot, width = _dealt_again(hot, width)
+            hot = stash(hot, "dealt")
+            crowded = crowds(hot) if width else None
+            if crowded is None or not crowded.limit(1).count():
+                loose = loose.unionByName(hot.select("key", "print"))
+                break
+            marked = hot.join(crowded.withColumn("crowd", F.lit(True)), "key", "left")
+            loose, hot = loose.unionByName(marked.filter("crowd is null").select("key", "print")), marked.filter("crowd").select("key", "print", "rest")
     dealt = loose.repartition(n, "key").sortWithinPartitions("key", "print")
     return dealt.mapInArrow(tidy(_verify(distance)), "a long, b long").distinct()
 

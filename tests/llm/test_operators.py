@@ -467,6 +467,40 @@ def test_components(spark, hub):
     assert got == {x: root(x) for x in up if root(x) != x}
 
 
+@pytest.mark.parametrize("crowd", [2_000, 12, 2])
+def test_fingerprints_in_crowds(spark, monkeypatch, crowd):
+    """Fingerprints that share a half and many bits of the other: dealt until no key is crowded, no pair within three bits is lost."""
+    from crosspanel.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    base = np.uint64(0x123456789ABCDEF0)
+    low = [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 6), replace=False))) for _ in range(120)]
+    high = [base ^ np.uint64(sum(1 << int(b) for b in 40 + rng.choice(24, rng.integers(0, 5), replace=False))) for _ in range(80)]
+    prints = sorted({int(x) for x in [*low, *high, *rng.integers(0, 1 << 63, 40, np.uint64)]})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    edges = simhash.near_edges(spark.createDataFrame([(signed(x),) for x in prints], "print long").repartition(3)).collect()
+    up = {x: x for x in prints}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    want = {x: x for x in prints}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(prints):
+            for b in prints[i + 1 :]:
+                if bin(a ^ b).count("1") <= 3 and want[a] != want[b]:
+                    want[a] = want[b] = min(want[a], want[b])
+                    changed = True
+    for r in edges:
+        a, b = root(r["a"] & ((1 << 64) - 1)), root(r["b"] & ((1 << 64) - 1))
+        up[max(a, b)] = min(a, b)
+    assert {x: root(x) for x in prints} == want
+
+
 CLASHES = ("_id", "_source", "_times", "_copy", "_sha", "_place", "_tokens", "_limit", "_kept", "_many", "id", "text_", "kept")
 
 
