@@ -772,3 +772,45 @@ def test_rules_verdict_against_brute_force(spark):
         assert abs(score[text] - least) > 3e-6 and x["kept"] == (not x["base_failed"] and score[text] >= least)
         verdicts[x["base_failed"], x["kept"]] += 1
     assert sum(verdicts.values()) == len(rows) and verdicts[False, False] > 5 and verdicts[False, True] > 5 and verdicts[True, False] >= 4
+
+
+def test_packed_pieces_are_the_librarys(docs):
+    """Every piece's ids by its checksum, against the tokenizers library over the whole fixture."""
+    library = Tokenizer.from_file(TOKENIZER)
+    ids = [(f[0], library.encode(f[1] or "", add_special_tokens=False).ids + [0]) for f in fixture()]
+    known = collections.defaultdict(list)
+    for i, x in ids:
+        known[i, len(x)].append(np.array(x, "<u4"))
+    pieces = pack(docs, TOKENIZER).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(x) for _, x in ids)
+    for r in pieces:
+        a, b = r["start"], r["start"] + r["length"]
+        assert any(zlib.crc32(x[a:b].tobytes()) == r["ids_crc32"] for x in known[r["doc_id"], r["doc_tokens"]])
+
+
+def test_very_long_texts(spark):
+    """Two equal texts of 300,000 words and one of a million characters without white space, among small ones, in every operator on documents."""
+    from crosspanel.llm.near_text import near_text_dedup
+
+    words = [f"{WORDS[int(i)]}{int(j)}" for i, j in zip(rng.integers(0, len(WORDS), 300_000), rng.integers(0, 50, 300_000))]
+    long = " ".join(words)
+    rows = [(1, long, "en", "a", 0), (2, long, "en", "b", 0), (3, "x" * 1_000_000, "en", "a", 0), (4, "short one", "en", "a", 0), (5, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+    mixed = by(mix(docs))
+    assert [mixed[i]["size"] for i in range(1, 6)] == [300_000, 300_000, 1, 2, 0]
+    prints = by(simhash_dedup(docs))
+    assert prints[1]["fingerprint"] == prints[2]["fingerprint"] and prints[2]["component_id"] == 1 and prints[3]["component_id"] == 3
+    gone = by(suffix_dedup(docs))
+    assert gone[1]["n_removed"] == gone[2]["n_removed"] == len(long.encode()) and gone[3]["n_removed"] == 1_000_000 and gone[4]["n_removed"] == 0
+    exact = by(exact_dedup(docs))
+    assert exact[2]["keep_id"] == 1 and exact[1]["group_size"] == 2
+    shards = by(shard_rows(docs))
+    assert shards[3]["size"] == 1_000_016 and shards[1]["text_crc32"] == shards[2]["text_crc32"]
+    cut = by(substring_dedup(docs))
+    assert cut[1]["n_removed"] == cut[2]["n_removed"] == 300_000 and cut[3]["n_removed"] == 0
+    near = by(near_text_dedup(docs))
+    assert near[2]["component_id"] == 1 and near[4]["component_id"] == 4
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    ruled = by(quality_rules(docs, labels))
+    assert ruled[1]["n_words"] == 300_000 and ruled[3]["word_chars"] == 1_000_000 and ruled[4]["base_failed"]
