@@ -700,14 +700,50 @@ def test_near_text_of_crowds(spark, monkeypatch):
                     part[a] = part[b] = min(part[a], part[b])
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     monkeypatch.setattr(near_text, "CROWD", 7)
-    calls = []
-    strangers = near_text._strangers
-    monkeypatch.setattr(near_text, "_strangers", lambda *a: calls.append(strangers(*a)) or calls[-1])
+    calls = {}
+    for name in ("_by_rare_shingles", "_against_all"):
+        run = getattr(near_text, name)
+        monkeypatch.setattr(near_text, name, lambda *a, run=run, name=name: calls.setdefault(name, run(*a)))
     # bands that all agree make one crowd of everything, so that strangers stand beside a hub
     monkeypatch.setattr(near_text, "bands", lambda found: np.arange(25, dtype=np.uint64))
     got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_dedup(rows).collect()}
-    assert got == dict(enumerate(part)) and calls[0] is not None
-    assert max(r["count"] for r in calls[0].groupBy("key").count().collect()) <= 40
+    assert got == dict(enumerate(part)) and "_by_rare_shingles" in calls
+    if "_against_all" in calls:
+        assert max(r["count"] for r in calls["_against_all"].groupBy("key").count().collect()) <= 40
+
+
+def test_rare_shingles_meet():
+    """Whatever counts say, the rarest shingles of two similar sets have one in common."""
+    from crosspanel.llm import near_text
+
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        both = rng.choice(1 << 40, n + 20, replace=False).astype(np.uint64)
+        out = int(n * rng.random() * 0.25)
+        a, b = np.sort(both[:n]), np.sort(np.concatenate([both[out:n], both[n : n + int(rng.integers(0, 1 + n // 5))]]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            counts = rng.integers(0, 5, near_text.BINS)
+            assert len(np.intersect1d(near_text.rarest(a, counts, 0.8), near_text.rarest(b, counts, 0.8)))
+    assert len(near_text.rarest(np.zeros(0, np.uint64), np.zeros(near_text.BINS, np.int64), 0.8)) == 0
+
+
+def test_near_text_of_many_strangers_is_linear(spark, monkeypatch):
+    """1,500 unlike texts around one frequent passage under one key, some of them near copies: no block meets another, groups stay small."""
+    from crosspanel.llm import near_text
+
+    passage = prose(40)
+    own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(1500)]
+    texts = [f"{x} {passage}" for x in own] + [f"{x} changed {passage}" for x in own[:100]]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    monkeypatch.setattr(near_text, "CROWD", 100)
+    monkeypatch.setattr(near_text, "bands", lambda found: np.arange(25, dtype=np.uint64))
+    kept = {}
+    run = near_text._by_rare_shingles
+    monkeypatch.setattr(near_text, "_by_rare_shingles", lambda *a: kept.setdefault("pairs", run(*a)))
+    monkeypatch.setattr(near_text, "_against_all", None)  # must not be needed
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_dedup(rows).collect()}
+    assert got == {i: i if i < 1500 else i - 1500 for i in range(1600)}
+    assert kept["pairs"].count() <= 1600 * 25 and max(r["count"] for r in kept["pairs"].groupBy("key").count().collect()) <= 4
 
 
 def _xx(value, seed=42):
