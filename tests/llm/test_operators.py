@@ -706,10 +706,13 @@ def test_near_text_of_crowds(spark, monkeypatch):
         monkeypatch.setattr(near_text, name, lambda *a, run=run, name=name: calls.setdefault(name, run(*a)))
     # bands that all agree make one crowd of everything, so that strangers stand beside a hub
     monkeypatch.setattr(near_text, "bands", lambda found: np.arange(25, dtype=np.uint64))
-    got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_dedup(rows).collect()}
-    assert got == dict(enumerate(part)) and "_by_rare_shingles" in calls
-    if "_against_all" in calls:
-        assert max(r["count"] for r in calls["_against_all"].groupBy("key").count().collect()) <= 40
+    for blocks, way in ((20, "_against_all"), (2, "_by_rare_shingles")):  # strangers meet all blocks, or rare shingles are told apart first
+        monkeypatch.setattr(near_text, "BLOCKS", blocks)
+        calls.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_text.near_text_dedup(rows).collect()}
+        assert got == dict(enumerate(part)) and way in calls
+        if "_against_all" in calls:
+            assert max(r["count"] for r in calls["_against_all"].groupBy("key").count().collect()) <= 40
 
 
 def test_rare_shingles_meet():
@@ -736,6 +739,7 @@ def test_near_text_of_many_strangers_is_linear(spark, monkeypatch):
     texts = [f"{x} {passage}" for x in own] + [f"{x} changed {passage}" for x in own[:100]]
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     monkeypatch.setattr(near_text, "CROWD", 100)
+    monkeypatch.setattr(near_text, "BLOCKS", 8)
     monkeypatch.setattr(near_text, "bands", lambda found: np.arange(25, dtype=np.uint64))
     kept = {}
     run = near_text._by_rare_shingles
