@@ -62,6 +62,9 @@ def test_code_against_pandas(spark, panel, name):
         ("    return __import__('os')", "unknown name"), ("    return df.groupby('sector')['close'].mean()", "groups by"), ("    return 5", "no column"), ("    x = df['close']", "no column"), ("    return df['close'].groupby(level='symbol').rolling(5, min_periods=6).mean().droplevel(0)", "min_periods 6"),
         ("    return df['close'].groupby(level='symbol').rolling(5, min_periods=6).max().droplevel(0)", "min_periods 6"), ("    return df['nothing']", "no column"), ("    return (df['close'] & df['open'])", "conjunction"), ("    while True: pass", "not known"), ("    return df['close'].groupby(level='symbol').shift()(1)", "line 4"),
         ("    return df['close'].where()", "arguments"), ("    return df['close'].replace(1, 2)", "replacing by 2"), ("    return np.random.rand(3)", "line 4"),
+        ("    return df['close'].groupby(level='symbol').rolling(5, center=True).mean().droplevel(0)", "option .'center'."), ("    return df['close'].groupby(level='symbol').shift(1, fill_value=0)", "option .'fill_value'."), ("    return df['close'].groupby(level='symbol').rolling(5, 2, True).mean()", "more than a window"),
+        ("    return df['close'].groupby(level='symbol').transform(lambda x: x.ewm(alpha=0.3).mean())", "exponential window"), ("    return df['close'].groupby(level='symbol').transform(lambda x: x.ewm(span=5, ignore_na=True).mean())", "option"), ("    return df['close'].groupby(level='date').transform('sum', min_count=1)", "option"),
+        ("    return df['close'].astype(int)", "cast to another"), ("    return df['close'].groupby(level='date').rank(method='first')", "ranks of another"), ("    return df['close'].fillna(method='ffill')", "option"),
     ],
 )
 def test_refusals_say_where_and_why(body, why):
