@@ -1,6 +1,7 @@
 """Ranked search, hard negatives and sum-of-squares packing against brute force."""
 
 import collections
+import functools
 import math
 import re
 import zlib
@@ -154,15 +155,20 @@ WORD_BPE = P.path("word_bpe_49k.json")
 ODD_TEXTS = ["", " \n\t", "It's I'll we're <|endoftext|> <|startoftext|>x", "a<|endoftext|>b", "Ünïcode ÇA ǅ ΣΑΣ İstanbul ﬁ ½ ١٢٣ 漢字かな 🙂🙂 é a ́b", "x y z\x85w\x1cv", "line\r\nline\x0b\x0cline", "1234567 a1b2 '''s's", "̈́  q Å`"]
 
 
+@functools.cache
+def _library():
+    return Tokenizer.from_file(WORD_BPE)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=80), st.text(alphabet=st.sampled_from("abcxyzABCÀÖØÞßàöøÿĀĿŒſıİ×÷ªº'sdmrevl09.,-<|>_\x1c\x00 "), max_size=40), st.lists(st.sampled_from([*ODD_TEXTS, "'", "s", " ", "\n", "́"]), max_size=8).map("".join)))
 def test_word_ids_equal_the_library(text):
-    library = best_fit._encoders.setdefault(WORD_BPE, best_fit._Words(WORD_BPE)).tokenizer
+    library = _library()
     assert np.frombuffer(best_fit.token_ids(WORD_BPE, text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_word_ids_of_texts_with_white_space_of_all_kinds():
-    library = Tokenizer.from_file(WORD_BPE)
+    library = _library()
     latin = "".join(map(chr, [*range(1, 0x180)]))
     for text in [latin, " ".join(latin), latin[::-1], *ODD_TEXTS, "\n".join(ODD_TEXTS), "word " * 20000, "w" * 5000]:
         assert np.frombuffer(best_fit.token_ids(WORD_BPE, text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
@@ -184,7 +190,7 @@ def test_sum_of_squares_rule(sizes):
 
 
 def test_best_fit(spark, monkeypatch):
-    library = Tokenizer.from_file(WORD_BPE)
+    library = _library()
     texts = [(i, " ".join(rng.choice(["alpha", "beta9", "Gamma's", "delta", "epsilon"], int(n)))) for i, n in enumerate(rng.integers(0, 700, 260))]
     texts += [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(2000, None), (None, "null id"), (None, "null id"), (3, texts[3][1]), (3000, "long one " * 6000)]
     ids = [(i, library.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in texts]
